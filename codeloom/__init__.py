@@ -1,0 +1 @@
+"""Code-structure analytics on Spark: files, symbols, imports and calls as tables; graphs as joins."""
