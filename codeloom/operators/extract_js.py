@@ -266,7 +266,7 @@ class Source:
 
     def ends_in_block(self, i: int) -> bool:
         h = self.head(i)
-        return self.is_(h, "function", "class", "if", "for", "while", "do", "try", "switch", "enum", "{", "with") or (
+        return self.is_(h, "function", "class", "if", "for", "while", "do", "try", "switch", "enum", "with") or (h == i and self.is_(h, "{")) or (
             self.is_(h, "interface", "namespace", "module", "abstract") and self.name(h + 1) or self.is_(h, "abstract") and self.is_(h + 1, "class")
         )
 
