@@ -10,11 +10,10 @@ from codeloom.llm.common import globally_ranked
 
 def ring_preferences(spark, shards: int, virtual_nodes: int, slot_bits: int) -> list[list[int]]:
     """For each of 2**slot_bits equal arcs of the ring: all shards in the order met going clockwise from its start."""
-    nodes = (
-        spark.range(shards * virtual_nodes)
-        .select((F.col("id") % shards).cast("int").alias("shard"), F.shiftrightunsigned(F.xxhash64(F.lit("node"), "id"), 64 - slot_bits).alias("slot"))
-        .collect()
-    )  # shards * virtual_nodes rows, a parameter
+    # a node's place depends on its shard and number only: the nodes of other shards stay where they are when one is added
+    node = spark.range(shards * virtual_nodes).select((F.col("id") % shards).cast("int").alias("shard"), F.floor(F.col("id") / shards).alias("v"))
+    place = F.shiftrightunsigned(F.xxhash64(F.lit("node"), "shard", "v"), 64 - slot_bits)
+    nodes = node.select("shard", place.alias("slot")).collect()  # shards * virtual_nodes rows, a parameter
     at: dict[int, list[int]] = {}
     for n in sorted(nodes, key=lambda n: (n["slot"], n["shard"])):
         at.setdefault(n["slot"], []).append(n["shard"])
