@@ -318,3 +318,45 @@ def file_tree(nodes: DataFrame) -> DataFrame:
         "analysis_id", "path", P.dirname(F.col("path")).alias("parent"), FF.file_name(F.col("path")).alias("name"),
         (F.size(F.split("path", "/")) - 1).alias("depth"), "is_file",
     ).orderBy("analysis_id", "parent", "is_file", "name")
+
+
+def grid_layout(nodes: DataFrame, columns: int) -> DataFrame:
+    """(analysis_id, path, row, col): nodes in the order of their paths, ``columns`` to a row; for files without edges."""
+    from pyspark.sql import Window
+
+    at = F.row_number().over(Window.partitionBy("analysis_id").orderBy("path")) - 1
+    placed = nodes.select("analysis_id", "path", at.alias("__n"))
+    return placed.select("analysis_id", "path", F.floor(F.col("__n") / columns).cast("int").alias("row"), (F.col("__n") % columns).cast("int").alias("col"))
+
+
+def layers(edges: DataFrame) -> DataFrame:
+    """(analysis_id, path, layer, place): connected files from left to right, an importing file left of what it imports.
+
+    The layer is the longest chain of imports into the file's component, so members of a cycle share one; places count
+    within a layer by the mean place of the importers in earlier layers, then by path. One task a repository.
+    """
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        names, codes = np.unique(np.concatenate([part["source"].to_numpy(), part["target"].to_numpy()]).astype(str), return_inverse=True)
+        s, t = codes[: len(part)], codes[len(part) :]
+        label = components(s, t, len(names))
+        layer = np.zeros(len(names), dtype=np.int64)
+        a, b = label[s], label[t]
+        a, b = a[a != b], b[a != b]
+        while True:  # as often as the longest chain has links
+            nxt = layer.copy()
+            np.maximum.at(nxt, b, layer[a] + 1)
+            if (nxt == layer).all():
+                break
+            layer = nxt
+        layer = layer[label]
+        place = np.zeros(len(names))
+        for depth in range(int(layer.max()) + 1 if len(names) else 0):
+            own = np.flatnonzero(layer == depth)
+            into = (layer[t] == depth) & (layer[s] < depth)
+            n, total = np.bincount(t[into], minlength=len(names)), np.bincount(t[into], place[s[into]], minlength=len(names))
+            mean = total[own] / np.maximum(1, n[own])
+            place[own[np.lexsort((own, mean))]] = np.arange(len(own))
+        return pd.DataFrame({"analysis_id": part["analysis_id"].iloc[0], "path": names, "layer": layer, "place": place.astype(np.int64)})
+
+    return edges.distinct().groupBy("analysis_id").applyInPandas(run, "analysis_id string, path string, layer int, place int")

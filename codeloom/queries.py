@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import files as FF
+from codeloom.functions import stats
 from codeloom.functions import text as FT
 from codeloom.operators import extract as X
 from codeloom.operators import graph, impact, incremental, resolve
@@ -272,6 +273,26 @@ def incremental_reuse(spark, d):
     return incremental.reusable(now, before).select("path", "reused")
 
 
+def value_summary(spark, d):
+    """Mean, median and 95th percentile of the events' values by type."""
+    out = stats.summary(table(spark, d, "events"), "event_type", "value")
+    return out.select("group", "n", F.round("mean", 6).alias("mean"), F.round("median", 6).alias("median"), "percentile")
+
+
+def legend_languages(spark, d):
+    """The languages that occur, for a legend."""
+    return table(spark, d, "documents").where("lang IS NOT NULL").select("lang").distinct()
+
+
+def isolated_grid(spark, d):
+    a, edges = _inner(spark, d)
+    return graph.grid_layout(graph.isolated_files(a.files, edges), 5).select("path", "row", "col")
+
+
+def graph_layers(spark, d):
+    return graph.layers(_inner(spark, d)[1]).select("path", "layer", "place")
+
+
 def error_summaries(spark, d):
     return table(spark, d, "documents").select("doc_id", FT.error_summary(F.col("text")).alias("summary"))
 
@@ -281,6 +302,7 @@ def queries() -> dict:
         file_metrics, language_counts, file_languages, large_files, size_guard, url_validation, test_file_flag, py_symbols, py_import_edges, ts_import_edges, ts_call_edges, call_edges,
         analysis_statistics, fan_in_out, top_connected, visible_edges, import_cycles, affected_files, isolated_files, node_states, impact_summary, risk_flags, direct_callers, file_tree,
         symbol_search, latest_job, claimable_jobs, rate_limit_window, rate_limit_replay, relative_times, incremental_reuse, error_summaries,
+        value_summary, legend_languages, isolated_grid, graph_layers,
     )
     return {f.__name__: f for f in plain} | {"recent_repositories": recent_repositories_query}
 
@@ -396,6 +418,12 @@ def oracle_sql() -> dict[str, str]:
             h AS (SELECT *, round(m / 60.0)::BIGINT AS hrs FROM t), dd AS (SELECT *, round(hrs / 24.0)::BIGINT AS days FROM h)
             SELECT event_id, CASE WHEN m < 1 THEN 'just now' WHEN m < 60 THEN m || 'm ago' WHEN hrs < 24 THEN hrs || 'h ago' WHEN days < 30 THEN days || 'd ago' ELSE strftime(ts, '%Y-%m-%d') END AS label FROM dd""",
         "incremental_reuse": "SELECT 'docs/' || doc_id || '.txt' AS path, doc_id % 10 <> 0 AND doc_id % 7 <> 0 AND doc_id % 11 <> 0 AS reused FROM documents",
+        "value_summary": """WITH v AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL)
+            SELECT event_type AS "group", any_value(n) AS n, round(avg(value), 6) AS mean, round(median(value), 6) AS median,
+            max(value) FILTER (i - 1 = least(n - 1, floor(n * 0.95::DOUBLE))) AS percentile FROM v GROUP BY event_type""",
+        "legend_languages": "SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL",
+        "isolated_grid": f"""WITH {_F1}, i AS (SELECT path, row_number() OVER (ORDER BY path) - 1 AS n FROM p WHERE path NOT IN (SELECT source FROM e) AND path NOT IN (SELECT target FROM e))
+            SELECT path, (n // 5)::INT AS row, (n % 5)::INT AS col FROM i""",
         "error_summaries": """WITH f AS (SELECT doc_id, trim(string_split(text, chr(10))[1]) AS l FROM documents)
             SELECT doc_id, CASE WHEN length(l) > 200 THEN l[1:199] || '…' ELSE l END AS summary FROM f""",
     }

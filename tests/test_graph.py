@@ -83,3 +83,9 @@ def test_risks(spark):
     c = [df[x] for x in ("fan_in", "affected", "tests", "callers", "kind")]
     got = [r[0] for r in df.select(impact.risk_indicators(*c)).collect()]
     assert got == [impact.RISKS, [], [impact.RISKS[3]], []]
+
+
+def test_layers_and_grid(spark):
+    n, e = tables(spark, list("abcdefg"), [("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("d", "c"), ("e", "d")])
+    assert {r["path"]: r["layer"] for r in graph.layers(e).collect()} == {"a": 0, "e": 0, "b": 1, "c": 2, "d": 2}
+    assert [(r["path"], r["row"], r["col"]) for r in graph.grid_layout(n, 3).orderBy("path").collect()][2:5] == [("c", 0, 2), ("d", 1, 0), ("e", 1, 1)]
