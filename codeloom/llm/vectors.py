@@ -31,6 +31,11 @@ def _distinct(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
 
 
+#: Rows that gain this share of what the query's own permutation would gain are candidates beyond any count: in a crowd
+#: of near copies, which may be most of a block, footrule distances say little and all have to be scored.
+CROWD = 0.8
+
+
 class PermutationBlock:
     """A block of the index: each vector as its ``k`` nearest pivots in order, posted under each of them with its place."""
 
@@ -54,7 +59,10 @@ class PermutationBlock:
             gain[self.owner[a:b]] += 2 * self.k - i - place - np.abs(place - i)
         if count >= self.n:
             return np.arange(self.n)
-        return np.argpartition(-gain, count)[:count]
+        near = np.zeros(self.n, dtype=bool)
+        near[np.argpartition(-gain, count)[:count]] = True
+        near[gain >= CROWD * self.k * (self.k + 1)] = True  # the most a row can gain, that of an equal permutation
+        return np.flatnonzero(near)
 
 
 def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray, k: int) -> np.ndarray:
@@ -65,13 +73,13 @@ def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray, k: int) -> np.ndarra
 
 
 def permutation_search(
-    df: DataFrame, *, k_nearest: int = 20, every: int = 20, pivots: int = 256, prefix: int = 64, share: float = 0.2, least: int = 400, block_rows: int = 16_384, query_rows: int = 2048,
+    df: DataFrame, *, k_nearest: int = 20, every: int = 20, pivots: int = 256, prefix: int = 64, share: float = 0.2, least: int = 400, sample_rows: int = 4096, block_rows: int = 16_384, query_rows: int = 2048,
     id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by ``every``, its ``k_nearest`` others of largest
     inner product that the permutation index finds, best first, ties to the smaller id. score is exact, in double precision.
 
-    Pivots are a bounded sample of ``pivots`` vectors. The rows are cut into blocks of about ``block_rows`` by a hash of the id, each
+    Pivots are ``pivots`` vectors that lie far from each other, out of a sample of ``sample_rows``. The rows are cut into blocks of about ``block_rows`` by a hash of the id, each
     with its own pivot inverted files; queries come in blocks of about ``query_rows`` and visit every block. There, the ``share``
     of the block's rows (``least`` at least) with the smallest footrule distance are scored exactly, and
     the best k_nearest of each block meet in a last top-k. Within the share asked, ranks decide, never a cut by list.
@@ -86,8 +94,9 @@ def permutation_search(
     if size is None:
         return df.sparkSession.createDataFrame([], schema)
     rows = rows.where(F.size("v") == size["n"])
-    sample = _sample(rows, pivots)
-    sample /= np.linalg.norm(sample, axis=1, keepdims=True)
+    unit = _sample(rows, sample_rows)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    sample = spread_pivots(unit, pivots, 0.0)  # far apart, so that a crowd of near copies does not fill the pivots
     prefix = min(prefix, len(sample))
     n_blocks = max(1, -(-size["count"] // block_rows))
     n_queries = max(1, -(-size["count"] // (every * query_rows)))
