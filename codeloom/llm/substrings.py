@@ -19,7 +19,7 @@ NO_ID = (1 << 63) - 1
 
 
 def recompressed(words: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(name, length) of the symbol that covers each word after ROUNDS rounds.
+    """(name, first word) of each symbol after ROUNDS rounds.
 
     A round puts every name on the left or right side by one bit of its hash and names each adjacent pair left-right
     anew. A new name is the hash of the two old ones, so it is the same wherever the pair stands, in
@@ -37,8 +37,7 @@ def recompressed(words: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.
         keep = np.ones(len(name), dtype=bool)
         keep[left + 1] = False
         name, first = name[keep], first[keep]
-    length = np.diff(np.r_[first, len(words)])
-    return np.repeat(name, length), np.repeat(length, length)
+    return name, first
 
 
 class Pack:
@@ -60,14 +59,21 @@ class Pack:
         self.at = fits[doc[fits] == doc[fits + window - 1]] if n >= window else np.empty(0, dtype=np.int64)
         self.doc = doc[self.at]
         self.window = window
-        name, length = recompressed(words, breaks[:n]) if n else (words, np.empty(0, dtype=np.int64))
-        # symbols over the middle of a window are the same wherever it stands; the longest of them is its anchor
-        reach = (1 << ROUNDS) - 1
+        name, begin = recompressed(words, breaks[:n]) if n else (words, np.empty(0, dtype=np.int64))
+        # symbols over the middle of a window are the same wherever it stands; the longest of them, of equals the first, is its anchor
+        length = np.diff(np.r_[begin, n])
         key = (np.minimum(length, 255).astype(np.uint64) << np.uint64(56)) | (name >> np.uint64(8))
-        anchor = np.zeros(len(self.at), dtype=np.uint64)
-        for k in range(reach, window - reach):
-            np.maximum(anchor, key[self.at + k], out=anchor)
-        self.anchor = anchor
+        symbol = np.repeat(np.arange(len(name), dtype=np.int32), length)
+        reach = (1 << ROUNDS) - 1
+        best = symbol[self.at + reach]
+        for k in range(reach + 1, window - reach):
+            other = symbol[self.at + k]
+            best = np.where(key[other] > key[best], other, best)
+        self.anchor = key[best]
+        #: the symbols that are some window's anchor, each once
+        chosen = np.zeros(len(name), dtype=bool)
+        chosen[best] = True
+        self.anchors = key[chosen]
 
     def hashes(self, which: np.ndarray) -> np.ndarray:
         """A hash of the words of each of the windows ``which``: 64 bits, beside the 64 of its anchor."""
@@ -87,7 +93,7 @@ def _dealt(bucket: np.ndarray, pack: int, columns: dict[str, np.ndarray]) -> pd.
     order = np.argsort(bucket, kind="stable")
     sorted_ = bucket[order]
     at = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]]) if len(order) else np.empty(0, dtype=np.int64)
-    end = np.r_[at[1:], len(order)].astype(np.int64)
+    end = np.r_[at[1:], len(order)].astype(np.int64)[: len(at)]
     out = {"bucket": sorted_[at].astype(np.int64), "pack": np.full(len(at), pack, dtype=np.int64)}
     for k, v in columns.items():
         v = v[order]
@@ -100,7 +106,7 @@ def _all(group: pd.DataFrame, column: str, dtype) -> np.ndarray:
 
 
 def drop_repeats(
-    docs: DataFrame, *, window: int = 20, pack_bytes: int = 10 << 20, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None
+    docs: DataFrame, *, window: int = 20, pack_bytes: int = 5 << 20, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None
 ) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text, and the columns ``carry``) of every row.
 
@@ -134,7 +140,7 @@ def drop_repeats(
         return (mix64(names) % np.uint64(packs)).astype(np.int64)
 
     def send_anchors(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        names, count = np.unique(Pack(part["__text"].tolist(), window).anchor, return_counts=True)
+        names, count = np.unique(Pack(part["__text"].tolist(), window).anchors, return_counts=True)
         return _dealt(bucket_of(names), int(key[0]), {"names": names, "many": count > 1})
 
     def repeated_anchors(group: pd.DataFrame) -> pd.DataFrame:
