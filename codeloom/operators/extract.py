@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,14 +36,11 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     from pyspark.sql.pandas.types import to_arrow_type
 
     for b in batches:
-        got = [extract_file(*row) for row in zip(*(b.column(c).to_pylist() for c in ("path", "language", "content")), strict=True)]
-        kept = [b.column(c) for c in b.schema.names if c != "content"]
+        rows = zip(*(b.column(c).to_pylist() for c in ("path", "language", "content", "__big")), strict=True)
+        got = [extract_file(p, lang, raw) if raw is not None else {"parse_ok": False if big else None, "symbols": [], "imports": [], "calls": []} for p, lang, raw, big in rows]
+        kept = [c for c in b.schema.names if c not in ("content", "__big")]
         new = [pa.array([g[name] for g in got], type=to_arrow_type(kind)) for name, kind in _NEW]
-        yield pa.RecordBatch.from_arrays(kept + new, names=[c for c in b.schema.names if c != "content"] + [n for n, _ in _NEW])
-
-
-def _none(kind: T.DataType) -> Column:
-    return F.lit(None).cast(kind) if not isinstance(kind, T.ArrayType) else F.array().cast(kind)
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *new], names=[*kept, *(n for n, _ in _NEW)])
 
 
 def described(source: DataFrame) -> DataFrame:
@@ -66,20 +63,16 @@ def described(source: DataFrame) -> DataFrame:
 def extracted(files: DataFrame, *, max_file_bytes: int = FF.MAX_FILE_BYTES) -> DataFrame:
     """Described files with their structure, in the layout of ``schemas.FILE``.
 
-    Only files of a parseable language within the size cap reach Python; a larger one has parse_ok false and
-    nothing extracted, a file without a parser parse_ok null. Files are dealt by path, since parsing costs what
-    sizes do not tell.
+    Only contents of a parseable language within the size cap reach Python, the rest goes along without its content in the
+    same pass; a larger file has parse_ok false and nothing extracted, a file without a parser parse_ok null.
     """
     parseable = F.coalesce(F.col("language").isin(FF.PARSEABLE), F.lit(False)) & F.col("content").isNotNull()
     small = F.col("size_bytes") <= max_file_bytes
-    rest = files.drop("content").columns
+    rest = [c for c in files.columns if c != "content"]
+    sent = files.select(*rest, F.when(parseable & small, F.col("content")).alias("content"), (parseable & ~small).alias("__big"))
     schema = T.StructType([f for f in files.schema.fields if f.name != "content"] + [T.StructField(n, k) for n, k in _NEW])
-    parsed = files.where(parseable & small).select(*rest, "content").mapInArrow(_run, schema)
-    other = files.where(~(parseable & small)).select(
-        *rest, F.when(parseable, F.lit(False)).alias("parse_ok"), *[_none(k).alias(n) for n, k in _NEW if n != "parse_ok"]
-    )
     version = F.when(F.col("content_hash").isNotNull(), F.lit(EXTRACTOR_VERSION))
-    return parsed.unionByName(other).withColumn("extractor_version", version.cast("int")).select(*FILE.names)
+    return sent.mapInArrow(_run, schema).withColumn("extractor_version", version.cast("int")).select(*FILE.names)
 
 
 def symbols_of(files: DataFrame) -> DataFrame:
