@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.common import globally_ranked, written
 
-#: The schedule's tables are broadcast; they grow with the number of sources, so that is checked.
-MAX_SOURCES = 1000
+#: The schedule's tables are broadcast; they grow with the number of sources and the sum of weights, so both are checked.
+MAX_SOURCES, MAX_SLOTS = 1000, 1_000_000
 
 
 def pfair_period(weights: dict[str, int]) -> list[tuple[str, int]]:
@@ -88,6 +88,8 @@ def pfair_mix(
         period = sum(active.values())
         plan += [(s, f, at[s], at[s] + a * periods, a, period, begin) for s, a in active.items()]
         places += [(s, f, k, t) for t, (s, k) in enumerate(pfair_period(active))]
+        if len(places) > MAX_SLOTS:
+            raise ValueError(f"more than {MAX_SLOTS} slots in all periods: use smaller weights or group sources")
         begin += period * periods
     sources = F.broadcast(spark.createDataFrame(starts, "source string, __first long, __blocks long"))
     spans = F.broadcast(spark.createDataFrame(plan, "source string, phase int, __from long, __to long, __a long, __period long, __begin long"))
