@@ -414,6 +414,11 @@ def oracle_sql() -> dict[str, str]:
             SELECT job_id, status FROM jobs, n WHERE status = 'pending' OR (status = 'running' AND ts < now - INTERVAL 1 DAY)""",
         "rate_limit_window": """WITH w AS (SELECT event_id, count(*) OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS in_window FROM events)
             SELECT event_id, in_window, in_window > 5 AS blocked FROM w""",
+        "rate_limit_replay": """WITH RECURSIVE o AS (SELECT event_id, user_id, ts::TIMESTAMP AS ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+            r AS (SELECT user_id, 0::BIGINT AS n, []::TIMESTAMP[] AS kept, NULL::BIGINT AS event_id, NULL::TIMESTAMP AS ts, NULL::BOOLEAN AS accepted FROM (SELECT DISTINCT user_id FROM events)
+              UNION ALL SELECT user_id, n, CASE WHEN len(recent) < 5 THEN list_append(recent, ts) ELSE recent END, event_id, ts, len(recent) < 5
+              FROM (SELECT o.user_id, o.n, o.event_id, o.ts, list_filter(r.kept, lambda t: t >= o.ts - INTERVAL 1 DAY) AS recent FROM r JOIN o ON o.user_id = r.user_id AND o.n = r.n + 1))
+            SELECT event_id AS request_id, user_id::VARCHAR AS client_ip, ts, accepted FROM r WHERE n > 0""",
         "relative_times": """WITH t AS (SELECT event_id, ts, round((epoch((SELECT max(ts) FROM events)::TIMESTAMP)::BIGINT - floor(epoch(ts))::BIGINT) / 60.0)::BIGINT AS m FROM events),
             h AS (SELECT *, round(m / 60.0)::BIGINT AS hrs FROM t), dd AS (SELECT *, round(hrs / 24.0)::BIGINT AS days FROM h)
             SELECT event_id, CASE WHEN m < 1 THEN 'just now' WHEN m < 60 THEN m || 'm ago' WHEN hrs < 24 THEN hrs || 'h ago' WHEN days < 30 THEN days || 'd ago' ELSE strftime(ts, '%Y-%m-%d') END AS label FROM dd""",
