@@ -9,36 +9,16 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import written
+from codeloom.llm.common import Union, written
 from codeloom.llm.components import connected_components
-from codeloom.llm.simhash import GrayIndex, fingerprints, shingle_hashes
-
-
-def direct_pairs(prints: np.ndarray, ids: np.ndarray, keys: np.ndarray, sets: np.ndarray, radius: int, small: int = 48) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Positions (i, j) of rows of one cell (equal, sorted ``keys``), of different ``sets``, at ``radius`` or fewer bits."""
-    n = len(ids)
-    starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if n else np.empty(0, dtype=np.int64)
-    sizes = np.diff(np.r_[starts, n])
-    rows = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= small), sizes))
-    for d in range(1, small):
-        rows = rows[rows + d < n]
-        rows = rows[keys[rows] == keys[rows + d]]
-        if not len(rows):
-            break
-        near = rows[sets[rows] != sets[rows + d]]
-        near = near[np.bitwise_count(prints[near] ^ prints[near + d]).sum(axis=1) <= radius]
-        yield near, near + d
-    for s, k in zip(starts[sizes > small], sizes[sizes > small], strict=True):
-        for a, b in GrayIndex(prints[s : s + k]).pairs(radius):
-            other = sets[a + s] != sets[b + s]
-            yield a[other] + s, b[other] + s
-
-
-def _candidates(distinct: DataFrame, lanes: int, tables: int, bits: int, radius: int, buckets: int, smallest: bool) -> DataFrame:
-    """Pairs (a < b) of ids that agree on the ``bits`` bits of some table and differ in at most ``radius`` bits.
-
-    ``distinct``: id, fp0.., comp. Rows of the same comp make no pair. ``smallest``: each id with its smallest partner only.
-    Each table's bits are the masked pattern of its upper nodes; fingerprints travel packed, by table and the bits' first few.
+from codeloom.llm.simhash import cell_links, fingerprints, shingle_hashes
+
+
+def _crowds(distinct: DataFrame, lanes: int, tables: int, bits: int, radius: int, buckets: int) -> DataFrame:
+    """Links that join all fingerprints (id, fp0..) which some table shows within ``radius`` bits of each other, by chains.
+
+    Each table's bits are the masked pattern of its upper nodes; below, fingerprints are in Gray order. They travel
+    packed, by table and the first few of its bits; at most one link per fingerprint and table leaves.
     """
     picks = np.random.default_rng(20).permuted(np.tile(np.arange(64 * lanes), (tables, 1)), axis=1)[:, :bits]
     shift = np.uint32(bits - (buckets - 1).bit_length())
@@ -48,7 +28,7 @@ def _candidates(distinct: DataFrame, lanes: int, tables: int, bits: int, radius:
         for b in batches:
             fp = b[names].to_numpy(np.int64).view(np.uint64)
             ones = np.unpackbits(np.ascontiguousarray(fp).astype(">u8").view(np.uint8).reshape(len(b), -1), axis=1)
-            rest = b[["id", "comp", *names]].to_numpy(np.int64)
+            rest = b[["id", *names]].to_numpy(np.int64)
             out = []
             for t, pick in enumerate(picks):
                 key = ones[:, pick].astype(np.uint32) @ (np.uint32(1) << np.arange(bits, dtype=np.uint32))
@@ -61,57 +41,110 @@ def _candidates(distinct: DataFrame, lanes: int, tables: int, bits: int, radius:
             yield pd.DataFrame(out, columns=["t", "bucket", "rows"])
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
-        rows = np.frombuffer(b"".join(group["rows"]), dtype=np.int64).reshape(-1, 3 + lanes)
+        rows = np.frombuffer(b"".join(group["rows"]), dtype=np.int64).reshape(-1, 2 + lanes)
         rows = rows[np.argsort(rows[:, 0], kind="stable")]
-        ids, found = rows[:, 1], []
-        best = np.full(len(ids), np.iinfo(np.int64).max)
-        for i, j in direct_pairs(np.ascontiguousarray(rows[:, 3:]).view(np.uint64), ids, rows[:, 0], rows[:, 2], radius):
-            if smallest:
-                np.minimum.at(best, i, ids[j])
-                np.minimum.at(best, j, ids[i])
-            else:
-                found.append(np.column_stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])]))
-        if smallest:
-            has = best != np.iinfo(np.int64).max
-            found = [np.column_stack([np.minimum(best[has], ids[has]), np.maximum(best[has], ids[has])])]
-        pairs = np.unique(np.concatenate(found), axis=0) if found else np.empty((0, 2), dtype=np.int64)
-        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+        a, b = cell_links(np.ascontiguousarray(rows[:, 2:]).view(np.uint64), rows[:, 1], rows[:, 0], radius)
+        return pd.DataFrame({"a": a, "b": b})
 
-    dealt = distinct.select("id", "comp", *names).mapInPandas(deal, "t int, bucket int, rows binary")
+    dealt = distinct.select("id", *names).mapInPandas(deal, "t int, bucket int, rows binary")
     return dealt.groupBy("t", "bucket").applyInPandas(search, "a long, b long").distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose sets of shingles have a Jaccard similarity of ``similarity`` or more. docs: id, text."""
-
-    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            yield pd.DataFrame({"id": b["id"], "s": [np.unique(shingle_hashes(t, shingle)).tobytes() for t in b["text"]]})
+class Checker:
+    """Exact Jaccard similarities of pairs of a few thousand sets."""
+
+    def __init__(self, sets: list[np.ndarray], similarity: float):
+        self.similarity, self.size = similarity, np.array([len(s) for s in sets])
+        flat = np.concatenate(sets) if sets else np.empty(0, dtype=np.uint64)
+        values, self.number = np.unique(flat, return_inverse=True)
+        self.at, self.span = np.cumsum(self.size) - self.size, len(values) + 1
+        self.keys = np.repeat(np.arange(len(sets)), self.size) * self.span + self.number  # sorted: by set, then by value
+
+    def similar(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """Which of the pairs reach the similarity; about two million elements at a time."""
+        out = np.zeros(len(x), dtype=bool)
+        small, large = np.minimum(self.size[x], self.size[y]), np.maximum(self.size[x], self.size[y])
+        todo = np.flatnonzero(small >= self.similarity * large)
+        done = np.cumsum(self.size[y[todo]])
+        lo = 0
+        while lo < len(todo):
+            hi = max(lo + 1, int(np.searchsorted(done, (done[lo - 1] if lo else 0) + (1 << 21))))
+            part = todo[lo:hi]
+            n = self.size[y[part]]
+            inside = np.repeat(self.at[y[part]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            asked = np.repeat(x[part] * self.span, n) + self.number[inside]
+            found = self.keys[np.minimum(np.searchsorted(self.keys, asked), len(self.keys) - 1)] == asked
+            both = np.bincount(np.repeat(np.arange(len(part)), n), found, minlength=len(part))
+            out[part] = both >= self.similarity * (self.size[x[part]] + self.size[y[part]] - both)
+            lo = hi
+        return out
+
+
+def joined_sets(prints: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, radius: int, similarity: float) -> np.ndarray:
+    """For each of n texts the smallest index of its set, when those of ``radius`` or fewer bits and the similarity are joined.
+
+    ``side``: pairs of equal side are left out (they meet elsewhere). The nearest partner of each is asked first, four times
+    over; what that has joined is not asked again, then every pair that is left is.
+    """
+    n, check, union = len(sets), Checker(sets, similarity), Union(len(sets))
+    pairs = []
+    for at in range(0, n, 256):
+        far = np.bitwise_count(prints[at : at + 256, None] ^ prints[None]).sum(axis=2, dtype=np.int64)
+        i, j = np.nonzero(far <= radius)
+        keep = (i + at < j) if side is None else (i + at < j) & (side[i + at] != side[j])
+        pairs.append(np.column_stack([i[keep] + at, j[keep], far[i[keep], j[keep]]]))
+    pairs = np.concatenate(pairs) if pairs else np.empty((0, 3), dtype=np.int64)
+    pairs = pairs[np.argsort(pairs[:, 2], kind="stable")]
+    for _ in range(4):
+        root = union.roots()
+        pairs = pairs[root[pairs[:, 0]] != root[pairs[:, 1]]]
+        first = np.zeros(len(pairs), dtype=bool)
+        first[np.unique(pairs[:, 0], return_index=True)[1]] = True
+        first[np.unique(pairs[:, 1], return_index=True)[1]] = True
+        near = pairs[first]
+        ok = check.similar(near[:, 0], near[:, 1])
+        union.link(near[ok, 0], near[ok, 1])
+        pairs = pairs[~first]
+    for at in range(0, len(pairs), 1 << 15):
+        part = pairs[at : at + (1 << 15)]
+        root = union.roots()
+        part = part[root[part[:, 0]] != root[part[:, 1]]]
+        ok = check.similar(part[:, 0], part[:, 1])
+        union.link(part[ok, 0], part[ok, 1])
+    return union.roots()
+
+
+def _verified(members: DataFrame, lanes: int, radius: int, similarity: float, total: int, chunk: int) -> DataFrame:
+    """Links (a, b) that join the texts of each crowd whose sets are similar enough. members: id, fp0.., crowd, n (of the crowd), s.
+
+    Small crowds share a task; a crowd of more than ``chunk`` texts is cut into chunks, and each two of them meet in a task.
+    """
+    names = [f"fp{k}" for k in range(lanes)]
+    cuts = F.ceil(F.col("n") / chunk).cast("int")
+    own = F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")
+    few = max(1, -(-total // chunk))
+    cut = members.withColumn("cuts", cuts).withColumn("c", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
+    task = F.when(F.col("cuts") == 1, -1 - F.pmod(F.xxhash64("crowd"), F.lit(few))).otherwise(F.col("crowd"))
+    dealt = cut.select("id", *names, "crowd", "s", "c", task.alias("task"), F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"))
+
+    def check(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for _, g in group.groupby("crowd", sort=False):
+            prints, ids = g[names].to_numpy(np.int64).view(np.uint64), g["id"].to_numpy()
+            order = np.argsort(ids, kind="stable")
+            sets = [np.frombuffer(g["s"].iloc[k], dtype=np.uint64) for k in order]
+            side = None if key[1] == key[2] else g["c"].to_numpy()[order]
+            root = joined_sets(np.ascontiguousarray(prints[order]), sets, side, radius, similarity)
+            moved = root != np.arange(len(root))
+            out.append(np.column_stack([ids[order][moved], ids[order][root[moved]]]))
+        pairs = np.concatenate(out) if out else np.empty((0, 2), dtype=np.int64)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            keep = []
-            for x, y in zip(b["sa"], b["sb"], strict=True):
-                x, y = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                if min(len(x), len(y)) < similarity * max(len(x), len(y)):
-                    keep.append(False)
-                    continue
-                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                both = int((x[at] == y).sum()) if len(x) else 0
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            yield b.loc[keep, ["a", "b"]]
-
-    named = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-    has = written(docs.join(named, "id", "left_semi").mapInPandas(sets, "id long, s binary"))
-    return (
-        pairs.join(has.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a")
-        .join(has.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
-        .mapInPandas(check, "a long, b long")
-    )
+    return dealt.groupBy("task", "i", "j").applyInPandas(check, "a long, b long")
 
 
 def drop_near_duplicates(
-    docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, lanes: int = 4, tables: int = 48, bits: int = 16, radius: int = 50, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, lanes: int = 4, tables: int = 48, bits: int = 16, radius: int = 50, chunk: int = 1024, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``docs`` with only the smallest id of each group of near duplicates, all columns unchanged.
 
@@ -120,8 +153,9 @@ def drop_near_duplicates(
     of ``lanes`` * 64 bits: pairs that agree on the ``bits`` masked bits of one of ``tables`` upper nodes and differ in at most
     ``radius`` bits, found in Gray order; each candidate is then checked exactly, so no other pair is linked.
     A pair of similarity 0.8 is missed with a probability of about 4 %, one of 0.9 with less than 0.1 %.
-    Equal word sequences are one entry. Pairs are asked for in two rounds: first each text with its smallest near
-    partner, then only pairs whose ends the first round has not joined, so a large group is not compared pair by pair.
+    Equal word sequences are one entry. Fingerprints that are near by chains form a crowd; inside a crowd all pairs within the
+    radius count as candidates, so the tables only have to connect it. Sets of shingles meet in chunks of ``chunk`` texts, where
+    pairs that are joined already are not asked again; no pair of texts is ever a row.
 
     Null texts and texts without words are copies of each other. Rows that repeat id and text count once. Rows
     without an id are kept and take no part. An empty table gives an empty result. Added names start with
@@ -139,14 +173,20 @@ def drop_near_duplicates(
     nodes = written(distinct.groupBy("id").agg(F.min(F.struct("h", *[f"fp{k}" for k in range(lanes)])).alias("f")).select("id", "f.*"))
     n = nodes.count()
     buckets = 1 << max(0, min(bits, (n // 100_000).bit_length()))
-    texts = known.select(F.col("__id").alias("id"), F.col("__h").alias("h"), F.col(text_col).alias("text")).join(nodes.select("id", "h"), ["id", "h"], "left_semi").dropDuplicates(["id", "h"]).select("id", "text")
-    alone = nodes.withColumn("comp", F.col("id"))
-    good = written(_verified(written(_candidates(alone, lanes, tables, bits, radius, buckets, True)), texts, shingle, similarity))
-    comp = connected_components(good)
-    joined = alone.drop("comp").join(comp.select(F.col("node").alias("id"), "component"), "id", "left").withColumn("comp", F.coalesce("component", "id"))
-    more = written(_candidates(joined, lanes, tables, bits, radius, buckets, False))
-    if not more.isEmpty():
-        comp = connected_components(good.unionByName(_verified(more, texts, shingle, similarity)))
+    crowd = connected_components(written(_crowds(nodes, lanes, tables, bits, radius, buckets))).select(F.col("node").alias("id"), F.col("component").alias("crowd"))
+    crowd = written(crowd.join(written(crowd.groupBy("crowd").agg(F.count("*").alias("n"))), "crowd"))
+    named = nodes.join(crowd, "id")
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b.drop(columns="text").assign(s=[np.unique(shingle_hashes(t, shingle)).tobytes() for t in b["text"]])
+
+    texts = known.select(F.col("__id").alias("id"), F.col("__h").alias("h"), F.col(text_col).alias("text"))
+    names = [f"fp{k}" for k in range(lanes)]
+    asked = texts.join(named, ["id", "h"]).dropDuplicates(["id", "h"]).select("id", *names, "crowd", "n", "text")
+    schema = "id long, " + ", ".join(f"{c} long" for c in names) + ", crowd long, n long, s binary"
+    members = written(asked.mapInPandas(sets, schema))
+    comp = connected_components(written(_verified(members, lanes, radius, similarity, members.count(), chunk)))
     kept = distinct.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").where("component IS NULL OR component = id")
     kept = kept.select(F.col("id").alias("__id"), F.col("h").alias("__h")).distinct()
     once = Window.partitionBy("__id", "__h").orderBy("__h")
