@@ -247,7 +247,9 @@ class GatedAttention:
         self.base = float((y * weight).sum() / weight.sum()) if len(y) else 0.5
         if len(np.unique(y)) < 2:
             return self
-        x, text = passages(texts)
+        parts = [passages(texts[k : k + 200]) for k in range(0, len(texts), 200)]  # a slice at a time: bounded memory
+        x = np.concatenate([p[0] for p in parts])
+        text = np.concatenate([p[1] + 200 * k for k, p in enumerate(parts)])
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-2
         x = (x - self.mean) / self.scale
         rng, d, h, g = np.random.default_rng(7), x.shape[1], self.hidden, self.gate
