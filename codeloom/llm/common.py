@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -65,6 +68,18 @@ def globally_ranked(df: DataFrame, order: list[str], rank: str = "rank") -> Data
     )
 
 
+def text_slices(batch: pa.RecordBatch, column: str, chars: int) -> Iterator[tuple[int, int, list]]:
+    """(from, to, texts) of consecutive rows of about ``chars`` characters; one longer text is one slice. Only a slice at a time is Python strings."""
+    texts = batch.column(column)
+    size = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + chars)))
+        to = min(to, len(texts))
+        yield at, to, texts.slice(at, to - at).to_pylist()
+        at = to
+
+
 def joined_bytes(texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts, a line feed after each; the start and end of each text. None counts as empty."""
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]

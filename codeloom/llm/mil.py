@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from codeloom.llm.common import joined_bytes, word_bounds, word_hashes
+from codeloom.llm.common import joined_bytes, text_slices, word_bounds, word_hashes
 
 #: Bounds of the training sample: rows of each class, and characters of a row that may be in it.
 MAX_PER_CLASS, MAX_CHARS = 2000, 20_000
@@ -290,7 +290,7 @@ class GatedAttention:
 # ---- application -----------------------------------------------------------------------------------------
 
 
-def scored(docs: DataFrame, model, *, threshold: float, spans: bool = False, id_col: str = "doc_id", text_col: str = "text", slice_chars: int = 1 << 21) -> DataFrame:
+def scored(docs: DataFrame, model, *, threshold: float, spans: bool = False, id_col: str = "doc_id", text_col: str = "text", slice_chars: int = 1 << 20) -> DataFrame:
     """(doc_id, held_out, score, predicted and, with ``spans``, offending) of every row by a fitted model.
 
     Null and empty texts are scored as texts without words. Ids are passed through, null and repeated ones too. Other columns
@@ -303,14 +303,10 @@ def scored(docs: DataFrame, model, *, threshold: float, spans: bool = False, id_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            texts = whole.column("t").to_pylist()
-            size, at = np.cumsum([len(t or "") for t in texts]), 0
-            while at < len(texts):
-                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + slice_chars)))
-                score, where = shared.value.score(texts[at:to])
+            for at, to, texts in text_slices(whole, "t", slice_chars):
+                score, where = shared.value.score(texts)
                 more = [pa.array(where, type=kind)] if spans else []
                 yield pa.RecordBatch.from_arrays([whole.column("i").slice(at, to - at), pa.array(score), *more], names=["doc_id", "score", *(["offending"] if spans else [])])
-                at = to
 
     got = docs.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).mapInArrow(run, out)
     more = ["offending"] if spans else []
@@ -329,19 +325,16 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7,
     return scored(docs, model, threshold=threshold)
 
 
-def keep_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, text_col: str = "text", slice_chars: int = 1 << 21) -> DataFrame:
+def keep_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, text_col: str = "text", slice_chars: int = 1 << 20) -> DataFrame:
     """The rows of ``docs``, all columns, whose text scores ``threshold`` or more for quality; no shuffle, no join back."""
     model = GatedAttention().fit(*labelled_sample(docs, labels, "quality"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            texts = whole.column(text_col).to_pylist()
-            size, at, keep = np.cumsum([len(t or "") for t in texts]), 0, []
-            while at < len(texts):
-                to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + slice_chars)))
-                keep += (shared.value.score(texts[at:to])[0] >= threshold).tolist()
-                at = to
+            keep: list[bool] = []
+            for _, _, texts in text_slices(whole, text_col, slice_chars):
+                keep += (shared.value.score(texts)[0] >= threshold).tolist()
             yield whole.filter(pa.array(keep, type=pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

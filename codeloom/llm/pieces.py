@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
-from codeloom.llm.common import mix64, powers, word_hashes
+from codeloom.llm.common import mix64, powers, text_slices, word_hashes
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
@@ -262,7 +262,7 @@ class Pieces:
                 out.append(self.unknown)
         return np.array(out, dtype=np.int32).tobytes()
 
-    def encode(self, texts: list[str | None], seen: dict[int, bytes] | None = None, keep: int = 500_000) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str | None], seen: dict[int, bytes] | None = None, keep: int = 300_000) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many belong to each.
 
         A word is white space and what follows up to the next white space; no piece goes across its start, so each
@@ -332,7 +332,7 @@ def _pieces(name: str) -> Pieces:
     return _LOADED[name]
 
 
-def encode_pieces(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text", slice_chars: int = 1 << 22) -> DataFrame:
+def encode_pieces(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text", slice_chars: int = 1 << 21) -> DataFrame:
     """(doc_id, n_tokens, tokens, round_trip) of every row: the ids of the model file ``model`` and whether decoding gives the text.
 
     The file goes to every executor with the job. The white space that separates words is U+2581 in pieces, so a text
@@ -347,13 +347,7 @@ def encode_pieces(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_c
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, seen = _pieces(name), {}
         for whole in batches:
-            texts = whole.column("t").to_pylist()
-            size = np.cumsum([len(t or "") for t in texts])
-            at = 0
-            while at < len(texts):
-                done = size[at - 1] if at else 0
-                to = max(at + 1, int(np.searchsorted(size, done + slice_chars)))
-                own = texts[at:to]
+            for at, to, own in text_slices(whole, "t", slice_chars):
                 ids, counts = pieces.encode(own, seen)
                 back = pieces.decode(ids, counts)
                 tokens = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(ids.astype(np.int32)), mask=pa.array([t is None for t in own]))
@@ -361,7 +355,6 @@ def encode_pieces(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_c
                 yield pa.RecordBatch.from_arrays(
                     [whole.column("i").slice(at, to - at), pa.array(counts.astype(np.int32)), tokens, pa.array(trip)], names=["doc_id", "n_tokens", "tokens", "round_trip"]
                 )
-                at = to
 
     out = StructType(
         [StructField("doc_id", docs.schema[id_col].dataType), StructField("n_tokens", IntegerType()), StructField("tokens", ArrayType(IntegerType())), StructField("round_trip", BooleanType())]

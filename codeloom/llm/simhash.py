@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from codeloom.llm.common import Union, mix64, partitions, written
+from codeloom.llm.common import Union, mix64, partitions, text_slices, written
 from codeloom.llm.components import connected_components
 
 _WORD = re.compile(r"[^ \t-\r]+")
@@ -146,7 +146,7 @@ def fingerprints(df: DataFrame, *, shingle: int = 3, lanes: int = 1, id_col: str
         salts = [np.uint64(k * 0x9E3779B97F4A7C15 % 2**64) for k in range(lanes)]
         for b in batches:
             prints, count, content = np.zeros((b.num_rows, lanes), dtype=np.uint64), [], []
-            for i, text in enumerate(b.column("t").to_pylist()):
+            for i, text in enumerate(t for _, _, texts in text_slices(b, "t", 1 << 20) for t in texts):
                 h = shingle_hashes(text, shingle)
                 prints[i] = majority(np.stack([h if not k else mix64(h ^ s) for k, s in enumerate(salts)]))
                 count.append(len(h))
