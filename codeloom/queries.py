@@ -57,11 +57,11 @@ SELECT IF(s_suppkey % 2 = 0, concat('suppliers/s', s_suppkey, '.ts'), concat('su
 
 def python_repository(spark: SparkSession, sf_dir: str, sparse: bool = False) -> DataFrame:
     query = _PYTHON.replace("CONDITION", "o_orderstatus = 'F'" if sparse else "true")
-    return read_table(_sql(spark, sf_dir, query, "customer", "orders"), "py")
+    return read_table(_sql(spark, sf_dir, query, "customer", "orders"), "py", spark.sparkContext.defaultParallelism)
 
 
 def script_repository(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(_sql(spark, sf_dir, _SCRIPT, "lineitem", "part", "supplier"), "ts")
+    return read_table(_sql(spark, sf_dir, _SCRIPT, "lineitem", "part", "supplier"), "ts", spark.sparkContext.defaultParallelism)
 
 
 def python_analysis(spark: SparkSession, sf_dir: str, sparse: bool = False) -> Analysis:

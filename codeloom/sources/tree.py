@@ -65,9 +65,14 @@ def read_tree(spark: SparkSession, root: str, analysis_id: str = "local") -> Dat
     return spark.read.format("tree").load(root).select(F.lit(analysis_id).alias("analysis_id"), "path", "content")
 
 
-def read_table(df: DataFrame, analysis_id: str = "local") -> DataFrame:
-    """A table (path, content string or binary[, analysis_id]) as a source."""
+def read_table(df: DataFrame, analysis_id: str = "local", partitions: int | None = None) -> DataFrame:
+    """A table (path, content string or binary[, analysis_id]) as a source.
+
+    ``partitions`` deals the files over so many tasks by path: parsing costs far more than its bytes suggest, so a table
+    of a few megabytes, which Spark would keep in one partition, is worth it. A large table needs no such shuffle.
+    """
     content = F.encode("content", "UTF-8") if dict(df.dtypes)["content"] == "string" else F.col("content")
+    df = df.repartition(partitions, "path") if partitions else df
     return df.select(F.col("analysis_id") if "analysis_id" in df.columns else F.lit(analysis_id).alias("analysis_id"), "path", content.alias("content"))
 
 
