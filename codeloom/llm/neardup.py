@@ -150,7 +150,7 @@ def drop_near_duplicates(
 
     Two texts are linked if their sets of ``shingle``-word shingles (A-Z lower-cased) have a Jaccard similarity of
     ``similarity`` or more; groups are the connected components. Candidates come from SimHash fingerprints
-    of ``lanes`` * 64 bits: pairs that agree on the ``bits`` masked bits of one of ``tables`` upper nodes and differ in at most
+    of the distinct shingles, ``lanes`` * 64 bits: pairs that agree on the ``bits`` masked bits of one of ``tables`` upper nodes and differ in at most
     ``radius`` bits, found in Gray order; each candidate is then checked exactly, so no other pair is linked.
     A pair of similarity 0.8 is missed with a probability of about 4 %, one of 0.9 with less than 0.1 %.
     Equal word sequences are one entry. Fingerprints that are near by chains form a crowd; inside a crowd all pairs within the
@@ -164,7 +164,7 @@ def drop_near_duplicates(
     spark = docs.sparkSession
     keyed = docs.withColumn("__h", F.xxhash64(text_col)).withColumn("__id", F.col(id_col).cast("long"))
     known = keyed.where("__id IS NOT NULL")
-    prints = fingerprints(known.select(F.struct("__id", "__h").alias("k"), F.col(text_col).alias("t")), shingle=shingle, lanes=lanes, id_col="k", text_col="t")
+    prints = fingerprints(known.select(F.struct("__id", "__h").alias("k"), F.col(text_col).alias("t")), shingle=shingle, lanes=lanes, distinct=True, id_col="k", text_col="t")
     prints = written(prints.select("doc_id.__id", "doc_id.__h", "content", "n_shingles", *[f"fp{k}" for k in range(lanes)]))
     # one entry for each word sequence: the smallest (id, h), with its fingerprint
     first = F.min(F.struct(F.col("__id").alias("id"), F.col("__h").alias("h"), *[f"fp{k}" for k in range(lanes)])).alias("f")

@@ -135,10 +135,10 @@ def cell_links(prints: np.ndarray, ids: np.ndarray, cells: np.ndarray, radius: i
     return ids[moved], low[moved]
 
 
-def fingerprints(df: DataFrame, *, shingle: int = 3, lanes: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(df: DataFrame, *, shingle: int = 3, lanes: int = 1, distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp0 .. fp<lanes-1>, n_shingles, content) of each row: a SimHash over all shingles of the whole text.
 
-    Lane 0 takes XXH64 itself; further lanes scramble it. ``content`` hashes the shingles in order: equal for equal word
+    A shingle counts as often as it occurs, or once if ``distinct``. Lane 0 takes XXH64 itself; further lanes scramble it. ``content`` hashes the shingles in order: equal for equal word
     sequences. Null texts and texts without words have fingerprint zero.
     """
 
@@ -148,7 +148,8 @@ def fingerprints(df: DataFrame, *, shingle: int = 3, lanes: int = 1, id_col: str
             prints, count, content = np.zeros((b.num_rows, lanes), dtype=np.uint64), [], []
             for i, text in enumerate(t for _, _, texts in text_slices(b, "t", 1 << 20) for t in texts):
                 h = shingle_hashes(text, shingle)
-                prints[i] = majority(np.stack([h if not k else mix64(h ^ s) for k, s in enumerate(salts)]))
+                u = np.unique(h) if distinct else h
+                prints[i] = majority(np.stack([u if not k else mix64(u ^ s) for k, s in enumerate(salts)]))
                 count.append(len(h))
                 content.append(xxhash.xxh3_64_intdigest(h.tobytes()))
             cols = [np.ascontiguousarray(prints[:, k]).view(np.int64) for k in range(lanes)]

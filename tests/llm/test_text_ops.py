@@ -209,6 +209,32 @@ def test_near_duplicates(spark):
     assert kept.columns == docs(spark, []).columns
 
 
+def brute_near_duplicates(texts, similarity=0.8):
+    """Smallest index of each text's group, by all-pairs Jaccard of distinct five-word shingles."""
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    up = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            if len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]):
+                x, y = up[a], up[b]
+                up = [min(x, y) if u in (x, y) else u for u in up]
+    return up
+
+
+def test_near_duplicates_that_differ_in_repeat_counts(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for times in (1, 3, 5, 10, 40):
+        for _ in range(4):
+            page, footer = " ".join(word() for _ in range(200)), " ".join(word() for _ in range(10))
+            texts += [page, " ".join([page, *[footer] * times])]
+    want = brute_near_duplicates(texts)
+    assert len(set(want)) == len(texts) // 2
+    kept = neardup.drop_near_duplicates(docs(spark, list(enumerate(texts))))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want))
+
+
 def test_near_duplicates_in_odd_tables(spark):
     assert neardup.drop_near_duplicates(docs(spark, [])).isEmpty()
     rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "A b c d e f g"), (None, "a b c d e f g"), (None, None), (3, "other words that stand here alone")]
