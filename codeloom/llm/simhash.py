@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -11,7 +11,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from codeloom.llm.common import Union, mix64, partitions, text_slices, written
 from codeloom.llm.components import connected_components
@@ -135,30 +135,35 @@ def cell_links(prints: np.ndarray, ids: np.ndarray, cells: np.ndarray, radius: i
     return ids[moved], low[moved]
 
 
-def fingerprints(df: DataFrame, *, shingle: int = 3, lanes: int = 1, distinct: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(df: DataFrame, *, shingle: int = 3, lanes: int = 1, distinct: bool = False, also: Callable[[np.ndarray], bytes] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fp0 .. fp<lanes-1>, n_shingles, content) of each row: a SimHash over all shingles of the whole text.
 
-    A shingle counts as often as it occurs, or once if ``distinct``. Lane 0 takes XXH64 itself; further lanes scramble it. ``content`` hashes the shingles in order: equal for equal word
-    sequences. Null texts and texts without words have fingerprint zero.
+    A shingle counts as often as it occurs, or once if ``distinct``. ``also`` adds a column of that name, its value for the
+    sorted distinct shingles. Lane 0 takes XXH64 itself; further lanes scramble it. ``content`` hashes the shingles in
+    order: equal for equal word sequences. Null texts and texts without words have fingerprint zero.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         salts = [np.uint64(k * 0x9E3779B97F4A7C15 % 2**64) for k in range(lanes)]
         for b in batches:
-            prints, count, content = np.zeros((b.num_rows, lanes), dtype=np.uint64), [], []
+            prints, count, content, more = np.zeros((b.num_rows, lanes), dtype=np.uint64), [], [], []
             for i, text in enumerate(t for _, _, texts in text_slices(b, "t", 1 << 20) for t in texts):
                 h = shingle_hashes(text, shingle)
-                u = np.unique(h) if distinct else h
+                u = np.unique(h) if distinct or also else h
+                if also:
+                    more.append(also(u))
+                u = u if distinct else h
                 prints[i] = majority(np.stack([u if not k else mix64(u ^ s) for k, s in enumerate(salts)]))
                 count.append(len(h))
                 content.append(xxhash.xxh3_64_intdigest(h.tobytes()))
             cols = [np.ascontiguousarray(prints[:, k]).view(np.int64) for k in range(lanes)]
             cols += [np.array(count, dtype=np.int64), np.array(content, dtype=np.uint64).view(np.int64)]
-            yield pa.RecordBatch.from_arrays([b.column("i"), *map(pa.array, cols)], names=["doc_id", *names])
+            cols += [pa.array(more, pa.binary())] if also else []
+            yield pa.RecordBatch.from_arrays([b.column("i"), *map(pa.array, cols)], names=["doc_id", *names, *["also"] * bool(also)])
 
     names = [*(f"fp{k}" for k in range(lanes)), "n_shingles", "content"]
     asked = df.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"))
-    out = StructType([StructField("doc_id", df.schema[id_col].dataType), *(StructField(n, LongType()) for n in names)])
+    out = StructType([StructField("doc_id", df.schema[id_col].dataType), *(StructField(n, LongType()) for n in names), *[StructField("also", BinaryType())] * bool(also)])
     return asked.mapInArrow(run, out)
 
 

@@ -235,6 +235,40 @@ def test_near_duplicates_that_differ_in_repeat_counts(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want))
 
 
+def test_near_duplicates_at_the_threshold(spark):
+    """Pairs of similarity just above 0.8, of long and of short texts, and just below."""
+    rng = random.Random(9)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = []
+    for n, more in ((200, 49), (200, 50), (40, 9), (24, 5), (8, 1), (9, 1), (200, 52), (24, 6)):
+        for _ in range(40):
+            page = [word() for _ in range(n + 4)]
+            texts += [" ".join(page), " ".join(page + [word() for _ in range(more)])]
+    want = brute_near_duplicates(texts)
+    assert len(set(want)) == 7 * 40 + 2 * 40
+    kept = neardup.drop_near_duplicates(docs(spark, list(enumerate(texts))))
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want))
+
+
+def test_prefixes_show_every_similar_pair():
+    rng = np.random.default_rng(3)
+    pool = rng.integers(0, 1 << 63, 300).astype(np.uint64)
+    for common in (np.empty(0, dtype=np.uint64), rng.permutation(pool)[:150]):
+        sets = []
+        for _ in range(60):
+            base = rng.choice(pool, rng.integers(1, 120), replace=False)
+            sets += [np.unique(base), np.unique(np.r_[base[rng.random(len(base)) > 0.08], rng.choice(pool, len(base) // 12)])]
+        packed = [np.frombuffer(neardup.prefix_of(common, 0.8)(s), dtype=np.uint32) for s in sets]
+        k = np.array([len(p) - 1 for p in packed])
+        ids = np.repeat(np.arange(len(sets)), k)
+        pos = np.concatenate([np.arange(x) + 1 for x in k])
+        got = neardup.prefix_pairs(np.concatenate([p[1:] for p in packed]), ids, ids, np.repeat([int(p[0]) for p in packed], k), pos, 0.8, block=500)
+        got = {(a, b) for a, b, shared, least in got.itertuples(index=False) if shared >= least}
+        both = lambda a, b: len(np.intersect1d(sets[a], sets[b]))
+        want = {(a, b) for b in range(len(sets)) for a in range(b) if both(a, b) >= 0.8 * (len(sets[a]) + len(sets[b]) - both(a, b)) and len(sets[a])}
+        assert len(want) > 20 and want <= got
+
+
 def test_near_duplicates_in_odd_tables(spark):
     assert neardup.drop_near_duplicates(docs(spark, [])).isEmpty()
     rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "A b c d e f g"), (None, "a b c d e f g"), (None, None), (3, "other words that stand here alone")]
