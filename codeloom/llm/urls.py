@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,14 +40,37 @@ def url_tokens(host: Column, path: Column) -> Column:
     return F.array_sort(F.array_distinct(parts))
 
 
+def _counted_rules(labelled: DataFrame, least: int, min_confidence: float, max_items: int) -> DataFrame:
+    """The rules of ``mine_rules`` by counting every set of up to ``max_items`` tokens."""
+    told = labelled.groupBy("tokens", "verdict").agg(F.count("*").alias("c"))
+    sets = told.select(F.array().cast("array<string>").alias("items"), F.col("tokens").alias("rest"), "verdict", "c")
+    found = None
+    for _ in range(max_items):
+        grown = sets.select("items", F.posexplode("rest").alias("at", "token"), "rest", "verdict", "c")
+        behind = F.slice("rest", F.col("at") + 2, F.greatest(F.size("rest") - F.col("at") - 1, F.lit(0)))
+        sets = grown.select(F.concat("items", F.array("token")).alias("items"), behind.alias("rest"), "verdict", "c")
+        found = sets if found is None else found.unionByName(sets)
+    by = found.select(F.array_sort("items").alias("items"), "verdict", "c").groupBy("items", "verdict").agg(F.sum("c").alias("n"))
+    of = by.groupBy("items").agg(F.sum("n").alias("of"))
+    rules = by.where(F.col("n") >= least).join(of, "items")
+    return rules.select("items", "verdict", (F.col("n") / F.col("of")).alias("confidence"), "n").where(F.col("confidence") >= min_confidence)
+
+
 def mine_rules(labelled: DataFrame, *, min_support: float = 0.01, min_confidence: float = 0.9, max_items: int = 3, fit_tokens: int = 12) -> DataFrame:
-    """(items, verdict, confidence, n) of the rules items -> verdict that FP-growth finds in (tokens, verdict).
+    """(items, verdict, confidence, n) of the rules items -> verdict in (tokens, verdict).
 
-    ``fit_tokens`` bounds the model's fit: of a URL with more tokens, the first so many count, since the item sets of
-    one transaction grow with 2**tokens. Rules have at most ``max_items`` tokens, hold in at least ``min_support`` of
-    the labelled rows and with at least ``min_confidence``.
+    Rules have at most ``max_items`` tokens, hold in at least ``min_support`` of the labelled rows and with at least
+    ``min_confidence``. All tokens of a URL count; infrequent ones cannot be in a rule and go first. FP-growth mines what is
+    left while no URL has more than ``fit_tokens`` of them; since it finds sets of every size, up to 2**tokens, the sets of
+    up to ``max_items`` tokens are counted outright beyond that. Both give the same rules.
     """
-    baskets = labelled.select(F.concat(F.slice("tokens", 1, fit_tokens), F.array(F.concat(F.lit("="), "verdict"))).alias("items"))
+    least = math.ceil(min_support * labelled.count())
+    frequent = labelled.select(F.explode("tokens").alias("t")).groupBy("t").count().where(F.col("count") >= least)
+    frequent = frequent.agg(F.collect_list("t").alias("frequent"))  # one row; support bounds its length
+    left = labelled.join(F.broadcast(frequent)).select(F.array_intersect("tokens", "frequent").alias("tokens"), "verdict").cache()
+    if (left.agg(F.max(F.size("tokens"))).first()[0] or 0) > fit_tokens:
+        return _counted_rules(left, least, min_confidence, max_items)
+    baskets = left.select(F.concat("tokens", F.array(F.concat(F.lit("="), "verdict"))).alias("items"))
     sets = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets).freqItemsets
     split = sets.select(
         F.array_sort(F.filter("items", lambda x: ~F.startswith(x, F.lit("=")))).alias("items"),

@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -160,6 +161,25 @@ def test_rules_are_mined_and_matched(spark):
     assert got == {15: "block", 16: "allow", 17: "allow"}
 
 
+def test_rules_are_mined_over_all_tokens(spark):
+    hosts = [".".join(f"{c}{i}" for c in "abcdefghijkl") for i in range(2)]  # twelve labels before any path segment
+    rows = [([f"h:{x}" for x in hosts[i % 2].split(".")] + (["p:y", "p:z"] if i % 3 else ["p:z"]), "block" if i % 3 else "allow") for i in range(60)]
+    rows.append((["h:once", "p:y"], "allow"))
+    df = spark.createDataFrame([(sorted(t), v) for t, v in rows], "tokens array<string>, verdict string")
+    want = {}
+    for k in (1, 2, 3):
+        of, n = Counter(), Counter()
+        for t, v in rows:
+            for items in combinations(sorted(t), k):
+                of[items] += 1
+                n[items, v] += 1
+        want |= {(i, v): (c, c / of[i]) for (i, v), c in n.items() if c >= 7 and c / of[i] >= 0.9}
+    assert (("p:y",), "block") in want
+    for fit_tokens in (12, 14):  # counted outright, by FP-growth
+        got = urls.mine_rules(df, min_support=0.1, fit_tokens=fit_tokens).collect()
+        assert {(tuple(r["items"]), r["verdict"]): (r["n"], r["confidence"]) for r in got} == want
+
+
 # ---- vectors
 
 
