@@ -9,11 +9,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
-from codeloom.llm.common import Union, mix64, partitions, text_slices, written
+from codeloom.llm.common import Union, globally_ranked, mix64, text_slices, written
 from codeloom.llm.components import connected_components
 
 _WORD = re.compile(r"[^ \t-\r]+")
@@ -58,77 +58,92 @@ def gray_rank(x: np.ndarray) -> np.ndarray:
 class GrayIndex:
     """Fingerprints in Gray order under nodes that keep the bits shared by all below them.
 
-    Leaves are runs of ``fan`` neighbours, upper nodes runs of ``fan`` nodes. A node keeps a mask (bits on which all
-    its fingerprints agree) and their pattern. Two nodes' masked patterns differ in at least
+    Leaves are single fingerprints; nodes are runs of ``fan`` neighbours, upper nodes runs of ``fan`` nodes. A node keeps a
+    mask (bits on which all its fingerprints agree) and their pattern. Two nodes' masked patterns differ in at least
     popcount((p ^ q) & m & n) bits of every pair below them; if that exceeds the radius, the two groups are dropped whole.
-    ``lanes`` words of 64 bits make up a fingerprint; Gray order is taken on the first.
+    ``cells`` adds bits above the fingerprint's that must agree: order is by cell first, a node keeps the range of its cells,
+    and nodes without a common cell are dropped. A fingerprint has as many words of 64 bits as ``prints`` has columns; Gray
+    order is taken on the first.
     """
 
-    def __init__(self, prints: np.ndarray, fan: int = 16):
-        self.order = np.argsort(gray_rank(prints[:, 0]), kind="stable")
-        self.prints, self.fan = prints[self.order], fan
-        self.levels = [(np.full_like(self.prints, ~np.uint64(0)), self.prints)]
+    def __init__(self, prints: np.ndarray, cells: np.ndarray | None = None, fan: int = 8):
+        cells = np.zeros(len(prints), dtype=np.int64) if cells is None else cells
+        self.order = np.lexsort((gray_rank(prints[:, 0]), cells))
+        self.fan, prints, cells = fan, prints[self.order], cells[self.order]
+        #: from the leaves up: mask, pattern, smallest and largest cell
+        self.levels = [(np.full_like(prints, ~np.uint64(0)), prints, cells, cells)]
         while len(self.levels[-1][0]) > 1:
-            mask, pattern = self.levels[-1]
+            mask, pattern, low, high = self.levels[-1]
             at = np.arange(0, len(mask), fan)
             ones = np.bitwise_and.reduceat(mask & pattern, at, axis=0)
             zeros = np.bitwise_and.reduceat(mask & ~pattern, at, axis=0)
-            self.levels.append((ones | zeros, ones))
-
-    def pairs(self, radius: int, block: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Index pairs (i < j in Gray order, as original positions) at ``radius`` or fewer bits, in bounded blocks."""
-        top = len(self.levels) - 1
-        stack = [(top, np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64))]
+            self.levels.append((ones | zeros, ones, low[at], high[np.r_[at[1:], len(high)] - 1]))
+        self.pruned = self.compared = 0
+
+    def children(self, level: int, nodes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Numbers of the nodes below ``nodes`` (one row each; -1: none), and their masks, patterns, smallest and largest cells."""
+        n = len(self.levels[level][0])
+        which = nodes[:, None] * self.fan + np.arange(self.fan)
+        return np.where(which < n, which, -1), *(x[np.minimum(which, n - 1)] for x in self.levels[level])
+
+    def pairs(self, radius: int, other: GrayIndex | None = None, block: int = 1 << 12) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs at ``radius`` or fewer bits in one cell, as original positions, in bounded blocks: within this index, each once,
+        or between this one and ``other``. Both descend together, from the top nodes; ``pruned`` counts the pairs of nodes
+        dropped whole, ``compared`` those of fingerprints.
+        """
+        same, other = other is None, other or self
+        tops = len(self.levels) - 1, len(other.levels) - 1
+        if not len(self.order) or not len(other.order) or (same and not tops[0]):
+            return
+        # a tree of fewer levels waits at its top until the other one has come down to it
+        stack = [(max(*tops, 1), np.zeros(1, dtype=np.int64), np.zeros(1, dtype=np.int64))]
         while stack:
             level, a, b = stack.pop()
             if len(a) > block:
-                half = len(a) // 2
-                stack += [(level, a[:half], b[:half]), (level, a[half:], b[half:])]
-                continue
-            mask, pattern = self.levels[level]
-            far = np.bitwise_count((pattern[a] ^ pattern[b]) & mask[a] & mask[b]).sum(axis=1)
-            a, b = a[far <= radius], b[far <= radius]
-            if not len(a):
+                stack += [(level, a[at : at + block], b[at : at + block]) for at in range(0, len(a), block)]
                 continue
-            if not level:
-                a, b = a[a < b], b[a < b]
-                if len(a):
-                    yield self.order[a], self.order[b]
+            level -= 1
+            x = self.children(level, a) if level < tops[0] else (a[:, None], *(v[a][:, None] for v in self.levels[-1]))
+            y = other.children(level, b) if level < tops[1] else (b[:, None], *(v[b][:, None] for v in other.levels[-1]))
+            far = x[2][:, :, None] ^ y[2][:, None]
+            if level:
+                far &= x[1][:, :, None]
+                far &= y[1][:, None]
+            near = (np.bitwise_count(far).sum(axis=3, dtype=np.int16) if far.shape[3] > 1 else np.bitwise_count(far)[..., 0]) <= radius
+            near &= (x[3][:, :, None] <= y[4][:, None]) & (y[3][:, None] <= x[4][:, :, None])
+            real = (x[0] >= 0)[:, :, None] & (y[0] >= 0)[:, None]
+            if same:
+                real &= (x[0][:, :, None] < y[0][:, None]) if not level else (x[0][:, :, None] <= y[0][:, None])
+            near &= real
+            if level:
+                self.pruned += int(real.sum() - near.sum())
+            else:
+                self.compared += int(real.sum())
+            k, i, j = np.nonzero(near)
+            if not len(k):
                 continue
-            n, f = len(self.levels[level - 1][0]), np.arange(self.fan)
-            step = max(1, block // self.fan**2)
-            for at in range(0, len(a), step):
-                x = (a[at : at + step, None, None] * self.fan + f[None, :, None] + 0 * f).ravel()
-                y = (b[at : at + step, None, None] * self.fan + 0 * f[None, :, None] + f).ravel()
-                keep = (x < n) & (y < n) & (x <= y)
-                stack.append((level - 1, x[keep], y[keep]))
+            if level:
+                stack.append((level, x[0][k, i], y[0][k, j]))
+            else:
+                yield self.order[x[0][k, i]], other.order[y[0][k, j]]
 
 
-def cell_links(prints: np.ndarray, ids: np.ndarray, cells: np.ndarray, radius: int, small: int = 48) -> tuple[np.ndarray, np.ndarray]:
+def cell_links(prints: np.ndarray, ids: np.ndarray, cells: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """Links (id, smallest id of its set) between fingerprints of one cell at ``radius`` or fewer bits.
 
-    ``cells`` is sorted: a cell is an upper node whose masked bits all its fingerprints share. Small cells are
-    compared row against shifted row, all cells at once; larger ones get a GrayIndex each. The sets are
-    joined here, so at most one link per fingerprint leaves, however many lie close together.
+    One GrayIndex holds all cells. The sets are joined here, so at most one link per fingerprint leaves, however many
+    lie close together.
     """
-    n = len(ids)
-    sets = Union(n)
-    starts = np.flatnonzero(np.r_[True, cells[1:] != cells[:-1]]) if n else np.empty(0, dtype=np.int64)
-    sizes = np.diff(np.r_[starts, n])
-    size = np.repeat(sizes, sizes)
-    rows = np.flatnonzero((size > 1) & (size <= small))
-    for d in range(1, small):
-        rows = rows[rows + d < n]
-        rows = rows[cells[rows] == cells[rows + d]]
-        if not len(rows):
-            break
-        near = np.bitwise_count(prints[rows] ^ prints[rows + d]).sum(axis=1) <= radius
-        sets.link(rows[near], rows[near] + d)
-    for s, k in zip(starts[sizes > small], sizes[sizes > small], strict=True):
-        for a, b in GrayIndex(prints[s : s + k]).pairs(radius):
-            sets.link(a + s, b + s)
+    sets = Union(len(ids))
+    for a, b in GrayIndex(prints, cells).pairs(radius):
+        sets.link(a, b)
+    return lowest_links(sets, ids)
+
+
+def lowest_links(sets: Union, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(id, smallest id of its set) where the two differ."""
     root = sets.roots()
-    low = np.full(n, np.iinfo(np.int64).max)
+    low = np.full(len(ids), np.iinfo(np.int64).max)
     np.minimum.at(low, root, ids)
     low = low[root]
     moved = low != ids
@@ -167,46 +182,69 @@ def fingerprints(df: DataFrame, *, shingle: int = 3, lanes: int = 1, distinct: b
     return asked.mapInArrow(run, out)
 
 
-def near_links(distinct: DataFrame, *, radius: int = 3, blocks: int = 4, keys_per_bucket: int = 1 << 16) -> DataFrame:
-    """Links (a, b) that join all fingerprints of (fp, id) at ``radius`` or fewer differing bits into sets; exact.
+def _rank_column(fp: Column) -> Column:
+    """``gray_rank`` of a column."""
+    for s in (1, 2, 4, 8, 16, 32):
+        fp = fp.bitwiseXOR(F.shiftrightunsigned(fp, s))
+    return fp
+
 
-    The bits are cut into ``blocks`` > radius blocks: two fingerprints within the radius agree on one block at least. The index
-    is a forest with one tree per block: its topmost nodes are the block's values (all bits of the block
-    masked), so a search enters one node per tree with no difference used up; below, the rest of the bits
-    is in Gray order under masked nodes. A tree's nodes are dealt over tasks by value.
-    """
-    if blocks <= radius:
-        raise ValueError("blocks must exceed radius")
-    width = -(-64 // blocks)
+def subtree_pairs(subtrees: DataFrame, radius: int, fan: int = 16) -> DataFrame:
+    """Pairs (i <= j) of subtrees (node, ones, zeros) that may hold fingerprints at ``radius`` or fewer bits, written.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-        rows = 0
-        for b in batches:
-            held.append(b)
-            rows += len(b)
-            if rows >= 200_000:
-                part = pd.concat(held, ignore_index=True)
-                last = (part["block"] == part["block"].iloc[-1]) & (part["key"] == part["key"].iloc[-1])
-                if not last.all():
-                    yield link(part[~last])
-                    part = part[last]
-                held, rows = [part], len(part)
-        if held:
-            yield link(pd.concat(held, ignore_index=True))
-
-    def link(part: pd.DataFrame) -> pd.DataFrame:
-        cells = part["block"].to_numpy(np.int64) << 40 | part["key"].to_numpy(np.int64)
-        a, b = cell_links(part["fp"].to_numpy(np.int64).view(np.uint64)[:, None], part["id"].to_numpy(np.int64), cells, radius)
+    ``ones`` and ``zeros`` are the bits that all fingerprints of a subtree have set or not set. Upper nodes are runs of ``fan``
+    neighbours; from the top down, pairs of nodes whose accumulated differences exceed the radius are dropped whole. All of
+    it are tables: nothing comes to the driver but the number of nodes of each level.
+    """
+    levels = [subtrees]
+    while (levels[-1].agg(F.max("node")).first()[0] or 0) > 0:
+        upper = levels[-1].groupBy(F.floor(F.col("node") / fan).alias("node")).agg(F.expr("bit_and(ones)").alias("ones"), F.expr("bit_and(zeros)").alias("zeros"))
+        levels.append(written(upper))
+    pairs = levels[-1].select(F.col("node").alias("i"), F.col("node").alias("j"))
+    for nodes in reversed(levels[:-1]):
+        below = lambda c: F.explode(F.sequence(F.col(c) * fan, F.col(c) * fan + (fan - 1)))
+        side = lambda c: nodes.select(F.col("node").alias(c), F.col("ones").alias(f"{c}1"), F.col("zeros").alias(f"{c}0"))  # noqa: E731, B023
+        grown = pairs.withColumn("i", below("i")).withColumn("j", below("j")).where("i <= j").join(side("i"), "i").join(side("j"), "j")
+        differ = F.bit_count(F.col("i1").bitwiseAND(F.col("j0")).bitwiseOR(F.col("i0").bitwiseAND(F.col("j1"))))
+        pairs = written(grown.where(differ <= radius).select("i", "j"))
+    return pairs
+
+
+def near_links(distinct: DataFrame, *, radius: int = 3, subtree: int = 1 << 16, least: int = 1 << 10) -> DataFrame:
+    """Links (a, b) that join all fingerprints of (fp, id), each fp once, at ``radius`` or fewer differing bits into sets; exact.
+
+    All fingerprints are sorted by Gray rank and cut into subtrees of up to ``subtree`` (fewer, but ``least``, where there are few, for
+    the sake of the other tasks). ``subtree_pairs`` descends from the top to the pairs of subtrees that are not pruned; each of these is a task
+    in which the two GrayIndex trees descend together. Of n fingerprints spread evenly, one meets those whose first log2(n) bits differ
+    from its own in up to ``radius`` places, so work grows with n * log(n)**radius.
+    """
+    ranked = globally_ranked(distinct.withColumn("gray", _rank_column(F.col("fp"))), ["gray"])
+    size = max(least, min(subtree, distinct.count() // 64))
+    placed = written(ranked.select(F.floor(F.col("rank") / size).alias("node"), "fp", "id"))
+    inverse = F.bitwise_not("fp")
+    nodes = written(placed.withColumn("not", inverse).groupBy("node").agg(F.expr("bit_and(fp)").alias("ones"), F.expr("bit_and(not)").alias("zeros")))
+    pairs = subtree_pairs(nodes, radius)
+
+    def pack(group: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"node": group["node"].iloc[:1], "fps": [group["fp"].to_numpy(np.int64).tobytes()], "ids": [group["id"].to_numpy(np.int64).tobytes()]})
+
+    packed = written(placed.groupBy("node").applyInPandas(pack, "node long, fps binary, ids binary"))
+    sides = [pairs.join(packed.withColumnRenamed("node", c), c).select("i", "j", F.lit(c).alias("side"), "fps", "ids") for c in ("i", "j")]
+
+    def search(group: pd.DataFrame) -> pd.DataFrame:
+        trees, ids = [], []
+        for side in ("i", "j")[: 1 if group["i"].iloc[0] == group["j"].iloc[0] else 2]:
+            row = group[group["side"] == side].iloc[0]
+            trees.append(GrayIndex(np.frombuffer(row["fps"], dtype=np.uint64)[:, None]))
+            ids.append(np.frombuffer(row["ids"], dtype=np.int64))
+        sets = Union(sum(map(len, ids)))
+        for a, b in trees[0].pairs(radius, *trees[1:]):
+            sets.link(a, b + (len(ids[0]) if trees[1:] else 0))
+        a, b = lowest_links(sets, np.concatenate(ids))
         return pd.DataFrame({"a": a, "b": b})
 
-    cut = [
-        F.struct(F.lit(k).alias("block"), F.shiftrightunsigned("fp", k * width).bitwiseAND((1 << min(width, 64 - k * width)) - 1).alias("key"))
-        for k in range(blocks)
-    ]
-    spread = distinct.withColumn("c", F.explode(F.array(*cut))).select("c.block", "c.key", "fp", "id")
-    n = partitions(distinct.sparkSession)
-    return spread.repartition(n, "block", "key").sortWithinPartitions("block", "key").mapInPandas(run, "a long, b long")
+    both = sides[0].unionByName(sides[1].where("i < j"))
+    return both.groupBy("i", "j").applyInPandas(search, "a long, b long")
 
 
 def simhash_components(df: DataFrame, *, shingle: int = 3, radius: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -214,7 +252,7 @@ def simhash_components(df: DataFrame, *, shingle: int = 3, radius: int = 3, id_c
     most ``radius`` differing bits.
 
     Null and empty texts have fingerprint zero and link like any other. Rows that repeat an id are separate
-    rows with that id. Null ids take part in nothing: component_id is null. An empty table gives an empty
+    rows with that id. Null ids take part in nothing: component_id is null. Ids are integers. An empty table gives an empty
     result; other columns are not read. Equal fingerprints are one entry of the index.
     """
     prints = written(fingerprints(df, shingle=shingle, id_col=id_col, text_col=text_col).select("doc_id", F.col("fp0").alias("fp")))

@@ -161,26 +161,70 @@ def test_simhash_odd_tables(spark):
     assert simhash.simhash_components(docs(spark, [])).isEmpty()
 
 
-@pytest.mark.parametrize("crowd", [10, 400])
-def test_index_finds_all_links(crowd):
-    """Random words with clusters around some; many in one cell go through the Gray index."""
+def near_prints(crowd, n=300):
+    """Random words with a crowd around one of them."""
     rng = np.random.default_rng(crowd)
-    x = rng.integers(0, 2**64, 300, dtype=np.uint64)
+    x = rng.integers(0, 2**64, n, dtype=np.uint64)
     flips = (np.uint64(1) << rng.integers(0, 64, (crowd, 2), dtype=np.uint64)).astype(np.uint64)
     x = np.unique(np.r_[x, x[0] ^ flips[:, 0] ^ flips[:, 1]])
-    pairs = {tuple(sorted(p)) for a, b in simhash.GrayIndex(x[:, None]).pairs(3) for p in zip(a.tolist(), b.tolist(), strict=True)}
-    far = np.bitwise_count(x[:, None] ^ x[None])
-    assert pairs == {(i, j) for i, j in zip(*np.nonzero(far <= 3), strict=True) if i < j}
-    a, b = simhash.cell_links(x[:, None], np.arange(len(x)), np.zeros(len(x)), 3)
-    want = brute_sets(len(x), lambda i, j: far[i, j] <= 3) if len(x) < 400 else None
-    if want:
-        root = list(range(len(x)))
-        for i, r in zip(a, b, strict=True):
-            root[i] = r
-        assert root == want
+    return x, np.bitwise_count(x[:, None] ^ x[None])
+
+
+def index_pairs(found):
+    return [p for a, b in found for p in zip(a.tolist(), b.tolist(), strict=True)]
+
+
+@pytest.mark.parametrize("crowd", [0, 10, 400])
+def test_index_finds_all_links(crowd):
+    x, far = near_prints(crowd)
+    index = simhash.GrayIndex(x[:, None])
+    pairs = index_pairs(index.pairs(3))
+    assert len(pairs) == len(set(pairs))
+    assert {tuple(sorted(p)) for p in pairs} == {(i, j) for i, j in zip(*np.nonzero(far <= 3), strict=True) if i < j}
+    assert index.pruned and index.compared < len(x) * (len(x) - 1) // 2
+    half = len(x) // 3
+    across = index_pairs(simhash.GrayIndex(x[:half, None]).pairs(3, simhash.GrayIndex(x[half:, None])))
+    assert sorted(across) == [(int(i), int(j)) for i, j in zip(*np.nonzero(far[:half, half:] <= 3), strict=True)]
+    cells = np.arange(len(x)) % 3
+    a, b = simhash.cell_links(x[:, None], np.arange(len(x)), cells, 3)
+    want = brute_sets(len(x), lambda i, j: far[i, j] <= 3 and cells[i] == cells[j])
+    root = list(range(len(x)))
+    for i, r in zip(a, b, strict=True):
+        root[i] = r
+    assert root == want
     assert (simhash.gray_rank(np.array([0, 1, 3, 2, 6, 7, 5, 4], dtype=np.uint64)) == np.arange(8)).all()
 
 
+def test_groups_are_pruned_whole():
+    x = np.random.default_rng(5).integers(0, 2**64, 30_000, dtype=np.uint64)
+    index = simhash.GrayIndex(x[:, None])
+    assert sum(len(a) for a, _ in index.pairs(3)) == 0
+    assert index.compared < 0.16 * len(x) ** 2 / 2
+
+
+@pytest.mark.parametrize("sizes", [(1, 1), (1, 9), (70, 1), (2, 600)])
+def test_trees_of_different_heights(sizes):
+    x = np.random.default_rng(3).integers(0, 8, sum(sizes), dtype=np.uint64)
+    a, b = x[: sizes[0]], x[sizes[0] :]
+    found = index_pairs(simhash.GrayIndex(a[:, None]).pairs(1, simhash.GrayIndex(b[:, None])))
+    assert sorted(found) == [(int(i), int(j)) for i, j in zip(*np.nonzero(np.bitwise_count(a[:, None] ^ b[None]) <= 1), strict=True)]
+
+
+def test_subtrees_meet_wherever_a_link_may_be(spark):
+    """Small subtrees: most links go between two of them; pairs of subtrees are dropped, and no link is."""
+    x, far = near_prints(60, 900)
+    table = spark.createDataFrame([(int(v), int(i)) for i, v in enumerate(x.view(np.int64))], "fp long, id long")
+    links = [(r["a"], r["b"]) for r in simhash.near_links(table, subtree=16, least=16).collect()]
+    want = brute_sets(len(x), lambda i, j: far[i, j] <= 3)
+    assert brute_sets(len(x), lambda i, j, s={frozenset(p) for p in links}: frozenset((i, j)) in s) == want
+    nodes = spark.createDataFrame([(k, int(np.bitwise_and.reduce(p)), int(np.bitwise_and.reduce(~p))) for k, p in enumerate(np.array_split(x[np.argsort(simhash.gray_rank(x))].view(np.int64), 240))], "node long, ones long, zeros long")
+    kept = {(r["i"], r["j"]) for r in simhash.subtree_pairs(nodes, 3).collect()}
+    rows = {r["node"]: r for r in nodes.collect()}
+    differ = lambda a, b: bin((a["ones"] & b["zeros"] | a["zeros"] & b["ones"]) & (2**64 - 1)).count("1")
+    assert kept == {(i, j) for i in rows for j in rows if i <= j and differ(rows[i], rows[j]) <= 3}
+    assert len(kept) < 240 * 241 // 4
+
+
 # ---- near duplicates
 
 
