@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import Union, text_slices, written
+from codeloom.llm.common import Union, globally_ranked, written
 from codeloom.llm.components import connected_components
 from codeloom.llm.simhash import cell_links, fingerprints, shingle_hashes
 
@@ -81,18 +80,18 @@ class Checker:
         return out
 
 
-def joined_sets(prints: np.ndarray, sets: list[np.ndarray], side: np.ndarray | None, radius: int, similarity: float) -> np.ndarray:
+def joined_sets(prints: np.ndarray, sets: list[np.ndarray], radius: int, similarity: float) -> np.ndarray:
     """For each of n texts the smallest index of its set, when those of ``radius`` or fewer bits and the similarity are joined.
 
-    ``side``: pairs of equal side are left out (they meet elsewhere). The nearest partner of each is asked first, four times
-    over; what that has joined is not asked again, then every pair that is left is.
+    The nearest partner of each is asked first, four times over; what that has joined is not asked again, then every
+    pair that is left is.
     """
     n, check, union = len(sets), Checker(sets, similarity), Union(len(sets))
     pairs = []
     for at in range(0, n, 256):
         far = np.bitwise_count(prints[at : at + 256, None] ^ prints[None]).sum(axis=2, dtype=np.int64)
         i, j = np.nonzero(far <= radius)
-        keep = (i + at < j) if side is None else (i + at < j) & (side[i + at] != side[j])
+        keep = i + at < j
         pairs.append(np.column_stack([i[keep] + at, j[keep], far[i[keep], j[keep]]]))
     pairs = np.concatenate(pairs) if pairs else np.empty((0, 3), dtype=np.int64)
     pairs = pairs[np.argsort(pairs[:, 2], kind="stable")]
@@ -115,87 +114,71 @@ def joined_sets(prints: np.ndarray, sets: list[np.ndarray], side: np.ndarray | N
     return union.roots()
 
 
-def _verified(members: DataFrame, lanes: int, radius: int, similarity: float, total: int, chunk: int) -> DataFrame:
-    """Links (a, b) that join the texts of each crowd whose sets are similar enough. members: id, fp0.., crowd, n (of the crowd), s.
+def _verified(members: DataFrame, names: list[str], radius: int, similarity: float, chunk: int) -> DataFrame:
+    """Links (a, b) between texts of a crowd whose sets are similar enough. members: id, fp0.., crowd, s.
 
-    Small crowds share a task; a crowd of more than ``chunk`` texts is cut into chunks, and each two of them meet in a task.
+    A crowd of up to ``chunk`` texts meets whole. A larger one is cut into chunks; each joins its own, and what is left of each group,
+    its smallest text, meets the others' in the next round, until the crowd fits a chunk or a round no longer halves what is left. Work is
+    in proportion to the texts; groups of one crowd that no round joined are left to the prefix index.
     """
-    names = [f"fp{k}" for k in range(lanes)]
-    cuts = F.ceil(F.col("n") / chunk).cast("int")
-    own = F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int")
-    few = max(1, -(-total // chunk))
-    cut = members.withColumn("cuts", cuts).withColumn("c", own).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("cuts") - 1)))
-    task = F.when(F.col("cuts") == 1, -1 - F.pmod(F.xxhash64("crowd"), F.lit(few))).otherwise(F.col("crowd"))
-    dealt = cut.select("id", *names, "crowd", "s", "c", task.alias("task"), F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"))
-
-    def check(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+    found, before = [], None
+
+    def check(group: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, g in group.groupby("crowd", sort=False):
             prints, ids = g[names].to_numpy(np.int64).view(np.uint64), g["id"].to_numpy()
             order = np.argsort(ids, kind="stable")
-            sets = [np.frombuffer(g["s"].iloc[k], dtype=np.uint64) for k in order]
-            side = None if key[1] == key[2] else g["c"].to_numpy()[order]
-            root = joined_sets(np.ascontiguousarray(prints[order]), sets, side, radius, similarity)
-            moved = root != np.arange(len(root))
-            out.append(np.column_stack([ids[order][moved], ids[order][root[moved]]]))
+            root = joined_sets(np.ascontiguousarray(prints[order]), [np.frombuffer(g["s"].iloc[k], dtype=np.uint64) for k in order], radius, similarity)
+            out.append(np.column_stack([ids[order], ids[order][root]]))
         pairs = np.concatenate(out) if out else np.empty((0, 2), dtype=np.int64)
         return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
-    return dealt.groupBy("task", "i", "j").applyInPandas(check, "a long, b long")
-
-
-def _common(texts: DataFrame, shingle: int, docs: int, most: int) -> np.ndarray:
-    """Shingles that several texts of a sample of about ``docs`` have, the more frequent the later; at most ``most``.
-
-    They only order the shingles: any order gives the same result, rare shingles first give fewer candidates.
+    while True:
+        sizes = members.groupBy("crowd").agg(F.count("*").alias("n")).where("n > 1")
+        total, large = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("n") > chunk, F.col("n"))), F.lit(0))).first()
+        if not total or (before is not None and total > before // 2):
+            break
+        cuts = F.ceil(F.col("n") / chunk).cast("int")
+        few = max(1, -(-total // chunk))
+        task = F.when(F.col("cuts") == 1, -1 - F.pmod(F.xxhash64("crowd"), F.lit(few))).otherwise(F.col("crowd"))
+        own = members.join(sizes, "crowd").withColumn("cuts", cuts).withColumn("task", task).withColumn("c", F.pmod(F.xxhash64("id"), F.col("cuts")).cast("int"))
+        met = written(own.select("id", *names, "crowd", "s", "task", "c").groupBy("task", "c").applyInPandas(check, "a long, b long"))
+        found.append(met.where("a <> b"))
+        if not large:
+            break
+        roots = met.where("a = b").select(F.col("a").alias("id"))
+        members, before = written(members.join(sizes.where(F.col("n") > chunk).select("crowd"), "crowd").join(roots, "id")), large
+    out = members.select(F.col("id").alias("a"), F.col("id").alias("b")).limit(0)
+    for f in found:
+        out = out.unionByName(f)
+    return out
+
+
+def rarest_first(tokens: np.ndarray, owner: np.ndarray, level: np.ndarray, size: np.ndarray, similarity: float) -> tuple[np.ndarray, ...]:
+    """Which of ``tokens`` stand in their set's prefix and elsewhere too: their positions, places (from 1) and tokens shared up to there.
+
+    A set's tokens are ordered by ``level``, which grows with how many sets have them (0: this one alone), then by value. Two sets that
+    reach the similarity share a token among the first n - ceil(similarity * n) + 1 of each (prefix filter; any common order will do). Tokens that
+    no other set has need not be shown, so a text of which over a fifth is its own shows none.
     """
+    order = np.lexsort((tokens, level, owner))
+    n = np.bincount(owner, minlength=len(size))
+    place = np.arange(len(tokens)) - np.repeat(np.cumsum(n) - n, n) + 1
+    alone = np.bincount(owner, level == 0, minlength=len(size)).astype(np.int64)
+    own = owner[order]
+    length = size - np.ceil(similarity * size - 1e-6).astype(np.int64) + 1
+    shown = (place <= length[own]) & (level[order] > 0)
+    return order[shown], place[shown], (place - alone[own])[shown]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for _, _, part in text_slices(b, "text", 1 << 20):
-                h = np.concatenate([np.unique(shingle_hashes(t, shingle)) for t in part])
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
-
-    share = max(1, texts.count() // docs)
-    picked = texts.where(F.pmod(F.xxhash64("h", F.lit(5)), F.lit(share)) == 0).select("text").mapInArrow(run, "h long")
-    found = picked.groupBy("h").count().where("count > 2").orderBy(F.desc("count"), "h").limit(most)
-    return np.array([r["h"] for r in reversed(found.collect())], dtype=np.int64).view(np.uint64)
 
+def prefix_pairs(h: np.ndarray, ids: np.ndarray, comp: np.ndarray, n: np.ndarray, place: np.ndarray, shared: np.ndarray, similarity: float, block: int = 1 << 21) -> pd.DataFrame:
+    """(a, b), a < b, each once: ids of different ``comp`` with a common hash that may reach the similarity.
 
-def shared_least(size: np.ndarray | int) -> np.ndarray | int:
-    """How many shingles the prefixes of two similar texts share at least, for the smaller of the two."""
-    return 1 + size // 16
-
-
-def prefix_of(common: np.ndarray, similarity: float) -> Callable[[np.ndarray], bytes]:
-    """Packs the number n of a set's shingles and the first n - t + k of them in the common order, t = least overlap, k = ``shared_least``.
-
-    Two sets that share t or more have k of the smaller among these prefixes in common (prefix filter). 32 bits of each hash are kept: equal
-    ones stay equal.
-    """
-    place = np.argsort(common)
-    listed = common[place]
-
-    def pack(u: np.ndarray) -> bytes:
-        n = len(u)
-        rank = np.zeros(n, dtype=np.int64)
-        if len(listed):
-            at = np.minimum(np.searchsorted(listed, u), len(listed) - 1)
-            rank = np.where(listed[at] == u, 1 + place[at], 0)
-        length = min(n, n - int(np.ceil(similarity * n - 1e-6)) + int(shared_least(n)))
-        return np.r_[np.uint32(n), (u[np.argsort(rank, kind="stable")[:length]] >> np.uint64(32)).astype(np.uint32)].tobytes()
-
-    return pack
-
-
-def prefix_pairs(h: np.ndarray, ids: np.ndarray, comp: np.ndarray, n: np.ndarray, pos: np.ndarray, similarity: float, block: int = 1 << 21) -> pd.DataFrame:
-    """(a, b, shared, least): how many hashes the prefixes of a < b share, for ids of different ``comp``.
-
-    Entries of one hash are compared across components only. Left out are pairs whose sizes or whose places
-    of a common shingle rule the similarity out.
+    Entries of one hash are compared across components only. Left out are pairs whose sizes rule the similarity out, or whose places do:
+    up to a common token two sets share no more than the shared tokens of either, behind it no more than what either has left.
     """
     order = np.lexsort((comp, h))
-    h, ids, comp, n, pos = (x[order] for x in (h, ids, comp, n, pos))
+    h, ids, comp, n, place, shared = (x[order] for x in (h, ids, comp, n, place, shared))
     starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, dtype=np.int64)
     end = np.repeat(np.r_[starts[1:], len(h)], np.diff(np.r_[starts, len(h)]))
     # the partners of an entry: those of its hash behind its component
@@ -203,11 +186,7 @@ def prefix_pairs(h: np.ndarray, ids: np.ndarray, comp: np.ndarray, n: np.ndarray
     behind = np.repeat(np.r_[turn[1:], len(h)], np.diff(np.r_[turn, len(h)]))
     todo = np.flatnonzero(behind < end)
     many = np.cumsum(end[todo] - behind[todo])
-    held, waiting, lo = [], 0, 0
-
-    def counted(parts: list[pd.DataFrame]) -> pd.DataFrame:
-        return pd.concat(parts).groupby(["a", "b"], as_index=False, sort=False).agg({"shared": "sum", "least": "max"})
-
+    held, waiting, lo = np.empty((0, 2), dtype=np.int64), [], 0
     while lo < len(todo):
         hi = max(lo + 1, int(np.searchsorted(many, (many[lo - 1] if lo else 0) + block, side="right")))
         x = todo[lo:hi]
@@ -215,44 +194,86 @@ def prefix_pairs(h: np.ndarray, ids: np.ndarray, comp: np.ndarray, n: np.ndarray
         y = np.repeat(behind[x] - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
         x = np.repeat(x, k)
         small, large = np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
-        most = np.minimum(pos[x], pos[y]) + np.minimum(n[x] - pos[x], n[y] - pos[y])
+        most = np.minimum(shared[x], shared[y]) + np.minimum(n[x] - place[x], n[y] - place[y])
         keep = (small >= similarity * large - 1e-6) & (most * (1 + similarity) >= similarity * (small + large) - 1e-6)
         x, y = x[keep], y[keep]
-        held.append(pd.DataFrame({"a": np.minimum(ids[x], ids[y]), "b": np.maximum(ids[x], ids[y]), "shared": 1, "least": shared_least(small[keep])}))
-        waiting += len(x)
-        if waiting > block:
-            held = [counted(held)]
-            waiting = 0
+        waiting.append(np.column_stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])]))
+        if sum(map(len, waiting)) > block:
+            held, waiting = np.unique(np.concatenate([held, *waiting]), axis=0), []
         lo = hi
-    return counted(held) if held else pd.DataFrame({"a": ids[:0], "b": ids[:0], "shared": n[:0], "least": n[:0]})
+    held = np.unique(np.concatenate([held, *waiting]), axis=0)
+    return pd.DataFrame({"a": held[:, 0], "b": held[:, 1]})
 
 
-def _other_pairs(members: DataFrame, similarity: float, buckets: int) -> DataFrame:
-    """All pairs (a, b) of different components that may reach the similarity. members: id, component, also (from ``prefix_of``)."""
-    kinds = {"h": np.uint32, "ids": np.int64, "comp": np.int64, "n": np.int32, "pos": np.int32}
+def _parcels(bucket: np.ndarray, columns: dict[str, np.ndarray]) -> pd.DataFrame:
+    """One row per bucket with the columns' values in it, packed."""
+    order = np.argsort(bucket, kind="stable")
+    sorted_ = bucket[order]
+    at = np.flatnonzero(np.r_[True, sorted_[1:] != sorted_[:-1]]) if len(order) else np.empty(0, dtype=np.int64)
+    end = np.r_[at[1:], len(order)].astype(np.int64)[: len(at)]
+    out = {"bucket": sorted_[at].astype(np.int64)}
+    for k, v in columns.items():
+        v = v[order]
+        out[k] = [v[a:b].tobytes() for a, b in zip(at, end, strict=True)]
+    return pd.DataFrame(out)
+
+
+def _unpacked(column: pd.Series, kind) -> np.ndarray:
+    return np.frombuffer(b"".join(column), dtype=kind)
 
-    def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in (b for b in batches if len(b)):
-            packed = [np.frombuffer(p, dtype=np.uint32) for p in b["also"]]
-            k = np.array([len(p) - 1 for p in packed], dtype=np.int64)
-            h = np.concatenate([p[1:] for p in packed])
-            spread = lambda v: np.repeat(v, k)
-            cols = [h, spread(b["id"].to_numpy(np.int64)), spread(b["component"].to_numpy(np.int64)), spread(np.array([p[0] for p in packed]))]
-            cols.append(np.arange(len(h)) - spread(np.cumsum(k) - k) + 1)
-            bucket = h % np.uint32(buckets)
-            order = np.argsort(bucket, kind="stable")
-            cols = [c[order].astype(t) for c, t in zip(cols, kinds.values(), strict=True)]
-            bucket = bucket[order]
-            at = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]])
-            out = [(int(bucket[s]), *[c[s:e].tobytes() for c in cols]) for s, e in zip(at, [*at[1:], len(bucket)], strict=True)]
-            yield pd.DataFrame(out, columns=["bucket", *kinds])
+
+def _other_pairs(members: DataFrame, similarity: float, pack_bytes: int = 4 << 20) -> DataFrame:
+    """All pairs (a, b) of different components that may reach the similarity. members: id, component, s (32 bits of each shingle's hash).
+
+    Sets are dealt into packs. Each pack sends its tokens, each once with its number of sets, to buckets by token; a bucket returns to each
+    pack the tokens that more than one set has, with a level that grows with their number over all documents. With these the pack orders each
+    set, rarest first, and posts what its prefix shares under the token; the sets posted under a token are compared.
+    """
+    packs = (members.agg(F.sum(F.octet_length("s"))).first()[0] or 0) // pack_bytes + 1
+    kinds = {"h": np.uint32, "ids": np.int64, "comp": np.int64, "n": np.int32, "place": np.int32, "shared": np.int32}
+    bucket_of = lambda tokens: tokens % np.uint32(packs)
+    rows = members.withColumn("pack", F.pmod(F.xxhash64("id", F.lit(6)), F.lit(packs)).cast("long"))
+
+    def send(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
+        tokens, count = np.unique(_unpacked(part["s"], np.uint32), return_counts=True)
+        return _parcels(bucket_of(tokens), {"tokens": tokens, "many": np.minimum(count, 255).astype(np.uint8)}).assign(pack=key[0])
+
+    def count(group: pd.DataFrame) -> pd.DataFrame:
+        tokens = _unpacked(group["tokens"], np.uint32)
+        _, inverse = np.unique(tokens, return_inverse=True)
+        total = np.bincount(inverse, _unpacked(group["many"], np.uint8))[inverse]
+        level = np.minimum(255, np.floor(8 * np.log2(total))).astype(np.uint8)  # 0 for a token of one set
+        at, out = 0, []
+        for pack, raw in zip(group["pack"], group["tokens"], strict=True):
+            n = len(raw) // 4
+            own = level[at : at + n] > 0
+            if own.any():
+                out.append((pack, tokens[at : at + n][own].tobytes(), level[at : at + n][own].tobytes()))
+            at += n
+        return pd.DataFrame(out, columns=["pack", "tokens", "levels"])
+
+    def post(key: tuple, part: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
+        if not len(part) or not len(told):
+            return _parcels(np.empty(0, dtype=np.int64), {k: np.empty(0, dtype=t) for k, t in kinds.items()})
+        known, level_of = _unpacked(told["tokens"], np.uint32), _unpacked(told["levels"], np.uint8)
+        order = np.argsort(known)
+        known, level_of = known[order], level_of[order]
+        tokens, size = _unpacked(part["s"], np.uint32), part["s"].map(len).to_numpy(np.int64) // 4
+        owner = np.repeat(np.arange(len(part)), size)
+        at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+        level = np.where(known[at] == tokens, level_of[at], 0)
+        which, place, shared = rarest_first(tokens, owner, level, size, similarity)
+        own = owner[which]
+        cols = (tokens[which], part["id"].to_numpy()[own], part["component"].to_numpy()[own], size[own], place, shared)
+        return _parcels(bucket_of(tokens[which]), {k: c.astype(t) for (k, t), c in zip(kinds.items(), cols, strict=True)})
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
-        return prefix_pairs(*[np.frombuffer(b"".join(group[c]), dtype=t) for c, t in kinds.items()], similarity)
+        return prefix_pairs(*[_unpacked(group[c], t) for c, t in kinds.items()], similarity)
 
-    dealt = members.mapInPandas(deal, "bucket int, " + ", ".join(f"{c} binary" for c in kinds))
-    pairs = dealt.groupBy("bucket").applyInPandas(search, "a long, b long, shared long, least long")
-    return pairs.groupBy("a", "b").agg(F.sum("shared").alias("shared"), F.max("least").alias("least")).where("shared >= least").select("a", "b")
+    by_pack = rows.groupBy("pack")
+    told = by_pack.applyInPandas(send, "bucket long, tokens binary, many binary, pack long").groupBy("bucket").applyInPandas(count, "pack long, tokens binary, levels binary")
+    posted = by_pack.cogroup(told.groupBy("pack")).applyInPandas(post, "bucket long, " + ", ".join(f"{c} binary" for c in kinds))
+    return posted.groupBy("bucket").applyInPandas(search, "a long, b long").distinct()
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float, chunk_bytes: int = 6 << 20) -> DataFrame:
@@ -277,7 +298,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: float, chunk_bytes
 
 
 def drop_near_duplicates(
-    docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, lanes: int = 4, tables: int = 48, bits: int = 16, radius: int = 50, chunk: int = 1024, sample: int = 10_000, common: int = 50_000, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, lanes: int = 4, tables: int = 48, bits: int = 16, radius: int = 50, chunk: int = 1024, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``docs`` with only the smallest id of each group of near duplicates, all columns unchanged.
 
@@ -285,54 +306,45 @@ def drop_near_duplicates(
     ``similarity`` or more; groups are the connected components; exact. First candidates come from SimHash fingerprints
     of the distinct shingles, ``lanes`` * 64 bits: pairs that agree on the ``bits`` masked bits of one of ``tables`` upper nodes and differ in at most
     ``radius`` bits, found in Gray order; each candidate is then checked exactly, so no other pair is linked.
-    They miss about 4 % of the pairs of similarity 0.8 and more of short texts, so an index of prefixes then finds every pair of different groups
-    that may reach the similarity (rarest shingles first, as a sample tells; the order only matters for the work), checked alike.
-    Equal word sequences are one entry. Fingerprints that are near by chains form a crowd; inside a crowd all pairs within the
-    radius count as candidates, so the tables only have to connect it. Sets of shingles meet in chunks of ``chunk`` texts, where
-    pairs that are joined already are not asked again; no pair of texts is ever a row.
-
-    Null texts and texts without words are copies of each other. Rows that repeat id and text count once. Rows
-    without an id are kept and take no part. An empty table gives an empty result. Added names start with
-    two underscores.
+    They miss about 4 % of the pairs of similarity 0.8 and more of short texts, so an index of prefixes, rarest shingles first by
+    their counts over all documents, then finds every pair of different groups that may reach the similarity, checked alike.
+    Equal word sequences are one entry. Fingerprints that are near by chains form a crowd; crowds are joined in chunks of ``chunk`` texts.
+
+    A node is an (id, text); an id with several texts takes part with each of them. Null texts and texts without words are
+    copies of each other. Of rows that repeat id and text one stays. Rows without an id are kept and take no part; ids are
+    integers. An empty table gives an empty result. Columns may have any names and kinds.
     """
-    spark = docs.sparkSession
-    keyed = docs.withColumn("__h", F.xxhash64(text_col)).withColumn("__id", F.col(id_col).cast("long"))
-    known = keyed.where("__id IS NOT NULL")
-    texts = known.select(F.col("__id").alias("id"), F.col("__h").alias("h"), F.col(text_col).alias("text"))
-    pack = prefix_of(_common(texts, shingle, sample, common), similarity)
-    prints = fingerprints(texts.select(F.struct("id", "h").alias("k"), F.col("text").alias("t")), shingle=shingle, lanes=lanes, distinct=True, also=pack, id_col="k", text_col="t")
-    prints = written(prints.select(F.col("doc_id.id").alias("__id"), F.col("doc_id.h").alias("__h"), "content", "n_shingles", "also", *[f"fp{k}" for k in range(lanes)]))
-    # one entry for each word sequence: the smallest (id, h), with its fingerprint
-    first = F.min(F.struct(F.col("__id").alias("id"), F.col("__h").alias("h"), *[f"fp{k}" for k in range(lanes)])).alias("f")
-    distinct = written(prints.groupBy("content", "n_shingles").agg(first).select("content", "n_shingles", "f.*"))
-    # an id with several texts: only its first text may stand for it in pairs
-    nodes = written(distinct.groupBy("id").agg(F.min(F.struct("h", *[f"fp{k}" for k in range(lanes)])).alias("f")).select("id", "f.*"))
-    n = nodes.count()
-    buckets = 1 << max(0, min(bits, (n // 100_000).bit_length()))
-    crowd = connected_components(written(_crowds(nodes, lanes, tables, bits, radius, buckets))).select(F.col("node").alias("id"), F.col("component").alias("crowd"))
-    crowd = written(crowd.join(written(crowd.groupBy("crowd").agg(F.count("*").alias("n"))), "crowd"))
-    named = nodes.join(crowd, "id")
+    keyed = docs.select(F.struct("*").alias("row"), F.xxhash64(text_col).alias("h"), F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = keyed.where("id IS NOT NULL").select("id", "h", "text")
+    short = lambda u: (u >> np.uint64(32)).astype(np.uint32).tobytes()
+    names = [f"fp{k}" for k in range(lanes)]
+    prints = fingerprints(texts.select(F.struct("id", "h").alias("k"), F.col("text").alias("t")), shingle=shingle, lanes=lanes, distinct=True, also=short, id_col="k", text_col="t")
+    prints = written(prints.select("doc_id.id", "doc_id.h", "content", "n_shingles", "also", *names))
+    # one entry for each word sequence: the smallest (id, h), with its fingerprint; numbered in this order
+    first = F.min(F.struct("id", "h", *names)).alias("f")
+    nodes = written(globally_ranked(prints.groupBy("content", "n_shingles").agg(first).select("f.*"), ["id", "h"], "node"))
+    numbered = nodes.select(F.col("node").alias("id"), *names)
+    buckets = 1 << max(0, min(bits, (nodes.count() // 100_000).bit_length()))
+    crowd = connected_components(written(_crowds(numbered, lanes, tables, bits, radius, buckets))).withColumnRenamed("component", "crowd")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             yield b.drop(columns="text").assign(s=[np.unique(shingle_hashes(t, shingle)).tobytes() for t in b["text"]])
 
-    names = [f"fp{k}" for k in range(lanes)]
-    asked = texts.join(named, ["id", "h"]).dropDuplicates(["id", "h"]).select("id", *names, "crowd", "n", "text")
-    schema = "id long, " + ", ".join(f"{c} long" for c in names) + ", crowd long, n long, s binary"
-    members = written(asked.mapInPandas(sets, schema))
-    comp = connected_components(written(_verified(members, lanes, radius, similarity, members.count(), chunk)))
+    asked = texts.join(nodes.join(crowd, "node"), ["id", "h"]).dropDuplicates(["id", "h"])
+    asked = asked.select(F.col("node").alias("id"), *names, "crowd", "text")
+    members = written(asked.mapInPandas(sets, "id long, " + ", ".join(f"{c} long" for c in names) + ", crowd long, s binary"))
+    comp = written(connected_components(written(_verified(members, names, radius, similarity, chunk))))
     # pairs that the fingerprints do not show, between the groups so far
-    grouped = nodes.select("id", "h").join(comp.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    packed = prints.select(F.col("__id").alias("id"), F.col("__h").alias("h"), "also").dropDuplicates(["id", "h"])
-    parts = max(1, prints.agg(F.sum(F.octet_length("also"))).first()[0] or 0) // 400_000 + 1
-    pairs = written(_other_pairs(packed.join(written(grouped), ["id", "h"]).select("id", "component", "also"), similarity, parts))
-    ends = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct().join(nodes.select("id", "h"), "id")
-    ends = texts.join(written(ends), ["id", "h"]).dropDuplicates(["id", "h"]).select("id", "text")
+    grouped = nodes.select("node", "id", "h").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    packed = prints.select("id", "h", "also").dropDuplicates(["id", "h"]).join(written(grouped), ["id", "h"])
+    packed = packed.select(F.col("node").alias("id"), "component", F.col("also").alias("s"))
+    pairs = written(_other_pairs(written(packed), similarity))
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "id", "h"), "node")
+    ends = texts.join(written(ends), ["id", "h"]).dropDuplicates(["id", "h"]).select(F.col("node").alias("id"), "text")
     more = written(_confirmed(pairs, written(ends.mapInPandas(sets, "id long, s binary")), similarity))
     comp = connected_components(written(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)))
-    kept = distinct.join(comp.select(F.col("node").alias("id"), "component"), "id", "left").where("component IS NULL OR component = id")
-    kept = kept.select(F.col("id").alias("__id"), F.col("h").alias("__h")).distinct()
-    once = Window.partitionBy("__id", "__h").orderBy("__h")
-    out = keyed.join(kept, ["__id", "__h"], "left_semi").withColumn("__n", F.row_number().over(once)).where("__n = 1")
-    return out.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+    kept = written(nodes.select("node", "id", "h").join(comp, "node", "left").where("component IS NULL OR component = node").select("id", "h"))
+    once = Window.partitionBy("id", "h").orderBy("h")
+    out = keyed.select("row", "id", "h").join(kept, ["id", "h"], "left_semi").withColumn("nth", F.row_number().over(once)).where("nth = 1")
+    return out.select("row").unionByName(keyed.where("id IS NULL").select("row")).select("row.*")

@@ -294,23 +294,40 @@ def test_near_duplicates_at_the_threshold(spark):
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want))
 
 
-def test_prefixes_show_every_similar_pair():
-    rng = np.random.default_rng(3)
-    pool = rng.integers(0, 1 << 63, 300).astype(np.uint64)
-    for common in (np.empty(0, dtype=np.uint64), rng.permutation(pool)[:150]):
-        sets = []
-        for _ in range(60):
-            base = rng.choice(pool, rng.integers(1, 120), replace=False)
-            sets += [np.unique(base), np.unique(np.r_[base[rng.random(len(base)) > 0.08], rng.choice(pool, len(base) // 12)])]
-        packed = [np.frombuffer(neardup.prefix_of(common, 0.8)(s), dtype=np.uint32) for s in sets]
-        k = np.array([len(p) - 1 for p in packed])
-        ids = np.repeat(np.arange(len(sets)), k)
-        pos = np.concatenate([np.arange(x) + 1 for x in k])
-        got = neardup.prefix_pairs(np.concatenate([p[1:] for p in packed]), ids, ids, np.repeat([int(p[0]) for p in packed], k), pos, 0.8, block=500)
-        got = {(a, b) for a, b, shared, least in got.itertuples(index=False) if shared >= least}
-        both = lambda a, b: len(np.intersect1d(sets[a], sets[b]))
-        want = {(a, b) for b in range(len(sets)) for a in range(b) if both(a, b) >= 0.8 * (len(sets[a]) + len(sets[b]) - both(a, b)) and len(sets[a])}
-        assert len(want) > 20 and want <= got
+@pytest.mark.parametrize("spread", [40, 4000])
+def test_prefixes_show_every_similar_pair(spark, spread):
+    """Sets over few and over many values; all similar pairs are shown, and of far ones most are not."""
+    rng = np.random.default_rng(spread)
+    sets = []
+    for _ in range(60):
+        base = rng.choice(spread, rng.integers(1, min(spread, 120)), replace=False)
+        sets += [np.unique(base), np.unique(np.r_[base[rng.random(len(base)) > 0.08], rng.choice(spread, len(base) // 12)])]
+    sets = [simhash.mix64(x.astype(np.uint64)) for x in sets]
+    rows = [(i, i // 7, (s >> np.uint64(32)).astype(np.uint32).tobytes()) for i, s in enumerate(sets)]
+    got = neardup._other_pairs(spark.createDataFrame(rows, "id long, component long, s binary"), 0.8, pack_bytes=3000).collect()
+    both = lambda a, b: len(np.intersect1d(sets[a], sets[b]))
+    want = {(a, b) for b in range(len(sets)) for a in range(b) if a // 7 != b // 7 and len(sets[a]) and both(a, b) >= 0.8 * (len(sets[a]) + len(sets[b]) - both(a, b))}
+    found = [(r["a"], r["b"]) for r in got]
+    assert want and len(found) == len(set(found)) and want <= set(found)
+    if spread > 1000:
+        assert len(found) < 3 * len(want) + 10
+
+
+def test_a_crowd_larger_than_a_chunk(spark):
+    """Near copies of one page, far more than meet in one task, and pages that are like them but too far."""
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    page = [word() for _ in range(200)]
+    texts = []
+    for _ in range(150):
+        w = list(page)
+        for _ in range(rng.choice((1, 2, 3, 9, 12))):
+            w[rng.randrange(200)] = word()
+        texts.append(" ".join(w))
+    want = brute_near_duplicates(texts)
+    for chunk in (16, 64):
+        kept = neardup.drop_near_duplicates(docs(spark, list(enumerate(texts))), chunk=chunk)
+        assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want))
 
 
 def test_near_duplicates_in_odd_tables(spark):
@@ -318,6 +335,19 @@ def test_near_duplicates_in_odd_tables(spark):
     rows = [(1, "a b c d e f g"), (1, "a b c d e f g"), (2, "A b c d e f g"), (None, "a b c d e f g"), (None, None), (3, "other words that stand here alone")]
     got = neardup.drop_near_duplicates(docs(spark, rows)).collect()
     assert sorted((r["doc_id"] or 0) for r in got) == [0, 0, 1, 3]
+    # an id with two texts: each counts
+    two = [(5, "p q r s t u v"), (7, "h i j k l m n o"), (7, "p q r s t u v"), (9, "H i j k l m n o"), (11, "x " * 60_000)]
+    got = neardup.drop_near_duplicates(docs(spark, two)).collect()
+    assert sorted((r["doc_id"], r["text"][:1]) for r in got) == [(5, "p"), (7, "h"), (11, "x")]
+
+
+def test_near_duplicates_keep_columns_of_any_name(spark):
+    names = ["doc_id", "text", "id", "h", "node", "row", "nth", "a.b", "__h", "component", "Fp0"]
+    rows = [(1, "a b c d e f g", *["v"] * 9), (2, "A b c d e f g", *["w"] * 9), (None, None, *["z"] * 9)]
+    table = spark.createDataFrame(rows, ", ".join(f"`{n}` {'long' if n == 'doc_id' else 'string'}" for n in names))
+    got = neardup.drop_near_duplicates(table)
+    assert got.columns == names
+    assert sorted(tuple(r) for r in got.collect() if r[0]) == [rows[0]] and got.count() == 2
 
 
 # ---- classifiers
