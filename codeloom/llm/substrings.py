@@ -113,16 +113,18 @@ def drop_repeats(
     A word goes if a window of ``window`` words around it also starts earlier: in a smaller doc_id, or earlier in
     the same document. Words are ``[^\\x20\\x09-\\x0D]+``; kept_text is the kept words joined by one space.
 
-    Documents are dealt into packs by a hash of their id. (1) Each pack renames its words by recompression and sends the
+    Documents are dealt into packs by a hash of id and text. (1) Each pack renames its words by recompression and sends the
     anchors of its windows, each once, to buckets by name; (2) a bucket returns to each pack the anchors that
     occur more than once; (3) each pack sends the windows on such anchors, each once, with their hash and first
-    place, to buckets by anchor; (4) a bucket returns to each pack the windows that start earlier elsewhere;
+    place, to buckets by anchor and hash; (4) a bucket returns to each pack the windows that start earlier elsewhere;
     (5) the pack removes their words. A text repeated in a third of all documents costs a bucket one entry per
-    pack, so there are no hot keys. Windows are compared by 128 bits of hash (anchor and window).
+    pack, and a phrase that different windows hold spreads over all buckets, so there are no hot keys. Windows are
+    compared by 128 bits of hash (anchor and window).
 
     ``window`` is at least 16 (else no symbol is certain). Null texts have no words: n_words 0, kept_text "". Rows that repeat an id
-    are versions of one document: a window is only earlier by id, then by place. Null ids come after all others.
-    An empty table gives an empty result. Names in ``carry`` that clash with the result's own are an error.
+    are versions of one document: a window is only earlier by id, then by place. Null ids come after all others; ids are integers.
+    An empty table gives an empty result. Names in ``carry`` that clash with the result's own are an error; the text may be among
+    them and is sent once. Other columns are not read.
     """
     if window < 2 ** (ROUNDS + 1):
         raise ValueError(f"window must be at least {2 ** (ROUNDS + 1)}")
@@ -131,7 +133,10 @@ def drop_repeats(
         raise ValueError(f"columns in the way: {sorted(clash)}")
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     packs = max(1, -(-size // pack_bytes))
-    rows = docs.select(F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("long"), F.lit(-1)), F.lit(4)), F.lit(packs)).alias("__pack"), F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("__text"), *carry)
+    kinds = {c: docs.schema[c].dataType.simpleString() for c in carry}
+    own_id = F.col(f"`{id_col}`").cast("long")
+    pack = F.pmod(F.xxhash64(own_id, F.col(text_col), F.lit(4)), F.lit(packs)).alias("__pack")
+    rows = docs.select(pack, F.coalesce(own_id, F.lit(NO_ID)).alias("doc_id"), F.col(text_col).alias("__text"), *[c for c in carry if c != text_col])
 
     def ids_of(part: pd.DataFrame) -> np.ndarray:
         return part["doc_id"].to_numpy(np.int64)
@@ -139,6 +144,9 @@ def drop_repeats(
     def bucket_of(names: np.ndarray) -> np.ndarray:
         return (mix64(names) % np.uint64(packs)).astype(np.int64)
 
+    def own(part: pd.DataFrame, c: str) -> pd.Series:
+        return part["__text" if c == text_col else c]
+
     def send_anchors(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         names, count = np.unique(Pack(part["__text"].tolist(), window).anchors, return_counts=True)
         return _dealt(bucket_of(names), int(key[0]), {"names": names, "many": count > 1})
@@ -169,7 +177,7 @@ def drop_repeats(
         order = np.lexsort((place, ids, h, a))
         once = order[np.r_[True, (h[order][1:] != h[order][:-1]) | (a[order][1:] != a[order][:-1])]]
         once = once[np.lexsort((place[once], ids[once]))]
-        return _dealt(bucket_of(a[once]), int(key[0]), {"anchors": a[once], "hashes": h[once], "ids": ids[once], "places": place[once]})
+        return _dealt(bucket_of(a[once] + mix64(h[once])), int(key[0]), {"anchors": a[once], "hashes": h[once], "ids": ids[once], "places": place[once]})
 
     def later_windows(group: pd.DataFrame) -> pd.DataFrame:
         a, h = _all(group, "anchors", np.uint64), _all(group, "hashes", np.uint64)
@@ -213,7 +221,7 @@ def drop_repeats(
             total.append(t - f)
             removed.append(t - f - len(stay))
             kept.append(b" ".join([raw[x:y] for x, y in zip(p.s[stay].tolist(), p.e[stay].tolist(), strict=True)]).decode("utf-8", "surrogatepass"))
-        return pd.DataFrame({"doc_id": part["doc_id"], "n_words": total, "n_removed": removed, "kept_text": kept} | {c: part[c] for c in carry})
+        return pd.DataFrame({"doc_id": part["doc_id"], "n_words": total, "n_removed": removed, "kept_text": kept} | {c: own(part, c) for c in carry})
 
     by_pack, key = rows.groupBy("__pack"), F.col("__pack")
     told = (
@@ -227,7 +235,6 @@ def drop_repeats(
         .groupBy("bucket")
         .applyInPandas(later_windows, "__pack long, anchors binary, hashes binary")
     )
-    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
     out = ", ".join(["doc_id long", "n_words long", "n_removed long", "kept_text string", *[f"`{c}` {kinds[c]}" for c in carry]])
     result = by_pack.cogroup(later.groupBy(key)).applyInPandas(remove, out)
     return result.withColumn("doc_id", F.when(F.col("doc_id") != NO_ID, F.col("doc_id")))
