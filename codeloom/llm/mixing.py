@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import functools
 import heapq
+import itertools
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import globally_ranked, written
-
-#: The schedule's tables are broadcast; they grow with the number of sources and the sum of weights, so both are checked.
-MAX_SOURCES, MAX_SLOTS = 1000, 1_000_000
+from codeloom.llm.common import globally_ranked, partitions, written
 
+#: A schedule with more rows than this is joined by shuffle.
+BROADCAST_ROWS = 200_000
 
 def pfair_period(weights: dict[str, int]) -> list[tuple[str, int]]:
     """One period of the schedule: (source, its block's number) for each of sum(weights) slots.
@@ -36,25 +38,23 @@ def pfair_period(weights: dict[str, int]) -> list[tuple[str, int]]:
     return out
 
 
-def phases(blocks: dict[str, int], weights: dict[str, int], max_epochs: int) -> list[tuple[dict[str, int], int, dict[str, int]]]:
-    """(weights, periods, first block of each source) of each phase, until every source has run once in full.
+def phases(blocks: dict[str, int], weights: dict[str, int], max_epochs: int) -> Iterator[tuple[int, int, dict[str, int]]]:
+    """(first period, number of periods, blocks of each source in one of them) of each phase, until every source has run once in full.
 
-    A source runs for at most ``max_epochs`` epochs and then leaves; the others share what it leaves in the
-    ratio of their weights. A source with fewer blocks left than its weight gets one short period.
+    Each period gives a source as many blocks as its weight, or what is left of its ``max_epochs`` epochs; then it leaves, and the others
+    share what it leaves in the ratio of their weights. A phase is a run of periods that give the same.
     """
-    used, out = dict.fromkeys(blocks, 0), []
-    while any(used[s] < n for s, n in blocks.items()):
-        left = {s: n * max_epochs - used[s] for s, n in blocks.items() if n * max_epochs > used[s]}
-        active = {s: min(weights[s], n) for s, n in left.items()}
-        whole = active == {s: weights[s] for s in left}
-        periods = 1
-        if whole:
-            last = max(-(-(blocks[s] - used[s]) // weights[s]) for s in left)
-            periods = max(1, min(min(n // weights[s] for s, n in left.items()), last))
-        out.append((active, periods, {s: used[s] for s in active}))
-        for s, a in active.items():
-            used[s] += a * periods
-    return out
+    all_ = {s: n * max_epochs for s, n in blocks.items()}
+    end = max((-(-n // weights[s]) for s, n in blocks.items()), default=0)
+    cuts = {0, end} | {q for s, n in all_.items() for q in (n // weights[s], -(-n // weights[s])) if q < end}
+    for q, nxt in itertools.pairwise(sorted(cuts)):
+        left = {s: min(weights[s], n - weights[s] * q) for s, n in all_.items()}
+        yield q, nxt - q, {s: n for s, n in left.items() if n > 0}
+
+
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    """``table``, to be broadcast if it has at most BROADCAST_ROWS; a larger one is joined by shuffle."""
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
 
 
 def pfair_mix(
@@ -68,6 +68,9 @@ def pfair_mix(
     ``position`` = slot * block_rows + place in the block. No row is ever dropped. Sources without a weight get
     ``default_weight``. Null sources count as the source "". Null ids are kept. Rows that repeat id and source
     share a position. An empty table gives an empty result; other columns are not read.
+
+    The driver holds one number a source and plans one period of each phase; the plan is written piece by piece, so any number
+    of sources and slots will do. n sources that end at different times make n phases.
     """
     if min([default_weight, *weights.values()]) < 1:
         raise ValueError("weights are positive integers")
@@ -75,39 +78,42 @@ def pfair_mix(
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col), F.lit("")).alias("source"))
     once = narrow.groupBy("doc_id", "source").agg(F.count("*").alias("__copies")).withColumn("__h", F.xxhash64("doc_id"))
     ranked = globally_ranked(once, ["source", "__h", "doc_id"], "__rank")
-    sizes = {r["source"]: r["n"] for r in ranked.groupBy("source").agg(F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()}
-    if len(sizes) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources: group them first")
+    sizes = {r["source"]: r["n"] for r in ranked.groupBy("source").agg(F.count("*").alias("n")).collect()}  # one row a source
+    share = {s: weights.get(s, default_weight) for s in sizes}
     starts, first = [], 0
     for s in sorted(sizes, key=lambda s: s.encode()):
-        starts.append((s, first, -(-sizes[s] // block_rows)))
+        starts.append((s, first, -(-sizes[s] // block_rows), share[s]))
         first += sizes[s]
-    share = {s: weights.get(s, default_weight) for s in sizes}
-    plan, places, begin = [], [], 0
-    for f, (active, periods, at) in enumerate(phases({s: n for s, _, n in starts}, share, max_epochs)):
+    pieces, rows, held, begins, begin, end = [], 0, [], [], 0, 0
+    kind = "source string, phase int, __k long, __t long, __a long, __period long, __q long, __begin long"
+    for f, (q, periods, active) in enumerate(phases({s: n for s, _, n, _ in starts}, share, max_epochs)):
         period = sum(active.values())
-        plan += [(s, f, at[s], at[s] + a * periods, a, period, begin) for s, a in active.items()]
-        places += [(s, f, k, t) for t, (s, k) in enumerate(pfair_period(active))]
-        if len(places) > MAX_SLOTS:
-            raise ValueError(f"more than {MAX_SLOTS} slots in all periods: use smaller weights or group sources")
-        begin += period * periods
-    sources = F.broadcast(spark.createDataFrame(starts, "source string, __first long, __blocks long"))
-    spans = F.broadcast(spark.createDataFrame(plan, "source string, phase int, __from long, __to long, __a long, __period long, __begin long"))
-    order = F.broadcast(spark.createDataFrame(places, "source string, phase int, __k long, __t long"))
-    k, a, p = F.col("__n") - F.col("__from"), F.col("__a"), F.col("__period")
+        begins.append(q)
+        for t, (s, k) in enumerate(pfair_period(active)):
+            held.append((s, f, k, t, active[s], period, q, begin))
+            if len(held) == BROADCAST_ROWS:
+                pieces.append(written(spark.createDataFrame(held, kind)))
+                rows, held = rows + len(held), []
+        begin, end = begin + period * periods, q + periods
+    pieces.append(spark.createDataFrame(held, kind))
+    order = _small(functools.reduce(DataFrame.unionByName, pieces), rows + len(held))
+    sources = _small(spark.createDataFrame(starts, "source string, __first long, __blocks long, __w long"), len(starts))
+    phase_at = F.split(F.lit(",".join(map(str, begins or [0]))), ",").cast("array<long>")
+    k, a, p = F.col("__n") - F.col("__w") * F.col("__q"), F.col("__a"), F.col("__period")
     return (
         ranked.join(sources, "source")
         .withColumn("__in", F.col("__rank") - F.col("__first"))
         .withColumn("block", F.floor(F.col("__in") / block_rows))
         .withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(max_epochs - 1))))
         .withColumn("__n", F.col("epoch") * F.col("__blocks") + F.col("block"))
-        .join(spans, "source")
-        .where((F.col("__n") >= F.col("__from")) & (F.col("__n") < F.col("__to")))
+        .withColumn("__own", F.floor(F.col("__n") / F.col("__w")))  # the period that this block is for
+        .withColumn("phase", F.size(F.filter(phase_at, lambda x: x <= F.col("__own"))) - 1)
+        .withColumn("__k", F.col("__n") % F.col("__w"))
+        .join(order, ["source", "phase", "__k"])
+        .where(F.col("__own") < end)
         .withColumn("release", F.floor(k * p / a))
         .withColumn("deadline", F.ceil((k + 1) * p / a))
-        .withColumn("__k", k % a)
-        .join(order, ["source", "phase", "__k"])
-        .withColumn("slot", F.col("__begin") + F.floor(k / a) * p + F.col("__t"))
+        .withColumn("slot", F.col("__begin") + (F.col("__own") - F.col("__q")) * p + F.col("__t"))
         .withColumn("position", F.col("slot") * block_rows + F.col("__in") % block_rows)
         .withColumn("__each", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
         .select("doc_id", "source", "epoch", "block", "phase", "release", "deadline", "slot", "position")
@@ -115,11 +121,10 @@ def pfair_mix(
 
 
 def mixed_documents(docs: DataFrame, weights: dict[str, int], *, id_col: str = "doc_id", source_col: str = "source", **options) -> DataFrame:
-    """The rows of ``docs`` with all their columns, as often as the mix uses them, written in its order."""
+    """The rows of ``docs`` with all their columns, of any names, as often as the mix uses them, written in its order."""
     mix = pfair_mix(docs, weights, id_col=id_col, source_col=source_col, **options)
-    places = written(mix.select("doc_id", "source", "position").distinct())
-    keyed = docs.withColumn("__id", F.col(id_col)).withColumn("__source", F.coalesce(F.col(source_col), F.lit("")))
-    places = places.select(F.col("doc_id").alias("__pid"), F.col("source").alias("__ps"), F.col("position").alias("__position"))
-    out = keyed.join(places, F.col("__id").eqNullSafe(F.col("__pid")) & (F.col("__source") == F.col("__ps")))
-    n = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return out.repartitionByRange(n, "__position").sortWithinPartitions("__position").select(*docs.columns)
+    places = written(mix.select(F.col("doc_id").alias("id"), F.col("source").alias("s"), "position").distinct())
+    keyed = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("own_id"), F.coalesce(F.col(source_col), F.lit("")).alias("own_s"))
+    out = keyed.join(places, F.col("own_id").eqNullSafe(F.col("id")) & (F.col("own_s") == F.col("s")))
+    n = partitions(docs.sparkSession, 2)
+    return out.select("row", "position").repartitionByRange(n, "position").sortWithinPartitions("position").select("row.*")

@@ -127,6 +127,54 @@ def test_mix_against_a_slot_by_slot_run(spark, epochs):
         assert mine == sorted(mine)
 
 
+def slot_by_slot(blocks, weights, epochs):
+    """The source and block number of each slot, by an earliest-deadline-first run that looks at every source in every slot."""
+    out, used = [], dict.fromkeys(blocks, 0)
+    while any(used[s] < n for s, n in blocks.items()):
+        active = {s: min(weights[s], n * epochs - used[s]) for s, n in blocks.items() if n * epochs > used[s]}
+        period, done = sum(active.values()), Counter()
+        for t in range(period):
+            released = [s for s in active if done[s] < active[s] and done[s] * period // active[s] <= t]
+            s = min(released, key=lambda s: (-(-(done[s] + 1) * period // active[s]), s))
+            out.append((s, used[s] + done[s]))
+            done[s] += 1
+        for s, a in active.items():
+            used[s] += a
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_mix_equals_an_independent_schedule(spark, seed):
+    rng = random.Random(seed)
+    sizes = {f"s{i}": rng.randrange(1, 60) for i in range(6)}
+    weights, epochs = {f"s{i}": rng.randrange(1, 6) for i in range(4)}, rng.choice((1, 2, 3))
+    rows = [(d, "t", s) for d, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    got = mixing.pfair_mix(docs(spark, rows), weights, block_rows=4, max_epochs=epochs).collect()
+    blocks = {s: -(-n // 4) for s, n in sizes.items()}
+    want = slot_by_slot(blocks, {s: weights.get(s, 1) for s in sizes}, epochs)
+    assert {r["slot"]: (r["source"], r["epoch"] * blocks[r["source"]] + r["block"]) for r in got} == dict(enumerate(want))
+
+
+@pytest.mark.parametrize("most", [200_000, 50])
+def test_any_number_of_sources(spark, monkeypatch, most):
+    """1,200 sources of one to three blocks, with the plan broadcast and joined by shuffle."""
+    monkeypatch.setattr(mixing, "BROADCAST_ROWS", most)
+    n = 1200 if most > 100 else 60
+    rows = [(d, "t", f"s{d % n}") for d in range(2 * n)] + [(10_000 + d, "t", "s1") for d in range(3)]
+    got = mixing.pfair_mix(docs(spark, rows), {"s1": 2}, block_rows=2).collect()
+    assert sorted(r["doc_id"] for r in got) == sorted(d for d, _, _ in rows)
+    assert len({r["position"] for r in got}) == len(got)
+    assert {r["slot"] for r in got} == set(range(n + 2))
+
+
+def test_mixed_documents_keep_columns_of_any_name(spark):
+    names = ["doc_id", "text", "source", "id", "own_id", "row", "position", "s", "a.b", "__id"]
+    rows = [(i, "t", "a", *[f"v{i}"] * 7) for i in range(5)]
+    table = spark.createDataFrame(rows, ", ".join(f"`{n}` {'long' if n == 'doc_id' else 'string'}" for n in names))
+    got = mixing.mixed_documents(table, {})
+    assert got.columns == names and sorted(map(tuple, got.collect())) == rows
+
+
 def test_mix_of_odd_tables(spark):
     assert mixing.pfair_mix(docs(spark, []), {"a": 1}).isEmpty()
     rows = [(1, "t", "a"), (1, "t", "a"), (None, None, None), (2, "u", "a")]
