@@ -26,11 +26,14 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Windows of 20 words that also start earlier go from the texts; n_chars follows. Texts without any are unchanged."""
-    cut = substrings.drop_repeats(docs.withColumnRenamed("doc_id", "id"), id_col="id", carry=[c for c in docs.columns if c != "doc_id"])
+    names = {c: f"c{k}" for k, c in enumerate(docs.columns)}  # so that no name is in the operator's way
+    own, rest = docs.toDF(*names.values()), [n for c, n in names.items() if c != "doc_id"]
+    cut = substrings.drop_repeats(own, id_col=names["doc_id"], text_col=names["text"], carry=rest)
     changed = F.col("n_removed") > 0
-    kept = cut.withColumn("text", F.when(changed, F.col("kept_text")).otherwise(F.col("text")))
-    kept = kept.withColumn("n_chars", F.when(changed, F.length("kept_text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
-    return kept.withColumn("doc_id", F.col("doc_id").cast(docs.schema["doc_id"].dataType)).select(*docs.columns)
+    now = {"doc_id": F.col("doc_id"), "text": F.when(changed, F.col("kept_text")).otherwise(F.col(names["text"]))}
+    if "n_chars" in names:
+        now["n_chars"] = F.when(changed, F.length("kept_text")).otherwise(F.col(names["n_chars"]))
+    return cut.select(*[now.get(c, F.col(n)).cast(docs.schema[c].dataType).alias(c) for c, n in names.items()])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
