@@ -40,6 +40,15 @@ def partitions(spark: SparkSession, at_least: int = 1) -> int:
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: A table of at most so many rows is broadcast; a larger one is joined by shuffle.
+BROADCAST_ROWS = 200_000
+
+
+def small(table: DataFrame, rows: int | None = None) -> DataFrame:
+    """``table``, to be broadcast if it has at most BROADCAST_ROWS; they are counted if not given."""
+    return F.broadcast(table) if (table.count() if rows is None else rows) <= BROADCAST_ROWS else table
+
+
 def globally_ranked(df: DataFrame, order: list[str], rank: str = "rank") -> DataFrame:
     """``df`` with the 0-based position of each row in the total order ``order``; no window over a hot key.
 

@@ -10,10 +10,8 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import globally_ranked, partitions, written
-
-#: A schedule with more rows than this is joined by shuffle.
-BROADCAST_ROWS = 200_000
+from codeloom.llm import common
+from codeloom.llm.common import globally_ranked, partitions, small, written
 
 def pfair_period(weights: dict[str, int]) -> list[tuple[str, int]]:
     """One period of the schedule: (source, its block's number) for each of sum(weights) slots.
@@ -52,11 +50,6 @@ def phases(blocks: dict[str, int], weights: dict[str, int], max_epochs: int) ->
         yield q, nxt - q, {s: n for s, n in left.items() if n > 0}
 
 
-def _small(table: DataFrame, rows: int) -> DataFrame:
-    """``table``, to be broadcast if it has at most BROADCAST_ROWS; a larger one is joined by shuffle."""
-    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
-
-
 def pfair_mix(
     docs: DataFrame, weights: dict[str, int], *, default_weight: int = 1, block_rows: int = 16, max_epochs: int = 1, id_col: str = "doc_id", source_col: str = "source"
 ) -> DataFrame:
@@ -91,13 +84,13 @@ def pfair_mix(
         begins.append(q)
         for t, (s, k) in enumerate(pfair_period(active)):
             held.append((s, f, k, t, active[s], period, q, begin))
-            if len(held) == BROADCAST_ROWS:
+            if len(held) == common.BROADCAST_ROWS:
                 pieces.append(written(spark.createDataFrame(held, kind)))
                 rows, held = rows + len(held), []
         begin, end = begin + period * periods, q + periods
     pieces.append(spark.createDataFrame(held, kind))
-    order = _small(functools.reduce(DataFrame.unionByName, pieces), rows + len(held))
-    sources = _small(spark.createDataFrame(starts, "source string, __first long, __blocks long, __w long"), len(starts))
+    order = small(functools.reduce(DataFrame.unionByName, pieces), rows + len(held))
+    sources = small(spark.createDataFrame(starts, "source string, __first long, __blocks long, __w long"), len(starts))
     phase_at = F.split(F.lit(",".join(map(str, begins or [0]))), ",").cast("array<long>")
     k, a, p = F.col("__n") - F.col("__w") * F.col("__q"), F.col("__a"), F.col("__period")
     return (

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import Union, written
+from codeloom.llm.common import Union, small, written
 from codeloom.llm.components import connected_components
 
 
@@ -26,7 +26,13 @@ def _sample(vectors: DataFrame, rows: int) -> np.ndarray:
     return np.array([r["v"] for r in got], dtype=np.float64)
 
 
-def _distinct(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+def unit_vectors(v: np.ndarray) -> np.ndarray:
+    """Rows of length one; each is scaled by its largest component first, so that no square over- or underflows."""
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def _usable_rows(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(id, v) of the usable rows, components as doubles."""
     return df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("id").isNotNull() & usable(F.col("v")))
 
@@ -88,14 +94,13 @@ def permutation_search(
     an id or of another length than the most common one. Rows that repeat an id are separate candidates, but none of them is one
     for a query of that id. Fewer candidates than k_nearest: all. No usable rows: an empty result. Other columns are not read.
     """
-    rows = _distinct(df, id_col, vector_col)
+    rows = _usable_rows(df, id_col, vector_col)
     size = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
     schema = "query_id long, rank int, vec_id long, score double"
     if size is None:
         return df.sparkSession.createDataFrame([], schema)
     rows = rows.where(F.size("v") == size["n"])
-    unit = _sample(rows, sample_rows)
-    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    unit = unit_vectors(_sample(rows, sample_rows))
     sample = spread_pivots(unit, pivots, 0.0)  # far apart, so that a crowd of near copies does not fill the pivots
     prefix = min(prefix, len(sample))
     n_blocks = max(1, -(-size["count"] // block_rows))
@@ -160,86 +165,94 @@ def cosine_components(
     into chunks of about ``cell_rows`` rows, own by visiting, so that no group outgrows a task; chunks emit per vector one
     count and one link to the smallest id of its set, never all pairs. Components follow from those links.
 
+    A vector's length is part of its cell: each length found in a sample of ``sample_rows`` vectors has up to ``pivots`` pivots, any
+    other length is one cell. Equal rows (id and vector) are one entry with their number.
+
     How much is replicated depends on the data: vectors in clusters stay in their cells; isolated directions of many
     dimensions lie near every border, and then the join is a blocked comparison of all with all.
 
     Vectors that are null, empty, zero or hold a null or non-finite component link with nothing; so do rows without an id (component
     null) and vectors of different length among each other. Rows that repeat an id are vectors of their own but one node: kept is
-    true for each. Repeated vectors link. An empty table gives an empty result. Other columns are not read.
+    true for each, and each counts the others that it links with, equal ones too. Ids are integers. Components of any finite size
+    will do. An empty table gives an empty result. Other columns are not read.
     """
-    spark = df.sparkSession
-    all_rows = df.select(F.col(id_col).alias("vec_id"), F.xxhash64(F.col(vector_col).cast("array<double>")).alias("__v"))
-    rows = _distinct(df, id_col, vector_col).select("id", "v", F.size("v").alias("dim"), F.xxhash64("v").alias("h"))
-    result_kind = df.schema[id_col].dataType.simpleString()
-    dims = sorted(r["dim"] for r in rows.select("dim").distinct().limit(1000).collect())
-    radius = float(np.sqrt(2 - 2 * cosine))
-    counts, links = None, None
-    for dim in dims:
-        part = rows.where(F.col("dim") == dim)
-        c, e = _range_join(part, cosine, radius, pivots, sample_rows, cell_rows)
-        counts, links = (c, e) if counts is None else (counts.unionByName(c), links.unionByName(e))
-    if counts is None:
-        return all_rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    all_rows = df.select(F.col(id_col).alias("vec_id"), F.xxhash64(F.col(vector_col).cast("array<double>")).alias("h"))
+    usable_ = _usable_rows(df, id_col, vector_col)
+    entries = usable_.groupBy("id", F.xxhash64("v").alias("h")).agg(F.count("*").alias("m"), F.first("v").alias("v"))
+    counts, links = _range_join(written(entries), cosine, float(np.sqrt(2 - 2 * cosine)), pivots, sample_rows, cell_rows)
     comp = connected_components(links)
     base = all_rows.withColumn("id", F.col("vec_id").cast("long"))
-    out = base.join(counts.select("id", F.col("h").alias("__v"), "n_links"), ["id", "__v"], "left").join(comp.withColumnRenamed("node", "id"), "id", "left")
-    component = F.coalesce("component", "id").cast(result_kind)
+    out = base.join(counts, ["id", "h"], "left").join(comp.withColumnRenamed("node", "id"), "id", "left")
+    component = F.coalesce("component", "id").cast(df.schema[id_col].dataType)
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))
 
 
 def _range_join(rows: DataFrame, cosine: float, radius: float, pivots: int, sample_rows: int, cell_rows: int) -> tuple[DataFrame, DataFrame]:
-    """(id, h, n_links) of each vector with links and the links (a, b), both written."""
-    sample = _sample(rows, sample_rows)
-    unit = sample / np.linalg.norm(sample, axis=1, keepdims=True)
-    centre = spread_pivots(unit, pivots, radius)
-    between = np.linalg.norm(centre[:, None] - centre[None], axis=2)
+    """(id, h, n_links) of each vector with links and the links (a, b). rows: id, h, m (equal rows), v."""
+    sample: dict[int, list] = {}
+    for r in rows.orderBy(F.xxhash64("id"), "id", "h").limit(sample_rows).select("v").collect():
+        sample.setdefault(len(r["v"]), []).append(r["v"])
+    centres = {n: spread_pivots(unit_vectors(np.array(v)), pivots, radius) for n, v in sample.items()}
+    between = {n: np.linalg.norm(c[:, None] - c[None], axis=2) for n, c in centres.items()}
     slack = 1e-6  # for rounding: replicates a little more than needed
 
+    def by_length(b: pd.DataFrame, column: str, bytes_each: int = 1) -> Iterator[tuple[int, np.ndarray]]:
+        size = b[column].map(len).to_numpy() // bytes_each
+        for n in np.unique(size).tolist():
+            yield n, np.flatnonzero(size == n)
+
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            v = np.stack(b["v"].to_numpy())
-            u = v / np.linalg.norm(v, axis=1, keepdims=True)
-            d = np.sqrt(np.maximum(0, 2 - 2 * (u @ centre.T)))
-            own = d.argmin(axis=1)
-            yield pd.DataFrame({"id": b["id"], "h": b["h"], "cell": own, "near": d.min(axis=1), "d": [x.tobytes() for x in d], "u": [x.tobytes() for x in u]})
+            for n, own in by_length(b, "v"):
+                part = b.iloc[own]
+                u = unit_vectors(np.stack(part["v"].to_numpy()))
+                d = np.sqrt(np.maximum(0, 2 - 2 * (u @ centres[n].T))) if n in centres else np.zeros((len(u), 1))
+                yield pd.DataFrame({"id": part["id"], "h": part["h"], "m": part["m"], "dim": n, "cell": d.argmin(axis=1), "near": d.min(axis=1), "d": [x.tobytes() for x in d], "u": [x.tobytes() for x in u]})
 
-    placed = written(rows.mapInPandas(assign, "id long, h long, cell int, near double, d binary, u binary"))
-    size = {r["cell"]: (r["n"], r["far"]) for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("near").alias("far")).collect()}
-    reach = np.array([size.get(c, (0, -9.0))[1] for c in range(len(centre))])
+    placed = written(rows.mapInPandas(assign, "id long, h long, m long, dim int, cell int, near double, d binary, u binary"))
+    reach = {n: np.full(len(c), -9.0) for n, c in centres.items()}
+    for r in placed.where(F.col("dim").isin(list(centres))).groupBy("dim", "cell").agg(F.max("near").alias("far")).collect():  # one row a pivot
+        reach[r["dim"]][r["cell"]] = r["far"]
 
     def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            d = np.stack([np.frombuffer(x) for x in b["d"]])
-            own = b["cell"].to_numpy()
-            d_own = d[np.arange(len(d)), own][:, None]
-            gap = np.where(between[own] > 0, (d * d - d_own * d_own) / (2 * np.maximum(between[own], 1e-12)), np.inf)
-            go = (gap <= radius + slack) & (d <= radius + reach + slack)
-            go[np.arange(len(d)), own] = True
-            i, cell = np.nonzero(go)
-            yield pd.DataFrame({"id": b["id"].to_numpy()[i], "h": b["h"].to_numpy()[i], "u": b["u"].to_numpy()[i], "cell": cell, "own": cell == own[i]})
-
-    went = written(placed.mapInPandas(visits, "id long, h long, u binary, cell int, own boolean"))
-    guests = {r["cell"]: r["n"] for r in went.groupBy("cell").agg(F.count("*").alias("n")).collect()}
-    plan = [(c, max(1, -(-n // cell_rows)), max(1, -(-guests[c] // (4 * cell_rows)))) for c, (n, _) in size.items()]
-    chunks = F.broadcast(rows.sparkSession.createDataFrame(plan, "cell int, own_chunks int, visit_chunks int"))  # one row a pivot
-    dealt = went.join(chunks, "cell")
+            for n in b["dim"].unique().tolist():
+                part = b[b["dim"] == n]
+                own = part["cell"].to_numpy()
+                if n in centres:
+                    d = np.stack([np.frombuffer(x) for x in part["d"]])
+                    d_own = d[np.arange(len(d)), own][:, None]
+                    gap = np.where(between[n][own] > 0, (d * d - d_own * d_own) / (2 * np.maximum(between[n][own], 1e-12)), np.inf)
+                    go = (gap <= radius + slack) & (d <= radius + reach[n] + slack)
+                    go[np.arange(len(d)), own] = True
+                else:
+                    go = np.ones((len(part), 1), dtype=bool)
+                i, cell = np.nonzero(go)
+                yield pd.DataFrame({**{c: part[c].to_numpy()[i] for c in ("id", "h", "m", "u")}, "dim": n, "cell": cell, "own": cell == own[i]})
+
+    went = written(placed.mapInPandas(visits, "id long, h long, m long, u binary, dim int, cell int, own boolean"))
+    cuts = lambda n, most: F.greatest(F.lit(1), F.ceil(n / most)).cast("int")
+    chunks = written(went.groupBy("dim", "cell").agg(cuts(F.sum(F.col("own").cast("int")), cell_rows).alias("own_chunks"), cuts(F.count("*"), 4 * cell_rows).alias("visit_chunks")))
+    dealt = went.join(small(chunks), ["dim", "cell"])
     part = lambda n, seed: F.pmod(F.xxhash64("id", "h", F.lit(seed)), F.col(n)).cast("int")
-    hosts = dealt.where("own").select("id", "h", "u", "cell", part("own_chunks", 1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("visit_chunks") - 1)).alias("j"))
-    visit = dealt.select(*(F.col(c).alias(c) for c in ("id", "h", "u", "cell")), F.explode(F.sequence(F.lit(0), F.col("own_chunks") - 1)).alias("i"), part("visit_chunks", 2).alias("j"))
+    columns = ("id", "h", "m", "u", "dim", "cell")
+    hosts = dealt.where("own").select(*columns, part("own_chunks", 1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("visit_chunks") - 1)).alias("j"))
+    visit = dealt.select(*(F.col(c).alias(c) for c in columns), F.explode(F.sequence(F.lit(0), F.col("own_chunks") - 1)).alias("i"), part("visit_chunks", 2).alias("j"))
 
     def join(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
             return pd.DataFrame({"id": [], "h": [], "n": [], "low": []})
         x, y = (np.stack([np.frombuffer(u) for u in p["u"]]) for p in (left, right))
-        ids, h = np.r_[left["id"].to_numpy(), right["id"].to_numpy()], left["h"].to_numpy()
-        n, sets, x32, y32 = np.zeros(len(x), dtype=np.int64), Union(len(ids)), x.astype(np.float32), y.astype(np.float32)
+        ids, h, m = np.r_[left["id"].to_numpy(), right["id"].to_numpy()], np.r_[left["h"].to_numpy(), right["h"].to_numpy()], right["m"].to_numpy()
+        n, sets, x32, y32 = np.zeros(len(x)), Union(len(ids)), x.astype(np.float32), y.astype(np.float32)
         for at in range(0, len(x), 512):
             a, b = np.nonzero(x32[at : at + 512] @ y32.T >= cosine - 1e-5)  # rounding of single precision is far below this
             a += at
             for s in range(0, len(a), 1 << 17):
                 i, j = a[s : s + (1 << 17)], b[s : s + (1 << 17)]
-                ok = ((x[i] * y[j]).sum(axis=1) >= cosine) & ((ids[i] != ids[len(x) + j]) | (h[i] != right["h"].to_numpy()[j]))
-                n += np.bincount(i[ok], minlength=len(x))
+                same = (ids[i] == ids[len(x) + j]) & (h[i] == h[len(x) + j])
+                ok = ((x[i] * y[j]).sum(axis=1) >= cosine) | same
+                n += np.bincount(i[ok], m[j[ok]] - same[ok], minlength=len(x))  # all rows but the own one
                 sets.link(i[ok], len(x) + j[ok])
         root = sets.roots()
         low = np.full(len(ids), np.iinfo(np.int64).max)
@@ -247,10 +260,9 @@ def _range_join(rows: DataFrame, cosine: float, radius: float, pivots: int, samp
         low = low[root]
         # hosts: their count and link; visitors: a link if they are in a set
         some = np.r_[n > 0, low[len(x) :] != ids[len(x) :]]
-        all_h = np.r_[h, right["h"].to_numpy()]
-        return pd.DataFrame({"id": ids[some], "h": all_h[some], "n": np.r_[n, np.zeros(len(y), dtype=np.int64)][some], "low": low[some]})
+        return pd.DataFrame({"id": ids[some], "h": h[some], "n": np.r_[n, np.zeros(len(y))][some].astype(np.int64), "low": low[some]})
 
-    keys = ("cell", "i", "j")
+    keys = ("dim", "cell", "i", "j")
     met = written(hosts.groupBy(*keys).cogroup(visit.groupBy(*keys)).applyInPandas(join, "id long, h long, n long, low long"))
     counts = met.groupBy("id", "h").agg(F.sum("n").alias("n_links")).where("n_links > 0")
     return counts, met.where("low < id").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom.llm import mixing, sharding, urls, vectors
+from codeloom.llm import common, mixing, sharding, urls, vectors
 from codeloom.llm.components import connected_components
 from codeloom.llm.queries import URL_RULES
 
@@ -158,7 +158,7 @@ def test_mix_equals_an_independent_schedule(spark, seed):
 @pytest.mark.parametrize("most", [200_000, 50])
 def test_any_number_of_sources(spark, monkeypatch, most):
     """1,200 sources of one to three blocks, with the plan broadcast and joined by shuffle."""
-    monkeypatch.setattr(mixing, "BROADCAST_ROWS", most)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", most)
     n = 1200 if most > 100 else 60
     rows = [(d, "t", f"s{d % n}") for d in range(2 * n)] + [(10_000 + d, "t", "s1") for d in range(3)]
     got = mixing.pfair_mix(docs(spark, rows), {"s1": 2}, block_rows=2).collect()
@@ -295,3 +295,23 @@ def test_cosine_components_of_odd_tables(spark):
     assert len(got) == len(ODD) and all(r["n_links"] == 0 for r in got)
     mixed = {(r["vec_id"], r["n_links"], r["component_id"]) for r in vectors.cosine_components(table(spark, [(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, [2.0, 0.0])])).collect()}
     assert mixed == {(1, 1, 1), (2, 0, 2), (3, 1, 1)}
+
+
+def test_cosine_counts_every_other_row(spark):
+    """Repeated rows are vectors of their own; tiny and huge components are neither lost nor fatal; each length is its own world."""
+    rows = [(1, [1.0, 0.0])] * 3 + [(2, [1.0, 0.1]), (3, [2.0, 0.0]), (4, [0.0, 1.0]), (4, [0.0, 1.0]), (5, [1e200, 0.0]), (6, [1e-170, 0.0]), (7, [5e-324, 0.0]), (8, [1e308, 1e308]), (1, [0.0, 5.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    x = np.array([v for _, v in rows])
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    link = x @ x.T >= 0.9
+    want = sorted((i, int(link[k].sum()) - 1) for k, (i, _) in enumerate(rows))
+    got = vectors.cosine_components(table).collect()
+    assert sorted((r["vec_id"], r["n_links"]) for r in got) == want
+    assert {r["vec_id"]: r["component_id"] for r in got} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 1, 8: 8}
+
+
+def test_cosine_joins_vectors_of_any_length(spark):
+    rows = [(n * 2 + k, [1.0] * (n + 1)) for n in range(300) for k in (0, 1)]
+    got = vectors.cosine_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), sample_rows=100).collect()
+    assert len(got) == 600 and all(r["n_links"] == 1 and r["component_id"] == r["vec_id"] // 2 * 2 for r in got)
