@@ -15,10 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField, StructType
 
-from codeloom.llm.common import joined_bytes, text_slices, word_bounds, word_hashes
+from codeloom.llm.common import joined_bytes, text_slices, word_bounds, word_hashes, written
 
-#: Bounds of the training sample: rows of each class, and characters of a row that may be in it.
-MAX_PER_CLASS, MAX_CHARS = 2000, 20_000
+#: Bounds of the training sample: rows and bytes of each class.
+MAX_PER_CLASS, MAX_BYTES = 2000, 8 << 20
 
 
 def held_out(doc_id: Column) -> Column:
@@ -26,32 +26,37 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 4 == 2, F.lit(False))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, id_col: str = "doc_id", text_col: str = "text", max_per_class: int = MAX_PER_CLASS, max_chars: int = MAX_CHARS) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Texts, 0/1 labels and weights of up to ``max_per_class`` rows a class, picked by a hash of the id.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, *, id_col: str = "doc_id", text_col: str = "text", max_per_class: int = MAX_PER_CLASS, max_bytes: int = MAX_BYTES) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Texts, 0/1 labels and weights of up to ``max_per_class`` ids a class that have a label and a document, in the order of a hash of the id.
 
-    Rows that are held out, unlabelled, labelled other than 0 or 1 or longer than ``max_chars`` are not in it; of several labels of an
-    id, the largest counts. The weights give the sample the classes' ratio among all labelled rows.
+    Rows that are held out, unlabelled or labelled other than 0 or 1 are not in it; of several labels of an id, the largest counts. Texts are
+    whole, however long; a class is full at ``max_bytes``, which its last text may overrun. The weights give the sample the
+    classes' ratio among all labelled ids that have a document.
     """
     known = (
         labels.where(F.col(id_col).isNotNull() & F.col(label).isin(0, 1) & ~held_out(F.col(id_col)))
-        .groupBy(F.col(id_col).alias("__id"))
-        .agg(F.max(label).alias("__y"))
+        .groupBy(F.col(id_col).alias("id"))
+        .agg(F.max(label).alias("y"))
     )
-    total = {r["__y"]: r["n"] for r in known.groupBy("__y").agg(F.count("*").alias("n")).collect()}
-    picked = [known.where(F.col("__y") == y).orderBy(F.xxhash64("__id")).limit(max_per_class) for y in (0, 1)]
-    rows = (
-        docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__text"))
-        .where(F.length("__text") <= max_chars)
-        .join(F.broadcast(picked[0].unionByName(picked[1])), "__id")
-        .orderBy(F.xxhash64("__id"), F.xxhash64("__text"))
-        .limit(2 * max_per_class)
-        .select("__text", "__y")
-        .collect()
-    )  # bounded by the two parameters
-    y = np.array([r["__y"] for r in rows], dtype=np.float64)
+    known = written(known.join(docs.select(F.col(id_col).alias("id")).distinct(), "id", "left_semi"))
+    total = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    picked = [known.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(max_per_class) for y in (0, 1)]
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked[0].unionByName(picked[1])), "id")
+    place = [F.xxhash64("id").alias("h"), F.xxhash64("text").alias("t"), "y"]
+    rows = written(rows.select("text", *place).orderBy("h", "t").limit(4 * max_per_class))  # an id may have several texts
+    full, last = {0: 0, 1: 0}, {}
+    for r in rows.select("h", "t", "y", F.octet_length("text").alias("n")).orderBy("h", "t").collect():  # bounded by the row bound
+        if full[r["y"]] < max_bytes:
+            full[r["y"]] += r["n"]
+            last[r["y"]] = (r["h"], r["t"])
+    within = F.lit(False)
+    for y, (h, t) in last.items():
+        within |= (F.col("y") == y) & ((F.col("h") < h) | ((F.col("h") == h) & (F.col("t") <= t)))
+    got = rows.where(within).orderBy("h", "t").select("text", "y").collect()  # bounded by both
+    y = np.array([r["y"] for r in got], dtype=np.float64)
     size = {c: max(1, int((y == c).sum())) for c in (0, 1)}
     weight = np.array([total.get(int(c), 0) / size[int(c)] for c in y])
-    return [r["__text"] for r in rows], y, weight / max(weight.mean(), 1e-9) if len(y) else weight
+    return [r["text"] for r in got], y, weight / max(weight.mean(), 1e-9) if len(y) else weight
 
 
 def adam(params: list[np.ndarray], gradient: Callable[[], list[np.ndarray]], steps: int, rate: float) -> None:
@@ -76,6 +81,22 @@ _LETTER[0x61:0x7B] = _LETTER[0x41:0x5B] = np.arange(0x61, 0x7B)
 _LETTER[0x80:] = np.arange(0x80, 0x100)
 _STOP = np.zeros(256, dtype=bool)
 _STOP[[ord(c) for c in ".!?\n"]] = True
+#: Characters beyond ASCII that end a sentence.
+_FAR_STOPS = [c.encode() for c in "。！？｡؟۔।…"]
+
+
+def sentence_stops(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which bytes end a sentence (the last ones of characters that do), and the letters of the text, 0x20 for the rest."""
+    stop, letters = _STOP[data], _LETTER[data]
+    high = np.flatnonzero(data >= 0xD8)
+    for c in _FAR_STOPS if len(high) else ():
+        at = high[(data[high] == c[0]) & (high <= len(data) - len(c))]
+        for k in range(1, len(c)):
+            at = at[data[at + k] == c[k]]
+        stop[at + len(c) - 1] = True
+        for k in range(len(c)):
+            letters[at + k] = 0x20
+    return stop, letters
 
 
 #: Besides the whole word, these many first bytes of a longer word are features: stems under changing endings.
@@ -87,9 +108,9 @@ class Sentences:
 
     def __init__(self, texts: list):
         self.data, self.begin, self.end = joined_bytes(texts)
-        letters = _LETTER[self.data]
+        stops, letters = sentence_stops(self.data)
         s, e = word_bounds(letters)
-        before = np.cumsum(_STOP[self.data])  # a text's final line feed ends its last sentence
+        before = np.cumsum(stops)  # a text's final line feed ends its last sentence
         stop = before[s]
         new = np.r_[True, stop[1:] != stop[:-1]] if len(s) else np.empty(0, dtype=bool)
         sentence = np.cumsum(new) - 1
@@ -139,20 +160,19 @@ class NoisyOr:
         use = number[index] >= 0
         pair = np.unique(s.sentence[use] * np.int64(known.sum() + 1) + number[index[use]])  # a word counts once a sentence
         sent, col = np.divmod(pair, known.sum() + 1)
-        w, bias = np.zeros(known.sum()), np.array([-6.0, -4.0])  # of a sentence, of the leak
-        per_text = weight / len(y)
-
-        def gradient() -> list[np.ndarray]:
-            z = bias[0] + np.bincount(sent, w[col], minlength=len(s))
-            dirt = np.logaddexp(0, bias[1]) + np.bincount(s.text, np.logaddexp(0, z), minlength=len(texts))
-            slope = per_text * np.where(y == 1, -1 / np.expm1(np.minimum(dirt, 700)), 1)
-            g = slope[s.text] * sigmoid(z)
-            return [np.bincount(col, g[sent], minlength=len(w)) + self.decay * w, np.array([g.sum(), slope.sum() * sigmoid(bias[1])])]
-
-        adam([w, bias], gradient, self.steps, self.rate)
-        self.weights, self.bias = w, bias
+        self.weights, self.bias = np.zeros(known.sum()), np.array([-6.0, -4.0])  # of words; of a sentence, of the leak
+        adam([self.weights, self.bias], lambda: self._gradient(sent, col, s.text, y, weight / len(y)), self.steps, self.rate)
         return self
 
+    def _gradient(self, sent: np.ndarray, col: np.ndarray, text: np.ndarray, y: np.ndarray, weight: np.ndarray) -> list[np.ndarray]:
+        """Of the weighted log loss, plus decay. sent, col: sentence and word of each pair; text: that of each sentence."""
+        w, bias = self.weights, self.bias
+        z = bias[0] + np.bincount(sent, w[col], minlength=len(text))
+        dirt = np.logaddexp(0, bias[1]) + np.bincount(text, np.logaddexp(0, z), minlength=len(y))
+        slope = weight * np.where(y == 1, -1 / np.expm1(np.minimum(dirt, 700)), 1)
+        g = slope[text] * sigmoid(z)
+        return [np.bincount(col, g[sent], minlength=len(w)) + self.decay * w, np.array([g.sum(), slope.sum() * sigmoid(bias[1])])]
+
     def sentences(self, s: Sentences) -> np.ndarray:
         """The score of each sentence."""
         z = np.full(len(s), self.bias[0])
@@ -170,12 +190,13 @@ class NoisyOr:
         p = self.sentences(s)
         clean = np.bincount(s.text, np.log1p(-np.minimum(p, 1 - 1e-15)), minlength=len(texts))
         spans: list[list[dict]] = [[] for _ in texts]
-        for k in np.flatnonzero(p >= 0.3).tolist():
-            t = int(s.text[k])
-            a = s.data[s.begin[t] : s.stop[k]]
-            lead = (a & 0xC0) != 0x80
-            start = int(lead[: s.start[k] - s.begin[t]].sum())
-            spans[t].append({"start": start, "end": start + int(lead[s.start[k] - s.begin[t] :].sum()), "score": float(p[k])})
+        bad = np.flatnonzero(p >= 0.3)
+        if len(bad):
+            chars = np.r_[0, np.cumsum((s.data & 0xC0) != 0x80)]  # characters before each byte
+            own = s.text[bad]
+            before = chars[s.begin[own]]
+            for t, a, b, v in zip(own.tolist(), (chars[s.start[bad]] - before).tolist(), (chars[s.stop[bad]] - before).tolist(), p[bad].tolist(), strict=True):
+                spans[t].append({"start": a, "end": b, "score": v})
         return -np.expm1(clean - np.logaddexp(0, self.bias[1])), spans
 
 
@@ -326,15 +347,21 @@ def score_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7,
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, *, threshold: float = 0.7, text_col: str = "text", slice_chars: int = 1 << 20) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text scores ``threshold`` or more for quality; no shuffle, no join back."""
+    """The rows of ``docs``, all columns, whose text scores ``threshold`` or more for quality; no shuffle, no join back.
+
+    Null and empty texts are scored as texts without words, and stay or go by that score. Ids are not looked at. Without labels of both
+    classes all texts have the base rate as their score.
+    """
     model = GatedAttention().fit(*labelled_sample(docs, labels, "quality"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             keep: list[bool] = []
-            for _, _, texts in text_slices(whole, text_col, slice_chars):
+            for _, _, texts in text_slices(whole, text, slice_chars):
                 keep += (shared.value.score(texts)[0] >= threshold).tolist()
             yield whole.filter(pa.array(keep, type=pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    own = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # columns may have any names
+    text = f"c{docs.columns.index(text_col)}"
+    return own.mapInArrow(run, own.schema).toDF(*docs.columns)

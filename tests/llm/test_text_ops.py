@@ -1,6 +1,7 @@
 """Toxicity, quality, SentencePiece, substring dedup and near duplicates against brute force."""
 
 import random
+import zlib
 import re
 
 import numpy as np
@@ -384,3 +385,103 @@ def test_offending_sentences_are_located(spark):
     score, spans = model.score([text, "all is well"])
     assert score[0] > 0.5 > 0.1 > score[1]
     assert [text[s["start"] : s["end"]] for s in spans[0]] == ["You are SCUM"]
+
+
+def test_sentences_end_in_every_script():
+    texts = ["ab cd。ef gh！ ij؟ kl।mn\nop… qr. st", "é。", "。", "x" * 9]
+    s = mil.Sentences(texts)
+    raw = [t.encode() for t in texts]
+    got = [raw[t][a - s.begin[t] : b - s.begin[t]].decode() for t, a, b in zip(s.text, s.start, s.stop, strict=True)]
+    assert got == ["ab cd", "ef gh", "ij", "kl", "mn", "op", "qr", "st", "é", "x" * 9]
+
+
+def slope(f, x, step=1e-6):
+    """The derivative of f, which reads x, by each element of x."""
+    out = np.zeros_like(x)
+    for i in np.ndindex(x.shape):
+        x[i] += step
+        up = f()
+        x[i] -= 2 * step
+        out[i] = (up - f()) / (2 * step)
+        x[i] += step
+    return out
+
+
+def test_noisy_or_against_plain_loops():
+    rng = np.random.default_rng(0)
+    model, text = mil.NoisyOr(decay=0.01), np.array([0, 0, 1, 2, 2, 2])
+    model.weights, model.bias = rng.normal(size=4), np.array([-1.0, -2.0])
+    sent, col = np.array([0, 0, 1, 2, 3, 5, 5]), np.array([0, 1, 2, 3, 0, 1, 3])
+    y, weight = np.array([1.0, 0.0, 1.0]), np.array([0.5, 0.3, 0.2])
+
+    def loss():
+        total = model.decay / 2 * (model.weights**2).sum()
+        for t in range(3):
+            clean = 1 - 1 / (1 + np.exp(-model.bias[1]))
+            for k in np.flatnonzero(text == t):
+                clean *= 1 - 1 / (1 + np.exp(-(model.bias[0] + sum(model.weights[c] for s, c in zip(sent, col, strict=True) if s == k))))
+            total -= weight[t] * np.log(1 - clean if y[t] else clean)
+        return total
+
+    for got, x in zip(model._gradient(sent, col, text, y, weight), (model.weights, model.bias), strict=True):
+        assert np.allclose(got, slope(loss, x), atol=1e-6)
+    # scores of whole texts, word by word
+    train = ["you scum. hello", "nice day", "total scum", "fine day. ok", "scum", "good words here"] * 4
+    model = mil.NoisyOr().fit(train, np.array([1.0, 0, 1, 0, 1, 0] * 4), np.ones(24))
+    weights = dict(zip(model.vocabulary.tolist(), model.weights.tolist(), strict=True))
+    for asked in (*train[:6], "you are scum scum. scum! day", "", "。scum"):
+        s, clean = mil.Sentences([asked]), 1 - 1 / (1 + np.exp(-model.bias[1]))
+        for k in range(len(s)):
+            z = model.bias[0] + sum(weights.get(f, 0.0) for f in {f for f, o in zip(s.features.tolist(), s.sentence.tolist(), strict=True) if o == k})
+            clean *= 1 - 1 / (1 + np.exp(-z))
+        assert np.isclose(model.score([asked])[0][0], 1 - clean)
+
+
+def test_gated_attention_against_plain_loops():
+    rng = np.random.default_rng(1)
+    model, text = mil.GatedAttention(hidden=3, gate=2, decay=0.01), np.array([0, 0, 1, 2, 2, 2])
+    x, y, weight = rng.normal(size=(6, 4)), np.array([1.0, 0.0, 1.0]), np.array([0.5, 0.3, 0.2])
+    model.params = [rng.normal(size=s) for s in ((4, 3), 3, (3, 2), (3, 2), 2, 3, 1)]
+
+    def scores():
+        w1, b1, v, u, w, c, d = model.params
+        out = []
+        for t in range(3):
+            h = [np.tanh(r @ w1 + b1) for r in x[text == t]]
+            e = [np.exp(sum(w[g] * np.tanh(q @ v[:, g]) / (1 + np.exp(-(q @ u[:, g]))) for g in range(2))) for q in h]
+            z = sum(a / sum(e) * q for a, q in zip(e, h, strict=True))
+            out.append(1 / (1 + np.exp(-(z @ c + d[0]))))
+        return np.array(out)
+
+    assert np.allclose(mil.sigmoid(model._forward(x, text, 3)[-1]), scores())
+
+    def loss():
+        p = scores()
+        return -(weight * np.where(y == 1, np.log(p), np.log(1 - p))).sum() + model.decay / 2 * sum((q**2).sum() for q in model.params)
+
+    for got, p in zip(model._gradient(x, text, y, weight), model.params, strict=True):
+        assert np.allclose(got, slope(loss, p), atol=1e-6)
+
+
+def test_the_sample_is_of_labelled_documents_of_any_length(spark):
+    rows = [(i, f"text {i} " + "long " * (30_000 if i % 10 == 0 else 1)) for i in range(100)] + [(7, "a second text"), (None, "x")]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20_000)] + [(None, 1), (3, 0)], "doc_id long, toxic int")
+    kept = [i for i in range(100) if zlib.crc32(str(i).encode()) % 4 != 2]
+    texts, y, weight = mil.labelled_sample(docs(spark, rows), labels, "toxic", max_per_class=200)
+    assert sorted(texts) == sorted(t for i, t in rows if i in kept)
+    assert all(label == int(t.split()[1]) % 2 for t, label in zip(texts, y, strict=True) if t[0] == "t")
+    few, _, _ = mil.labelled_sample(docs(spark, rows), labels, "toxic", max_per_class=10)
+    assert 20 <= len(few) <= 21 and set(few) <= set(texts)
+    short, y, _ = mil.labelled_sample(docs(spark, rows), labels, "toxic", max_per_class=200, max_bytes=400)
+    assert all(400 <= sum(len(t) for t, c in zip(short, y, strict=True) if c == k) < 200_000 for k in (0, 1)) and set(short) < set(texts)
+
+
+def test_quality_filter_on_odd_tables(spark):
+    names = ["doc_id", "text", "y", "t", "score", "a.b", "id"]
+    rows = [(1, "some words", *["v"] * 5), (2, None, *["v"] * 5), (None, "", *["v"] * 5), (1, "some words", *["v"] * 5), (3, "long " * 400_000, *["v"] * 5)]
+    table = spark.createDataFrame(rows, ", ".join(f"`{n}` {'long' if n == 'doc_id' else 'string'}" for n in names))
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    for label, least in ((labels, 0), (labels.limit(0), 0)):
+        got = mil.keep_quality(table, label)
+        assert got.columns == names and least <= got.count() <= 5
+    assert mil.keep_quality(table, labels, threshold=0.0).count() == 5 and mil.keep_quality(table.limit(0), labels).isEmpty()
