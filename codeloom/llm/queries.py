@@ -96,7 +96,7 @@ tokens AS (
     list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'h:' || x),
     list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: 'p:' || x)))) AS t
   FROM judged),
-labelled AS (SELECT id, told, unnest(t[1:12]) AS tok FROM tokens WHERE told IS NOT NULL),
+labelled AS (SELECT id, told, unnest(t) AS tok FROM tokens WHERE told IS NOT NULL),
 n AS (SELECT count(*) AS n FROM tokens WHERE told IS NOT NULL),
 sets AS (
   SELECT id, told, [tok] AS items FROM labelled

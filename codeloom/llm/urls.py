@@ -8,6 +8,8 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.llm.common import written
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _PARTS = r"(?s)^(?:(?!://).)*://([^/?#]*)([^?#]*)"
 
@@ -66,8 +68,8 @@ def mine_rules(labelled: DataFrame, *, min_support: float = 0.01, min_confidence
     """
     least = math.ceil(min_support * labelled.count())
     frequent = labelled.select(F.explode("tokens").alias("t")).groupBy("t").count().where(F.col("count") >= least)
-    frequent = frequent.agg(F.collect_list("t").alias("frequent"))  # one row; support bounds its length
-    left = labelled.join(F.broadcast(frequent)).select(F.array_intersect("tokens", "frequent").alias("tokens"), "verdict").cache()
+    listed = F.array(*[F.lit(r["t"]) for r in frequent.collect()]).cast("array<string>")  # support bounds their number
+    left = written(labelled.select(F.array_intersect("tokens", listed).alias("tokens"), "verdict"))
     if (left.agg(F.max(F.size("tokens"))).first()[0] or 0) > fit_tokens:
         return _counted_rules(left, least, min_confidence, max_items)
     baskets = left.select(F.concat("tokens", F.array(F.concat(F.lit("="), "verdict"))).alias("items"))
@@ -103,17 +105,17 @@ def filter_urls(
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     base = pages.select(F.col(id_col).alias("page_id"), host.alias("host"), path.alias("path"))
     name, verdict = rule_of(F.col("host"), F.col("path"), rules)
-    judged = base.withColumn("rule", name).withColumn("__told", verdict)
-    labelled = judged.where("__told IS NOT NULL").select(url_tokens(F.col("host"), F.col("path")).alias("tokens"), F.col("__told").alias("verdict"))
+    judged = written(base.withColumn("rule", name).withColumn("__told", verdict).withColumn("__tokens", url_tokens(F.col("host"), F.col("path"))))
+    labelled = judged.where("__told IS NOT NULL").select(F.col("__tokens").alias("tokens"), F.col("__told").alias("verdict"))
     if labelled.isEmpty():
         return judged.select("page_id", "host", "path", "rule", F.lit(default).alias("verdict"))
-    mined = mine_rules(labelled, **mining).withColumn("text", F.array_join("items", " ")).cache()
+    mined = written(mine_rules(labelled, **mining).withColumn("text", F.array_join("items", " ")))
     index = mined.withColumn("token", F.explode("items")).withColumn("size", F.size("items"))
     if mined.count() <= max_broadcast_rules:
         index = F.broadcast(index)
-    asked = judged.where("__told IS NULL").select("host", "path").distinct()
+    asked = judged.where("__told IS NULL").select("host", "path", "__tokens").distinct()
     hits = (
-        asked.withColumn("token", F.explode(url_tokens(F.col("host"), F.col("path"))))
+        asked.select("host", "path", F.explode("__tokens").alias("token"))
         .join(index.drop("items"), "token")
         .groupBy("host", "path", "text", "verdict", "confidence", "n", "size")
         .agg(F.count("*").alias("have"))
