@@ -144,7 +144,7 @@ def drop_repeats(
     def bucket_of(names: np.ndarray) -> np.ndarray:
         return (mix64(names) % np.uint64(packs)).astype(np.int64)
 
-    def own(part: pd.DataFrame, c: str) -> pd.Series:
+    def carried(part: pd.DataFrame, c: str) -> pd.Series:
         return part["__text" if c == text_col else c]
 
     def send_anchors(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
@@ -221,7 +221,7 @@ def drop_repeats(
             total.append(t - f)
             removed.append(t - f - len(stay))
             kept.append(b" ".join([raw[x:y] for x, y in zip(p.s[stay].tolist(), p.e[stay].tolist(), strict=True)]).decode("utf-8", "surrogatepass"))
-        return pd.DataFrame({"doc_id": part["doc_id"], "n_words": total, "n_removed": removed, "kept_text": kept} | {c: own(part, c) for c in carry})
+        return pd.DataFrame({"doc_id": part["doc_id"], "n_words": total, "n_removed": removed, "kept_text": kept} | {c: carried(part, c) for c in carry})
 
     by_pack, key = rows.groupBy("__pack"), F.col("__pack")
     told = (

@@ -6,7 +6,7 @@ import corpus_pipeline
 from codeloom.llm import mil
 from codeloom.llm.queries import MIX_WEIGHTS
 
-from .test_text_ops import brute_repeats
+from .test_text_ops import WORD, brute_near_duplicates, brute_repeats
 
 DIR = "/root/testdata/sf0.001"
 
@@ -25,13 +25,20 @@ def test_stages(spark):
     assert ids("quality") == sorted(d for d, s in scores.items() if s >= 0.7)
 
     texts = {r["doc_id"]: r["text"] for r in done["near_duplicates"].collect()}
-    assert set(texts) <= set(ids("quality")) and len(set(texts.values())) == len(texts)
-    assert {r["text"] for r in done["quality"].select("text").collect()} >= set(texts.values())
+    before = {r["doc_id"]: r["text"] for r in done["quality"].collect()}
+    group = brute_near_duplicates([before[d] for d in sorted(before)])
+    assert sorted(texts) == [d for k, d in enumerate(sorted(before)) if group[k] == k] and len(texts) < len(before)
+    assert all(before[d] == t for d, t in texts.items())
 
     want = brute_repeats(list(texts.items()), 20)
-    for r in done["repeated_passages"].collect():
-        assert r["text"].split() == want[r["doc_id"]] or r["text"] == texts[r["doc_id"]]
-        assert r["n_chars"] == len(r["text"]) or r["text"] == texts[r["doc_id"]]
+    chars = {r["doc_id"]: r["n_chars"] for r in done["near_duplicates"].collect()}
+    cut = {r["doc_id"]: r for r in done["repeated_passages"].collect()}
+    assert sorted(cut) == sorted(texts)
+    for d, r in cut.items():
+        words = WORD.findall(texts[d])
+        assert r["text"] == (texts[d] if words == want[d] else " ".join(want[d]))
+        assert r["n_chars"] == (chars[d] if words == want[d] else len(r["text"]))
+    assert any(r["text"] != texts[d] for d, r in cut.items())
 
     mixed = done["mix"].groupBy("doc_id").count()
     assert mixed.count() == len(texts) and mixed.where("count > 2").isEmpty() and MIX_WEIGHTS
@@ -43,3 +50,22 @@ def test_an_empty_table_goes_through(spark, tmp_path):
     for name in ("documents", "labels"):
         spark.read.parquet(f"{DIR}/{name}.parquet").limit(0).write.parquet(str(tmp_path / f"{name}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).isEmpty()
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Names that clash with those of the operators, nulls, an empty and a very long text, repeated rows."""
+    names = ["doc_id", "text", "source", "n_chars", "id", "n_words", "n_removed", "kept_text", "__text", "__id", "__h", "__position", "__pid", "a.b", "row", "c0"]
+    page = " ".join(f"Word{i} is here, and so is this." for i in range(40))
+    rows = [(1, page), (2, page + " More."), (3, None), (4, ""), (5, "Another page. " + page[:600] + " It ends here."), (5, "Another page. " + page[:600] + " It ends here."), (6, "long words " * 60_000), (None, page)]
+    rows = [(i, t, "src0" if i else None, len(t or ""), *["v"] * 12) for i, t in rows]
+    docs = spark.createDataFrame(rows, ", ".join(f"`{n}` {'long' if n == 'doc_id' else 'int' if n == 'n_chars' else 'string'}" for n in names))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DIR)
+        assert out.columns == names and {f.dataType for f in out.schema} == {f.dataType for f in docs.schema}, name
+        assert all(tuple(r)[4:] == ("v",) * 12 for r in out.collect()), name
+        if name in ("repeated_passages", "mix"):
+            assert sorted(r["doc_id"] or 0 for r in out.collect()) == [0, 1, 2, 3, 4, 5, 5, 6] or name == "mix"
+        if name == "near_duplicates":
+            assert sorted(r["doc_id"] or 0 for r in out.collect()) == [0, 1, 3, 5, 6]
+    tokens = corpus_pipeline.STAGES[-1][1](spark, docs, DIR)
+    assert sorted(r["doc_id"] or 0 for r in tokens.collect()) == [0, 1, 2, 3, 4, 5, 5, 6]
