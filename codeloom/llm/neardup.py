@@ -171,14 +171,27 @@ def rarest_first(tokens: np.ndarray, owner: np.ndarray, level: np.ndarray, size:
     return order[shown], place[shown], (place - alone[own])[shown]
 
 
-def prefix_pairs(h: np.ndarray, ids: np.ndarray, comp: np.ndarray, n: np.ndarray, place: np.ndarray, shared: np.ndarray, similarity: float, block: int = 1 << 21) -> pd.DataFrame:
+def parities(tokens: np.ndarray, owner: np.ndarray, sets: int) -> np.ndarray:
+    """A row of 256 bits for each set: whether an odd number of its tokens hash to each bit. Two sets' rows differ in no more bits than the sets in tokens."""
+    out = np.zeros((sets, 4), dtype=np.uint64)
+    bit = (tokens * np.uint32(0x9E3779B1) >> np.uint32(24)).astype(np.int64)
+    at = np.searchsorted(owner, np.arange(0, sets + 4096, 4096))
+    for k, (lo, hi) in enumerate(zip(at[:-1], at[1:], strict=True)):
+        first, n = 4096 * k, min(4096, sets - 4096 * k)
+        odd = np.bincount((owner[lo:hi] - first) * 256 + bit[lo:hi], minlength=256 * n).reshape(n, 256) & 1
+        out[first : first + n] = np.packbits(odd.astype(np.uint8), axis=1).view(np.uint64)
+    return out
+
+
+def prefix_pairs(h: np.ndarray, ids: np.ndarray, comp: np.ndarray, n: np.ndarray, place: np.ndarray, shared: np.ndarray, odd: np.ndarray, similarity: float, block: int = 1 << 20) -> pd.DataFrame:
     """(a, b), a < b, each once: ids of different ``comp`` with a common hash that may reach the similarity.
 
     Entries of one hash are compared across components only. Left out are pairs whose sizes rule the similarity out, or whose places do:
-    up to a common token two sets share no more than the shared tokens of either, behind it no more than what either has left.
+    up to a common token two sets share no more than the shared tokens of either, behind it no more than what either has left. So
+    are pairs whose parities (``odd``, a row each) show more different tokens than two similar sets of these sizes have.
     """
     order = np.lexsort((comp, h))
-    h, ids, comp, n, place, shared = (x[order] for x in (h, ids, comp, n, place, shared))
+    h, ids, comp, n, place, shared, odd = (x[order] for x in (h, ids, comp, n, place, shared, odd))
     starts = np.flatnonzero(np.r_[True, h[1:] != h[:-1]]) if len(h) else np.empty(0, dtype=np.int64)
     end = np.repeat(np.r_[starts[1:], len(h)], np.diff(np.r_[starts, len(h)]))
     # the partners of an entry: those of its hash behind its component
@@ -197,6 +210,9 @@ def prefix_pairs(h: np.ndarray, ids: np.ndarray, comp: np.ndarray, n: np.ndarray
         most = np.minimum(shared[x], shared[y]) + np.minimum(n[x] - place[x], n[y] - place[y])
         keep = (small >= similarity * large - 1e-6) & (most * (1 + similarity) >= similarity * (small + large) - 1e-6)
         x, y = x[keep], y[keep]
+        differ = np.bitwise_count(odd[x] ^ odd[y]).sum(axis=1, dtype=np.int64)
+        keep = differ * (1 + similarity) <= (1 - similarity) * (n[x].astype(np.int64) + n[y]) + 1e-6
+        x, y = x[keep], y[keep]
         waiting.append(np.column_stack([np.minimum(ids[x], ids[y]), np.maximum(ids[x], ids[y])]))
         if sum(map(len, waiting)) > block:
             held, waiting = np.unique(np.concatenate([held, *waiting]), axis=0), []
@@ -230,7 +246,7 @@ def _other_pairs(members: DataFrame, similarity: float, pack_bytes: int = 4 << 2
     set, rarest first, and posts what its prefix shares under the token; the sets posted under a token are compared.
     """
     packs = (members.agg(F.sum(F.octet_length("s"))).first()[0] or 0) // pack_bytes + 1
-    kinds = {"h": np.uint32, "ids": np.int64, "comp": np.int64, "n": np.int32, "place": np.int32, "shared": np.int32}
+    kinds = {"h": np.uint32, "ids": np.int64, "comp": np.int64, "n": np.int32, "place": np.int32, "shared": np.int32, "odd": np.dtype((np.uint64, 4))}
     bucket_of = lambda tokens: tokens % np.uint32(packs)
     rows = members.withColumn("pack", F.pmod(F.xxhash64("id", F.lit(6)), F.lit(packs)).cast("long"))
 
@@ -254,7 +270,7 @@ def _other_pairs(members: DataFrame, similarity: float, pack_bytes: int = 4 << 2
 
     def post(key: tuple, part: pd.DataFrame, told: pd.DataFrame) -> pd.DataFrame:
         if not len(part) or not len(told):
-            return _parcels(np.empty(0, dtype=np.int64), {k: np.empty(0, dtype=t) for k, t in kinds.items()})
+            return _parcels(np.empty(0, dtype=np.int64), {k: np.empty(0) for k in kinds})
         known, level_of = _unpacked(told["tokens"], np.uint32), _unpacked(told["levels"], np.uint8)
         order = np.argsort(known)
         known, level_of = known[order], level_of[order]
@@ -264,8 +280,9 @@ def _other_pairs(members: DataFrame, similarity: float, pack_bytes: int = 4 << 2
         level = np.where(known[at] == tokens, level_of[at], 0)
         which, place, shared = rarest_first(tokens, owner, level, size, similarity)
         own = owner[which]
-        cols = (tokens[which], part["id"].to_numpy()[own], part["component"].to_numpy()[own], size[own], place, shared)
-        return _parcels(bucket_of(tokens[which]), {k: c.astype(t) for (k, t), c in zip(kinds.items(), cols, strict=True)})
+        odd = parities(tokens, owner, len(part))
+        cols = (tokens[which], part["id"].to_numpy()[own], part["component"].to_numpy()[own], size[own], place, shared, odd[own])
+        return _parcels(bucket_of(tokens[which]), {k: c.astype(np.dtype(t).base) for (k, t), c in zip(kinds.items(), cols, strict=True)})
 
     def search(group: pd.DataFrame) -> pd.DataFrame:
         return prefix_pairs(*[_unpacked(group[c], t) for c, t in kinds.items()], similarity)
