@@ -32,7 +32,16 @@ def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/codeloom/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete the files of ``written`` tables, once whatever was derived from them is written itself."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written_to)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def partitions(spark: SparkSession, at_least: int = 1) -> int:
@@ -69,12 +78,14 @@ def globally_ranked(df: DataFrame, order: list[str], rank: str = "rank") -> Data
         table.append((r["__part"], offset))
         offset += r["n"]
     offsets = spark.createDataFrame(table, "__part long, __offset long")
-    return (
+    out = (
         placed.withColumn("__part", part)
         .join(F.broadcast(offsets), "__part")
         .withColumn(rank, F.col("__offset") + inside)
         .drop("__part", "__at", "__offset")
     )
+    out.written_to = placed.written_to
+    return out
 
 
 def text_slices(batch: pa.RecordBatch, column: str, chars: int) -> Iterator[tuple[int, int, list]]:

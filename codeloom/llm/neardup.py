@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import Union, globally_ranked, written
+from codeloom.llm.common import Union, discard, globally_ranked, small, written
 from codeloom.llm.components import connected_components
 from codeloom.llm.simhash import cell_links, fingerprints, shingle_hashes
 
@@ -336,10 +336,10 @@ def drop_near_duplicates(
     short = lambda u: (u >> np.uint64(32)).astype(np.uint32).tobytes()
     names = [f"fp{k}" for k in range(lanes)]
     prints = fingerprints(texts.select(F.struct("id", "h").alias("k"), F.col("text").alias("t")), shingle=shingle, lanes=lanes, distinct=True, also=short, id_col="k", text_col="t")
-    prints = written(prints.select("doc_id.id", "doc_id.h", "content", "n_shingles", "also", *names))
+    prints = prints.select("doc_id.id", "doc_id.h", "content", "n_shingles", "also", *names)
     # one entry for each word sequence: the smallest (id, h), with its fingerprint; numbered in this order
-    first = F.min(F.struct("id", "h", *names)).alias("f")
-    nodes = written(globally_ranked(prints.groupBy("content", "n_shingles").agg(first).select("f.*"), ["id", "h"], "node"))
+    first = F.min(F.struct("id", "h", *names, "also")).alias("f")
+    nodes = globally_ranked(prints.groupBy("content", "n_shingles").agg(first).select("f.*"), ["id", "h"], "node")
     numbered = nodes.select(F.col("node").alias("id"), *names)
     buckets = 1 << max(0, min(bits, (nodes.count() // 100_000).bit_length()))
     crowd = connected_components(written(_crowds(numbered, lanes, tables, bits, radius, buckets))).withColumnRenamed("component", "crowd")
@@ -352,16 +352,18 @@ def drop_near_duplicates(
     asked = asked.select(F.col("node").alias("id"), *names, "crowd", "text")
     members = written(asked.mapInPandas(sets, "id long, " + ", ".join(f"{c} long" for c in names) + ", crowd long, s binary"))
     comp = written(connected_components(written(_verified(members, names, radius, similarity, chunk))))
+    discard(members)
     # pairs that the fingerprints do not show, between the groups so far
-    grouped = nodes.select("node", "id", "h").join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    packed = prints.select("id", "h", "also").dropDuplicates(["id", "h"]).join(written(grouped), ["id", "h"])
-    packed = packed.select(F.col("node").alias("id"), "component", F.col("also").alias("s"))
-    pairs = written(_other_pairs(written(packed), similarity))
+    packed = nodes.select("node", F.col("also").alias("s")).join(small(comp), "node", "left").select(F.col("node").alias("id"), F.coalesce("component", "node").alias("component"), "s")
+    pairs = written(_other_pairs(packed, similarity))
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct().join(nodes.select("node", "id", "h"), "node")
     ends = texts.join(written(ends), ["id", "h"]).dropDuplicates(["id", "h"]).select(F.col("node").alias("id"), "text")
-    more = written(_confirmed(pairs, written(ends.mapInPandas(sets, "id long, s binary")), similarity))
+    ends = written(ends.mapInPandas(sets, "id long, s binary"))
+    more = written(_confirmed(pairs, ends, similarity))
+    discard(ends, pairs)
     comp = connected_components(written(comp.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)))
     kept = written(nodes.select("node", "id", "h").join(comp, "node", "left").where("component IS NULL OR component = node").select("id", "h"))
+    discard(nodes)
     once = Window.partitionBy("id", "h").orderBy("h")
     out = keyed.select("row", "id", "h").join(kept, ["id", "h"], "left_semi").withColumn("nth", F.row_number().over(once)).where("nth = 1")
     return out.select("row").unionByName(keyed.where("id IS NULL").select("row")).select("row.*")
