@@ -1,16 +1,19 @@
 """SentencePiece encoding and decoding: a batched numpy Viterbi over the pieces of a model file.
 
-The public model files are of the BPE kind, whose result is not the segmentation with the best sum of scores but the
+Words of equal length advance together, one place at a time; substrings are looked up by hash among the sorted piece keys.
+In a model of the Unigram kind, the maximum over the pieces that end at a place, of the score of the path before a piece plus the
+piece's own, is stored with the piece. In one of the BPE kind, the result is not the segmentation with the best sum of scores but the
 one the ranked merges lead to. That one too is the only path through the lattice of pieces in which every
 two neighbours are *stable*: no merge across their border would have come before the merges that made them.
-So the Viterbi below maximises, at each position, over the pieces that end there and are stable beside the piece
-that the best path had before them; there is exactly one such path for every prefix.
+So there the maximum is over the lengths of pieces that are stable beside the piece that the path had before them; there
+is exactly one such path for every prefix.
 """
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -23,11 +26,14 @@ from codeloom.llm.common import mix64, powers, text_slices, word_hashes
 
 SPACE = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, BYTE = 1, 2, 3, 4, 6
+UNIGRAM, BPE = 1, 2
+#: How far below the lowest piece a character without a piece scores.
+UNKNOWN_PENALTY = 10.0
 _BASE = 0xB5026F5AA96619E9
 
 
-def read_pieces(path: str) -> list[tuple[str, float, int]]:
-    """(piece, score, type) of a SentencePiece model file: repeated field 1 of the message, with fields 1, 2 and 3."""
+def _fields(raw: bytes, at: int, end: int) -> Iterator[tuple[int, object]]:
+    """(number, value) of a message's fields; the value is a number, a (from, to) span or raw bytes."""
 
     def number(at: int) -> tuple[int, int]:
         out = shift = 0
@@ -39,43 +45,94 @@ def read_pieces(path: str) -> list[tuple[str, float, int]]:
             if byte < 128:
                 return out, at
 
-    def fields(at: int, end: int) -> Iterator[tuple[int, object]]:
-        while at < end:
-            tag, at = number(at)
-            if tag & 7 == 2:
-                n, at = number(at)
-                yield tag >> 3, (at, at + n)
-                at += n
-            elif tag & 7 == 0:
-                n, at = number(at)
-                yield tag >> 3, n
-            else:
-                n = 4 if tag & 7 == 5 else 8
-                yield tag >> 3, raw[at : at + n]
-                at += n
+    while at < end:
+        tag, at = number(at)
+        if tag & 7 == 2:
+            n, at = number(at)
+            yield tag >> 3, (at, at + n)
+            at += n
+        elif tag & 7 == 0:
+            n, at = number(at)
+            yield tag >> 3, n
+        else:
+            n = 4 if tag & 7 == 5 else 8
+            yield tag >> 3, raw[at : at + n]
+            at += n
 
+
+@dataclass(frozen=True)
+class ModelFile:
+    """What a model file says. ``kind``: UNIGRAM or BPE; ``dummy``: a space goes before each text."""
+
+    pieces: list[tuple[str, float, int]]
+    kind: int
+    dummy: bool
+
+
+def read_model(path: str) -> ModelFile:
+    """A SentencePiece model file; ValueError if it asks for something that is not done here.
+
+    That is: another kind than Unigram and BPE, user-defined pieces, a normaliser that replaces characters, drops extra
+    white space or keeps spaces as they are, and white space at the end of words.
+    """
     with open(path, "rb") as f:
         raw = f.read()
-    out = []
-    for field, span in fields(0, len(raw)):
+    pieces, trainer, normalizer = [], {}, {}
+    for field, span in _fields(raw, 0, len(raw)):
         if field == 1:
-            got = dict(fields(*span))
+            got = dict(_fields(raw, *span))
             a, b = got[1]
-            out.append((raw[a:b].decode(), struct.unpack("<f", got[2])[0] if 2 in got else 0.0, got.get(3, NORMAL)))
-    return out
+            pieces.append((raw[a:b].decode(), struct.unpack("<f", got[2])[0] if 2 in got else 0.0, got.get(3, NORMAL)))
+        elif field == 2:
+            trainer = dict(_fields(raw, *span))
+        elif field == 3:
+            normalizer = dict(_fields(raw, *span))
+    # fixed values: field numbers of the format and their defaults
+    kind, suffix = trainer.get(3, UNIGRAM), trainer.get(24, 0)
+    (a, b), dummy, extra, escape = normalizer.get(2, (0, 0)), normalizer.get(3, 1), normalizer.get(4, 1), normalizer.get(5, 1)
+    refused = {"its kind": kind not in (UNIGRAM, BPE), "user-defined pieces": any(k == USER for _, _, k in pieces), "a character map": b > a, "dropping extra white space": extra, "bare spaces": not escape, "white space behind words": suffix}
+    if any(refused.values()):
+        raise ValueError(f"not done for this model: {', '.join(k for k, v in refused.items() if v)}")
+    return ModelFile(pieces, kind, bool(dummy))
 
 
 class Pieces:
     """A model's pieces, ready for encoding and decoding of batches."""
 
     def __init__(self, path: str):
-        self.pieces = read_pieces(path)
+        model = read_model(path)
+        self.pieces, self.kind, self.dummy = model.pieces, model.kind, model.dummy
         v = len(self.pieces)
         normal = [i for i, (_, _, kind) in enumerate(self.pieces) if kind == NORMAL]
         self.id_of = {self.pieces[i][0]: i for i in normal}
         self.unknown = next((i for i, p in enumerate(self.pieces) if p[2] == UNKNOWN), 0)
         self.byte = {int(p[1:-1], 16): i for i, (p, _, kind) in enumerate(self.pieces) if kind == BYTE}
         self.longest = max(len(self.pieces[i][0]) for i in normal)
+        self.score = np.array([p[1] for p in self.pieces] + [min(self.pieces[i][1] for i in normal) - UNKNOWN_PENALTY], dtype=np.float32)
+        # a piece that goes on behind white space: then words are not encoded one by one
+        self.across = any(SPACE in p.lstrip(SPACE) for p in self.id_of)
+        usable = self._ranked_merges(normal) if self.kind == BPE else normal
+        texts = [self.pieces[i][0] for i in usable]
+        keys = np.array([self._hash(t) for t in texts], dtype=np.uint64)
+        at = np.argsort(keys)
+        self.key, self.key_id = keys[at], np.array(usable)[at]
+        size = np.ones(v + 1, dtype=np.int64)
+        for i in usable:
+            size[i] = len(self.pieces[i][0])
+        self.size, self.v = size, v
+        self.lengths = np.unique(size[usable])
+        # a first look that turns most substrings away: the keys' leading 20 bits
+        self.some = np.zeros(1 << 20, dtype=bool)
+        self.some[self.key >> np.uint64(44)] = True
+        # decoding tables
+        raw = [bytes([int(p[1:-1], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, kind in self.pieces]
+        self.out = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        self.out_size = np.array([len(r) for r in raw])
+        self.out_at = np.cumsum(self.out_size) - self.out_size
+
+    def _ranked_merges(self, normal: list[int]) -> list[int]:
+        """Tables for ``stable``; the pieces that merges can make."""
+        v = len(self.pieces)
         # merge order: 0 for single characters, which no merge makes
         by_score = sorted((i for i in normal if len(self.pieces[i][0]) > 1), key=lambda i: (-self.pieces[i][1], i))
         self.when = np.zeros(v + 1, dtype=np.int64)
@@ -90,7 +147,6 @@ class Pieces:
             for k in range(1, len(p)):
                 if (a := self.id_of.get(p[:k])) is not None and (b := self.id_of.get(p[k:])) is not None:
                     joins[a * (v + 1) + b] = i
-        self.v = v
         self.join_key = np.array(sorted(joins), dtype=np.int64)
         self.join_to = np.array([joins[k] for k in self.join_key.tolist()], dtype=np.int64)
         self.left, self.right = np.full(v + 1, -1), np.full(v + 1, -1)
@@ -103,26 +159,9 @@ class Pieces:
             if len(parts) == 2 and joins.get(self.id_of[parts[0]] * (v + 1) + self.id_of[parts[1]]) == i:
                 self.left[i], self.right[i] = self.id_of[parts[0]], self.id_of[parts[1]]
                 usable.append(i)
-        usable.sort()
-        texts = [self.pieces[i][0] for i in usable]
-        keys = np.array([self._hash(t) for t in texts], dtype=np.uint64)
-        at = np.argsort(keys)
-        self.key, self.key_id = keys[at], np.array(usable)[at]
-        size = np.zeros(v + 1, dtype=np.int64)
-        for i in usable:
-            size[i] = len(self.pieces[i][0])
-        self.size = size
-        self.lengths = np.unique(size[usable])
-        # a first look that turns most substrings away: the keys' leading 20 bits
-        self.some = np.zeros(1 << 20, dtype=bool)
-        self.some[self.key >> np.uint64(44)] = True
         # answers of stable(), one per slot; a later pair takes the slot of an earlier one
         self.pair_key, self.pair_good = np.full(1 << 21, -1, dtype=np.int64), np.zeros(1 << 21, dtype=bool)
-        # decoding tables
-        raw = [bytes([int(p[1:-1], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, kind in self.pieces]
-        self.out = np.frombuffer(b"".join(raw), dtype=np.uint8)
-        self.out_size = np.array([len(r) for r in raw])
-        self.out_at = np.cumsum(self.out_size) - self.out_size
+        return sorted(usable)
 
     def merged(self, parts: list[str], stop: int = 1) -> list[str]:
         """The merges one by one, the best score first and the leftmost among equals, down to ``stop`` parts."""
@@ -183,16 +222,56 @@ class Pieces:
         return good
 
     def viterbi(self, chars: np.ndarray) -> np.ndarray:
-        """Back pointers of a matrix of equally long words (code points, one row each): the piece that ends at each place.
-
-        -1 - code point stands for a character without a piece.
+        """Back pointers of a matrix of equally long words (code points, one row each): the piece that ends at each place, ``v`` for a character without one."""
+        return self._best_scores(chars) if self.kind == UNIGRAM else self._stable_paths(chars)
+
+    def _prefixes(self, chars: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Rolling hashes of each row's prefixes, and the powers that cut them."""
+        prefix = np.zeros((chars.shape[0], chars.shape[1] + 1), dtype=np.uint64)
+        for i in range(chars.shape[1]):
+            prefix[:, i + 1] = prefix[:, i] * np.uint64(_BASE) + chars[:, i].astype(np.uint64) + np.uint64(1)
+        return prefix, powers(_BASE, self.longest + 1)
+
+    def _ending(self, prefix: np.ndarray, power: np.ndarray, rows: np.ndarray, i: int, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``rows`` have a piece of this length that ends at place i (positions in ``rows``), and the pieces."""
+        key = mix64(prefix[rows, i] - prefix[rows, i - length] * power[length] + np.uint64(length * 0x9E3779B97F4A7C15 % 2**64))
+        hit = np.flatnonzero(self.some[key >> np.uint64(44)])
+        if not len(hit):
+            return hit, hit
+        at = np.minimum(np.searchsorted(self.key, key[hit]), len(self.key) - 1)
+        same = self.key[at] == key[hit]
+        return hit[same], self.key_id[at[same]]
+
+    def _best_scores(self, chars: np.ndarray) -> np.ndarray:
+        """The best sum of scores, in single precision; of equal ones, the longer last piece.
+
+        Equal ones only differ by rounding, which in a library that sums over the whole text hangs on all words before.
         """
-        rows, n = chars.shape
-        prefix = np.zeros((rows, n + 1), dtype=np.uint64)
-        base = np.uint64(_BASE)
-        for i in range(n):
-            prefix[:, i + 1] = prefix[:, i] * base + chars[:, i].astype(np.uint64) + np.uint64(1)
-        power = powers(_BASE, self.longest + 1)
+        (rows, n), (prefix, power) = chars.shape, self._prefixes(chars)
+        total = np.zeros((rows, n + 1), dtype=np.float32)
+        last, every = np.full((rows, n + 1), self.v, dtype=np.int64), np.arange(rows)
+        for i in range(1, n + 1):
+            best = np.full(rows, -np.inf, dtype=np.float32)
+            for length in self.lengths[::-1].tolist():
+                if length > i:
+                    continue
+                hit, piece = self._ending(prefix, power, every, i, length)
+                sums = total[hit, i - length] + self.score[piece]
+                better = sums > best[hit]
+                best[hit[better]], last[hit[better], i] = sums[better], piece[better]
+                if length == 1:
+                    alone = np.ones(rows, dtype=bool)
+                    alone[hit] = False
+            if self.lengths[0] != 1:
+                alone = np.ones(rows, dtype=bool)
+            sums = total[:, i - 1] + self.score[self.v]  # a character without a piece
+            better = alone & (sums > best)
+            best[better], last[better, i] = sums[better], self.v
+            total[:, i] = best
+        return last[:, 1:]
+
+    def _stable_paths(self, chars: np.ndarray) -> np.ndarray:
+        (rows, n), (prefix, power) = chars.shape, self._prefixes(chars)
         last = np.full((rows, n + 1), self.v, dtype=np.int64)  # the piece that ends here on the best path
         for i in range(1, n + 1):
             best, size = np.full(rows, -1), np.zeros(rows, dtype=np.int64)
@@ -200,16 +279,10 @@ class Pieces:
             for length in self.lengths[::-1].tolist():  # the maximum: at most one piece is stable, so the longest that is
                 if length > i or not len(open_):
                     continue
-                key = mix64(prefix[open_, i] - prefix[open_, i - length] * power[length] + np.uint64(length * 0x9E3779B97F4A7C15 % 2**64))
-                hit = np.flatnonzero(self.some[key >> np.uint64(44)])
-                if not len(hit):
-                    continue
-                at = np.minimum(np.searchsorted(self.key, key[hit]), len(self.key) - 1)
-                same = self.key[at] == key[hit]
-                hit, at = hit[same], at[same]
+                hit, piece = self._ending(prefix, power, open_, i, length)
                 if not len(hit):
                     continue
-                piece, before = self.key_id[at], last[open_[hit], i - length]
+                before = last[open_[hit], i - length]
                 fit = np.ones(len(hit), dtype=bool)
                 inner = (before != self.v) if i > length else np.zeros(len(hit), dtype=bool)
                 if inner.any():
@@ -265,11 +338,11 @@ class Pieces:
     def encode(self, texts: list[str | None], seen: dict[int, bytes] | None = None, keep: int = 300_000) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many belong to each.
 
-        A word is white space and what follows up to the next white space; no piece goes across its start, so each
+        A word is white space and what follows up to the next white space; no piece goes across its start (else a text is one word), so each
         different word is encoded once. ``seen`` keeps up to ``keep`` words between calls, by hash.
         """
         seen = {} if seen is None else seen
-        raw = [(" " + t.replace(SPACE, " ")).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        raw = [(" " * self.dummy + t.replace(SPACE, " ")).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
         size = np.fromiter((len(r) for r in raw), dtype=np.int64, count=len(raw))
         text_at = np.cumsum(size) - size
         whole = b"".join(raw)
@@ -277,7 +350,7 @@ class Pieces:
             return np.empty(0, dtype=np.int32), np.zeros(len(texts), dtype=np.int64)
         data = np.frombuffer(whole, dtype=np.uint8)
         blank = data == 0x20
-        begins = blank.copy()
+        begins = blank & (not self.across)
         begins[1:] &= ~blank[:-1]
         begins[text_at[size > 0]] = True
         starts = np.flatnonzero(begins)
@@ -308,7 +381,7 @@ class Pieces:
         out = []
         for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
             text = raw[a:b].decode("utf-8", "replace")
-            out.append(text.removeprefix(" "))
+            out.append(text.removeprefix(" ") if self.dummy else text)
         return out
 
 

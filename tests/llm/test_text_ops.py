@@ -1,8 +1,9 @@
 """Toxicity, quality, SentencePiece, substring dedup and near duplicates against brute force."""
 
 import random
-import zlib
 import re
+import struct
+import zlib
 
 import numpy as np
 import pytest
@@ -52,6 +53,55 @@ def test_random_words_equal_the_library(model):
     assert [c.tolist() for c in np.split(ids, np.cumsum(counts)[:-1])] == library.encode(texts)
 
 
+def varint(n):
+    return bytes([n]) if n < 128 else bytes([n & 127 | 128]) + varint(n >> 7)
+
+
+def model_file(path, listed, kind, trainer=b"", normalizer=b"\x20\x00"):
+    """A model file written by hand: pieces (text, score, type); the normaliser keeps extra white space."""
+    field = lambda number, raw: varint(number << 3 | 2) + varint(len(raw)) + raw
+    one = lambda p, score, t: field(1, p.encode()) + b"\x15" + struct.pack("<f", score) + b"\x18" + varint(t)
+    raw = b"".join(field(1, one(*p)) for p in listed) + field(2, b"\x18" + varint(kind) + trainer) + field(3, field(1, b"identity") + normalizer)
+    path.write_bytes(raw)
+    return str(path)
+
+
+SPECIAL = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3)]
+BYTES = [(f"<0x{b:02X}>", 0.0, 6) for b in range(256)]
+
+
+@pytest.mark.parametrize("case", ["plain", "bytes", "ties", "across", "bare"])
+def test_unigram_equals_the_library(tmp_path, case):
+    rng = random.Random(case)
+    text = lambda n: "".join(rng.choice("abcde  fé日") for _ in range(n))
+    listed = {c for c in "abcde▁"} | ({"é"} if case == "bytes" else set())
+    while len(listed) < 400:
+        p = text(rng.randrange(2, 6)).replace(" ", "▁")
+        listed.add(p if case == "across" else "▁" * p.startswith("▁") + p.replace("▁", ""))
+    listed.discard("")
+    score = lambda p: -float(rng.randrange(2, 5)) * len(p) if case == "ties" else -rng.uniform(1, 12)
+    path = model_file(tmp_path / "own.model", SPECIAL + (BYTES if case == "bytes" else []) + [(p, score(p), 1) for p in sorted(listed)], 1, b"\x98\x02\x01" if case == "bytes" else b"", b"\x20\x00\x18\x00" if case == "bare" else b"\x20\x00")
+    ours, library = pieces.Pieces(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    assert ours.kind == pieces.UNIGRAM and ours.dummy == (case != "bare")
+    texts = ["", " ", "é", "ééé a", "日日é", "a", "  a  b  "] + [text(rng.randrange(80)) for _ in range(800)]
+    ids, counts = ours.encode(texts)
+    got, want = [c.tolist() for c in np.split(ids, np.cumsum(counts)[:-1])], library.encode(texts)
+    # paths of equal sums: the library's choice hangs on the rounding of all that came before
+    best = lambda path: round(sum(float(ours.score[i]) for i in path), 3)
+    assert [best(g) for g in got] == [best(w) for w in want]
+    assert sum(g != w for g, w in zip(got, want, strict=True)) <= (400 if case == "ties" else 40)
+    assert [library.decode(g) for g in got] == [library.decode(w) for w in want]
+    if case == "bytes":
+        assert ours.decode(ids, counts) == texts
+
+
+def test_models_that_ask_for_more_are_refused(tmp_path):
+    letters = [(c, -1.0, 1) for c in "abc▁"]
+    for listed, kind, trainer, normalizer in ((letters, 4, b"", b"\x20\x00"), (letters, 1, b"", b""), (letters, 1, b"", b"\x20\x00\x28\x00"), (letters, 1, b"", b"\x20\x00\x12\x01x"), ([*letters, ("user", 0.0, 4)], 1, b"", b"\x20\x00"), (letters, 1, b"\xc0\x01\x01", b"\x20\x00")):
+        with pytest.raises(ValueError, match="not done"):
+            pieces.Pieces(model_file(tmp_path / "own.model", SPECIAL + listed, kind, trainer, normalizer))
+
+
 def test_encoding_of_a_table(spark):
     got = {r["doc_id"]: r for r in pieces.encode_pieces(docs(spark, [(1, "hello world"), (2, None), (3, ""), (None, "x"), (5, "a ▁")]), MODEL).collect()}
     assert got[2]["tokens"] is None and got[3]["tokens"] == [] and got[None]["round_trip"] and not got[5]["round_trip"]
