@@ -8,6 +8,7 @@ their parts; that is weaker than a full grammar.
 
 from __future__ import annotations
 
+import bisect
 import re
 from dataclasses import dataclass
 
@@ -23,6 +24,7 @@ _KEYWORDS = set(
 #: After these words an expression begins, so a slash starts a regular expression.
 _OPENS = set("await case delete do else extends in instanceof new of return throw typeof void yield default".split())
 _CLOSE = {"(": ")", "[": "]", "{": "}"}
+_TYPE_PARAMETERS = re.compile(r"<\s*[A-Za-z_$][\w$]*\s*(?:,|\s+extends\b)")
 _PUNCT = re.compile(r">>>=|\*\*=|<<=|>>=|===|!==|>>>|\.\.\.|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?![0-9])|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*|[{}()\[\];,<>+\-*/%&|^!~?:=.@#]")
 _NAME = re.compile(r"(?:[^\W\d]|[$]|\\u\{?[0-9a-fA-F]+\}?)(?:\w|[$‌‍]|\\u\{?[0-9a-fA-F]+\}?)*")
 _NUMBER = re.compile(r"0[xX][0-9a-fA-F_]+n?|0[oO][0-7_]+n?|0[bB][01_]+n?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?n?")
@@ -112,7 +114,7 @@ class Scanner:
 
     def type_parameters(self) -> bool:
         """``<T,>(x)`` or ``<T extends U>(x)``: an arrow function's type parameters, not an element."""
-        return bool(re.match(r"<\s*[A-Za-z_$][\w$]*\s*(?:,|\s+extends\b)", self.s[self.at : self.at + 200]))
+        return bool(_TYPE_PARAMETERS.match(self.s, self.at))
 
     def embedded(self) -> None:
         """{...} of a template or of JSX: its tokens stand in parentheses."""
@@ -352,16 +354,16 @@ class Source:
         return out
 
     def past_angles(self, i: int) -> int:
-        """Past <...> of types, or i itself if this is a comparison."""
+        """Past <...> of types, or i itself if this is a comparison: what ends the statement or closes a bracket around it comes first."""
         depth, k = 0, i
-        while k < len(self.t) and k < i + 60:
+        while k < len(self.t):
             if self.is_(k, "<"):
                 depth += 1
             elif self.is_(k, ">", ">>", ">>>"):
                 depth -= len(self.text(k))
                 if depth <= 0:
                     return k + 1
-            elif self.t[k].kind == "punct" and self.text(k) in (";", "&&", "||", "+", "-", "=="):
+            elif self.t[k].kind == "punct" and self.text(k) in (";", "&&", "||", "+", "-", "==", ")", "]", "}"):
                 return i
             k = self.after(k)
         return i
@@ -494,19 +496,26 @@ class Source:
         return self.text(brace) == "{" and (brace == 0 or self.is_(brace - 1, ")", "=>", ";", "{", "}", "else", "try", "do", "finally") or self.name(brace - 1))
 
     def calls(self, declared: list[tuple[str, int, int, int]]) -> Calls:
+        # top-level ranges lie one behind the other, so the last that begins before a token is the only one that may hold it
         owners = sorted((a, b, self.text(n)) for kind, n, a, b in declared if kind in ("function", "class"))
-        bodies = self.class_bodies()
+        bodies = set(self.class_bodies())
         defined = {m for brace in bodies for m, _, _ in self.methods(brace)}
-        typed = [(a, b) for kind, _, a, b in declared if kind in ("interface", "type_alias")]
+        typed = sorted((a, b) for kind, _, a, b in declared if kind in ("interface", "type_alias"))
+        owner_at, typed_at = [o[0] for o in owners], [t[0] for t in typed]
         modifiers = ("{", "}", ";", "static", "get", "set", "async", "public", "private", "protected", "readonly", "override", "abstract")
 
         def owner(i: int) -> str | None:
-            return next((name for a, b, name in owners if a <= i < b), None)
+            k = bisect.bisect_right(owner_at, i) - 1
+            return owners[k][2] if k >= 0 and i < owners[k][1] else None
+
+        def in_type(i: int) -> bool:
+            k = bisect.bisect_right(typed_at, i) - 1
+            return k >= 0 and i < typed[k][1]
 
         plain: Calls = []
         own: Calls = []
         for i, t in enumerate(self.t):
-            if t.kind != "name" or i in defined or any(a <= i < b for a, b in typed) or (self.around[i] in bodies and self.is_(i - 1, *modifiers)):
+            if t.kind != "name" or i in defined or in_type(i) or (self.around[i] in bodies and self.is_(i - 1, *modifiers)):
                 continue  # members and types, not calls
             at = i + 1
             if self.is_(at, "?.") and self.is_(at + 1, "("):
