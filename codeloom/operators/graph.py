@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.tables import written
+
 LARGE_FILE_LINES = 400
 TOP_CONNECTED = 400
+#: A repository of at most so many import edges is searched in one task, a larger one by joins.
+TASK_EDGES = 2_000_000
+#: Tasks that share a repository's targets, and the fewest targets worth a task.
+SLICES, SLICE_TARGETS = 16, 512
 
 
 def internal_edges(edges: DataFrame) -> DataFrame:
@@ -112,13 +117,18 @@ def components(source: np.ndarray, target: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
-def cycle_members(edges: DataFrame, *, method: str = "grouped") -> DataFrame:
+def _fits(edges: DataFrame) -> bool:
+    """Whether the edges of each repository fit a task."""
+    return (edges.groupBy("analysis_id").count().agg(F.max("count")).first()[0] or 0) <= TASK_EDGES
+
+
+def cycle_members(edges: DataFrame, *, method: str | None = None) -> DataFrame:
     """(analysis_id, cycle, path): files on import cycles; ``cycle`` is the smallest path of the component.
 
-    A file that only imports itself is a cycle of one. ``grouped``: one task a repository (its edges fit there);
-    ``distributed``: repeated joins, for repositories whose graph does not.
+    A file that only imports itself is a cycle of one. ``grouped``: one task a repository; ``distributed``: repeated joins;
+    by default the first, if the edges of each repository fit a task.
     """
-    if method == "distributed":
+    if method == "distributed" or (method is None and not _fits(edges)):
         return _distributed_cycles(edges)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
@@ -136,46 +146,45 @@ def _distributed_cycles(edges: DataFrame) -> DataFrame:
     """Rounds of joins: drop what cannot lie on a cycle, colour forwards by the smallest name, collect backwards inside a colour."""
     key = ["analysis_id", "node"]
     loops = edges.where("source = target").select("analysis_id", F.col("source").alias("cycle"), F.col("source").alias("path")).distinct()
-    open_ = edges.where("source <> target").distinct().checkpoint()
+    open_ = written(edges.where("source <> target").distinct())
     found = None
     while not open_.isEmpty():
         while True:  # nodes without an edge in or out are on no cycle
             inward = open_.select("analysis_id", F.col("target").alias("node")).distinct()
             outward = open_.select("analysis_id", F.col("source").alias("node")).distinct()
             both = inward.join(outward, key)
-            left = open_.join(both.withColumnRenamed("node", "source"), ["analysis_id", "source"], "left_semi").join(both.withColumnRenamed("node", "target"), ["analysis_id", "target"], "left_semi").checkpoint()
+            left = written(open_.join(both.withColumnRenamed("node", "source"), ["analysis_id", "source"], "left_semi").join(both.withColumnRenamed("node", "target"), ["analysis_id", "target"], "left_semi"))
             if left.count() == open_.count():
                 break
             open_ = left
         if open_.isEmpty():
             break
         nodes = open_.select("analysis_id", F.explode(F.array("source", "target")).alias("node")).distinct()
-        colour = nodes.withColumn("colour", F.col("node")).checkpoint()
+        colour = written(nodes.withColumn("colour", F.col("node")))
         while True:  # the smallest name that reaches each node
             near = open_.join(colour.withColumnRenamed("node", "source"), ["analysis_id", "source"]).select("analysis_id", F.col("target").alias("node"), "colour")
-            nxt = colour.unionByName(near).groupBy(*key).agg(F.min("colour").alias("colour")).checkpoint()
+            nxt = written(colour.unionByName(near).groupBy(*key).agg(F.min("colour").alias("colour")))
             if nxt.join(colour, [*key, "colour"], "left_anti").isEmpty():
                 break
             colour = nxt
-        inside = (
+        inside = written(
             open_.join(colour.select("analysis_id", F.col("node").alias("source"), F.col("colour").alias("a")), ["analysis_id", "source"])
             .join(colour.select("analysis_id", F.col("node").alias("target"), F.col("colour").alias("b")), ["analysis_id", "target"])
             .where("a = b")
             .select("analysis_id", "source", "target", F.col("a").alias("colour"))
-            .checkpoint()
         )
-        reached = colour.where("node = colour").checkpoint()
+        reached = written(colour.where("node = colour"))
         while True:  # backwards from each colour's root, inside the colour
             more = inside.join(reached.select("analysis_id", F.col("node").alias("target"), "colour"), ["analysis_id", "target", "colour"]).select("analysis_id", F.col("source").alias("node"), "colour")
-            nxt = reached.unionByName(more).distinct().checkpoint()
+            nxt = written(reached.unionByName(more).distinct())
             if nxt.count() == reached.count():
                 break
             reached = nxt
         sizes = reached.groupBy("analysis_id", "colour").agg(F.count("*").alias("n"), F.min("node").alias("cycle")).where("n > 1")
-        part = reached.join(sizes, ["analysis_id", "colour"]).select("analysis_id", "cycle", F.col("node").alias("path")).checkpoint()
+        part = written(reached.join(sizes, ["analysis_id", "colour"]).select("analysis_id", "cycle", F.col("node").alias("path")))
         found = part if found is None else found.unionByName(part)
         done = reached.select("analysis_id", "node")
-        open_ = open_.join(done.withColumnRenamed("node", "source"), ["analysis_id", "source"], "left_anti").join(done.withColumnRenamed("node", "target"), ["analysis_id", "target"], "left_anti").checkpoint()
+        open_ = written(open_.join(done.withColumnRenamed("node", "source"), ["analysis_id", "source"], "left_anti").join(done.withColumnRenamed("node", "target"), ["analysis_id", "target"], "left_anti"))
     if found is None:
         return loops
     return found.unionByName(loops.join(found, ["analysis_id", "path"], "left_anti"))
@@ -191,13 +200,23 @@ def _apart(df: DataFrame) -> DataFrame:
     return df.select(*[F.col(c).alias(c) for c in df.columns])
 
 
-def affected_files(edges: DataFrame, targets: DataFrame, *, method: str = "grouped") -> DataFrame:
+def _sliced(asked: DataFrame) -> DataFrame:
+    """(analysis_id, slices): over how many tasks the rows of each repository are dealt."""
+    n = F.least(F.lit(SLICES), F.ceil(F.count("*") / SLICE_TARGETS)).cast("int")
+    return asked.groupBy("analysis_id").agg(n.alias("slices"))
+
+
+def _for_each_slice(df: DataFrame, slices: DataFrame) -> DataFrame:
+    return df.join(slices, "analysis_id").withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+
+
+def affected_files(edges: DataFrame, targets: DataFrame, *, method: str | None = None) -> DataFrame:
     """(analysis_id, target, path): files that import ``target`` directly or through others, never the target itself.
 
-    ``targets``: (analysis_id, target). ``grouped``: one task a repository, a search backwards from each target;
-    ``distributed``: a frontier that grows by joins, for larger graphs.
+    ``targets``: (analysis_id, target). ``grouped``: a search backwards from each target, the targets of a repository dealt over
+    tasks that each hold its edges; ``distributed``: a frontier that grows by joins; by default the first, if the edges of each repository fit a task.
     """
-    if method == "distributed":
+    if method == "distributed" or (method is None and not _fits(edges)):
         return _distributed_reach(edges, targets)
 
     def run(part: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
@@ -223,22 +242,25 @@ def affected_files(edges: DataFrame, targets: DataFrame, *, method: str = "group
         found = pd.concat(out) if out else pd.DataFrame({"target": [], "path": []})
         return found.assign(analysis_id=part["analysis_id"].iloc[0])[["analysis_id", "target", "path"]]
 
-    schema = "analysis_id string, target string, path string"
-    return edges.distinct().groupBy("analysis_id").cogroup(_apart(targets.distinct()).groupBy("analysis_id")).applyInPandas(run, schema)
+    schema, asked = "analysis_id string, target string, path string", targets.select("analysis_id", "target").distinct()
+    slices, key = _sliced(asked), ["analysis_id", "slice"]
+    dealt = _apart(asked.join(slices, "analysis_id").withColumn("slice", F.pmod(F.xxhash64("target"), F.col("slices")).cast("int")))
+    return _for_each_slice(edges.distinct(), slices).groupBy(*key).cogroup(dealt.groupBy(*key)).applyInPandas(run, schema)
 
 
 def affected_totals(nodes: DataFrame, edges: DataFrame, weights: list[str]) -> DataFrame:
     """(analysis_id, path, affected_files, and of each weight column the sum over the affected files) for every node.
 
-    One task a repository. Components in the order of imports: who depends on a component is the union of the members
-    of, and of who depends on, the components that import it. The sets are bits, and only a slice of the nodes is
-    followed at a time, so memory is bounded; no pair is ever a row.
+    Components in the order of imports: who depends on a component is the union of the members
+    of, and of who depends on, the components that import it. The sets are bits. Each task holds a repository's nodes and edges and follows
+    its slice of the nodes, a few megabytes of bits at a time, so memory is bounded; no pair is ever a row.
     """
     names = ["affected_files", *weights]
 
     def run(part: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
         if not len(part):
             return pd.DataFrame({c: [] for c in ("analysis_id", "path", *names)})
+        nth, slices = int(part["slice"].iloc[0]), int(part["slices"].iloc[0])
         part = part.drop_duplicates("path").sort_values("path")
         paths = part["path"].to_numpy().astype(str)
         n, pairs = len(paths), pairs[pairs["source"].isin(paths) & pairs["target"].isin(paths)]
@@ -263,8 +285,9 @@ def affected_totals(nodes: DataFrame, edges: DataFrame, weights: list[str]) -> D
         weight = np.column_stack([np.ones(n), *(part[w].to_numpy(float) for w in weights)])
         total = np.zeros((len(comps), weight.shape[1]))
         width = max(8, (64 << 20) // max(1, len(comps)) // 8 * 8)  # 8 MB of bits
-        for lo in range(0, n, width):
-            hi = min(n, lo + width)
+        first, end = n * nth // slices, n * (nth + 1) // slices
+        for lo in range(first, end, width):
+            hi = min(end, lo + width)
             member = np.zeros((len(comps), (hi - lo + 7) // 8), dtype=np.uint8)
             np.bitwise_or.at(member, (of[lo:hi], np.arange(hi - lo) // 8), (128 >> (np.arange(hi - lo) % 8)).astype(np.uint8))
             reach = np.zeros_like(member)
@@ -273,31 +296,44 @@ def affected_totals(nodes: DataFrame, edges: DataFrame, weights: list[str]) -> D
                     reach[c] = np.bitwise_or.reduce(reach[importers[c]] | member[importers[c]], axis=0)
             for at in range(0, len(comps), 4096):
                 total[at : at + 4096] += np.unpackbits(reach[at : at + 4096], axis=1, count=hi - lo).astype(np.float32) @ weight[lo:hi]
-        inside = np.column_stack([np.bincount(of, weight[:, k], minlength=len(comps)) for k in range(weight.shape[1])])
-        sums = (total + inside)[of] - weight  # the others of the own component, never the file itself
+        own = slice(first, end)
+        inside = np.column_stack([np.bincount(of[own], weight[own, k], minlength=len(comps)) for k in range(weight.shape[1])])
+        sums = (total + inside)[of]
+        sums[own] -= weight[own]  # the others of the own component, never the file itself
         out = pd.DataFrame(np.rint(sums).astype(np.int64), columns=names)
         return out.assign(analysis_id=part["analysis_id"].iloc[0], path=paths)[["analysis_id", "path", *names]]
 
     schema = "analysis_id string, path string, " + ", ".join(f"`{c}` long" for c in names)
-    return nodes.groupBy("analysis_id").cogroup(_apart(edges.distinct()).groupBy("analysis_id")).applyInPandas(run, schema)
+    slices, key = _sliced(nodes), ["analysis_id", "slice"]
+    found = _for_each_slice(nodes, slices).groupBy(*key).cogroup(_apart(_for_each_slice(edges.distinct(), slices)).groupBy(*key)).applyInPandas(run, schema)
+    return found.groupBy("analysis_id", "path").agg(*[F.sum(c).alias(c) for c in names])
 
 
 def _distributed_reach(edges: DataFrame, targets: DataFrame) -> DataFrame:
-    back = edges.select("analysis_id", F.col("target").alias("path"), F.col("source").alias("by")).distinct().checkpoint()
+    back = written(edges.select("analysis_id", F.col("target").alias("path"), F.col("source").alias("by")).distinct())
     frontier = targets.select("analysis_id", "target", F.col("target").alias("path")).distinct()
-    seen = frontier.limit(0).checkpoint()
+    seen = written(frontier.limit(0))
     while True:
         new = back.join(frontier, ["analysis_id", "path"]).where("by <> target").select("analysis_id", "target", F.col("by").alias("path")).distinct()
-        new = new.join(seen, ["analysis_id", "target", "path"], "left_anti").checkpoint()
+        new = written(new.join(seen, ["analysis_id", "target", "path"], "left_anti"))
         if new.isEmpty():
             return seen
-        seen, frontier = seen.unionByName(new).checkpoint(), new
+        seen, frontier = seen.unionByName(new), new
 
 
-def neighbour_state(nodes: DataFrame, edges: DataFrame, selected: str, query: str = "") -> DataFrame:
+def neighbour_state(nodes: DataFrame, edges: DataFrame, selected: str | DataFrame, query: str = "") -> DataFrame:
     """(analysis_id, path, state) around a selected file: selected, outgoing (it imports), incoming (imports it), or default;
-    without a selection, a trimmed case-blind substring makes nodes matched or dimmed."""
+    without a selection, a trimmed case-blind substring makes nodes matched or dimmed. A table (analysis_id, path) selects
+    a file of each repository."""
     base = nodes.select("analysis_id", "path")
+    if isinstance(selected, DataFrame):
+        chosen = selected.select("analysis_id", F.col("path").alias("__own"))
+        out = edges.join(chosen.withColumnRenamed("__own", "source"), ["analysis_id", "source"], "left_semi").select("analysis_id", F.col("target").alias("path"), F.lit(3).alias("__s"))
+        into = edges.join(chosen.withColumnRenamed("__own", "target"), ["analysis_id", "target"], "left_semi").select("analysis_id", F.col("source").alias("path"), F.lit(2).alias("__s"))
+        best = out.unionByName(into).unionByName(chosen.select("analysis_id", F.col("__own").alias("path"), F.lit(4).alias("__s"))).groupBy("analysis_id", "path").agg(F.max("__s").alias("__s"))
+        s = F.coalesce("__s", F.lit(1))
+        state = F.when(s == 4, "selected").when(s == 3, "outgoing").when(s == 2, "incoming").otherwise("dimmed")
+        return base.join(best, ["analysis_id", "path"], "left").select("analysis_id", "path", state.alias("state"))
     if query.strip() and not selected:
         return base.withColumn("state", F.when(F.contains(F.lower("path"), F.lit(query.strip().lower())), "matched").otherwise("dimmed"))
     out = edges.where(F.col("source") == selected).select("analysis_id", F.col("target").alias("path"), F.lit(True).alias("__out")).distinct()
@@ -343,12 +379,17 @@ def layers(edges: DataFrame) -> DataFrame:
         layer = np.zeros(len(names), dtype=np.int64)
         a, b = label[s], label[t]
         a, b = a[a != b], b[a != b]
-        while True:  # as often as the longest chain has links
-            nxt = layer.copy()
-            np.maximum.at(nxt, b, layer[a] + 1)
-            if (nxt == layer).all():
-                break
-            layer = nxt
+        order = np.argsort(a, kind="stable")
+        at, to = np.searchsorted(a[order], np.arange(len(names) + 1)).tolist(), b[order].tolist()
+        waits = np.bincount(b, minlength=len(names)).tolist()
+        todo = [v for v in np.unique(label).tolist() if not waits[v]]
+        while todo:  # a component once all that import it are done
+            v = todo.pop()
+            for w in to[at[v] : at[v + 1]]:
+                layer[w] = max(layer[w], layer[v] + 1)
+                waits[w] -= 1
+                if not waits[w]:
+                    todo.append(w)
         layer = layer[label]
         place = np.zeros(len(names))
         for depth in range(int(layer.max()) + 1 if len(names) else 0):

@@ -85,7 +85,7 @@ def affected_symbols(symbols: DataFrame, affected: DataFrame, callers: DataFrame
     return by_file.select(*columns).unionByName(by_call.select(*columns)).distinct()
 
 
-def impact(symbols: DataFrame, files: DataFrame, import_edges: DataFrame, call_edges: DataFrame, *, of: DataFrame | None = None, method: str = "grouped") -> DataFrame:
+def impact(symbols: DataFrame, files: DataFrame, import_edges: DataFrame, call_edges: DataFrame, *, of: DataFrame | None = None, method: str | None = None) -> DataFrame:
     """One row for each symbol of ``of`` (all, by default): numbers of direct callers, affected files, tests and symbols, fan-in, risks.
 
     Affected files depend on the symbol's file only, so they are searched once a file: for all files by sets of bits
