@@ -34,9 +34,14 @@ def fan_in_out(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("analysis_id", "path").join(counts, ["analysis_id", "path"], "left").select("analysis_id", "path", zero("fan_in"), zero("fan_out"))
 
 
-def ranked_fan(fan: DataFrame) -> DataFrame:
-    """Most connected first."""
-    return fan.orderBy("analysis_id", F.desc(F.col("fan_in") + F.col("fan_out")), "path")
+def ranked_fan(fan: DataFrame, top: int | None = None) -> DataFrame:
+    """Most connected first; of each repository the ``top``, if given."""
+    from pyspark.sql import Window
+
+    total = F.desc(F.col("fan_in") + F.col("fan_out"))
+    if top is not None:
+        fan = fan.withColumn("__n", F.row_number().over(Window.partitionBy("analysis_id").orderBy(total, "path"))).where(F.col("__n") <= top).drop("__n")
+    return fan.orderBy("analysis_id", total, "path")
 
 
 def degrees(edges: DataFrame) -> DataFrame:

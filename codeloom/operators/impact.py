@@ -74,9 +74,9 @@ def first_definitions(symbols: DataFrame) -> DataFrame:
     )
 
 
-def affected_symbols(symbols: DataFrame, affected: DataFrame, callers: DataFrame) -> DataFrame:
-    """(analysis_id, path, parent, name, ord, by_path, by_ord) for every target symbol: the symbols of affected files and the calling ones, once each."""
-    mine = symbols.select("analysis_id", F.col("path").alias("target"), F.col("parent"), F.col("name"), F.col("ord"))
+def affected_symbols(symbols: DataFrame, affected: DataFrame, callers: DataFrame, of: DataFrame | None = None) -> DataFrame:
+    """(analysis_id, path, parent, name, ord, by_path, by_ord) for every symbol of ``of`` (all, by default): the symbols of affected files and the calling ones, once each."""
+    mine = (symbols if of is None else of).select("analysis_id", F.col("path").alias("target"), F.col("parent"), F.col("name"), F.col("ord"))
     others = symbols.select("analysis_id", F.col("path").alias("by_path"), F.col("ord").alias("by_ord"))
     by_file = mine.join(affected.withColumnRenamed("path", "by_path"), ["analysis_id", "target"]).join(others, ["analysis_id", "by_path"])
     callers_first = first_definitions(symbols).where("parent IS NULL").select("analysis_id", F.col("path").alias("by_path"), F.col("name").alias("caller_symbol"), F.col("ord").alias("by_ord"))
@@ -122,6 +122,26 @@ def impact(symbols: DataFrame, files: DataFrame, import_edges: DataFrame, call_e
     return joined.withColumn("risk_indicators", risks)
 
 
+def impact_lists(symbols: DataFrame, import_edges: DataFrame, call_edges: DataFrame, of: DataFrame, *, method: str | None = None) -> DataFrame:
+    """What ``impact`` counts, in full, for each symbol of ``of``: (analysis_id, path, ord, direct_callers, affected_files,
+    affected_symbols, affected_tests). All lists are sorted; a caller is a (path, symbol) for each call edge, a symbol a (path, ord, name, kind, parent)."""
+    number = ["analysis_id", "path", "ord"]
+    own = of.select(*number, "parent", "name")
+    callers = direct_callers(call_edges, symbols).join(own.select(*number), number, "left_semi")
+    pairs = graph.affected_files(graph.internal_edges(import_edges), own.select("analysis_id", F.col("path").alias("target")).distinct(), method=method)
+    listed = lambda c: F.sort_array(F.collect_list(c))
+    by_file = pairs.groupBy("analysis_id", F.col("target").alias("path")).agg(listed("path").alias("affected_files"))
+    by_file = by_file.withColumn("affected_tests", F.filter("affected_files", FF.is_test_file))
+    called = callers.groupBy(*number).agg(listed(F.struct(F.col("caller_path").alias("path"), F.col("caller_symbol").alias("symbol"))).alias("direct_callers"))
+    names = symbols.select("analysis_id", F.col("path").alias("by_path"), F.col("ord").alias("by_ord"), F.col("name").alias("by_name"), "kind", F.col("parent").alias("by_parent"))
+    reached = affected_symbols(symbols, pairs, callers, own).join(names, ["analysis_id", "by_path", "by_ord"])
+    item = F.struct(F.col("by_path").alias("path"), F.col("by_ord").alias("ord"), F.col("by_name").alias("name"), "kind", F.col("by_parent").alias("parent"))
+    reached = reached.groupBy(*number).agg(listed(item).alias("affected_symbols"))
+    out = own.select(*number).join(called, number, "left").join(by_file, ["analysis_id", "path"], "left").join(reached, number, "left")
+    lists = ["direct_callers", "affected_files", "affected_symbols", "affected_tests"]
+    return out.select(*number, *[F.coalesce(c, F.array().cast(out.schema[c].dataType)).alias(c) for c in lists])
+
+
 def search_symbols(symbols: DataFrame, query: str, kind: str | None = None) -> DataFrame:
     """Symbols whose name holds ``query``, case-blind; ``%`` and ``_`` in it are wildcards. Optionally of one kind."""
     found = symbols.where(F.col("name").ilike(f"%{query}%"))

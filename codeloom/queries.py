@@ -6,6 +6,8 @@ No table holds source code, so two repositories are written from them as real so
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,10 +17,11 @@ from codeloom.functions import text as FT
 from codeloom.operators import extract as X
 from codeloom.operators import graph, impact, incremental, resolve
 from codeloom.plans.analysis import Analysis, analyze
-from codeloom.plans.api import latest_per_repository, recent_repositories
+from codeloom.plans.api import Engine, latest_per_repository, recent_repositories
 from codeloom.schemas import EXTRACTOR_VERSION
 from codeloom.sources.tree import read_table
 from codeloom.streaming import jobs as J
+from codeloom.tables import shared_dir, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,47 +32,51 @@ def _sql(spark: SparkSession, sf_dir: str, query: str, *names: str) -> DataFrame
     return spark.sql(query, **{n: table(spark, sf_dir, n) for n in names})
 
 
-#: A Python file for each customer: it imports and calls the functions of others, by orders of top priority.
+#: A Python file for each customer, forty more that hold what all use, and seven that nothing uses: by orders of top priority files import and call the
+#: functions of other customers, by all other orders the common ones.
 _PYTHON = r"""
-WITH g AS (SELECT DISTINCT o_custkey AS s, (o_orderkey * 7919) % (SELECT count(*) FROM {customer}) AS t FROM {orders} WHERE o_orderpriority LIKE '1%' AND CONDITION),
-deps AS (SELECT g.s, array_sort(collect_list(named_struct('t', g.t, 'n', c.c_nationkey))) AS d FROM g JOIN {customer} c ON c.c_custkey = g.t GROUP BY g.s)
-SELECT concat('pkg/n', c_nationkey, '/c', c_custkey, '.py') AS path, concat(
-    coalesce(array_join(transform(d, x -> concat('from pkg.n', x.n, '.c', x.t, ' import f', x.t, IF(x.t % 2 = 0, concat(' as g', x.t), ''), '\n')), ''), ''),
-    IF(c_acctbal < 0, 'import os\n', ''), 'def f', c_custkey, '():\n    pass\n',
+WITH p AS (SELECT c_custkey AS k, c_nationkey AS nation, c_acctbal < 0 AS ext FROM {customer}
+  UNION ALL SELECT (SELECT count(*) FROM {customer}) + 1 + id, 99, false FROM range(47)),
+m AS (SELECT k, ext, concat('n', nation) AS dir, concat(IF(k % 50 = 0, 'test_c', 'c'), k) AS stem FROM p),
+g AS (SELECT DISTINCT o_custkey AS s, IF(o_orderpriority LIKE '1%', (o_orderkey * 7919) % (SELECT count(*) FROM {customer}), (SELECT count(*) FROM {customer}) + 1 + o_orderkey % 40) AS t FROM {orders}),
+deps AS (SELECT g.s, array_sort(collect_list(named_struct('t', g.t, 'm', concat(m.dir, '.', m.stem)))) AS d FROM g JOIN m ON m.k = g.t GROUP BY g.s)
+SELECT concat('pkg/', dir, '/', stem, '.py') AS path, concat(
+    coalesce(array_join(transform(d, x -> concat('from pkg.', x.m, ' import f', x.t, IF(x.t % 2 = 0, concat(' as g', x.t), ''), '\n')), ''), ''),
+    IF(ext, 'import os\n', ''), 'def f', k, '():\n    pass\n',
     coalesce(array_join(transform(d, x -> concat('    ', IF(x.t % 2 = 0, 'g', 'f'), x.t, '()\n')), ''), ''),
-    IF(c_custkey % 3 = 0, concat('class K', c_custkey, ':\n    def run(self):\n        self.step()\n        self.gone()\n    def step(self):\n        pass\n'), '')) AS content
-FROM {customer} LEFT JOIN deps ON deps.s = c_custkey
+    IF(k % 3 = 0, concat('class K', k, ':\n    def run(self):\n        self.step()\n        self.gone()\n    def step(self):\n        pass\n'), '')) AS content
+FROM m LEFT JOIN deps ON deps.s = k
 """
 
-#: A TypeScript file for each part, importing its suppliers' files.
+#: A TypeScript file for each part: of its suppliers' files it imports some, requires some and re-exports some.
 _SCRIPT = r"""
-WITH u AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS k FROM {lineitem} WHERE l_linenumber = 1 AND l_returnflag = 'R'),
+WITH u AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS k FROM {lineitem}),
 deps AS (SELECT p, array_sort(collect_list(k)) AS ks FROM u GROUP BY p)
 SELECT concat('parts/', replace(p_brand, '#', ''), '/p', p_partkey, '.ts') AS path, concat(
-    coalesce(array_join(transform(ks, k -> concat('import {{ load', k, IF(k % 3 = 0, concat(' as l', k), ''), ' }} from "../../suppliers/s', k, '";\n')), ''), ''),
+    coalesce(array_join(transform(ks, k -> concat(CASE k % 5 WHEN 3 THEN 'export * from ' WHEN 4 THEN concat('const {{ load', k, IF(k % 3 = 0, concat(': l', k), ''), ' }} = require(')
+      ELSE concat('import {{ load', k, IF(k % 3 = 0, concat(' as l', k), ''), ' }} from ') END, '"../../suppliers/s', k, IF(k % 5 = 4, '");\n', '";\n'))), ''), ''),
     IF(p_size > 40, 'import * as r from "react";\n', ''), 'export function part', p_partkey, '() {{\n',
-    coalesce(array_join(transform(ks, k -> concat('  ', IF(k % 3 = 0, 'l', 'load'), k, '();\n')), ''), ''), '}}\n') AS content
+    coalesce(array_join(transform(filter(ks, k -> k % 5 <> 3), k -> concat('  ', IF(k % 3 = 0, 'l', 'load'), k, '();\n')), ''), ''), '}}\n') AS content
 FROM {part} LEFT JOIN deps ON deps.p = p_partkey
 UNION ALL
 SELECT IF(s_suppkey % 2 = 0, concat('suppliers/s', s_suppkey, '.ts'), concat('suppliers/s', s_suppkey, '/index.tsx')), concat('export function load', s_suppkey, '() {{\n}}\n') FROM {supplier}
 """
 
 
-def python_repository(spark: SparkSession, sf_dir: str, sparse: bool = False) -> DataFrame:
-    query = _PYTHON.replace("CONDITION", "o_orderstatus = 'F'" if sparse else "true")
-    return read_table(_sql(spark, sf_dir, query, "customer", "orders"), "py", spark.sparkContext.defaultParallelism)
+def python_repository(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_table(_sql(spark, sf_dir, _PYTHON, "customer", "orders"), "py", spark.sparkContext.defaultParallelism)
 
 
 def script_repository(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(_sql(spark, sf_dir, _SCRIPT, "lineitem", "part", "supplier"), "ts", spark.sparkContext.defaultParallelism)
 
 
-def python_analysis(spark: SparkSession, sf_dir: str, sparse: bool = False) -> Analysis:
-    return analyze(python_repository(spark, sf_dir, sparse), keep=lambda df: df.persist())
+def python_analysis(spark: SparkSession, sf_dir: str) -> Analysis:
+    return analyze(python_repository(spark, sf_dir), keep=written)
 
 
-def _inner(spark: SparkSession, sf_dir: str, sparse: bool = False) -> tuple[Analysis, DataFrame]:
-    a = python_analysis(spark, sf_dir, sparse)
+def _inner(spark: SparkSession, sf_dir: str) -> tuple[Analysis, DataFrame]:
+    a = python_analysis(spark, sf_dir)
     return a, graph.internal_edges(a.import_edges)
 
 
@@ -86,8 +93,8 @@ def language_counts(spark, d):
     return counts.join(totals, "analysis_id")
 
 
-def file_languages(spark, d):
-    """Paths with many extensions and manifests, by language; ignored names go."""
+def _odd_paths(spark, d) -> DataFrame:
+    """Paths with many extensions and manifests; ignored names go."""
     ends = [*FF.EXTENSIONS, ".txt", ".D.TS", ""]
     names = list(FF.MANIFESTS)
     k = F.col("p_partkey")
@@ -98,7 +105,11 @@ def file_languages(spark, d):
         .when(k % 17 == 0, F.lit("dir/.py"))
         .otherwise(F.concat(F.lit("src/f"), k, F.element_at(F.array(*[F.lit(e) for e in ends]), (k % len(ends) + 1).cast("int"))))
     )
-    files = table(spark, d, "part").select(path.alias("path")).where(~FF.is_ignored(F.col("path")))
+    return table(spark, d, "part").select("p_partkey", path.alias("path")).where(~FF.is_ignored(F.col("path")))
+
+
+def file_languages(spark, d):
+    files = _odd_paths(spark, d)
     return files.groupBy(FF.language(F.col("path")).alias("language"), FF.language_or_manifest(F.col("path")).alias("with_manifests")).agg(F.count("*").alias("files"))
 
 
@@ -139,11 +150,11 @@ def py_import_edges(spark, d):
 
 
 def ts_import_edges(spark, d):
-    return analyze(script_repository(spark, d), keep=lambda df: df.persist()).import_edges.select("source_path", "target_path", "external_module")
+    return analyze(script_repository(spark, d), keep=written).import_edges.select("source_path", "target_path", "external_module")
 
 
 def ts_call_edges(spark, d):
-    a = analyze(script_repository(spark, d), keep=lambda df: df.persist())
+    a = analyze(script_repository(spark, d), keep=written)
     return a.call_edges.select("source_path", "source_symbol", "target_path", "target_symbol", "callee_name")
 
 
@@ -177,8 +188,8 @@ def import_cycles(spark, d):
 
 
 def affected_files(spark, d):
-    """All pairs of a file and one that depends on it, in the repository of finished orders."""
-    a, edges = _inner(spark, d, sparse=True)
+    """All pairs of a file and one that depends on it."""
+    a, edges = _inner(spark, d)
     return graph.affected_files(edges, a.files.select("analysis_id", F.col("path").alias("target"))).select("target", "path")
 
 
@@ -190,8 +201,49 @@ def isolated_files(spark, d):
 def node_states(spark, d):
     """The neighbourhood of the most connected file."""
     a, edges = _inner(spark, d)
-    best = graph.top_connected(a.files, edges, 1).first()["path"]
-    return graph.neighbour_state(a.files, edges, best).select("path", "state")
+    return graph.neighbour_state(a.files, edges, graph.top_connected(a.files, edges, 1)).select("path", "state")
+
+
+def path_matches(spark, d):
+    """The files that a typed part of a path matches."""
+    a, edges = _inner(spark, d)
+    return graph.neighbour_state(a.files, edges, "", " C12 ").select("path", "state")
+
+
+def top_fan(spark, d):
+    a, edges = _inner(spark, d)
+    return graph.ranked_fan(graph.fan_in_out(a.files, edges), 20).select("path", "fan_in", "fan_out")
+
+
+def impact_lists(spark, d):
+    """All that a change to some functions can affect, a row an entry."""
+    a = python_analysis(spark, d)
+    lists = impact.impact_lists(a.symbols, a.import_edges, a.call_edges, impact.search_symbols(a.symbols, "f77", "function"))
+    entry = lambda name, of: F.transform(name, lambda x: F.struct(F.lit(name).alias("list"), of(x).alias("item")))
+    entries = F.concat(
+        entry("direct_callers", lambda x: F.concat_ws(":", x["path"], x["symbol"])),
+        entry("affected_files", lambda x: x),
+        entry("affected_tests", lambda x: x),
+        entry("affected_symbols", lambda x: F.concat_ws(":", x["path"], x["parent"], x["name"])),
+    )
+    return lists.select("path", F.explode(entries).alias("e")).select("path", "e.list", "e.item")
+
+
+def stored_references(spark, d):
+    """The callers of every symbol, read from an analysis that was submitted, run and persisted."""
+    engine = Engine(spark, f"{shared_dir(spark)}/codeloom/store-{uuid.uuid4().hex}")
+    done = engine.run(engine.submit("https://github.com/o/n"), python_repository(spark, d))
+    symbols = engine.analysis(done).symbols.select(F.col("id").alias("symbol_id"), F.col("path").alias("of_path"), F.col("parent").alias("of_parent"), F.col("name").alias("of_name"))
+    return engine.references(done)[0].join(symbols, "symbol_id").select("of_path", "of_parent", "of_name", F.col("path").alias("caller_path"), F.col("name").alias("caller"), "called_name")
+
+
+def incremental_call_edges(spark, d):
+    """The call edges of a second analysis that reuses what the first one left unchanged."""
+    first = python_analysis(spark, d).files
+    other = F.when(F.xxhash64("path") % 7 == 0, F.sha2("path", 256)).otherwise(F.col("content_hash"))
+    old = first.withColumn("content_hash", other).where(F.xxhash64("path") % 5 != 0)
+    again = analyze(python_repository(spark, d), baseline=written(old), keep=written)
+    return again.call_edges.select("source_path", "source_symbol", "target_path", "target_symbol", "callee_name", "target_parent")
 
 
 def impact_summary(spark, d):
@@ -290,11 +342,41 @@ def isolated_grid(spark, d):
 
 
 def graph_layers(spark, d):
-    return graph.layers(_inner(spark, d)[1]).select("path", "layer", "place")
+    return graph.layers(_inner(spark, d)[1]).select("path", "layer")
 
 
 def error_summaries(spark, d):
-    return table(spark, d, "documents").select("doc_id", FT.error_summary(F.col("text")).alias("summary"))
+    """First lines of messages that begin with a tab and whose lines end in CR LF."""
+    message = F.concat(F.lit("\t"), F.replace("text", F.lit("\n"), F.lit(" \r\n")))
+    return table(spark, d, "documents").select("doc_id", FT.error_summary(message).alias("summary"))
+
+
+def client_addresses(spark, d):
+    k = F.col("page_id")
+    header = F.when(k % 4 == 0, "").when(k % 4 == 1, F.concat(F.lit("\t10.0.0."), k, F.lit("\r, 1.1.1.1"))).when(k % 4 == 2, F.concat(F.lit("10.1.0."), k))
+    return table(spark, d, "pages").select("page_id", FT.client_address(header, F.concat(F.lit("peer"), k)).alias("client_ip"))
+
+
+def stage_states(spark, d):
+    """Where a stage stands at each state of progress."""
+    progress = F.element_at(F.array(*[F.lit(s) for s in FT.STAGES], F.lit(None)), (F.col("event_id") % 6 + 1).cast("int"))
+    return table(spark, d, "events").select("event_id", FT.stage_state("resolving_imports", progress).alias("state"))
+
+
+def claim_winners(spark, d):
+    """Each view or click as a claim of its user's job, with a threshold of a day."""
+    claims = table(spark, d, "events").where("event_type IN ('view', 'click')").select(F.col("user_id").alias("job_id"), F.col("event_id").alias("claim_id"), "ts")
+    return J.claim_winners(claims, 60 * 24).select("job_id", F.col("claim_id").cast("long").alias("claim_id"), "won")
+
+
+def reuse_counts(spark, d):
+    return incremental.reuse_counts(incremental_reuse(spark, d))
+
+
+def manifest_languages(spark, d):
+    """Languages of repositories, manifests included."""
+    files = _odd_paths(spark, d).select((F.col("p_partkey") % 5).cast("string").alias("analysis_id"), "path", FF.language(F.col("path")).alias("language"))
+    return X.language_counts(files, manifests=True).select("analysis_id", F.explode("languages").alias("language", "files"))
 
 
 def queries() -> dict:
@@ -302,17 +384,19 @@ def queries() -> dict:
         file_metrics, language_counts, file_languages, large_files, size_guard, url_validation, test_file_flag, py_symbols, py_import_edges, ts_import_edges, ts_call_edges, call_edges,
         analysis_statistics, fan_in_out, top_connected, visible_edges, import_cycles, affected_files, isolated_files, node_states, impact_summary, risk_flags, direct_callers, file_tree,
         symbol_search, latest_job, claimable_jobs, rate_limit_window, rate_limit_replay, relative_times, incremental_reuse, error_summaries,
-        value_summary, legend_languages, isolated_grid, graph_layers,
+        value_summary, legend_languages, isolated_grid, graph_layers, path_matches, top_fan, impact_lists, stored_references, incremental_call_edges, client_addresses, stage_states,
+        claim_winners, reuse_counts, manifest_languages,
     )
     return {f.__name__: f for f in plain} | {"recent_repositories": recent_repositories_query}
 
 
 # ---- the same by SQL -----------------------------------------------------------------------------------------
 
-_G = """g AS (SELECT DISTINCT o_custkey AS s, (o_orderkey * 7919) % (SELECT count(*) FROM customer) AS t FROM orders WHERE o_orderpriority LIKE '1%' {0}),
-p AS (SELECT c_custkey AS k, 'pkg/n' || c_nationkey || '/c' || c_custkey || '.py' AS path, c_acctbal < 0 AS ext FROM customer),
+_F1 = """g AS (SELECT DISTINCT o_custkey AS s, CASE WHEN o_orderpriority LIKE '1%' THEN (o_orderkey * 7919) % (SELECT count(*) FROM customer)
+  ELSE (SELECT count(*) FROM customer) + 1 + o_orderkey % 40 END AS t FROM orders),
+p AS (SELECT k, nation, 'pkg/n' || nation || '/' || CASE WHEN k % 50 = 0 THEN 'test_c' ELSE 'c' END || k || '.py' AS path, ext
+  FROM (SELECT c_custkey AS k, c_nationkey AS nation, c_acctbal < 0 AS ext FROM customer UNION ALL SELECT (SELECT count(*) FROM customer) + 1 + x, 99, false FROM range(47) r(x))),
 e AS (SELECT a.path AS source, b.path AS target, s, t FROM g JOIN p a ON a.k = s JOIN p b ON b.k = t)"""
-_F1, _F1S = _G.format(""), _G.format("AND o_orderstatus = 'F'")
 _SYM = """d AS (SELECT p.*, (SELECT count(*) FROM g WHERE g.s = p.k) AS n, CASE WHEN ext THEN 1 ELSE 0 END AS x FROM p),
 sym AS (
   SELECT k, path, 'f' || k AS name, 'function' AS kind, n + x + 1 AS line_start, 2 * n + x + 2 AS line_end, NULL AS parent FROM d
@@ -326,21 +410,21 @@ _CALLS = """calls AS (
 _REACH = "reach AS (SELECT target, source AS path FROM e WHERE source <> target UNION SELECT r.target, e.source FROM reach r JOIN e ON e.target = r.path WHERE e.source <> r.target)"
 _DEG = "deg AS (SELECT path, count(*) AS degree FROM (SELECT source AS path FROM e UNION ALL SELECT target FROM e) GROUP BY path)"
 _TOP = f"{_DEG}, top AS (SELECT path, coalesce(degree, 0)::INT AS degree FROM p LEFT JOIN deg USING (path) ORDER BY 2 DESC, 1 LIMIT 100)"
-_TS = """u AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS k FROM lineitem WHERE l_linenumber = 1 AND l_returnflag = 'R'),
+_TS = """u AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS k FROM lineitem),
 t AS (SELECT p_partkey AS p, 'parts/' || replace(p_brand, '#', '') || '/p' || p_partkey || '.ts' AS path, p_size FROM part),
 s AS (SELECT s_suppkey AS k, CASE WHEN s_suppkey % 2 = 0 THEN 'suppliers/s' || s_suppkey || '.ts' ELSE 'suppliers/s' || s_suppkey || '/index.tsx' END AS path FROM supplier)"""
 _JOBS = """jobs AS (SELECT event_id AS job_id, user_id AS repository_id, ts,
   CASE event_type WHEN 'signup' THEN 'pending' WHEN 'view' THEN 'running' WHEN 'purchase' THEN 'completed' WHEN 'error' THEN 'failed' WHEN 'click' THEN 'running' END AS status FROM events)"""
 _LINES = "(length(text) - length(replace(text, chr(10), '')) + CASE WHEN length(text) > 0 AND right(text, 1) <> chr(10) THEN 1 ELSE 0 END)::INT"
 _IMPACT = f"""WITH RECURSIVE {_F1}, {_SYM}, {_CALLS}, {_REACH},
-per AS (SELECT target AS path, count(*) AS files FROM reach GROUP BY target),
+per AS (SELECT target AS path, count(*) AS files, count(*) FILTER (contains(path, '/test_c')) AS tests FROM reach GROUP BY target),
 has AS (SELECT path, count(*) AS n FROM sym GROUP BY path),
 seen AS (SELECT target AS path, sum(n) AS symbols FROM reach r JOIN has h ON h.path = r.path GROUP BY target),
 cal AS (SELECT target_path AS path, target_symbol AS name, target_parent AS parent, count(*) AS callers,
   count(DISTINCT source_symbol) FILTER (source_path = target_path) AS near FROM calls WHERE target_path IS NOT NULL GROUP BY ALL),
 fin AS (SELECT target AS path, count(*) AS fan_in FROM e GROUP BY target),
 imp AS (
-  SELECT y.path, y.name, y.kind, y.parent, coalesce(callers, 0)::BIGINT AS direct_callers, coalesce(files, 0)::BIGINT AS affected_files, 0::BIGINT AS affected_tests,
+  SELECT y.path, y.name, y.kind, y.parent, coalesce(callers, 0)::BIGINT AS direct_callers, coalesce(files, 0)::BIGINT AS affected_files, coalesce(tests, 0)::BIGINT AS affected_tests,
     (coalesce(symbols, 0) + coalesce(near, 0))::BIGINT AS affected_symbols, coalesce(fan_in, 0)::BIGINT AS fan_in
   FROM sym y LEFT JOIN per USING (path) LEFT JOIN seen USING (path) LEFT JOIN fin USING (path)
   LEFT JOIN cal c ON c.path = y.path AND c.name = y.name AND c.parent IS NOT DISTINCT FROM y.parent)"""
@@ -382,7 +466,8 @@ def oracle_sql() -> dict[str, str]:
         "ts_import_edges": f"""WITH {_TS} SELECT t.path AS source_path, s.path AS target_path, NULL AS external_module FROM u JOIN t USING (p) JOIN s USING (k)
             UNION ALL SELECT path, NULL, 'react' FROM t WHERE p_size > 40""",
         "ts_call_edges": f"""WITH {_TS} SELECT t.path AS source_path, 'part' || p AS source_symbol, s.path AS target_path, 'load' || k AS target_symbol,
-            CASE WHEN k % 3 = 0 THEN 'l' ELSE 'load' END || k AS callee_name FROM u JOIN t USING (p) JOIN s USING (k)""",
+            CASE WHEN k % 3 = 0 THEN 'l' ELSE 'load' END || k AS callee_name FROM u JOIN t USING (p) JOIN s USING (k) WHERE k % 5 <> 3
+            UNION ALL SELECT DISTINCT t.path, NULL, NULL, NULL, 'require' FROM u JOIN t USING (p) WHERE k % 5 = 4""",
         "call_edges": f"WITH {_F1}, {_CALLS} SELECT * FROM calls",
         "analysis_statistics": f"""WITH {_F1}, {_SYM} SELECT (SELECT count(*) FROM p) AS total_files,
             (SELECT sum(2 * n + x + 2 + CASE WHEN k % 3 = 0 THEN 6 ELSE 0 END)::BIGINT FROM d) AS total_lines, false AS is_incremental, (SELECT count(*) FROM sym) AS total_symbols,
@@ -392,19 +477,19 @@ def oracle_sql() -> dict[str, str]:
         "visible_edges": f"WITH {_F1}, {_TOP} SELECT source, target FROM e WHERE source IN (SELECT path FROM top) AND target IN (SELECT path FROM top)",
         "import_cycles": f"""WITH RECURSIVE {_F1}, reach AS (SELECT source AS a, target AS b FROM e UNION SELECT r.a, e.target FROM reach r JOIN e ON e.source = r.b)
             SELECT min(x.b) AS cycle, x.a AS path FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a""",
-        "affected_files": f"WITH RECURSIVE {_F1S}, {_REACH} SELECT target, path FROM reach",
+        "affected_files": f"WITH RECURSIVE {_F1}, {_REACH} SELECT target, path FROM reach",
         "isolated_files": f"WITH {_F1} SELECT path FROM p WHERE path NOT IN (SELECT source FROM e) AND path NOT IN (SELECT target FROM e)",
         "node_states": f"""WITH {_F1}, {_TOP}, best AS (SELECT path FROM top ORDER BY degree DESC, path LIMIT 1)
             SELECT path, CASE WHEN path = (FROM best) THEN 'selected' WHEN path IN (SELECT target FROM e WHERE source = (FROM best)) THEN 'outgoing'
               WHEN path IN (SELECT source FROM e WHERE target = (FROM best)) THEN 'incoming' ELSE 'dimmed' END AS state FROM p""",
         "impact_summary": f"{_IMPACT} SELECT * FROM imp",
-        "risk_flags": f"""{_IMPACT} SELECT path, name, parent, '{impact.RISKS[0]}' AS risk FROM imp WHERE fan_in > 10 UNION ALL SELECT path, name, parent, '{impact.RISKS[1]}' FROM imp
+        "risk_flags": f"""{_IMPACT} SELECT path, name, parent, '{impact.RISKS[0]}' AS risk FROM imp WHERE fan_in > 10 UNION ALL SELECT path, name, parent, '{impact.RISKS[1]}' FROM imp WHERE affected_tests = 0
             UNION ALL SELECT path, name, parent, '{impact.RISKS[2]}' FROM imp WHERE affected_files > 20
             UNION ALL SELECT path, name, parent, '{impact.RISKS[3]}' FROM imp WHERE direct_callers = 0 AND kind = 'function'""",
         "direct_callers": f"""WITH {_F1}, {_CALLS} SELECT target_path AS path, target_parent AS parent, target_symbol AS name, source_path AS caller_path, source_symbol AS caller_symbol, callee_name
             FROM calls WHERE target_path IS NOT NULL""",
         "file_tree": f"""WITH {_F1} SELECT path, regexp_extract(path, '^(.*)/', 1) AS parent, regexp_extract(path, '[^/]*$') AS name, 2 AS depth, true AS is_file FROM p
-            UNION ALL SELECT DISTINCT 'pkg/n' || c_nationkey, 'pkg', 'n' || c_nationkey, 1, false FROM customer UNION ALL SELECT 'pkg', '', 'pkg', 0, false""",
+            UNION ALL SELECT DISTINCT 'pkg/n' || nation, 'pkg', 'n' || nation, 1, false FROM p UNION ALL SELECT 'pkg', '', 'pkg', 0, false""",
         "symbol_search": f"""WITH {_F1}, {_SYM} SELECT path, name, kind, concat_ws('.', parent, name) AS qualified_name FROM sym WHERE name ILIKE '%k_1%' AND kind = 'class'
             UNION ALL SELECT path, name, kind, concat_ws('.', parent, name) FROM sym WHERE name ILIKE '%STEP%'""",
         "latest_job": f"WITH {_JOBS} SELECT repository_id, job_id, status, ts AS created_at FROM jobs QUALIFY row_number() OVER (PARTITION BY repository_id ORDER BY ts DESC, job_id) = 1",
@@ -429,6 +514,38 @@ def oracle_sql() -> dict[str, str]:
         "legend_languages": "SELECT DISTINCT lang FROM documents WHERE lang IS NOT NULL",
         "isolated_grid": f"""WITH {_F1}, i AS (SELECT path, row_number() OVER (ORDER BY path) - 1 AS n FROM p WHERE path NOT IN (SELECT source FROM e) AND path NOT IN (SELECT target FROM e))
             SELECT path, (n // 5)::INT AS row, (n % 5)::INT AS col FROM i""",
-        "error_summaries": """WITH f AS (SELECT doc_id, trim(string_split(text, chr(10))[1]) AS l FROM documents)
+        "path_matches": f"WITH {_F1} SELECT path, CASE WHEN contains(lower(path), 'c12') THEN 'matched' ELSE 'dimmed' END AS state FROM p",
+        "top_fan": f"""WITH {_F1}, f AS (SELECT p.path, (SELECT count(*) FROM e WHERE target = p.path)::INT AS fan_in, (SELECT count(*) FROM e WHERE source = p.path)::INT AS fan_out FROM p)
+            SELECT * FROM f ORDER BY fan_in + fan_out DESC, path LIMIT 20""",
+        "impact_lists": f"""WITH RECURSIVE {_F1}, {_SYM}, {_CALLS}, {_REACH}, s AS (SELECT path, name FROM sym WHERE kind = 'function' AND name ILIKE '%f77%'),
+            c AS (SELECT s.path, source_path, source_symbol FROM s JOIN calls ON target_path = path AND target_symbol = name AND target_parent IS NULL),
+            r AS (SELECT s.path, reach.path AS by_path FROM s JOIN reach ON target = s.path)
+            SELECT path, 'direct_callers' AS list, source_path || ':' || source_symbol AS item FROM c
+            UNION ALL SELECT path, 'affected_files', by_path FROM r UNION ALL SELECT path, 'affected_tests', by_path FROM r WHERE contains(by_path, '/test_c')
+            UNION ALL (SELECT r.path, 'affected_symbols', concat_ws(':', by_path, y.parent, y.name) FROM r JOIN sym y ON y.path = by_path
+              UNION SELECT path, 'affected_symbols', source_path || ':' || source_symbol FROM c)""",
+        "stored_references": f"""WITH {_F1}, {_CALLS} SELECT target_path AS of_path, target_parent AS of_parent, target_symbol AS of_name, source_path AS caller_path, source_symbol AS caller, callee_name AS called_name
+            FROM calls WHERE target_path IS NOT NULL""",
+        "incremental_call_edges": f"WITH {_F1}, {_CALLS} SELECT * FROM calls",
+        "client_addresses": """SELECT page_id, CASE page_id % 4 WHEN 1 THEN '10.0.0.' || page_id WHEN 2 THEN '10.1.0.' || page_id ELSE 'peer' || page_id END AS client_ip FROM pages""",
+        "stage_states": "SELECT event_id, CASE WHEN event_id % 6 = 2 THEN 'current' WHEN event_id % 6 IN (3, 4) THEN 'done' ELSE 'todo' END AS state FROM events",
+        "claim_winners": """WITH RECURSIVE c AS (SELECT user_id, event_id, ts::TIMESTAMP AS ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type IN ('view', 'click')),
+            r AS (SELECT user_id, event_id, n, ts AS last, true AS won FROM c WHERE n = 1
+              UNION ALL SELECT c.user_id, c.event_id, c.n, CASE WHEN r.last < c.ts - INTERVAL 1 DAY THEN c.ts ELSE r.last END, r.last < c.ts - INTERVAL 1 DAY FROM r JOIN c ON c.user_id = r.user_id AND c.n = r.n + 1)
+            SELECT user_id AS job_id, event_id AS claim_id, won FROM r""",
+        "reuse_counts": """SELECT count(*) FILTER (doc_id % 10 <> 0 AND doc_id % 7 <> 0 AND doc_id % 11 <> 0) AS files_reused,
+            count(*) FILTER (doc_id % 10 = 0 OR doc_id % 7 = 0 OR doc_id % 11 = 0) AS files_reprocessed FROM documents""",
+        "manifest_languages": f"""WITH f AS (SELECT p_partkey, CASE WHEN p_partkey % 7 = 0 THEN 'm/' || {pick(FF.MANIFESTS, 'p_partkey')} WHEN p_partkey % 11 = 0 THEN NULL WHEN p_partkey % 13 = 0 THEN NULL
+              WHEN p_partkey % 17 = 0 THEN 'dir/.py' ELSE 'src/f' || p_partkey || {pick(ends, 'p_partkey')} END AS path FROM part),
+            n AS (SELECT p_partkey, regexp_extract(path, '[^/]*$') AS name FROM f WHERE path IS NOT NULL),
+            l AS (SELECT p_partkey, coalesce({_case(FF.EXTENSIONS, "lower(regexp_extract(name, '^.+([.][^.]+)$', 1))")}, {_case(FF.MANIFESTS, 'name')}) AS language FROM n)
+            SELECT (p_partkey % 5)::VARCHAR AS analysis_id, language, count(*)::INT AS files FROM l WHERE language IS NOT NULL GROUP BY ALL""",
+        "graph_layers": f"""WITH RECURSIVE {_F1}, reach AS (SELECT source AS a, target AS b FROM e UNION SELECT r.a, e.target FROM reach r JOIN e ON e.source = r.b),
+            comp AS (SELECT x.a AS path, min(x.b) AS c FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a),
+            node AS (SELECT DISTINCT n.path, coalesce(c, n.path) AS c FROM (SELECT source AS path FROM e UNION SELECT target FROM e) n LEFT JOIN comp USING (path)),
+            ce AS (SELECT DISTINCT a.c AS a, b.c AS b FROM e JOIN node a ON a.path = source JOIN node b ON b.path = target WHERE a.c <> b.c),
+            lay AS (SELECT DISTINCT c, 0 AS l FROM node UNION SELECT ce.b, l + 1 FROM lay JOIN ce ON ce.a = lay.c)
+            SELECT path, max(l)::INT AS layer FROM node JOIN lay USING (c) GROUP BY path""",
+        "error_summaries": """WITH f AS (SELECT doc_id, trim(string_split(text, chr(10))[1], ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS l FROM documents)
             SELECT doc_id, CASE WHEN length(l) > 200 THEN l[1:199] || '…' ELSE l END AS summary FROM f""",
     }

@@ -83,6 +83,29 @@ def enforce_size_cap(source: DataFrame, max_mb: int = MAX_REPOSITORY_MB) -> None
         raise RepositoryTooLarge(f"Repository exceeds the {max_mb}MB size cap")
 
 
+def ingested(spark: SparkSession, folder: Path, to: str, max_mb: int = MAX_REPOSITORY_MB, batch_bytes: int = 16 << 20) -> DataFrame:
+    """A directory of this machine as a table at ``to`` that executors share: (analysis_id, path, content), written a batch of files at a time."""
+    held, size, total = [], 0, 0
+    kind = "path string, content binary"
+
+    def flush() -> None:
+        spark.createDataFrame(held, kind).coalesce(1).write.mode("append").parquet(to)
+        held.clear()
+
+    spark.createDataFrame([], kind).write.mode("overwrite").parquet(to)
+    for row in TreeReader(str(folder), 1 << 30).read(TreeReader(str(folder), 1 << 30).partitions()[0]):
+        held.append(row[:2])
+        size, total = size + row[2], total + row[2]
+        if total > max_mb * 1024 * 1024:
+            raise RepositoryTooLarge(f"Repository exceeds the {max_mb}MB size cap")
+        if size >= batch_bytes:
+            flush()
+            size = 0
+    if held:
+        flush()
+    return read_table(spark.read.schema(kind).parquet(to), partitions=spark.sparkContext.defaultParallelism)
+
+
 @contextlib.contextmanager
 def scratch(prefix: str = "codeloom-") -> Iterator[Path]:
     """A directory on the driver that is gone afterwards."""

@@ -172,3 +172,66 @@ def test_stream_of_states_lets_one_claim_win(spark, tmp_path):
     q.awaitTermination(120)
     got = [(r["status"], r["claimed"]) for r in spark.sql("SELECT * FROM states ORDER BY ts").collect()]
     assert got == [("pending", False), ("running", True), ("completed", False)]
+
+
+def test_one_of_many_claims_wins(spark, engine):
+    from concurrent.futures import ThreadPoolExecutor
+
+    job = engine.submit(URL)
+    rivals = [Engine(spark, engine.store.root, now=engine.now) for _ in range(6)]
+    with ThreadPoolExecutor(6) as pool:
+        won = [w for got in pool.map(lambda e: e.claim(job), rivals) for w in got]
+    assert won == [job]
+    assert engine.wait(job, seconds=0).first()["status"] == "running"
+
+
+def test_claims_in_the_log(spark):
+    t = dt.datetime(2024, 1, 1)
+    rows = [("j", f"c{i}", t + dt.timedelta(minutes=m)) for i, m in enumerate([0, 5, 10, 11, 21, 22])] + [("k", "b", t), ("k", "a", t)]
+    got = {(r["job_id"], r["claim_id"]): r["won"] for r in J.claim_winners(spark.createDataFrame(rows, "job_id string, claim_id string, ts timestamp_ntz")).collect()}
+    assert got == {("j", "c0"): True, ("j", "c1"): False, ("j", "c2"): False, ("j", "c3"): True, ("j", "c4"): False, ("j", "c5"): True, ("k", "a"): True, ("k", "b"): False}
+
+
+def test_lists_of_an_impact(spark, engine):
+    a = engine.run(engine.submit(URL), source(spark, FILES))
+    view = engine.analysis(a)
+    row = engine.impact_lists(a, view.symbols.where("name = 'g'").first()["id"]).first()
+    assert [tuple(c) for c in row["direct_callers"]] == [("pkg/a.py", "f")]
+    assert row["affected_files"] == ["pkg/a.py", "tests/test_a.py"] and row["affected_tests"] == ["tests/test_a.py"]
+    assert [(s["path"], s["parent"], s["name"]) for s in row["affected_symbols"]] == [("pkg/a.py", None, "f"), ("pkg/a.py", None, "K"), ("pkg/a.py", "K", "m")]
+    lone = engine.impact_lists(a, view.symbols.where("name = 'J'").first()["id"]).first()
+    assert lone["direct_callers"] == [] and lone["affected_files"] == ["pkg/a.py", "tests/test_a.py"]
+
+
+def git(*args, at):
+    import subprocess
+
+    subprocess.run(["git", "-c", "user.name=t", "-c", "user.email=t@example.org", *args], cwd=at, check=True, capture_output=True)
+
+
+def test_a_repository_is_cloned_into_a_table(spark, tmp_path):
+    made, into = tmp_path / "made", tmp_path / "clone"
+    made.mkdir()
+    git("init", "-q", at=made)
+    for name, text in FILES.items():
+        (made / name).parent.mkdir(parents=True, exist_ok=True)
+        (made / name).write_text(text)
+    git("add", "-A", at=made)
+    git("commit", "-qm", "one", at=made)
+    tree.clone(f"file://{made}", into)
+    assert len(tree.commit_sha(into)) == 40
+    table = tree.ingested(spark, into, str(tmp_path / "table"), batch_bytes=60)
+    tree.shutil.rmtree(into)
+    got = {r["path"]: bytes(r["content"]).decode() for r in table.collect() if not r["path"].startswith(".git/")}
+    assert got == FILES
+    with pytest.raises(errors.CloneFailed):
+        tree.clone(f"file://{tmp_path}/none", tmp_path / "x")
+    with pytest.raises(errors.RepositoryTooLarge):
+        tree.ingested(spark, made, str(tmp_path / "table2"), max_mb=0)
+
+
+def test_an_unreadable_file_has_null_content(spark, tmp_path):
+    (tmp_path / "gone.py").symlink_to(tmp_path / "nowhere.py")
+    (tmp_path / "a.py").write_text("x = 1\n")
+    files = {r["path"]: r for r in X.described(tree.read_tree(spark, str(tmp_path))).collect()}
+    assert files["gone.py"]["content"] is None and files["gone.py"]["content_hash"] is None and files["a.py"]["line_count"] == 1

@@ -83,3 +83,9 @@ def test_dispatch_by_language():
     assert extract_file("a.py", "python", b"def f(): pass")["symbols"][0]["name"] == "f"
     assert extract_file("a.tsx", "typescript", b"const f = <T,>(x: T) => id(x)")["calls"][0]["callee_name"] == "id"
     assert extract_file("a.py", "python", b"\xff(")["parse_ok"] is False
+
+
+def test_long_type_arguments_are_followed_to_their_end():
+    long = ", ".join(f"T{i}" for i in range(200))
+    _, _, calls = js(f"make<{long}>();\nfor (let i = 0; i < n; i++) go(i);\nif (a < b) run();\nconst f = <{'Very' * 100}Long, U>(x: U) => id(x);\n", ".tsx")
+    assert [c[0] for c in calls] == ["make", "go", "run", "id"]

@@ -65,3 +65,9 @@ def test_relative_time(spark):
     ago = [dt.timedelta(seconds=20), dt.timedelta(minutes=5), dt.timedelta(hours=3), dt.timedelta(days=2), dt.timedelta(days=40)]
     got = column(spark, [now - a for a in ago], lambda c: FT.relative_time(c, F.lit(now).cast("timestamp_ntz")), "timestamp_ntz")
     assert got == ["just now", "5m ago", "3h ago", "2d ago", "2024-01-21"]
+
+
+def test_white_space_of_any_kind_goes(spark):
+    assert column(spark, ["\tfatal: x\r\nmore", " a "], FT.error_summary) == ["fatal: x", "a"]
+    assert column(spark, ["\tCloning into 'x'\r\n\tfatal: no \t\r\n"], FT.clone_message) == ["fatal: no"]
+    assert column(spark, ["\t1.2.3.4\r, 9"], lambda c: FT.client_address(c, F.lit("p"))) == ["1.2.3.4"]

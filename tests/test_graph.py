@@ -89,3 +89,27 @@ def test_layers_and_grid(spark):
     n, e = tables(spark, list("abcdefg"), [("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("d", "c"), ("e", "d")])
     assert {r["path"]: r["layer"] for r in graph.layers(e).collect()} == {"a": 0, "e": 0, "b": 1, "c": 2, "d": 2}
     assert [(r["path"], r["row"], r["col"]) for r in graph.grid_layout(n, 3).orderBy("path").collect()][2:5] == [("c", 0, 2), ("d", 1, 0), ("e", 1, 1)]
+
+
+def test_the_size_of_the_graph_decides_the_method(spark, monkeypatch):
+    n, e = tables(spark, list("abcde"), [("a", "b"), ("b", "a"), ("c", "a"), ("d", "c")])
+    want = [{tuple(r) for r in f.collect()} for f in (graph.cycle_members(e), graph.affected_files(e, n.withColumnRenamed("path", "target")))]
+    monkeypatch.setattr(graph, "TASK_EDGES", 2)
+    assert [{tuple(r) for r in f.collect()} for f in (graph.cycle_members(e), graph.affected_files(e, n.withColumnRenamed("path", "target")))] == want
+
+
+def test_targets_are_dealt_over_tasks(spark, monkeypatch):
+    rng = random.Random(2)
+    names = [f"n{i}" for i in range(60)]
+    n, e = tables(spark, names, {(rng.choice(names), rng.choice(names)) for _ in range(90)})
+    n = n.selectExpr("*", "length(path) AS w")
+    whole = [sorted(map(tuple, f.collect())) for f in (graph.affected_totals(n, e, ["w"]), graph.affected_files(e, n.withColumnRenamed("path", "target")))]
+    monkeypatch.setattr(graph, "SLICE_TARGETS", 7)
+    assert [sorted(map(tuple, f.collect())) for f in (graph.affected_totals(n, e, ["w"]), graph.affected_files(e, n.withColumnRenamed("path", "target")))] == whole
+
+
+def test_state_around_a_selected_table_and_top_fan(spark):
+    n, e = tables(spark, ["a", "b", "c", "d"], [("a", "b"), ("c", "b"), ("b", "b")])
+    by_table = graph.neighbour_state(n, e, n.where("path = 'b'"))
+    assert sorted(map(tuple, by_table.collect())) == sorted(map(tuple, graph.neighbour_state(n, e, "b").collect()))
+    assert [r["path"] for r in graph.ranked_fan(graph.fan_in_out(n, e), 2).collect()] == ["b", "a"]
