@@ -1,9 +1,7 @@
-"""Shared pieces: the checkpoint folder, written intermediate tables, skew-free ranks and numpy text passes."""
+"""Shared pieces: written intermediate tables, skew-free ranks and numpy text passes."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,38 +10,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from codeloom.tables import discard, shared_dir, written
+
+__all__ = ["discard", "shared_dir", "written"]  # passed on
+
 #: ASCII white space that separates words: space and \\t..\\r.
 IS_SPACE = np.zeros(256, dtype=bool)
 IS_SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where it is unset."""
-    sc = spark.sparkContext
-    path = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="codeloom-")
-        sc.setCheckpointDir(path)
-    return path.rstrip("/")
-
-
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder, read again: lineage is cut and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/codeloom/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out.written_to = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Delete the files of ``written`` tables, once whatever was derived from them is written itself."""
-    for t in tables:
-        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.written_to)
-        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def partitions(spark: SparkSession, at_least: int = 1) -> int:
     """Shuffle partitions of the session, as a number."""
     return max(at_least, int(spark.conf.get("spark.sql.shuffle.partitions")))

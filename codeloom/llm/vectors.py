@@ -20,10 +20,12 @@ def usable(vector: Column, size: int | None = None) -> Column:
     return good if size is None else good & (F.size(vector) == size)
 
 
-def _sample(vectors: DataFrame, rows: int) -> np.ndarray:
-    """Up to ``rows`` vectors, picked by a hash of their id, as doubles."""
-    got = vectors.orderBy(F.xxhash64("id"), "id").limit(rows).select("v").collect()
-    return np.array([r["v"] for r in got], dtype=np.float64)
+def _sample(vectors: DataFrame, rows: int) -> dict[int, np.ndarray]:
+    """Up to ``rows`` vectors (id, v), picked by a hash of their id, as doubles, by their length."""
+    out: dict[int, list] = {}
+    for r in vectors.orderBy(F.xxhash64("id"), "id", F.xxhash64("v")).limit(rows).select("v").collect():
+        out.setdefault(len(r["v"]), []).append(r["v"])
+    return {n: np.array(v, dtype=np.float64) for n, v in out.items()}
 
 
 def unit_vectors(v: np.ndarray) -> np.ndarray:
@@ -43,14 +45,13 @@ CROWD = 0.8
 
 
 class PermutationBlock:
-    """A block of the index: each vector as its ``k`` nearest pivots in order, posted under each of them with its place."""
+    """Inverted files of a block: vectors given as their nearest pivots in order (a row each), posted under each pivot with its place."""
 
-    def __init__(self, vectors: np.ndarray, pivots: np.ndarray, k: int):
-        self.k, self.n = k, len(vectors)
-        near = nearest_pivots(vectors, pivots, k)
+    def __init__(self, near: np.ndarray, pivots: int):
+        self.n, self.k = near.shape
         order = np.argsort(near.ravel(), kind="stable")
-        self.owner, self.place = (order // k).astype(np.int32), (order % k).astype(np.int16)
-        self.at = np.searchsorted(near.ravel()[order], np.arange(len(pivots) + 1))
+        self.owner, self.place = (order // max(1, self.k)).astype(np.int32), (order % max(1, self.k)).astype(np.int16)
+        self.at = np.searchsorted(near.ravel()[order], np.arange(pivots + 1))
 
     def nearest(self, permutation: np.ndarray, count: int) -> np.ndarray:
         """The ``count`` rows with the smallest footrule distance to a query's permutation.
@@ -58,70 +59,87 @@ class PermutationBlock:
         With k pivots seen of each, a pivot outside counts as at place k, so rows that share no pivot are all equally
         far; each shared pivot p at places i and j brings a row nearer by (k - i) + (k - j) - |i - j|.
         """
+        if count >= self.n:
+            return np.arange(self.n)
         gain = np.zeros(self.n, dtype=np.int32)
         for i, p in enumerate(permutation):
             a, b = self.at[p], self.at[p + 1]
             place = self.place[a:b]
             gain[self.owner[a:b]] += 2 * self.k - i - place - np.abs(place - i)
-        if count >= self.n:
-            return np.arange(self.n)
         near = np.zeros(self.n, dtype=bool)
         near[np.argpartition(-gain, count)[:count]] = True
         near[gain >= CROWD * self.k * (self.k + 1)] = True  # the most a row can gain, that of an equal permutation
         return np.flatnonzero(near)
 
 
-def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray, k: int) -> np.ndarray:
+def nearest_pivots(vectors: np.ndarray, pivots: np.ndarray, k: int, rows: int = 1024) -> np.ndarray:
     """The k nearest pivots of each vector, nearest first (by angle; norms play no part)."""
-    s = vectors.astype(np.float32) @ pivots.T.astype(np.float32)
-    near = np.argpartition(-s, k - 1, axis=1)[:, :k]
-    return np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, axis=1), axis=1, kind="stable"), axis=1)
+    out = np.empty((len(vectors), k), dtype=np.int16)
+    for at in range(0, len(vectors), rows):
+        s = vectors[at : at + rows].astype(np.float32) @ pivots.T.astype(np.float32)
+        near = np.argpartition(-s, k - 1, axis=1)[:, :k]
+        out[at : at + rows] = np.take_along_axis(near, np.argsort(-np.take_along_axis(s, near, axis=1), axis=1, kind="stable"), axis=1)
+    return out
+
+
+def by_length(values: pd.Series) -> Iterator[tuple[int, np.ndarray]]:
+    """Each length that occurs, and where."""
+    size = values.map(len).to_numpy()
+    for n in np.unique(size).tolist():
+        yield n, np.flatnonzero(size == n)
 
 
 def permutation_search(
-    df: DataFrame, *, k_nearest: int = 20, every: int = 20, pivots: int = 256, prefix: int = 64, share: float = 0.2, least: int = 400, sample_rows: int = 4096, block_rows: int = 16_384, query_rows: int = 2048,
+    df: DataFrame, *, k_nearest: int = 20, every: int = 20, pivots: int = 1024, prefix: int = 96, share: float = 0.06, least: int = 400, sample_rows: int = 8192, block_rows: int = 16_384, query_rows: int = 2048,
     id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by ``every``, its ``k_nearest`` others of largest
     inner product that the permutation index finds, best first, ties to the smaller id. score is exact, in double precision.
 
-    Pivots are ``pivots`` vectors that lie far from each other, out of a sample of ``sample_rows``. The rows are cut into blocks of about ``block_rows`` by a hash of the id, each
-    with its own pivot inverted files; queries come in blocks of about ``query_rows`` and visit every block. There, the ``share``
-    of the block's rows (``least`` at least) with the smallest footrule distance are scored exactly, and
+    Pivots are up to ``pivots`` vectors that lie far from each other, out of a sample of ``sample_rows``. Each vector's permutation, its
+    ``prefix`` nearest pivots in order, is computed and written once. Rows are cut into blocks of about ``block_rows`` by a hash of the id, each
+    with its own pivot inverted files; queries come in blocks of about ``query_rows`` and visit every block, where they read the files of
+    their own pivots only. There, the ``share`` of the block's rows (``least`` at least) with the smallest footrule distance are scored exactly, and
     the best k_nearest of each block meet in a last top-k. Within the share asked, ranks decide, never a cut by list.
 
+    A vector only meets those of its length; lengths that the sample does not hold are scored whole.
     Vectors that are null, empty, zero or hold a null or non-finite component are neither queries nor candidates, nor are rows without
-    an id or of another length than the most common one. Rows that repeat an id are separate candidates, but none of them is one
+    an id; ids are integers. Rows that repeat an id are separate candidates, but none of them is one
     for a query of that id. Fewer candidates than k_nearest: all. No usable rows: an empty result. Other columns are not read.
     """
     rows = _usable_rows(df, id_col, vector_col)
-    size = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if size is None:
-        return df.sparkSession.createDataFrame([], schema)
-    rows = rows.where(F.size("v") == size["n"])
-    unit = unit_vectors(_sample(rows, sample_rows))
-    sample = spread_pivots(unit, pivots, 0.0)  # far apart, so that a crowd of near copies does not fill the pivots
-    prefix = min(prefix, len(sample))
-    n_blocks = max(1, -(-size["count"] // block_rows))
-    n_queries = max(1, -(-size["count"] // (every * query_rows)))
-
-    def top(ids: np.ndarray, score: np.ndarray) -> np.ndarray:
-        return np.lexsort((ids, -score))[:k_nearest]
+    chosen = {n: spread_pivots(unit_vectors(v), pivots, 0.0) for n, v in _sample(rows, sample_rows).items()}  # far apart, so that a crowd of near copies does not fill the pivots
+    none = np.empty((0, 1))
+
+    def permute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for n, own in by_length(b["v"]):
+                v = np.stack(b["v"].iloc[own].to_numpy())
+                p = chosen.get(n, none)
+                near = nearest_pivots(unit_vectors(v), p, min(prefix, len(p))) if len(p) else np.empty((len(v), 0), dtype=np.int16)
+                yield pd.DataFrame({"id": b["id"].iloc[own], "dim": n, "v": [x.tobytes() for x in v], "near": [x.tobytes() for x in near]})
+
+    index = written(rows.mapInPandas(permute, "id long, dim int, v binary, near binary"))
+    total = index.count()
+    n_blocks = max(1, -(-total // block_rows))
+    n_queries = max(1, -(-total // (every * query_rows)))
+
+    def unpacked(part: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        joined = lambda c, kind: np.frombuffer(b"".join(part[c]), dtype=kind).reshape(len(part), -1)
+        return part["id"].to_numpy(), joined("v", np.float64), joined("near", np.int16) if len(part["near"].iloc[0]) else np.empty((len(part), 0), dtype=np.int16)
 
     def search(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(left) and len(right):
-            x, ids = np.stack(right["v"].to_numpy()), right["id"].to_numpy()
-            block = PermutationBlock(x, sample, prefix)
-            q, q_ids = np.stack(left["v"].to_numpy()), left["id"].to_numpy()
-            count = max(least, int(len(x) * share))
-            for i, perm in enumerate(nearest_pivots(q, sample, prefix)):
-                near = block.nearest(perm, count)
-                near = near[ids[near] != q_ids[i]]
-                score = (x[near] * q[i]).sum(axis=1)
-                best = top(ids[near], score)
-                out.append((q_ids[i], ids[near][best], score[best]))
+            (q_ids, q, perms), (ids, x, near) = unpacked(left), unpacked(right)
+            block = PermutationBlock(near, len(chosen.get(x.shape[1], none)))
+            count = max(least, int(len(x) * share)) if near.shape[1] else len(x)
+            for i, perm in enumerate(perms):
+                found = block.nearest(perm, count)
+                found = found[ids[found] != q_ids[i]]
+                score = (x[found] * q[i]).sum(axis=1)
+                best = np.lexsort((ids[found], -score))[:k_nearest]
+                out.append((q_ids[i], ids[found][best], score[best]))
         n = [len(o[1]) for o in out]
         return pd.DataFrame({
             "query_id": np.repeat(np.array([o[0] for o in out], dtype=np.int64), n),
@@ -130,9 +148,9 @@ def permutation_search(
         })
 
     place = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int")
-    queries = rows.where(F.col("id") % every == 0).select("id", "v", place(n_queries, 1).alias("q")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-    blocks = rows.select("id", "v", place(n_blocks, 2).alias("b")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))
-    found = queries.groupBy("q", "b").cogroup(blocks.groupBy("q", "b")).applyInPandas(search, "query_id long, vec_id long, score double")
+    queries = index.where(F.col("id") % every == 0).select("id", "dim", "v", "near", place(n_queries, 1).alias("q")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
+    blocks = index.select("id", "dim", "v", "near", place(n_blocks, 2).alias("b")).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))
+    found = queries.groupBy("dim", "q", "b").cogroup(blocks.groupBy("dim", "q", "b")).applyInPandas(search, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k_nearest).select("query_id", "rank", "vec_id", "score")
 
@@ -141,12 +159,12 @@ def permutation_search(
 
 
 def spread_pivots(sample: np.ndarray, n: int, least: float) -> np.ndarray:
-    """Up to ``n`` of the sample, each next one the farthest from those before, as long as it is ``least`` away."""
+    """Up to ``n`` of the sample (unit vectors), each next one the farthest from those before, as long as it is ``least`` away."""
     chosen, far = [0], np.full(len(sample), np.inf)
-    while len(chosen) < n:
-        far = np.minimum(far, np.linalg.norm(sample - sample[chosen[-1]], axis=1))
+    while len(chosen) < min(n, len(sample)):
+        far = np.minimum(far, np.sqrt(np.maximum(0, 2 - 2 * (sample @ sample[chosen[-1]]))))
         nxt = int(far.argmax())
-        if far[nxt] <= least:
+        if far[nxt] <= max(least, 1e-7):
             break
         chosen.append(nxt)
     return sample[chosen]
@@ -189,21 +207,13 @@ def cosine_components(
 
 def _range_join(rows: DataFrame, cosine: float, radius: float, pivots: int, sample_rows: int, cell_rows: int) -> tuple[DataFrame, DataFrame]:
     """(id, h, n_links) of each vector with links and the links (a, b). rows: id, h, m (equal rows), v."""
-    sample: dict[int, list] = {}
-    for r in rows.orderBy(F.xxhash64("id"), "id", "h").limit(sample_rows).select("v").collect():
-        sample.setdefault(len(r["v"]), []).append(r["v"])
-    centres = {n: spread_pivots(unit_vectors(np.array(v)), pivots, radius) for n, v in sample.items()}
+    centres = {n: spread_pivots(unit_vectors(v), pivots, radius) for n, v in _sample(rows, sample_rows).items()}
     between = {n: np.linalg.norm(c[:, None] - c[None], axis=2) for n, c in centres.items()}
     slack = 1e-6  # for rounding: replicates a little more than needed
 
-    def by_length(b: pd.DataFrame, column: str, bytes_each: int = 1) -> Iterator[tuple[int, np.ndarray]]:
-        size = b[column].map(len).to_numpy() // bytes_each
-        for n in np.unique(size).tolist():
-            yield n, np.flatnonzero(size == n)
-
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for n, own in by_length(b, "v"):
+            for n, own in by_length(b["v"]):
                 part = b.iloc[own]
                 u = unit_vectors(np.stack(part["v"].to_numpy()))
                 d = np.sqrt(np.maximum(0, 2 - 2 * (u @ centres[n].T))) if n in centres else np.zeros((len(u), 1))

@@ -261,6 +261,20 @@ def test_search_recall_and_exact_scores(spark):
     assert hits / (20 * len(by)) >= 0.9
 
 
+@pytest.mark.parametrize("sample_rows", [8192, 1])
+def test_search_within_each_length(spark, sample_rows):
+    """Vectors meet those of their length; lengths without pivots are scored whole."""
+    rng = np.random.default_rng(4)
+    rows = [(i, rng.normal(size=2 + i % 3).tolist()) for i in range(300)] + [(301, [1e200, -1e200]), (302, [1e-200, 0.0])]
+    got = vectors.permutation_search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k_nearest=5, sample_rows=sample_rows, block_rows=100).collect()
+    want = []
+    for q, v in rows:
+        if q % 20 == 0:
+            best = sorted((-float((np.array(v) * np.array(w)).sum()), i) for i, w in rows if i != q and len(w) == len(v))[:5]
+            want += [(q, k + 1, i) for k, (_, i) in enumerate(best)]
+    assert sorted((r["query_id"], r["rank"], r["vec_id"]) for r in got) == sorted(want)
+
+
 def test_search_of_small_tables(spark):
     few = [(0, [1.0, 0.0]), (1, [0.0, 2.0]), (2, [3.0, 0.0]), (2, [1.0, 1.0]), (20, [1.0, 0.0])]
     got = [tuple(r) for r in vectors.permutation_search(table(spark, few)).orderBy("query_id", "rank").collect()]
