@@ -1,8 +1,9 @@
-"""Exact removal of long repeats across documents by recompression (locally consistent renaming)."""
+"""Exact removal of long repeats across documents by recompression: runs and pairs of symbols are named alike everywhere, round by round."""
 
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -11,37 +12,71 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.common import joined_bytes, mix64, range_hashes, word_bounds, word_hashes
 
-#: Rounds of pair naming. After r rounds a symbol's existence depends on at most 2**r neighbouring words.
+#: Rounds of naming.
 ROUNDS = 3
 
 #: What stands for a null id inside, so that it comes last.
 NO_ID = (1 << 63) - 1
 
 
-def recompressed(words: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(name, first word) of each symbol after ROUNDS rounds.
+@dataclass(frozen=True)
+class Level:
+    """The symbols of one round: runs of equal symbols become blocks, blocks become the symbols of the next round.
 
-    A round puts every name on the left or right side by one bit of its hash and names each adjacent pair left-right
-    anew. A new name is the hash of the two old ones, so it is the same wherever the pair stands, in
-    any document and on any executor: naming is global without a dictionary. Equal neighbours lie on the
-    same side, so a run never pairs inside; it stays a run of one name, the same at each place. ``breaks`` marks first words
-    of documents; no pair crosses one. Whether two neighbours pair depends on these two alone, hence
-    equal stretches of words get equal symbols but for 2**ROUNDS - 1 words at each end.
+    ``name`` and ``length`` (in words) of each symbol; ``run``: the block it is in; ``begin``, ``end``: a block's symbols; ``block``: a block's
+    name, of its symbol and how often it stands there; ``right``: the side the name's hash puts a block on; ``up``: the symbol of the next round
+    that a block is in.
     """
-    name, first = words.copy(), np.arange(len(words))
+
+    name: np.ndarray
+    length: np.ndarray
+    run: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    block: np.ndarray
+    right: np.ndarray
+    up: np.ndarray
+
+
+def recompressed(words: np.ndarray, breaks: np.ndarray) -> tuple[list[Level], np.ndarray, np.ndarray]:
+    """The levels of ROUNDS rounds, and name and length of the symbols above them.
+
+    A round first names every maximal run of a symbol by symbol and length. One bit of each block's hash then puts it on the left or right
+    side, and each adjacent pair left-right is named anew. A new name is the hash of what it stands for, so it is the
+    same in any document and on any executor: naming is global, and no dictionary has to be shuffled. ``breaks``
+    marks first words of documents; no run and no pair crosses one.
+    """
+    name, length, fresh, levels = words, np.ones(len(words), dtype=np.int64), breaks, []
     for r in range(ROUNDS):
-        side = mix64(name + np.uint64(r + 1)) & np.uint64(1)
-        pair = (side[:-1] == 0) & (side[1:] == 1) & ~breaks[first[1:]]
-        left = np.flatnonzero(pair)
-        name[left] = mix64(mix64(name[left] ^ np.uint64(0xA5A5 + r)) + name[left + 1] * np.uint64(0x9E3779B97F4A7C15))
-        keep = np.ones(len(name), dtype=bool)
+        new = np.ones(len(name), dtype=bool)
+        new[1:] = (name[1:] != name[:-1]) | fresh[1:]
+        begin = np.flatnonzero(new).astype(np.int32)
+        end = np.r_[begin[1:], len(name)].astype(np.int32)
+        run = (np.cumsum(new) - 1).astype(np.int32)
+        times = end - begin
+        block, size, first = name[begin], np.add.reduceat(length, begin) if len(begin) else length[:0], fresh[begin]
+        many = np.flatnonzero(times > 1)
+        block[many] = mix64(mix64(block[many] ^ np.uint64(0x5851F42D)) + times[many].astype(np.uint64))
+        right = (mix64(block + np.uint64(r + 1)) & np.uint64(1)).astype(bool)
+        left = np.flatnonzero(~right[:-1] & right[1:] & ~first[1:])
+        keep = np.ones(len(block), dtype=bool)
         keep[left + 1] = False
-        name, first = name[keep], first[keep]
-    return name, first
+        levels.append(Level(name, length, run, begin, end, block, right, (np.cumsum(keep) - 1).astype(np.int32)))
+        name, length = block.copy(), size.copy()
+        name[left] = mix64(mix64(block[left] ^ np.uint64(0xA5A5 + r)) + block[left + 1] * np.uint64(0x9E3779B97F4A7C15))
+        length[left] += size[left + 1]
+        name, length, fresh = name[keep], length[keep], first[keep]
+    return levels, name, length
 
 
 class Pack:
-    """The words of a pack of documents, their windows and the windows' anchors."""
+    """The words of a pack of documents, their windows, and each window's anchor and name.
+
+    A window's ends are peeled in each round: the runs at its ends, which may be longer outside; then a first block on the right side and a
+    last one on the left side, which may pair with what is outside. What is left is named alike wherever the
+    window stands. So the peeled symbols, with how often they stand there, and the symbols that are left above spell the window:
+    equal windows have equal spellings, different ones different ones.
+    """
 
     def __init__(self, texts: list, window: int):
         self.data, starts, ends = joined_bytes(texts)
@@ -59,26 +94,77 @@ class Pack:
         self.at = fits[doc[fits] == doc[fits + window - 1]] if n >= window else np.empty(0, dtype=np.int64)
         self.doc = doc[self.at]
         self.window = window
-        name, begin = recompressed(words, breaks[:n]) if n else (words, np.empty(0, dtype=np.int64))
-        # symbols over the middle of a window are the same wherever it stands; the longest of them, of equals the first, is its anchor
-        length = np.diff(np.r_[begin, n])
-        key = (np.minimum(length, 255).astype(np.uint64) << np.uint64(56)) | (name >> np.uint64(8))
-        symbol = np.repeat(np.arange(len(name), dtype=np.int32), length)
-        reach = (1 << ROUNDS) - 1
-        best = symbol[self.at + reach]
-        for k in range(reach + 1, window - reach):
-            other = symbol[self.at + k]
-            best = np.where(key[other] > key[best], other, best)
-        self.anchor = key[best]
+        self.levels, self.name, self.length = recompressed(words, breaks[:n])
+        self._anchor()
+
+    def _peeled(self, level: Level, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of windows over symbols i up to j (i < j): where the run at the left end stops and that at the right begins, the blocks between, without and with those that may pair outside."""
+        stop = np.minimum(level.end[level.run[i]], j)
+        start = np.maximum(level.begin[level.run[j - 1]], stop)  # equal to stop = j where one run is all
+        some = stop < start
+        a = np.where(some, level.run[np.minimum(stop, len(level.run) - 1)], 0)
+        b = np.where(some, level.run[start - 1] + 1, 0)
+        inner_a = a + (some & level.right[a])
+        some = inner_a < b
+        inner_b = b - (some & ~level.right[b - 1])
+        return stop, start, a, b, inner_a, inner_b
+
+    def _anchor(self) -> None:
+        """The longest of the symbols left of each window in the highest round that leaves any, of equals by name, the first. Without any: its first word."""
+        i, j = self.at.astype(np.int32), (self.at + self.window).astype(np.int32)
+        which = np.arange(len(i))  # windows of which something is left
+        key = mix64(self.words[self.at]) >> np.uint64(8)
+        self.anchor, chosen = key, [key]
+        last: list[tuple] = []
+        for r, level in enumerate(self.levels):
+            *_, a, b = self._peeled(level, i, j)
+            left = a < b
+            up_a, up_b = level.up[a], level.up[np.maximum(b, 1) - 1] + 1
+            # what nothing is left of stays with the round before
+            last.append((r, which[~left], i[~left], j[~left]))
+            which, i, j = which[left], up_a[left], up_b[left]
+        last.append((len(self.levels), which, i, j))
+        chosen = []
+        for r, own, a, b in last:
+            if r == 0 or not len(own):
+                chosen.append(np.unique(self.anchor[own]) if len(own) else self.anchor[:0])
+                continue
+            name, length = (self.name, self.length) if r == len(self.levels) else (self.levels[r].name, self.levels[r].length)
+            key = (np.minimum(length, 63).astype(np.uint64) << np.uint64(58)) | (np.uint64(r) << np.uint64(56)) | (name >> np.uint64(8))
+            best = a.copy()
+            for k in range(1, int((b - a).max())):
+                other = np.minimum(a + k, b - 1)
+                best = np.where(key[other] > key[best], other, best)
+            self.anchor[own] = key[best]
+            used = np.zeros(len(name), dtype=bool)
+            used[best] = True
+            chosen.append(key[used])
         #: the symbols that are some window's anchor, each once
-        chosen = np.zeros(len(name), dtype=bool)
-        chosen[best] = True
-        self.anchors = key[chosen]
-
-    def hashes(self, which: np.ndarray) -> np.ndarray:
-        """A hash of the words of each of the windows ``which``: 64 bits, beside the 64 of its anchor."""
-        at = self.at[which]
-        return range_hashes(self.words, at, at + self.window) if len(at) else np.empty(0, dtype=np.uint64)
+        self.anchors = np.concatenate(chosen)
+
+    def names(self, which: np.ndarray) -> np.ndarray:
+        """The spelling of each of the windows ``which`` as a hash: 64 bits, beside the 64 of its anchor."""
+        out = np.zeros(len(which), dtype=np.uint64)
+        i, j, open_ = self.at[which].astype(np.int32), (self.at[which] + self.window).astype(np.int32), np.arange(len(which))
+
+        def spell(rows: np.ndarray, symbol: np.ndarray, times: np.ndarray, place: int) -> None:
+            out[rows] += mix64(mix64(symbol + np.uint64(place * 0x9E3779B97F4A7C15 % 2**64)) ^ times.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+
+        for r, level in enumerate(self.levels):
+            if not len(open_):
+                return out
+            stop, start, a, b, inner_a, inner_b = self._peeled(level, i, j)
+            spell(open_, level.name[i], stop - i, 8 * r + 1)
+            more = stop < j
+            spell(open_[more], level.name[j[more] - 1], (j - start)[more], 8 * r + 2)
+            popped = inner_a > a
+            spell(open_[popped], level.block[a[popped]], np.ones(int(popped.sum())), 8 * r + 3)
+            popped = inner_b < b
+            spell(open_[popped], level.block[b[popped] - 1], np.ones(int(popped.sum())), 8 * r + 4)
+            left = inner_a < inner_b
+            open_, i, j = open_[left], level.up[inner_a[left]], level.up[inner_b[left] - 1] + 1
+        out[open_] += range_hashes(self.name, i.astype(np.int64), j.astype(np.int64)) if len(open_) else 0
+        return out
 
     def covered(self, gone: np.ndarray) -> np.ndarray:
         """The words that lie in one of the windows ``gone``, as flags."""
@@ -114,20 +200,20 @@ def drop_repeats(
     the same document. Words are ``[^\\x20\\x09-\\x0D]+``; kept_text is the kept words joined by one space.
 
     Documents are dealt into packs by a hash of id and text. (1) Each pack renames its words by recompression and sends the
-    anchors of its windows, each once, to buckets by name; (2) a bucket returns to each pack the anchors that
-    occur more than once; (3) each pack sends the windows on such anchors, each once, with their hash and first
-    place, to buckets by anchor and hash; (4) a bucket returns to each pack the windows that start earlier elsewhere;
+    anchors of its windows, their highest symbols, each once, to buckets by name; (2) a bucket returns to each pack the symbols that
+    other packs sent too; (3) each pack sends the windows on such symbols, each once, with their spelling in symbols and first
+    place, to buckets by both; (4) a bucket returns to each pack the windows that start earlier elsewhere;
     (5) the pack removes their words. A text repeated in a third of all documents costs a bucket one entry per
     pack, and a phrase that different windows hold spreads over all buckets, so there are no hot keys. Windows are
-    compared by 128 bits of hash (anchor and window).
+    compared by 128 bits of hash (anchor and spelling).
 
-    ``window`` is at least 16 (else no symbol is certain). Null texts have no words: n_words 0, kept_text "". Rows that repeat an id
+    ``window`` is at least 2. Null texts have no words: n_words 0, kept_text "". Rows that repeat an id
     are versions of one document: a window is only earlier by id, then by place. Null ids come after all others; ids are integers.
     An empty table gives an empty result. Names in ``carry`` that clash with the result's own are an error; the text may be among
     them and is sent once. Other columns are not read.
     """
-    if window < 2 ** (ROUNDS + 1):
-        raise ValueError(f"window must be at least {2 ** (ROUNDS + 1)}")
+    if window < 2:
+        raise ValueError("window must be at least 2")
     carry = carry or []
     if clash := {"doc_id", "n_words", "n_removed", "kept_text", "__pack", "__text"} & set(carry):
         raise ValueError(f"columns in the way: {sorted(clash)}")
@@ -148,15 +234,13 @@ def drop_repeats(
         return part["__text" if c == text_col else c]
 
     def send_anchors(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
-        names, count = np.unique(Pack(part["__text"].tolist(), window).anchors, return_counts=True)
-        return _dealt(bucket_of(names), int(key[0]), {"names": names, "many": count > 1})
+        names = np.unique(Pack(part["__text"].tolist(), window).anchors)
+        return _dealt(bucket_of(names), int(key[0]), {"names": names})
 
     def repeated_anchors(group: pd.DataFrame) -> pd.DataFrame:
-        names, many = _all(group, "names", np.uint64), _all(group, "many", bool)
-        found, inverse, count = np.unique(names, return_inverse=True, return_counts=True)
-        twice = count > 1
-        twice[inverse[many]] = True
-        keep, at, out = twice[inverse], 0, []
+        names = _all(group, "names", np.uint64)
+        _, inverse, count = np.unique(names, return_inverse=True, return_counts=True)
+        keep, at, out = (count > 1)[inverse], 0, []
         for pack, raw in zip(group["pack"], group["names"], strict=True):
             n = len(raw) // 8
             if (own := names[at : at + n][keep[at : at + n]]).size:
@@ -173,7 +257,7 @@ def drop_repeats(
         if not len(which):
             return empty
         ids, place = ids_of(part)[p.doc[which]], (p.at - p.first[p.doc])[which].astype(np.int32)
-        h, a = p.hashes(which), p.anchor[which]
+        h, a = p.names(which), p.anchor[which]
         order = np.lexsort((place, ids, h, a))
         once = order[np.r_[True, (h[order][1:] != h[order][:-1]) | (a[order][1:] != a[order][:-1])]]
         once = once[np.lexsort((place[once], ids[once]))]
@@ -201,20 +285,23 @@ def drop_repeats(
             return pd.DataFrame({c: [] for c in ["doc_id", "n_words", "n_removed", "kept_text", *carry]})
         p = Pack(part["__text"].tolist(), window)
         ids, place = ids_of(part)[p.doc], p.at - p.first[p.doc]
-        a, all_ = p.anchor, np.arange(len(p.at))
-        h = p.hashes(all_)
+        # only windows on an anchor that is here twice, or that others told of, can be repeats
+        _, inverse, count = np.unique(p.anchor, return_inverse=True, return_counts=True)
+        asked = np.isin(p.anchor, _all(told, "anchors", np.uint64)) if len(told) else np.zeros(len(p.at), dtype=bool)
+        which = np.flatnonzero((count > 1)[inverse] | asked)
+        a, h, ids, place = p.anchor[which], p.names(which), ids[which], place[which]
         # earlier in this pack
         order = np.lexsort((place, ids, h, a))
         new = np.r_[True, (h[order][1:] != h[order][:-1]) | (a[order][1:] != a[order][:-1])][: len(order)]
         first = order[np.flatnonzero(new)][np.cumsum(new) - 1] if len(order) else order
-        gone = np.zeros(len(all_), dtype=bool)
+        gone = np.zeros(len(which), dtype=bool)
         gone[order] = (ids[order] != ids[first]) | (place[order] != place[first])
         # earlier elsewhere
-        if len(told) and len(all_):
+        if len(told) and len(which):
             told_key = np.sort(_all(told, "anchors", np.uint64) * np.uint64(3) ^ _all(told, "hashes", np.uint64))
             own = a * np.uint64(3) ^ h
             gone |= told_key[np.minimum(np.searchsorted(told_key, own), len(told_key) - 1)] == own
-        drop = p.covered(np.flatnonzero(gone))
+        drop = p.covered(which[gone])
         raw, total, removed, kept = p.data.tobytes(), [], [], []
         for f, t in zip(p.first.tolist(), p.last.tolist(), strict=True):
             stay = np.flatnonzero(~drop[f:t]) + f
@@ -225,7 +312,7 @@ def drop_repeats(
 
     by_pack, key = rows.groupBy("__pack"), F.col("__pack")
     told = (
-        by_pack.applyInPandas(send_anchors, "bucket long, pack long, names binary, many binary")
+        by_pack.applyInPandas(send_anchors, "bucket long, pack long, names binary")
         .groupBy("bucket")
         .applyInPandas(repeated_anchors, "__pack long, names binary")
     )

@@ -164,11 +164,64 @@ def test_repeats_in_odd_tables(spark):
     assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in twice) == [(0, 70), (1, 69), (1, 69), (2, 70)]
     assert substrings.drop_repeats(docs(spark, [])).isEmpty()
     with pytest.raises(ValueError):
-        substrings.drop_repeats(docs(spark, []), window=10)
+        substrings.drop_repeats(docs(spark, []), window=1)
     with pytest.raises(ValueError):
         substrings.drop_repeats(docs(spark, []), carry=["n_words"])
 
 
+def spelled(words, window):
+    """Anchor and name of each window of a list of documents, as lists of words."""
+    p = substrings.Pack([" ".join(w) for w in words], window)
+    return p, [(int(a), int(h)) for a, h in zip(p.anchor, p.names(np.arange(len(p.at))), strict=True)]
+
+
+@pytest.mark.parametrize("window", [2, 3, 7, 20, 50])
+@pytest.mark.parametrize("letters", [1, 2, 3, 30])
+def test_windows_are_spelled_alike_wherever_they_stand(window, letters):
+    """Equal windows have equal anchors and names, different ones different names; long runs and short periods too."""
+    rng = random.Random(window * letters)
+    passage = [str(rng.randrange(letters)) for _ in range(80)]
+    documents = []
+    for _ in range(30):
+        head, tail = ([str(rng.randrange(letters)) for _ in range(rng.randrange(30))] for _ in range(2))
+        middle = rng.choice([passage, passage[rng.randrange(40) :], ["0"] * rng.randrange(90), ["0", "1"] * rng.randrange(40), ["0", "0", "1"] * rng.randrange(30)])
+        documents.append(head + middle + tail)
+    p, got = spelled(documents, window)
+    flat = [(d, s) for d, w in enumerate(documents) for s in range(len(w) - window + 1)]
+    by_words, by_name = {}, {}
+    for (d, s), key in zip(flat, got, strict=True):
+        words = tuple(documents[d][s : s + window])
+        assert by_words.setdefault(words, key) == key and by_name.setdefault(key, words) == words
+    assert set(p.anchors.tolist()) == {a for a, _ in got}
+
+
+def test_rounds_name_runs_and_pairs():
+    """Every symbol of a round stands for the same words, and equal words between equal surroundings get equal symbols."""
+    rng = random.Random(2)
+    words = [rng.choice("aaabc") for _ in range(3000)]
+    p = substrings.Pack([" ".join(words)], 20)
+    names = [(level.name, level.length) for level in p.levels] + [(p.name, p.length)]
+    assert [len(n) for n, _ in names] == sorted((len(n) for n, _ in names), reverse=True)
+    for name, length in names:
+        at = np.cumsum(length) - length
+        stands_for = {}
+        for n, a, k in zip(name.tolist(), at.tolist(), length.tolist(), strict=True):
+            assert stands_for.setdefault(n, words[a : a + k]) == words[a : a + k]
+        assert length.sum() == len(words)
+    assert max(p.length) > 8 and all((level.end - level.begin).max() > 1 for level in p.levels[:1])
+
+
+def test_a_hot_phrase_spreads_over_buckets(spark):
+    """Different documents around one phrase: windows on its symbols are many, and no bucket gets most of them."""
+    rng = random.Random(6)
+    phrase = [f"p{i}" for i in range(15)]
+    rows = [(d, " ".join([f"w{rng.random()}" for _ in range(20)] + phrase + [f"w{rng.random()}" for _ in range(20)])) for d in range(150)]
+    assert same_repeats(spark, rows, pack_bytes=4000) == 0
+    rows += [(d, " ".join([f"x{d}"] + phrase + [f"y{k}" for k in range(9)])) for d in range(200, 230)] + [(None, f"z{k} " + " ".join(phrase)) for k in range(40)]
+    got = substrings.drop_repeats(docs(spark, rows), pack_bytes=4000).collect()
+    assert sum(r["n_removed"] for r in got) == 29 * 24
+
+
 # ---- SimHash
 
 
