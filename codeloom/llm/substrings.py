@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from codeloom.llm.common import joined_bytes, mix64, range_hashes, word_bounds, word_hashes
 
-#: Rounds of naming.
-ROUNDS = 3
+#: Rounds of naming; symbols in a row that make an anchor.
+ROUNDS, SPAN = 3, 2
 
 #: What stands for a null id inside, so that it comes last.
 NO_ID = (1 << 63) - 1
@@ -110,11 +110,11 @@ class Pack:
         return stop, start, a, b, inner_a, inner_b
 
     def _anchor(self) -> None:
-        """The longest of the symbols left of each window in the highest round that leaves any, of equals by name, the first. Without any: its first word."""
+        """The longest of the symbols left of each window in the highest round that leaves any, of equals by name, the first, and its neighbours
+        as far as they are left: up to SPAN symbols in a row. Without any: its first word.
+        """
         i, j = self.at.astype(np.int32), (self.at + self.window).astype(np.int32)
         which = np.arange(len(i))  # windows of which something is left
-        key = mix64(self.words[self.at]) >> np.uint64(8)
-        self.anchor, chosen = key, [key]
         last: list[tuple] = []
         for r, level in enumerate(self.levels):
             *_, a, b = self._peeled(level, i, j)
@@ -124,10 +124,14 @@ class Pack:
             last.append((r, which[~left], i[~left], j[~left]))
             which, i, j = which[left], up_a[left], up_b[left]
         last.append((len(self.levels), which, i, j))
-        chosen = []
+        found, self.group, n = [], np.empty(len(self.at), dtype=np.int32), 0
         for r, own, a, b in last:
-            if r == 0 or not len(own):
-                chosen.append(np.unique(self.anchor[own]) if len(own) else self.anchor[:0])
+            if not len(own):
+                continue
+            if r == 0:
+                found.append(mix64(self.words[self.at[own]]))
+                self.group[own] = n + np.arange(len(own))
+                n += len(own)
                 continue
             name, length = (self.name, self.length) if r == len(self.levels) else (self.levels[r].name, self.levels[r].length)
             key = (np.minimum(length, 63).astype(np.uint64) << np.uint64(58)) | (np.uint64(r) << np.uint64(56)) | (name >> np.uint64(8))
@@ -135,12 +139,23 @@ class Pack:
             for k in range(1, int((b - a).max())):
                 other = np.minimum(a + k, b - 1)
                 best = np.where(key[other] > key[best], other, best)
-            self.anchor[own] = key[best]
-            used = np.zeros(len(name), dtype=bool)
-            used[best] = True
-            chosen.append(key[used])
-        #: the symbols that are some window's anchor, each once
-        self.anchors = np.concatenate(chosen)
+            start = np.maximum(np.minimum(best - SPAN // 2, b - SPAN), a)
+            size = np.minimum(b - start, SPAN)
+            row = start.astype(np.int64) * SPAN + size - 1
+            used = np.zeros(len(name) * SPAN, dtype=bool)
+            used[row] = True
+            places = np.flatnonzero(used)
+            first, size = places // SPAN, places % SPAN + 1
+            value = np.full(len(places), np.uint64(r))
+            for k in range(SPAN):
+                more = np.flatnonzero(size > k)
+                value[more] = mix64(value[more] * np.uint64(0x9E3779B97F4A7C15) + name[first[more] + k])
+            found.append(value)
+            self.group[own] = n + (np.cumsum(used, dtype=np.int32) - 1)[row]
+            n += len(places)
+        #: each place that is some window's anchor, and the number of that of each window
+        self.anchors = np.concatenate(found) if found else np.empty(0, dtype=np.uint64)
+        self.anchor = self.anchors[self.group]
 
     def names(self, which: np.ndarray) -> np.ndarray:
         """The spelling of each of the windows ``which`` as a hash: 64 bits, beside the 64 of its anchor."""
@@ -253,7 +268,7 @@ def drop_repeats(
         if not len(part) or not len(told):
             return empty
         p = Pack(part["__text"].tolist(), window)
-        which = np.flatnonzero(np.isin(p.anchor, _all(told, "names", np.uint64)))
+        which = np.flatnonzero(np.isin(p.anchors, _all(told, "names", np.uint64))[p.group])
         if not len(which):
             return empty
         ids, place = ids_of(part)[p.doc[which]], (p.at - p.first[p.doc])[which].astype(np.int32)
@@ -286,9 +301,11 @@ def drop_repeats(
         p = Pack(part["__text"].tolist(), window)
         ids, place = ids_of(part)[p.doc], p.at - p.first[p.doc]
         # only windows on an anchor that is here twice, or that others told of, can be repeats
-        _, inverse, count = np.unique(p.anchor, return_inverse=True, return_counts=True)
-        asked = np.isin(p.anchor, _all(told, "anchors", np.uint64)) if len(told) else np.zeros(len(p.at), dtype=bool)
-        which = np.flatnonzero((count > 1)[inverse] | asked)
+        _, inverse, count = np.unique(p.anchors, return_inverse=True, return_counts=True)
+        asked = (count > 1)[inverse]
+        if len(told):
+            asked |= np.isin(p.anchors, _all(told, "anchors", np.uint64))
+        which = np.flatnonzero(asked[p.group])
         a, h, ids, place = p.anchor[which], p.names(which), ids[which], place[which]
         # earlier in this pack
         order = np.lexsort((place, ids, h, a))
