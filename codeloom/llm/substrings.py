@@ -202,6 +202,11 @@ def _dealt(bucket: np.ndarray, pack: int, columns: dict[str, np.ndarray]) -> pd.
     return pd.DataFrame(out)
 
 
+def _short(names: np.ndarray) -> np.ndarray:
+    """Half of each name: what travels."""
+    return (names >> np.uint64(32)).astype(np.uint32)
+
+
 def _all(group: pd.DataFrame, column: str, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(group[column]), dtype=dtype)
 
@@ -217,10 +222,10 @@ def drop_repeats(
     Documents are dealt into packs by a hash of id and text. (1) Each pack renames its words by recompression and sends the
     anchors of its windows, their highest symbols, each once, to buckets by name; (2) a bucket returns to each pack the symbols that
     other packs sent too; (3) each pack sends the windows on such symbols, each once, with their spelling in symbols and first
-    place, to buckets by both; (4) a bucket returns to each pack the windows that start earlier elsewhere;
+    place, to buckets by the latter; (4) a bucket returns to each pack the windows that start earlier elsewhere;
     (5) the pack removes their words. A text repeated in a third of all documents costs a bucket one entry per
     pack, and a phrase that different windows hold spreads over all buckets, so there are no hot keys. Windows are
-    compared by 128 bits of hash (anchor and spelling).
+    compared by 96 bits of hash (64 of the spelling, 32 of the anchor).
 
     ``window`` is at least 2. Null texts have no words: n_words 0, kept_text "". Rows that repeat an id
     are versions of one document: a window is only earlier by id, then by place. Null ids come after all others; ids are integers.
@@ -250,14 +255,14 @@ def drop_repeats(
 
     def send_anchors(key: tuple, part: pd.DataFrame) -> pd.DataFrame:
         names = np.unique(Pack(part["__text"].tolist(), window).anchors)
-        return _dealt(bucket_of(names), int(key[0]), {"names": names})
+        return _dealt(bucket_of(names), int(key[0]), {"names": _short(names)})
 
     def repeated_anchors(group: pd.DataFrame) -> pd.DataFrame:
-        names = _all(group, "names", np.uint64)
+        names = _all(group, "names", np.uint32)
         _, inverse, count = np.unique(names, return_inverse=True, return_counts=True)
         keep, at, out = (count > 1)[inverse], 0, []
         for pack, raw in zip(group["pack"], group["names"], strict=True):
-            n = len(raw) // 8
+            n = len(raw) // 4
             if (own := names[at : at + n][keep[at : at + n]]).size:
                 out.append((pack, own.tobytes()))
             at += n
@@ -268,18 +273,18 @@ def drop_repeats(
         if not len(part) or not len(told):
             return empty
         p = Pack(part["__text"].tolist(), window)
-        which = np.flatnonzero(np.isin(p.anchors, _all(told, "names", np.uint64))[p.group])
+        which = np.flatnonzero(np.isin(_short(p.anchors), _all(told, "names", np.uint32))[p.group])
         if not len(which):
             return empty
         ids, place = ids_of(part)[p.doc[which]], (p.at - p.first[p.doc])[which].astype(np.int32)
-        h, a = p.names(which), p.anchor[which]
+        h, a = p.names(which), _short(p.anchor[which])
         order = np.lexsort((place, ids, h, a))
         once = order[np.r_[True, (h[order][1:] != h[order][:-1]) | (a[order][1:] != a[order][:-1])]]
         once = once[np.lexsort((place[once], ids[once]))]
-        return _dealt(bucket_of(a[once] + mix64(h[once])), int(key[0]), {"anchors": a[once], "hashes": h[once], "ids": ids[once], "places": place[once]})
+        return _dealt(bucket_of(h[once]), int(key[0]), {"anchors": a[once], "hashes": h[once], "ids": ids[once], "places": place[once]})
 
     def later_windows(group: pd.DataFrame) -> pd.DataFrame:
-        a, h = _all(group, "anchors", np.uint64), _all(group, "hashes", np.uint64)
+        a, h = _all(group, "anchors", np.uint32), _all(group, "hashes", np.uint64)
         ids, place = _all(group, "ids", np.int64), _all(group, "places", np.int32)
         order = np.lexsort((place, ids, h, a))
         new = np.r_[True, (h[order][1:] != h[order][:-1]) | (a[order][1:] != a[order][:-1])]
@@ -304,9 +309,9 @@ def drop_repeats(
         _, inverse, count = np.unique(p.anchors, return_inverse=True, return_counts=True)
         asked = (count > 1)[inverse]
         if len(told):
-            asked |= np.isin(p.anchors, _all(told, "anchors", np.uint64))
+            asked |= np.isin(_short(p.anchors), _all(told, "anchors", np.uint32))
         which = np.flatnonzero(asked[p.group])
-        a, h, ids, place = p.anchor[which], p.names(which), ids[which], place[which]
+        a, h, ids, place = _short(p.anchor[which]), p.names(which), ids[which], place[which]
         # earlier in this pack
         order = np.lexsort((place, ids, h, a))
         new = np.r_[True, (h[order][1:] != h[order][:-1]) | (a[order][1:] != a[order][:-1])][: len(order)]
@@ -315,8 +320,8 @@ def drop_repeats(
         gone[order] = (ids[order] != ids[first]) | (place[order] != place[first])
         # earlier elsewhere
         if len(told) and len(which):
-            told_key = np.sort(_all(told, "anchors", np.uint64) * np.uint64(3) ^ _all(told, "hashes", np.uint64))
-            own = a * np.uint64(3) ^ h
+            told_key = np.sort(mix64(_all(told, "anchors", np.uint32).astype(np.uint64)) ^ _all(told, "hashes", np.uint64))
+            own = mix64(a.astype(np.uint64)) ^ h
             gone |= told_key[np.minimum(np.searchsorted(told_key, own), len(told_key) - 1)] == own
         drop = p.covered(which[gone])
         raw, total, removed, kept = p.data.tobytes(), [], [], []
