@@ -74,6 +74,33 @@ def test_markup_in_scripts():
     assert {(c[0], c[2]) for c in calls} == {("go", "App"), ("show", "App")}
 
 
+GOOD = """
+async function f() { for await (const x of y) { await z; } for (let i = 0; ; ) break; }
+class A extends B { static async m() {} get a() { return 1 } set a(v) {} static x = 1; #p = 2; if() {} }
+const o = { if: 1, get: 2, async g() {}, 'else': 3, a, b: c ? d : e, ...r }, { q = 1 } = o, h = (a, b) => a ?? b;
+if (a) b(); else if (c) d(); else { e() }
+if (a) f
+else g
+do x(); while (y)
+label: for (const k in o) { if (!k) continue label }
+export { a as b, c }; export * as ns from './m'; import d, * as e from './n'; import { default as q } from './o';
+x = a < b > c; y = +a - -b; z = a ? .5 : b?.c; w = typeof void 0; v = o.if(1), o.else, let_ = yield_ => /re/g.test(a) / 2;
+switch (a) { case 1: default: }
+new.target; var async; async = 1; get
+set
+"""
+
+
+def test_scripts_that_do_parse():
+    assert extract_js.extract(GOOD, ".js")[0] and extract_js.extract(GOOD, ".jsx")[0]
+    assert extract_js.extract("type A = | B | C; declare module 'x' { const a: string } abstract class Q<T = {}> { private readonly x?: T; constructor(public y: T) { super() } }\nlet f = <T,>(x: T): x is T => true; enum E { A = 1 }; let v = q as unknown as string; function g(this: T): asserts x {}\n@dec class W { @inj() a!: string }", ".ts")[0]
+
+
+@pytest.mark.parametrize("source", ["x = = 1;", "a b c d", "if (a) else b", "const x: number = 1", "x = ;", "f(a, b = )", "while a { }", "a && ;", "x ==", "if a"])
+def test_scripts_whose_tokens_rule_each_other_out(source):
+    assert extract_js.extract(source, ".js")[0] is False
+
+
 @pytest.mark.parametrize("source", ["function foo( {\n", "class {", "const x = 'abc\n", "foo(]", "`abc", "/* abc"])
 def test_scripts_that_do_not_parse(source):
     assert extract_js.extract(source, ".js")[0] is False
