@@ -90,7 +90,7 @@ def by_length(values: pd.Series) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def permutation_search(
-    df: DataFrame, *, k_nearest: int = 20, every: int = 20, pivots: int = 1024, prefix: int = 96, share: float = 0.06, least: int = 400, sample_rows: int = 8192, block_rows: int = 16_384, query_rows: int = 2048,
+    df: DataFrame, *, k_nearest: int = 20, every: int = 20, pivots: int = 1024, prefix: int = 96, share: float = 0.1, least: int = 400, sample_rows: int = 8192, block_rows: int = 16_384, query_rows: int = 2048,
     id_col: str = "vec_id", vector_col: str = "embedding",
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose id is divisible by ``every``, its ``k_nearest`` others of largest
