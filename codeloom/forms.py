@@ -79,6 +79,13 @@ _FIXED |= {f"web/idx{u}/index.js": "" for u in range(5)}
 _FIXED |= {"web/side.js": "", "web/cjs.jsx": "", **{f"top{v}.tsx": "" for v in range(3)}}
 
 
+#: Scripts that do not parse, a line each; the parts that have them take turns.
+_BROKEN_TS = [
+    "function broken( {", "class A { foo: }", "x => => y", "export default;", "let x = { a: 1 b: 2 }", "switch (x) { foo }", "type T = A | ;", "interface I { a: string b }", "do { } x", "const [a = ] = b",
+]
+_BROKEN_PY = ["def broken(:", "class A", "x = = 1", "from . import", "if a: else: b", "return = 2", "f(a b)", "lambda x y: 1", "for in x: pass", "a.b. = 1"]
+
+
 def _filled(template: str) -> str:
     """The template as a SQL expression over k."""
     text = "'" + template.replace("'", "''").replace("\\", "\\\\").replace("\n", "\\n") + "'"
@@ -88,10 +95,11 @@ def _filled(template: str) -> str:
 
 
 def forms_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of ten parts one has files that do not parse, of eleven one has files that are too large."""
+    """Of ten parts one has files that do not parse, in ten ways each, of eleven one has files that are too large."""
     keys = spark.read.parquet(f"{sf_dir}/part.parquet").selectExpr("p_partkey AS k")
     pad = f"IF(k % 11 = 0, concat(C, repeat('x', {MAX_BYTES})), '')"
-    py, ts = (f"IF(k % 10 = 9, '{broken}', concat({_filled(t)}, {pad.replace('C', mark)}))" for broken, t, mark in (("def broken(:\\n", _PY, "'# '"), ("function broken( {\\n", _TS, "'// '")))
+    turn = lambda shapes: f"concat(element_at(array({', '.join(map(repr, shapes))}), CAST(k DIV 10 % {len(shapes)} AS INT) + 1), '\\n')"
+    py, ts = (f"IF(k % 10 = 9, {turn(broken)}, concat({_filled(t)}, {pad.replace('C', mark)}))" for broken, t, mark in ((_BROKEN_PY, _PY, "'# '"), (_BROKEN_TS, _TS, "'// '")))
     made = keys.selectExpr("concat('forms/d', k % 10, '/m', k, '.py') AS path", f"{py} AS content").unionByName(keys.selectExpr("concat('web/t', k, '.ts') AS path", f"{ts} AS content"))
     fixed = spark.createDataFrame(sorted(_FIXED.items()), "path string, content string")
     return read_table(made.unionByName(fixed), "forms", spark.sparkContext.defaultParallelism)

@@ -1,9 +1,8 @@
 """Symbols, imports and calls of one JavaScript or TypeScript file.
 
 No JavaScript parser ships with Python, so this reads the file in three steps: tokens (strings, templates, regular
-expressions and JSX told apart by what came before), brackets matched to each other, and statements
-recognised by how they begin. ``parse_ok`` means that tokens are whole, brackets balance, the declarations have
-their parts and no two neighbouring tokens rule each other out; that is weaker than a full grammar.
+expressions and JSX told apart by what came before), brackets matched to each other and the whole held against the grammar
+(``grammar_js``), and statements recognised by how they begin. ``parse_ok`` means that the file follows the grammar.
 """
 
 from __future__ import annotations
@@ -12,6 +11,8 @@ import bisect
 import re
 from dataclasses import dataclass
 
+from codeloom.operators.grammar_js import Broken, Grammar
+
 Symbols = list[tuple[str, str, int, int, str | None]]
 Imports = list[tuple[str, int, int, str | None, str | None, bool]]
 Calls = list[tuple[str, int, str | None, bool]]
@@ -23,10 +24,6 @@ _KEYWORDS = set(
 )
 #: After these words an expression begins, so a slash starts a regular expression.
 _OPENS = set("await case delete do else extends in instanceof new of return throw typeof void yield default".split())
-#: Operators between two values, what no value begins with, and names that are words of the language in some places only.
-_BINARY = set("= == === != !== && || ?? += -= *= /= %=".split())
-_NO_OPERAND = _BINARY | set("=> . ; ) } , : ?".split())
-_SOFT = set("async get set static let of as from accessor using".split())
 _CLOSE = {"(": ")", "[": "]", "{": "}"}
 _TYPE_PARAMETERS = re.compile(r"<\s*[A-Za-z_$][\w$]*\s*(?:,|\s+extends\b)")
 _PUNCT = re.compile(r">>>=|\*\*=|<<=|>>=|===|!==|>>>|\.\.\.|&&=|\|\|=|\?\?=|=>|==|!=|<=|>=|&&|\|\||\?\?|\?\.(?![0-9])|\+\+|--|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|\*\*|[{}()\[\];,<>+\-*/%&|^!~?:=.@#]")
@@ -37,10 +34,6 @@ _REGEX = re.compile(r"/(?![*/])(?:[^\\/\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[a-z]*
 _STRING = re.compile(r"'(?:[^'\\\n]|\\.)*'|\"(?:[^\"\\\n]|\\.)*\"", re.S)
 
 
-class Broken(Exception):
-    """The file does not parse."""
-
-
 @dataclass(slots=True)
 class Token:
     kind: str  # name, private, punct, string, number, regex, template
@@ -54,10 +47,17 @@ class Scanner:
 
     def __init__(self, source: str, jsx: bool):
         self.s, self.at, self.line, self.jsx, self.out = source, 0, 1, jsx, []
+        self.heads: list[bool] = []  # of each round bracket that is open, and of the last one closed: whether it is the condition of a statement
+        self.head = False
         if source.startswith("#!"):
             self.at = (source + "\n").index("\n")
 
     def put(self, kind: str, text: str, end: int) -> None:
+        if text == "(":
+            before = self.out[-2:]
+            self.heads.append(bool(before) and before[-1].kind == "name" and before[-1].text in ("if", "while", "for", "with") and before[0].text not in (".", "?."))
+        elif text == ")" and self.heads:
+            self.head = self.heads.pop()
         lines = self.s.count("\n", self.at, end)
         self.out.append(Token(kind, text, self.line, self.line + lines))
         self.line += lines
@@ -73,7 +73,7 @@ class Scanner:
             return True
         t = self.out[-1]
         if t.kind == "punct":
-            return t.text not in (")", "]", "}", "++", "--")
+            return self.head if t.text == ")" else t.text not in ("]", "}", "++", "--")
         return t.kind == "name" and t.text in _OPENS
 
     def run(self, until: str | None = None) -> None:
@@ -212,32 +212,9 @@ class Source:
                 stack.append(i)
         if stack:
             raise Broken
-        self.check()
+        Grammar(self.t, self.match, self.ts).file()
         self.outer = self.statements(0, len(self.t))
 
-    def check(self) -> None:
-        """Broken if neighbouring tokens cannot follow each other: what a grammar rules out without looking far."""
-        t = self.t
-        plain = not self.ts and not any(x.kind == "punct" and x.text == "@" for x in t)
-        for i, a in enumerate(t):
-            b = t[i + 1] if i + 1 < len(t) else None
-            if a.kind == "punct":
-                if a.text in _BINARY and (b is None or (b.kind == "punct" and b.text in _NO_OPERAND)):
-                    raise Broken
-                if a.text == ")" and self.is_(i + 1, "else") and self.is_(self.match[i] - 1, "if", "while", "for") and not self.is_(self.match[i] - 2, ".", "?."):
-                    raise Broken
-                continue
-            if a.kind != "name" or b is None or self.is_(i - 1, ".", "?."):
-                continue
-            if a.text in ("if", "while", "switch") and not self.is_(i + 1, "(", ":", ",", "}", "=", ";", "?", "<"):
-                raise Broken
-            if self.ts:
-                continue
-            if a.text in ("const", "let", "var") and b.kind == "name" and self.is_(i + 2, ":"):
-                raise Broken  # a type, in a language without
-            if plain and b.kind == "name" and a.end_line == b.line and not {a.text, b.text} & _KEYWORDS and a.text not in _SOFT and b.text not in _SOFT:
-                raise Broken
-
     def text(self, i: int) -> str:
         return self.t[i].text if 0 <= i < len(self.t) else ""
 
