@@ -137,32 +137,67 @@ def test_mix_against_a_slot_by_slot_run(spark, epochs):
         assert mine == sorted(mine)
 
 
-def slot_by_slot(blocks, weights, epochs):
-    """The source and block number of each slot, by an earliest-deadline-first run that looks at every source in every slot."""
-    out, used = [], dict.fromkeys(blocks, 0)
+def check_schedule(owner, blocks, weights, epochs):
+    """Whether (source, block number) of each slot is an earliest-deadline-first run, by looking at every source in every slot."""
+    slot, used = 0, dict.fromkeys(blocks, 0)
     while any(used[s] < n for s, n in blocks.items()):
         active = {s: min(weights[s], n * epochs - used[s]) for s, n in blocks.items() if n * epochs > used[s]}
         period, done = sum(active.values()), Counter()
         for t in range(period):
-            released = [s for s in active if done[s] < active[s] and done[s] * period // active[s] <= t]
-            s = min(released, key=lambda s: (-(-(done[s] + 1) * period // active[s]), s))
-            out.append((s, used[s] + done[s]))
+            due = {s: -(-(done[s] + 1) * period // active[s]) for s in active if done[s] < active[s] and done[s] * period // active[s] <= t}
+            s, k = owner[slot]
+            assert due[s] == min(due.values()) and k == used[s] + done[s]
             done[s] += 1
+            slot += 1
+            assert all(abs(done[x] - (t + 1) * a / period) < 1 for x, a in active.items())
         for s, a in active.items():
             used[s] += a
-    return out
+    assert len(owner) == slot
 
 
 @pytest.mark.parametrize("seed", range(3))
 def test_mix_equals_an_independent_schedule(spark, seed):
     rng = random.Random(seed)
-    sizes = {f"s{i}": rng.randrange(1, 60) for i in range(6)}
-    weights, epochs = {f"s{i}": rng.randrange(1, 6) for i in range(4)}, rng.choice((1, 2, 3))
-    rows = [(d, "t", s) for d, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    sizes = {f"s{i}": rng.randrange(1, 60) for i in range(8)} | {"x": 16, "y": 16, "z": 16}
+    weights, epochs = {f"s{i}": rng.randrange(1, 6) for i in range(4)} | {"x": 3, "y": 3}, rng.choice((1, 2, 3))
+    ids = [None if rng.random() < 0.3 else rng.choice((7, d)) for d in range(sum(sizes.values()))]  # half of all rows repeat an id or have none
+    rows = [(i, "t", s) for i, s in zip(ids, (s for s, n in sizes.items() for _ in range(n)))]
     got = mixing.pfair_mix(docs(spark, rows), weights, block_rows=4, max_epochs=epochs).collect()
     blocks = {s: -(-n // 4) for s, n in sizes.items()}
-    want = slot_by_slot(blocks, {s: weights.get(s, 1) for s in sizes}, epochs)
-    assert {r["slot"]: (r["source"], r["epoch"] * blocks[r["source"]] + r["block"]) for r in got} == dict(enumerate(want))
+    check_schedule({r["slot"]: (r["source"], r["epoch"] * blocks[r["source"]] + r["block"]) for r in got}, blocks, {s: weights.get(s, 1) for s in sizes}, epochs)
+    assert len({r["position"] for r in got}) == len(got)
+    uses = Counter((r["doc_id"], r["source"], r["epoch"]) for r in got)
+    assert all(uses[i, s, 0] == n for (i, s), n in Counter((i, s) for i, _, s in rows).items())
+
+
+def test_rows_of_one_id_or_none_are_mixed_like_others(spark):
+    rows = [(None, "t", "a")] * 500 + [(7, "t", "a")] * 500 + [(d, "t", "b") for d in range(1000)]
+    got = mixing.pfair_mix(docs(spark, rows), {}).collect()
+    assert max(Counter(r["slot"] for r in got).values()) == 16 and len({r["position"] for r in got}) == 2000
+    owner = {r["slot"]: r["source"] for r in got}
+    done = Counter()
+    for t in range(126):
+        done[owner[t]] += 1
+        assert abs(done["a"] - (t + 1) / 2) < 1
+
+
+def test_twenty_thousand_sources(spark):
+    df = spark.range(60_000).selectExpr("id AS doc_id", "'t' AS text", "concat('s', id % 20000) AS source").unionByName(spark.range(3000).selectExpr("id + 100000 AS doc_id", "'t' AS text", "concat('s', id % 77) AS source"))
+    got = mixing.pfair_mix(df, {"s1": 5, "s2": 3}, block_rows=2)
+    n = got.agg(F.count("*").alias("n"), F.countDistinct("position").alias("p"), F.max("slot").alias("s"), F.countDistinct("slot").alias("d")).first()
+    assert n["n"] == n["p"] == 63_000 and n["d"] == n["s"] + 1
+
+
+def test_mixed_documents_come_in_the_order_of_the_schedule(spark):
+    sizes, weights = {"a": 90, "b": 40, "c": 17}, {"a": 3, "b": 2}
+    rows = [(None if d % 3 == 0 else d, f"{s}{d}", s) for d, s in enumerate(s for s, n in sizes.items() for _ in range(n))]
+    got = mixing.mixed_documents(docs(spark, rows), weights, block_rows=1).collect()
+    assert sorted(r["text"] for r in got) == sorted(t for _, t, _ in rows)
+    nth, owner = Counter(), {}
+    for slot, r in enumerate(got):
+        owner[slot] = (r["source"], nth[r["source"]])
+        nth[r["source"]] += 1
+    check_schedule(owner, sizes, {"a": 3, "b": 2, "c": 1}, 1)
 
 
 @pytest.mark.parametrize("most", [200_000, 50])
