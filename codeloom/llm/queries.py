@@ -110,7 +110,7 @@ _FITS = [
     ("org/", "(host = 'org' OR suffix(host, '.org')) AND prefix(path, '/')", "allow"),
 ]
 
-#: Item sets of up to three tokens are counted outright, instead of by FP-growth.
+#: All subsets of a URL's tokens are counted outright, instead of by FP-growth.
 OP9_SQL = f"""
 WITH base AS (
   SELECT page_id, url,
@@ -128,20 +128,16 @@ tokens AS (
     list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'h:' || x),
     list_transform(list_filter(string_split(path, '/'), lambda x: x <> ''), lambda x: 'p:' || x)))) AS t
   FROM judged),
-labelled AS (SELECT id, told, unnest(t) AS tok FROM tokens WHERE told IS NOT NULL),
+labelled AS (SELECT id, told, t, unnest(range(1, 1 << len(t))) AS mask FROM tokens WHERE told IS NOT NULL),
 n AS (SELECT count(*) AS n FROM tokens WHERE told IS NOT NULL),
-sets AS (
-  SELECT id, told, [tok] AS items FROM labelled
-  UNION ALL SELECT a.id, a.told, [a.tok, b.tok] FROM labelled a JOIN labelled b ON a.id = b.id AND a.tok < b.tok
-  UNION ALL SELECT a.id, a.told, [a.tok, b.tok, c.tok] FROM labelled a JOIN labelled b ON a.id = b.id AND a.tok < b.tok
-    JOIN labelled c ON a.id = c.id AND b.tok < c.tok),
+sets AS (SELECT id, told, list_transform(list_filter(list_zip(t, range(len(t))), lambda x: (mask >> x[2]) & 1 = 1), lambda x: x[1]) AS items FROM labelled),
 freq AS (SELECT items, count(*) AS f FROM sets GROUP BY items),
 rules AS (
-  SELECT items, told AS verdict, count(*)::DOUBLE / any_value(f) AS confidence, count(*) AS n, array_to_string(items, ' ') AS text
+  SELECT items, told AS verdict, count(*)::DOUBLE / any_value(f) AS confidence, count(*) AS n
   FROM sets JOIN freq USING (items) GROUP BY items, told
   HAVING count(*) >= ceil(0.01 * (SELECT n FROM n)) AND count(*)::DOUBLE / any_value(f) >= 0.9),
 hits AS (
-  SELECT k.id, r.verdict, row_number() OVER (PARTITION BY k.id ORDER BY r.confidence DESC, r.n DESC, len(r.items) DESC, r.text, r.verdict) AS nth
+  SELECT k.id, r.verdict, row_number() OVER (PARTITION BY k.id ORDER BY r.confidence DESC, r.n DESC, r.verdict) AS nth
   FROM tokens k JOIN rules r ON list_has_all(k.t, r.items) WHERE k.told IS NULL)
 SELECT k.page_id, k.host, k.path, k.rule, coalesce(k.told, h.verdict, 'allow') AS verdict
 FROM tokens k LEFT JOIN hits h ON h.id = k.id AND h.nth = 1

@@ -42,49 +42,54 @@ def url_tokens(host: Column, path: Column) -> Column:
     return F.array_sort(F.array_distinct(parts))
 
 
-def _counted_rules(labelled: DataFrame, least: int, min_confidence: float, max_items: int) -> DataFrame:
-    """The rules of ``mine_rules`` by counting every set of up to ``max_items`` tokens."""
-    told = labelled.groupBy("tokens", "verdict").agg(F.count("*").alias("c"))
-    sets = told.select(F.array().cast("array<string>").alias("items"), F.col("tokens").alias("rest"), "verdict", "c")
-    found = None
-    for _ in range(max_items):
-        grown = sets.select("items", F.posexplode("rest").alias("at", "token"), "rest", "verdict", "c")
-        behind = F.slice("rest", F.col("at") + 2, F.greatest(F.size("rest") - F.col("at") - 1, F.lit(0)))
-        sets = grown.select(F.concat("items", F.array("token")).alias("items"), behind.alias("rest"), "verdict", "c")
-        found = sets if found is None else found.unionByName(sets)
-    by = found.select(F.array_sort("items").alias("items"), "verdict", "c").groupBy("items", "verdict").agg(F.sum("c").alias("n"))
-    of = by.groupBy("items").agg(F.sum("n").alias("of"))
-    rules = by.where(F.col("n") >= least).join(of, "items")
-    return rules.select("items", "verdict", (F.col("n") / F.col("of")).alias("confidence"), "n").where(F.col("confidence") >= min_confidence)
-
-
-def mine_rules(labelled: DataFrame, *, min_support: float = 0.01, min_confidence: float = 0.9, max_items: int = 3, fit_tokens: int = 12) -> DataFrame:
-    """(items, verdict, confidence, n) of the rules items -> verdict in (tokens, verdict).
-
-    Rules have at most ``max_items`` tokens, hold in at least ``min_support`` of the labelled rows and with at least
-    ``min_confidence``. All tokens of a URL count; infrequent ones cannot be in a rule and go first. FP-growth mines what is
-    left while no URL has more than ``fit_tokens`` of them; since it finds sets of every size, up to 2**tokens, the sets of
-    up to ``max_items`` tokens are counted outright beyond that. Both give the same rules.
+def mine_rules(labelled: DataFrame, *, min_support: float = 0.01, min_confidence: float = 0.9) -> DataFrame:
+    """(items, verdict, confidence, n, rarest) of rules items -> verdict in (tokens, verdict).
+
+    A rule holds in at least ``min_support`` of the labelled rows and with at least ``min_confidence``. FP-growth finds the sets, of any
+    size, over all tokens. Each basket is projected on each of its tokens first: under a token stand those of the basket that
+    are more frequent (then smaller) and that do not come with it anyway. A set with a token that another of its tokens always
+    brings along is no rule: without that token it holds for the same rows, so it would decide nothing. That keeps
+    nested paths and long hosts, whose tokens come together, from growing into all their subsets.
     """
     least = math.ceil(min_support * labelled.count())
-    frequent = labelled.select(F.explode("tokens").alias("t")).groupBy("t").count().where(F.col("count") >= least)
-    listed = F.array(*[F.lit(r["t"]) for r in frequent.collect()]).cast("array<string>")  # support bounds their number
-    left = written(labelled.select(F.array_intersect("tokens", listed).alias("tokens"), "verdict"))
-    if (left.agg(F.max(F.size("tokens"))).first()[0] or 0) > fit_tokens:
-        return _counted_rules(left, least, min_confidence, max_items)
-    baskets = left.select(F.concat("tokens", F.array(F.concat(F.lit("="), "verdict"))).alias("items"))
-    sets = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets).freqItemsets
+    counts = labelled.select(F.explode("tokens").alias("t")).groupBy("t").agg(F.count("*").alias("c")).where(F.col("c") >= least)
+    frequent = sorted(((r["c"], r["t"]) for r in counts.collect()), key=lambda x: (-x[0], x[1]))  # support bounds their number
+    spark, size = labelled.sparkSession, len(frequent)
+    if not size:
+        return spark.createDataFrame([], "items array<string>, verdict string, confidence double, n long, rarest string")
+    listed = F.array(*[F.lit(t) for _, t in frequent]).cast("array<string>")
+    numbers = F.map_from_arrays(listed, F.sequence(F.lit(0), F.lit(size - 1)))  # 0 is the most frequent
+    coded = labelled.select(F.array_sort(F.transform(F.array_intersect("tokens", listed), lambda t: numbers[t])).alias("own"), "verdict")
+    left = written(coded.where(F.size("own") > 0))
+    pairs = left.select(F.explode("own").alias("b"), "own").select("b", F.explode(F.filter("own", lambda a: a < F.col("b"))).alias("a")).groupBy("b", "a").agg(F.count("*").alias("c"))
+    single = spark.createDataFrame([(k, c) for k, (c, _) in enumerate(frequent)], "b int, of long")
+    free = pairs.join(F.broadcast(single), "b").where((F.col("c") >= least) & (F.col("c") < F.col("of")))
+    under = written(free.groupBy("b").agg(F.collect_list("a").alias("free")))  # at most as many as there are frequent tokens, each with fewer
+    verdicts = F.array(*[F.lit(r["verdict"]) for r in left.select("verdict").distinct().orderBy("verdict").collect()])
+    # an item is its token's number or, behind all tokens, its verdict's, in the name space of the token b
+    space = size + 1 + F.size(verdicts)
+    item = lambda x: (F.col("b").cast("long") * space + x).cast("long")
+    near = left.select("own", "verdict", F.explode("own").alias("b")).join(F.broadcast(under), "b", "left")
+    others = F.coalesce(F.transform(F.array_intersect("own", "free"), item), F.array().cast("array<long>"))
+    baskets = written(near.select(F.concat(others, F.array(item(size + F.array_position(verdicts, F.col("verdict"))))).alias("items")))
+    sets = FPGrowth(itemsCol="items", minSupport=(least - 0.5) / baskets.count(), minConfidence=min_confidence).fit(baskets).freqItemsets
+    inside = F.transform("items", lambda x: x % space)
     split = sets.select(
-        F.array_sort(F.filter("items", lambda x: ~F.startswith(x, F.lit("=")))).alias("items"),
-        F.get(F.filter("items", lambda x: F.startswith(x, F.lit("="))), 0).alias("label"),
+        F.floor(F.col("items")[0] / space).cast("int").alias("b"),
+        F.array_sort(F.filter(inside, lambda x: x < size)).alias("rest"),
+        F.get(F.filter(inside, lambda x: x >= size), F.lit(0)).alias("told"),
         "freq",
-    ).where((F.size("items") >= 1) & (F.size("items") <= max_items))
-    whole = split.where("label IS NULL").select("items", F.col("freq").alias("of"))
-    return (
-        split.where("label IS NOT NULL")
-        .join(whole, "items")
-        .select("items", F.substring("label", 2, 1 << 20).alias("verdict"), (F.col("freq") / F.col("of")).alias("confidence"), F.col("freq").alias("n"))
-        .where(F.col("confidence") >= min_confidence)
+    )
+    whole = split.where("told IS NULL").select("b", "rest", F.col("freq").alias("of"))
+    alone = single.select("b", F.array().cast("array<long>").alias("rest"), "of")
+    found = split.where("told IS NOT NULL").join(whole.unionByName(alone), ["b", "rest"]).where(F.col("freq") / F.col("of") >= min_confidence)
+    name = lambda k: F.element_at(listed, (k + 1).cast("int"))
+    return found.select(
+        F.array_sort(F.concat(F.transform("rest", name), F.array(name(F.col("b"))))).alias("items"),
+        F.element_at(verdicts, (F.col("told") - size).cast("int")).alias("verdict"),
+        (F.col("freq") / F.col("of")).alias("confidence"),
+        F.col("freq").alias("n"),
+        name(F.col("b")).alias("rarest"),
     )
 
 
@@ -94,10 +99,10 @@ def filter_urls(
     """(page_id, host, path, rule, verdict) of every row: the verdict of its longest rule, else the mined one.
 
     The URLs that a rule decides are the labelled examples. FP-growth mines the token combinations that go with
-    ``block`` or ``allow``; an inverted index (token -> rules) finds, for each undecided URL, the rules whose
-    tokens it has all of. The most confident decides, then the one with more examples, then more tokens,
-    then the smallest text; no rule: ``default``. The index is broadcast while it has at most
-    ``max_broadcast_rules`` rules (support bounds their number) and joined by shuffle beyond.
+    ``block`` or ``allow``; an inverted index (a rule's rarest token -> the rule) finds, for each undecided URL, the rules all of
+    whose tokens it has. The most confident decides, then the one with more examples, then the smaller verdict; no rule:
+    ``default``. The index is broadcast while it has at most ``max_broadcast_rules`` rules (support bounds their number) and
+    joined by shuffle beyond.
 
     Null URLs and those without ``://`` have host and path "" and get ``default``. Null ids are kept. Repeated rows are
     judged one by one and alike. Without labelled rows nothing is mined. Other columns are not read.
@@ -109,21 +114,13 @@ def filter_urls(
     labelled = judged.where("__told IS NOT NULL").select(F.col("__tokens").alias("tokens"), F.col("__told").alias("verdict"))
     if labelled.isEmpty():
         return judged.select("page_id", "host", "path", "rule", F.lit(default).alias("verdict"))
-    mined = written(mine_rules(labelled, **mining).withColumn("text", F.array_join("items", " ")))
-    index = mined.withColumn("token", F.explode("items")).withColumn("size", F.size("items"))
+    mined = written(mine_rules(labelled, **mining))
+    index = mined.select(F.col("rarest").alias("token"), "items", "verdict", "confidence", "n")
     if mined.count() <= max_broadcast_rules:
         index = F.broadcast(index)
     asked = judged.where("__told IS NULL").select("host", "path", "__tokens").distinct()
-    hits = (
-        asked.select("host", "path", F.explode("__tokens").alias("token"))
-        .join(index.drop("items"), "token")
-        .groupBy("host", "path", "text", "verdict", "confidence", "n", "size")
-        .agg(F.count("*").alias("have"))
-        .where("have = size")
-    )
-    best = hits.groupBy("host", "path").agg(
-        F.min(F.struct((-F.col("confidence")).alias("c"), (-F.col("n")).alias("n"), (-F.col("size")).alias("s"), "text", "verdict")).alias("best")
-    )
+    hits = asked.withColumn("token", F.explode("__tokens")).join(index, "token").where(F.size(F.array_intersect("items", "__tokens")) == F.size("items"))
+    best = hits.groupBy("host", "path").agg(F.min(F.struct((-F.col("confidence")).alias("c"), (-F.col("n")).alias("n"), "verdict")).alias("best"))
     told = best.select(F.col("host").alias("__host"), F.col("path").alias("__path"), F.col("best.verdict").alias("__mined"))
     return judged.join(told, (F.col("host") == F.col("__host")) & (F.col("path") == F.col("__path")), "left").select(
         "page_id", "host", "path", "rule", F.coalesce("__told", "__mined", F.lit(default)).alias("verdict")

@@ -254,23 +254,49 @@ def test_rules_are_mined_and_matched(spark):
     assert got == {15: "block", 16: "allow", 17: "allow"}
 
 
-def test_rules_are_mined_over_all_tokens(spark):
-    hosts = [".".join(f"{c}{i}" for c in "abcdefghijkl") for i in range(2)]  # twelve labels before any path segment
-    rows = [([f"h:{x}" for x in hosts[i % 2].split(".")] + (["p:y", "p:z"] if i % 3 else ["p:z"]), "block" if i % 3 else "allow") for i in range(60)]
-    rows.append((["h:once", "p:y"], "allow"))
-    df = spark.createDataFrame([(sorted(t), v) for t, v in rows], "tokens array<string>, verdict string")
-    want = {}
-    for k in (1, 2, 3):
-        of, n = Counter(), Counter()
-        for t, v in rows:
+def brute_rules(rows, least, confidence=0.9):
+    """(items, verdict) -> (n, confidence) of all sets of tokens."""
+    of, n = Counter(), Counter()
+    for t, v in rows:
+        for k in range(1, len(t) + 1):
             for items in combinations(sorted(t), k):
                 of[items] += 1
                 n[items, v] += 1
-        want |= {(i, v): (c, c / of[i]) for (i, v), c in n.items() if c >= 7 and c / of[i] >= 0.9}
-    assert (("p:y",), "block") in want
-    for fit_tokens in (12, 14):  # counted outright, by FP-growth
-        got = urls.mine_rules(df, min_support=0.1, fit_tokens=fit_tokens).collect()
-        assert {(tuple(r["items"]), r["verdict"]): (r["n"], r["confidence"]) for r in got} == want
+    return {(i, v): (c, c / of[i]) for (i, v), c in n.items() if c >= least and c / of[i] >= confidence}
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_rules_decide_like_all_sets_of_tokens(spark, seed):
+    rng = random.Random(seed)
+    rows = []
+    for _ in range(200):
+        depth = rng.randrange(1, 6)  # nested: each segment brings those before it
+        t = {f"p:{k}" for k in range(depth)} | {f"h:{rng.randrange(3)}", rng.choice(("h:x", "h:y"))} | {f"q:{rng.randrange(4)}" for _ in range(2)}
+        rows.append((sorted(t), "block" if ("h:1" in t and "q:2" in t) or rng.random() < 0.1 else "allow"))
+    got = urls.mine_rules(spark.createDataFrame(rows, "tokens array<string>, verdict string"), min_support=0.02).collect()
+    mined = {(tuple(r["items"]), r["verdict"]): (r["n"], r["confidence"]) for r in got}
+    want = brute_rules(rows, 4)
+    assert mined.items() <= want.items() and any(len(i) > 3 for i, _ in mined) and len(got) == len(mined)
+    assert all(r["rarest"] in r["items"] for r in got)
+    best = lambda rules, t: min(((-c, -n, v) for (i, v), (n, c) in rules.items() if set(i) <= t), default=None)
+    for _ in range(200):
+        t = set(rng.sample(sorted({x for r, _ in rows for x in r}), rng.randrange(1, 9)))
+        assert best(mined, t) == best(want, t)
+
+
+def test_long_urls_are_mined_by_growth(spark, monkeypatch):
+    """Fourteen nested segments and a host of twelve labels: one fit, and no subset of what comes together."""
+    fits = []
+    monkeypatch.setattr(urls, "FPGrowth", lambda f=urls.FPGrowth, **kw: fits.append(kw) or f(**kw))
+    host = ".".join(f"l{k}" for k in range(12))
+    deep = "/".join(f"s{k}" for k in range(14))
+    pages = [f"http://{host}.com/de/{'/'.join(deep.split('/')[: 14 - k % 5])}" for k in range(60)] + [f"http://x{k}.com/fr/{deep}" for k in range(60)] + [f"http://{host}.net/z", f"http://new.net/{deep}"]
+    df = spark.createDataFrame(list(enumerate(pages)), "page_id int, url string")
+    got = {r["page_id"]: r["verdict"] for r in urls.filter_urls(df, URL_RULES).where("rule IS NULL").collect()}
+    assert got == {120: "block", 121: "allow"} and len(fits) == 1
+    labelled = df.where("page_id < 120").select(urls.url_tokens(urls.host_of(F.col("url")), urls.path_of(F.col("url"))).alias("tokens"), F.expr("IF(page_id < 60, 'block', 'allow')").alias("verdict"))
+    assert urls.mine_rules(labelled).count() < 2000
+    assert urls.mine_rules(labelled, min_support=0.99).count() == 0
 
 
 # ---- vectors
