@@ -7,14 +7,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.tables import written
+from codeloom.tables import discard, numbered, written
 
 LARGE_FILE_LINES = 400
 TOP_CONNECTED = 400
 #: A repository of at most so many import edges is searched in one task, a larger one by joins.
 TASK_EDGES = 2_000_000
-#: Tasks that share a repository's targets, and the fewest targets worth a task.
-SLICES, SLICE_TARGETS = 16, 512
+#: The fewest targets worth a task, and the most for one; between them a repository's targets are dealt over SLICES tasks.
+SLICES, SLICE_TARGETS, MOST_TARGETS = 16, 512, 16_384
 
 
 def internal_edges(edges: DataFrame) -> DataFrame:
@@ -147,23 +147,80 @@ def cycle_members(edges: DataFrame, *, method: str | None = None) -> DataFrame:
     return edges.distinct().groupBy("analysis_id").applyInPandas(run, "analysis_id string, cycle string, path string")
 
 
-def _distributed_cycles(edges: DataFrame) -> DataFrame:
-    """Rounds of joins: drop what cannot lie on a cycle, colour forwards by the smallest name, collect backwards inside a colour."""
+def _doubled(chain: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Ends of chains by pointer doubling. chain: (analysis_id, node, left, right) of nodes with one edge in and one out.
+
+    Gives (analysis_id, node, left, right) with the two nodes outside the chain that each node lies between, and (analysis_id,
+    node, low) of the nodes that only form rings, with the ring's smallest. A round doubles the distance that each node sees, so
+    a chain of n nodes takes log n rounds; once no more nodes see an end, those left see none: rings, whose smallest members
+    are known when no node's changes.
+    """
     key = ["analysis_id", "node"]
-    loops = edges.where("source = target").select("analysis_id", F.col("source").alias("cycle"), F.col("source").alias("path")).distinct()
-    open_ = written(edges.where("source <> target").distinct())
-    found = None
-    while not open_.isEmpty():
-        while True:  # nodes without an edge in or out are on no cycle
-            inward = open_.select("analysis_id", F.col("target").alias("node")).distinct()
-            outward = open_.select("analysis_id", F.col("source").alias("node")).distinct()
-            both = inward.join(outward, key)
-            left = written(open_.join(both.withColumnRenamed("node", "source"), ["analysis_id", "source"], "left_semi").join(both.withColumnRenamed("node", "target"), ["analysis_id", "target"], "left_semi"))
-            if left.count() == open_.count():
-                break
-            open_ = left
-        if open_.isEmpty():
-            break
+    now = written(chain.select(*key, "left", "right", F.col("node").alias("low"), F.lit(False).alias("changed")))
+    inside = written(chain.select(*key))
+    unfinished = None
+    while True:
+        ahead = now.select("analysis_id", F.col("node").alias("right"), F.col("right").alias("__right"), F.col("low").alias("__low"))
+        behind = now.select("analysis_id", F.col("node").alias("left"), F.col("left").alias("__left"))
+        low = F.least("low", F.coalesce("__low", "low"))
+        nxt = written(
+            now.join(ahead, ["analysis_id", "right"], "left")
+            .join(behind, ["analysis_id", "left"], "left")
+            .select(*key, F.coalesce("__left", "left").alias("left"), F.coalesce("__right", "right").alias("right"), low.alias("low"), (low != F.col("low")).alias("changed"))
+        )
+        discard(now)
+        now = nxt
+        open_ = now.join(inside.withColumnRenamed("node", "right"), ["analysis_id", "right"], "left_semi")
+        n, changed = open_.agg(F.count("*"), F.coalesce(F.max("changed"), F.lit(False))).first()
+        if not n or (n == unfinished and not changed):
+            ends = now.join(inside.withColumnRenamed("node", "right"), ["analysis_id", "right"], "left_anti").select(*key, "left", "right")
+            return ends, open_.select(*key, "low")
+        unfinished = n
+
+
+def contracted(edges: DataFrame) -> tuple[DataFrame, list[tuple[str, DataFrame]]]:
+    """(edges of the core, what went), for distinct edges without loops: what lies on no cycle is cut off, chains become single edges.
+
+    Each round drops the nodes without an edge in or out, then replaces every chain of nodes with one edge in and one out by an edge
+    between its ends, until neither changes anything: trees and chains of any depth are gone after a logarithmic number of
+    rounds. What went is, in order, ``ring`` (analysis_id, node, low): nodes of a cycle of their own; ``chain``
+    (analysis_id, node, left, right): nodes that are on a cycle if and only if their ends are on the same one; ``loop``
+    (analysis_id, node): ends of a chain that leads back to them.
+    """
+    went: list[tuple[str, DataFrame]] = []
+    key = ["analysis_id", "node"]
+    while True:
+        end = lambda node, o, right, left: F.struct(F.col(node).alias("node"), F.lit(o).alias("o"), F.lit(1 - o).alias("i"), right.alias("r"), left.alias("l"))
+        nothing = F.lit(None).cast("string")
+        ends = edges.select("analysis_id", F.explode(F.array(end("source", 1, F.col("target"), nothing), end("target", 0, nothing, F.col("source")))).alias("e"))
+        degree = written(ends.groupBy("analysis_id", F.col("e.node").alias("node")).agg(F.sum("e.i").alias("i"), F.sum("e.o").alias("o"), F.max("e.l").alias("left"), F.max("e.r").alias("right")))
+        dead = degree.where("i = 0 OR o = 0").select(*key)
+        narrow = degree.where("i = 1 AND o = 1")
+        chain = narrow.join(narrow.select("analysis_id", F.col("node").alias("right")), ["analysis_id", "right"], "left_semi").select(*key)
+        n, n_dead = degree.agg(F.count("*"), F.coalesce(F.sum(((F.col("i") == 0) | (F.col("o") == 0)).cast("int")), F.lit(0))).first()
+        n_chain = chain.count()
+        if not n_dead and not n_chain:
+            discard(degree)
+            return edges, went
+        if n_dead and 8 * n_chain < n:  # chains wait until there are some
+            n_chain = 0
+        without = lambda e, gone: e.join(gone.withColumnRenamed("node", "source"), ["analysis_id", "source"], "left_anti").join(gone.withColumnRenamed("node", "target"), ["analysis_id", "target"], "left_anti")
+        if n_chain:
+            between, rings = _doubled(narrow.select(*key, "left", "right"))
+            between, rings = written(between), written(rings)
+            short = between.select("analysis_id", F.col("left").alias("source"), F.col("right").alias("target")).distinct()
+            went += [("ring", rings), ("chain", between), ("loop", written(short.where("source = target").select("analysis_id", F.col("source").alias("node"))))]
+            edges = without(edges, narrow.select(*key)).unionByName(short.where("source <> target").select("analysis_id", "source", "target")).distinct()
+        edges = written(without(edges, dead))
+        discard(degree)
+
+
+def _coloured(open_: DataFrame) -> DataFrame:
+    """(analysis_id, node, label) of the nodes on cycles, by joins: colour forwards by the smallest name, collect backwards inside a colour, contract what is left."""
+    key = ["analysis_id", "node"]
+    open_, went = contracted(open_)
+    found = open_.select("analysis_id", F.col("source").alias("node"), F.col("source").alias("label")).limit(0)
+    if not open_.isEmpty():
         nodes = open_.select("analysis_id", F.explode(F.array("source", "target")).alias("node")).distinct()
         colour = written(nodes.withColumn("colour", F.col("node")))
         while True:  # the smallest name that reaches each node
@@ -171,6 +228,7 @@ def _distributed_cycles(edges: DataFrame) -> DataFrame:
             nxt = written(colour.unionByName(near).groupBy(*key).agg(F.min("colour").alias("colour")))
             if nxt.join(colour, [*key, "colour"], "left_anti").isEmpty():
                 break
+            discard(colour)
             colour = nxt
         inside = written(
             open_.join(colour.select("analysis_id", F.col("node").alias("source"), F.col("colour").alias("a")), ["analysis_id", "source"])
@@ -184,15 +242,33 @@ def _distributed_cycles(edges: DataFrame) -> DataFrame:
             nxt = written(reached.unionByName(more).distinct())
             if nxt.count() == reached.count():
                 break
+            discard(reached)
             reached = nxt
-        sizes = reached.groupBy("analysis_id", "colour").agg(F.count("*").alias("n"), F.min("node").alias("cycle")).where("n > 1")
-        part = written(reached.join(sizes, ["analysis_id", "colour"]).select("analysis_id", "cycle", F.col("node").alias("path")))
-        found = part if found is None else found.unionByName(part)
-        done = reached.select("analysis_id", "node")
-        open_ = written(open_.join(done.withColumnRenamed("node", "source"), ["analysis_id", "source"], "left_anti").join(done.withColumnRenamed("node", "target"), ["analysis_id", "target"], "left_anti"))
-    if found is None:
-        return loops
-    return found.unionByName(loops.join(found, ["analysis_id", "path"], "left_anti"))
+        alone = reached.groupBy("analysis_id", "colour").agg(F.count("*").alias("n")).where("n > 1")
+        found = reached.join(alone, ["analysis_id", "colour"]).select(*key, F.col("colour").alias("label"))
+        done = reached.select(*key)
+        rest = open_.join(done.withColumnRenamed("node", "source"), ["analysis_id", "source"], "left_anti").join(done.withColumnRenamed("node", "target"), ["analysis_id", "target"], "left_anti")
+        found = written(found.unionByName(_coloured(written(rest))))
+    for what, table in reversed(went):  # what a contraction took out follows its ends
+        if what == "loop":
+            found = found.unionByName(table.join(found, key, "left_anti").withColumn("label", F.col("node")))
+        elif what == "ring":
+            found = written(found.unionByName(table.select(*key, F.col("low").alias("label"))))
+        else:
+            end = lambda side, name: found.select("analysis_id", F.col("node").alias(side), F.col("label").alias(name))  # noqa: B023, E731
+            on = table.join(end("left", "label"), ["analysis_id", "left"]).join(end("right", "__other"), ["analysis_id", "right"]).where("label = __other")
+            found = written(found.unionByName(on.select(*key, "label")))
+    return found
+
+
+def _distributed_cycles(edges: DataFrame) -> DataFrame:
+    """By joins only; a node that imports itself is a cycle of its own if it is on no other."""
+    key = ["analysis_id", "path"]
+    loops = edges.where("source = target").select("analysis_id", F.col("source").alias("path")).distinct()
+    found = _coloured(written(edges.where("source <> target").distinct())).withColumnRenamed("node", "path")
+    found = found.unionByName(loops.join(found, key, "left_anti").withColumn("label", F.col("path")))
+    names = found.groupBy("analysis_id", "label").agg(F.min("path").alias("cycle"))
+    return found.join(names, ["analysis_id", "label"]).select("analysis_id", "cycle", "path")
 
 
 def cycles(members: DataFrame) -> DataFrame:
@@ -207,7 +283,7 @@ def _apart(df: DataFrame) -> DataFrame:
 
 def _sliced(asked: DataFrame) -> DataFrame:
     """(analysis_id, slices): over how many tasks the rows of each repository are dealt."""
-    n = F.least(F.lit(SLICES), F.ceil(F.count("*") / SLICE_TARGETS)).cast("int")
+    n = F.greatest(F.least(F.lit(SLICES), F.ceil(F.count("*") / SLICE_TARGETS)), F.ceil(F.count("*") / MOST_TARGETS)).cast("int")
     return asked.groupBy("analysis_id").agg(n.alias("slices"))
 
 
@@ -253,65 +329,147 @@ def affected_files(edges: DataFrame, targets: DataFrame, *, method: str | None =
     return _for_each_slice(edges.distinct(), slices).groupBy(*key).cogroup(dealt.groupBy(*key)).applyInPandas(run, schema)
 
 
+def condensed(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(analysis_id, path, comp) of the files that edges touch and (analysis_id, source, target) links between components, written.
+
+    Components are numbered so that one comes after all that import it. A repository is condensed in one task, once; the tables
+    serve whatever asks about its graph afterwards.
+    """
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        names, codes = np.unique(np.concatenate([part["source"].to_numpy(), part["target"].to_numpy()]).astype(str), return_inverse=True)
+        s, t = codes[: len(part)], codes[len(part) :]
+        _, of = np.unique(components(s, t, len(names)), return_inverse=True)
+        links = np.unique(np.column_stack([of[s], of[t]])[of[s] != of[t]], axis=0)
+        n = int(of.max()) + 1
+        waits, at = np.bincount(links[:, 1], minlength=n).tolist(), np.searchsorted(links[:, 0], np.arange(n + 1)).tolist()
+        imported, number, todo = links[:, 1].tolist(), np.zeros(n, dtype=np.int64), np.flatnonzero(np.bincount(links[:, 1], minlength=n) == 0).tolist()
+        for k in range(n):
+            c = todo.pop()
+            number[c] = k
+            for d in imported[at[c] : at[c + 1]]:
+                waits[d] -= 1
+                if not waits[d]:
+                    todo.append(d)
+        nodes = pd.DataFrame({"path": names, "comp": number[of], "target": pd.array([None] * len(names), dtype="Int64")})
+        return pd.concat([nodes, pd.DataFrame({"path": None, "comp": number[links[:, 0]], "target": pd.array(number[links[:, 1]], dtype="Int64")})]).assign(analysis_id=part["analysis_id"].iloc[0])
+
+    both = written(edges.distinct().groupBy("analysis_id").applyInPandas(run, "path string, comp long, target long, analysis_id string"))
+    return both.where("target IS NULL").select("analysis_id", "path", "comp"), both.where("target IS NOT NULL").select("analysis_id", F.col("comp").alias("source"), "target")
+
+
 def affected_totals(nodes: DataFrame, edges: DataFrame, weights: list[str]) -> DataFrame:
     """(analysis_id, path, affected_files, and of each weight column the sum over the affected files) for every node.
 
     Components in the order of imports: who depends on a component is the union of the members
-    of, and of who depends on, the components that import it. The sets are bits. Each task holds a repository's nodes and edges and follows
-    its slice of the nodes, a few megabytes of bits at a time, so memory is bounded; no pair is ever a row.
+    of, and of who depends on, the components that import it. The sets are bits. A repository's components and their order are found
+    once; each task then follows its slice of the files through the links, a few megabytes of bits at a time, so memory is
+    bounded; no pair is ever a row.
     """
-    names = ["affected_files", *weights]
+    names, key = ["affected_files", *weights], ["analysis_id", "path"]
+    known = nodes.dropDuplicates(key)
+    inside = lambda side: known.select("analysis_id", F.col("path").alias(side))
+    of, links = condensed(edges.join(inside("source"), ["analysis_id", "source"], "left_semi").join(inside("target"), ["analysis_id", "target"], "left_semi"))
+    linked = known.join(of, key)
 
     def run(part: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
         if not len(part):
             return pd.DataFrame({c: [] for c in ("analysis_id", "path", *names)})
         nth, slices = int(part["slice"].iloc[0]), int(part["slices"].iloc[0])
-        part = part.drop_duplicates("path").sort_values("path")
-        paths = part["path"].to_numpy().astype(str)
-        n, pairs = len(paths), pairs[pairs["source"].isin(paths) & pairs["target"].isin(paths)]
-        s, t = (np.searchsorted(paths, pairs[c].to_numpy().astype(str)) for c in ("source", "target"))
-        label = components(s, t, n)
-        comps, of = np.unique(label, return_inverse=True)
-        links = np.unique(np.column_stack([of[t], of[s]])[of[s] != of[t]], axis=0) if len(s) else np.empty((0, 2), dtype=np.int64)
-        importers = np.split(links[:, 1], np.searchsorted(links[:, 0], np.arange(1, len(comps))))
-        # a component comes after all that import it
-        waits, order = np.array([len(i) for i in importers]), []
-        imported: list[list[int]] = [[] for _ in comps]
-        for c, i in links.tolist():
-            imported[i].append(c)
-        todo = np.flatnonzero(waits == 0).tolist()
-        while todo:
-            c = todo.pop()
-            order.append(c)
-            for d in imported[c]:
-                waits[d] -= 1
-                if not waits[d]:
-                    todo.append(d)
+        part = part.sort_values(["comp", "path"])
+        n, of, comps = len(part), part["comp"].to_numpy(), int(part["comp"].max()) + 1
+        pairs = pairs.sort_values(["target", "source"])
+        importers = np.split(pairs["source"].to_numpy(), np.searchsorted(pairs["target"].to_numpy(), np.arange(1, comps)))
         weight = np.column_stack([np.ones(n), *(part[w].to_numpy(float) for w in weights)])
-        total = np.zeros((len(comps), weight.shape[1]))
-        width = max(8, (64 << 20) // max(1, len(comps)) // 8 * 8)  # 8 MB of bits
+        total = np.zeros((comps, weight.shape[1]))
+        width = max(8, (64 << 20) // comps // 8 * 8)  # 8 MB of bits
         first, end = n * nth // slices, n * (nth + 1) // slices
         for lo in range(first, end, width):
             hi = min(end, lo + width)
-            member = np.zeros((len(comps), (hi - lo + 7) // 8), dtype=np.uint8)
+            member = np.zeros((comps, (hi - lo + 7) // 8), dtype=np.uint8)
             np.bitwise_or.at(member, (of[lo:hi], np.arange(hi - lo) // 8), (128 >> (np.arange(hi - lo) % 8)).astype(np.uint8))
             reach = np.zeros_like(member)
-            for c in order:
+            for c in range(comps):
                 if len(importers[c]):
                     reach[c] = np.bitwise_or.reduce(reach[importers[c]] | member[importers[c]], axis=0)
-            for at in range(0, len(comps), 4096):
+            for at in range(0, comps, 4096):
                 total[at : at + 4096] += np.unpackbits(reach[at : at + 4096], axis=1, count=hi - lo).astype(np.float32) @ weight[lo:hi]
         own = slice(first, end)
-        inside = np.column_stack([np.bincount(of[own], weight[own, k], minlength=len(comps)) for k in range(weight.shape[1])])
+        inside = np.column_stack([np.bincount(of[own], weight[own, k], minlength=comps) for k in range(weight.shape[1])])
         sums = (total + inside)[of]
         sums[own] -= weight[own]  # the others of the own component, never the file itself
         out = pd.DataFrame(np.rint(sums).astype(np.int64), columns=names)
-        return out.assign(analysis_id=part["analysis_id"].iloc[0], path=paths)[["analysis_id", "path", *names]]
+        return out.assign(analysis_id=part["analysis_id"].iloc[0], path=part["path"].to_numpy())[["analysis_id", "path", *names]]
 
     schema = "analysis_id string, path string, " + ", ".join(f"`{c}` long" for c in names)
-    slices, key = _sliced(nodes), ["analysis_id", "slice"]
-    found = _for_each_slice(nodes, slices).groupBy(*key).cogroup(_apart(_for_each_slice(edges.distinct(), slices)).groupBy(*key)).applyInPandas(run, schema)
-    return found.groupBy("analysis_id", "path").agg(*[F.sum(c).alias(c) for c in names])
+    slices, dealt = _sliced(linked), ["analysis_id", "slice"]
+    found = _for_each_slice(linked, slices).groupBy(*dealt).cogroup(_apart(_for_each_slice(links, slices)).groupBy(*dealt)).applyInPandas(run, schema)
+    sums = found.groupBy("analysis_id", "path").agg(*[F.sum(c).alias(c) for c in names])
+    return known.select(*key).join(sums, key, "left").select(*key, *[F.coalesce(c, F.lit(0)).alias(c) for c in names])
+
+
+def two_hop_labels(source: np.ndarray, target: np.ndarray, n: int) -> tuple[list[list[int]], list[list[int]]]:
+    """For each of n nodes of a graph without cycles the hubs that it leads to and those that lead to it, itself among them.
+
+    a leads to b if and only if a hub is in both lists. Nodes become hubs in the order of how many paths may pass them; a hub is
+    noted forwards and backwards as far as the hubs before it do not tell the same, which keeps the lists short.
+    """
+    paths = (np.bincount(source, minlength=n) + 1) * (np.bincount(target, minlength=n) + 1)
+    order = np.lexsort((np.random.default_rng(0).permutation(n), -paths)).tolist()  # ties at random: hubs along a chain halve it
+
+    def neighbours(a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
+        by = np.argsort(a, kind="stable")
+        return np.searchsorted(a[by], np.arange(n + 1)).tolist(), b[by].tolist()
+
+    sides = (neighbours(source, target), neighbours(target, source))
+    leads: list[list[int]] = [[] for _ in range(n)]
+    comes: list[list[int]] = [[] for _ in range(n)]
+    for v in order:
+        for (at, to), own, noted in ((sides[0], leads, comes), (sides[1], comes, leads)):
+            told, seen, todo = set(own[v]), {v}, [v]
+            while todo:
+                w = todo.pop()
+                if not told.isdisjoint(noted[w]):
+                    continue
+                noted[w].append(v)
+                for x in to[at[w] : at[w + 1]]:
+                    if x not in seen:
+                        seen.add(x)
+                        todo.append(x)
+    return leads, comes
+
+
+def reach_labels(edges: DataFrame) -> DataFrame:
+    """(analysis_id, path, comp, hub, leads): who depends on whom as a table to be joined, without a search.
+
+    Rows with a path tell the component of a file; rows with a hub that a component leads to it (``leads``) or comes after it. Any
+    file depends on another if their components share a hub in that order. A repository is labelled in one task, from its condensed graph.
+    """
+    of, links = condensed(edges)
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        s, t = part["source"].to_numpy(), part["target"].to_numpy()
+        leads, comes = two_hop_labels(s, t, int(max(s.max(), t.max())) + 1)
+        rows = [(c, h, side) for side, lists in ((True, leads), (False, comes)) for c, hubs in enumerate(lists) for h in hubs if len(hubs) > 1 or h != c]
+        return pd.DataFrame(rows, columns=["comp", "hub", "leads"]).assign(analysis_id=part["analysis_id"].iloc[0])
+
+    far = links.groupBy("analysis_id").applyInPandas(run, "comp long, hub long, leads boolean, analysis_id string")
+    comps = of.select("analysis_id", "comp").distinct()  # each is a hub of its own, on both sides
+    both = comps.select("analysis_id", "comp", F.col("comp").alias("hub"), F.explode(F.array(F.lit(True), F.lit(False))).alias("leads"))
+    hubs = far.where("comp <> hub").select("analysis_id", "comp", "hub", "leads").unionByName(both)
+    none = lambda kind: F.lit(None).cast(kind)
+    return of.select("analysis_id", "path", "comp", none("long").alias("hub"), none("boolean").alias("leads")).unionByName(hubs.select("analysis_id", none("string").alias("path"), "comp", "hub", "leads"))
+
+
+def affected_by_labels(labels: DataFrame, targets: DataFrame) -> DataFrame:
+    """(analysis_id, target, path) as ``affected_files`` gives it, by two joins of ``reach_labels``. targets: (analysis_id, target)."""
+    of = labels.where("path IS NOT NULL").select("analysis_id", "path", "comp")
+    hubs = labels.where("hub IS NOT NULL")
+    asked = targets.select("analysis_id", "target").distinct().join(of.withColumnRenamed("path", "target"), ["analysis_id", "target"])
+    near = asked.select("analysis_id", "comp").distinct().withColumnRenamed("comp", "of").join(hubs.where("NOT leads").select("analysis_id", F.col("comp").alias("of"), "hub"), ["analysis_id", "of"])
+    by = near.join(hubs.where("leads").select("analysis_id", "comp", "hub"), ["analysis_id", "hub"]).select("analysis_id", "of", "comp").distinct()
+    pairs = asked.withColumnRenamed("comp", "of").join(by, ["analysis_id", "of"]).join(of, ["analysis_id", "comp"])
+    return pairs.where("path <> target").select("analysis_id", "target", "path")
 
 
 def _distributed_reach(edges: DataFrame, targets: DataFrame) -> DataFrame:
@@ -349,25 +507,139 @@ def neighbour_state(nodes: DataFrame, edges: DataFrame, selected: str | DataFram
 
 
 def file_tree(nodes: DataFrame) -> DataFrame:
-    """(analysis_id, path, parent, name, depth, is_file): the directories that paths imply, then files, in display order."""
+    """(analysis_id, path, parent, name, depth, is_file, place): the directories that paths imply, then files, in display order.
+
+    ``place`` counts the entries of a directory from 0: directories first, then by name as a reader of any language expects it
+    (the Unicode collation), equal names by their bytes.
+    """
+    from pyspark.sql import Window
+
     from codeloom.functions import files as FF
     from codeloom.functions import paths as P
 
     parts = nodes.select("analysis_id", F.col("path").alias("__file"), F.explode(P.prefixes(F.col("path"))).alias("path"))
     tree = parts.groupBy("analysis_id", "path").agg(F.max(F.col("path") == F.col("__file")).alias("is_file"))
-    return tree.select(
+    told = tree.select(
         "analysis_id", "path", P.dirname(F.col("path")).alias("parent"), FF.file_name(F.col("path")).alias("name"),
         (F.size(F.split("path", "/")) - 1).alias("depth"), "is_file",
-    ).orderBy("analysis_id", "parent", "is_file", "name")
+    )
+    order = Window.partitionBy("analysis_id", "parent").orderBy("is_file", F.collate("name", "UNICODE"), "name")  # a directory's entries
+    return told.withColumn("place", F.row_number().over(order) - 1).orderBy("analysis_id", "parent", "place")
 
 
 def grid_layout(nodes: DataFrame, columns: int) -> DataFrame:
     """(analysis_id, path, row, col): nodes in the order of their paths, ``columns`` to a row; for files without edges."""
-    from pyspark.sql import Window
+    placed = numbered(nodes.select("analysis_id", "path"), "analysis_id", "path", name="__n")
+    first = placed.groupBy("analysis_id").agg(F.min("__n").alias("__first"))
+    own = F.col("__n") - F.col("__first")
+    return placed.join(first, "analysis_id").select("analysis_id", "path", F.floor(own / columns).cast("int").alias("row"), (own % columns).cast("int").alias("col"))
+
+
+# Fixed values of the drawing: a file's box, gaps between layers and between boxes, margins, and the grid of files without edges.
+NODE_WIDTH, NODE_HEIGHT, LAYER_GAP, NODE_GAP, MARGIN = 190, 40, 110, 28, 20
+GRID_GAP_X, GRID_GAP_Y, GRID_TOP = 24, 16, 80
+
+
+def layered_coordinates(source: np.ndarray, target: np.ndarray, n: int, sweeps: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """(layer, y) of n files: long edges pass every layer between by a point of their own, medians of neighbours order the
+    layers (the sweep with the fewest crossings stays), then boxes move to the mean of their neighbours as far as the gaps allow."""
+    label = components(source, target, n)
+    layer = np.zeros(n, dtype=np.int64)
+    a, b = label[source], label[target]
+    between = np.unique(np.column_stack([a, b])[a != b], axis=0)
+    for _ in range(n):
+        deeper = layer.copy()
+        np.maximum.at(deeper, between[:, 1], layer[between[:, 0]] + 1)
+        if (deeper == layer).all():
+            break
+        layer = deeper
+    layer = layer[label]
+    at, links, total = layer.tolist(), [], n
+    for s, t in np.unique(np.column_stack([source, target])[layer[source] < layer[target]], axis=0).tolist():
+        last = s
+        for k in range(at[s] + 1, at[t]):
+            at.append(k)
+            links.append((last, total))
+            last, total = total, total + 1
+        links.append((last, t))
+    at = np.array(at)
+    links = np.array(links, dtype=np.int64).reshape(-1, 2)
+    depth = int(at.max()) + 1 if total else 0
+    rows = [np.flatnonzero(at == k) for k in range(depth)]
+    left, right = [[] for _ in range(total)], [[] for _ in range(total)]
+    for s, t in links.tolist():
+        right[s].append(t)
+        left[t].append(s)
+    place = np.zeros(total)
+
+    def settle(rows: list[np.ndarray]) -> None:
+        for row in rows:
+            place[row] = np.arange(len(row))
+
+    def crossings() -> int:
+        count = 0
+        for k in range(depth - 1):
+            own = links[at[links[:, 0]] == k]
+            ends = place[own[np.lexsort((place[own[:, 1]], place[own[:, 0]]))][:, 1]]
+            count += int(np.triu(ends[:, None] > ends[None], 1).sum())
+        return count
+
+    settle(rows)
+    best, fewest = [r.copy() for r in rows], crossings()
+    for sweep in range(sweeps):
+        ks = range(1, depth) if sweep % 2 == 0 else range(depth - 2, -1, -1)
+        near = left if sweep % 2 == 0 else right
+        for k in ks:
+            median = [float(np.median(place[near[v]])) if near[v] else place[v] for v in rows[k].tolist()]
+            rows[k] = rows[k][np.lexsort((rows[k], median))]
+            place[rows[k]] = np.arange(len(rows[k]))
+        if (now := crossings()) < fewest:
+            best, fewest = [r.copy() for r in rows], now
+    # coordinates: boxes are a step apart, points of edges as well; each layer moves towards its neighbours in turn
+    step = NODE_HEIGHT + NODE_GAP
+    y = np.zeros(total)
+    for row in best:
+        y[row] = np.arange(len(row)) * step
+    for sweep in range(sweeps):
+        near = left if sweep % 2 == 0 else right
+        for row in best if sweep % 2 == 0 else best[::-1]:
+            wish = np.array([np.mean(y[near[v]]) if near[v] else y[v] for v in row.tolist()])
+            down, up = wish.copy(), wish.copy()
+            for i in range(1, len(row)):
+                down[i] = max(down[i], down[i - 1] + step)
+            for i in range(len(row) - 2, -1, -1):
+                up[i] = min(up[i], up[i + 1] - step)
+            y[row] = (down + up) / 2  # both keep the gaps, so their mean does
+    return layer, y[:n] - (y[:n].min() if n else 0)
+
+
+def layout(nodes: DataFrame, edges: DataFrame, cap: int = TOP_CONNECTED) -> DataFrame:
+    """(analysis_id, path, x, y): the upper left corner of each file's box in a drawing of the ``cap`` most connected files.
+
+    Files with edges stand in layers from left to right, an importing file left of what it imports; files without stand in a grid
+    below. A drawing has at most ``cap`` boxes, so a repository's is one task's work.
+    """
+    shown = top_connected(nodes, edges, cap).select("analysis_id", "path")
+    drawn = visible_edges(edges, shown).select("analysis_id", "source", "target").distinct()
 
-    at = F.row_number().over(Window.partitionBy("analysis_id").orderBy("path")) - 1
-    placed = nodes.select("analysis_id", "path", at.alias("__n"))
-    return placed.select("analysis_id", "path", F.floor(F.col("__n") / columns).cast("int").alias("row"), (F.col("__n") % columns).cast("int").alias("col"))
+    def run(part: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+        if not len(part):
+            return pd.DataFrame({"analysis_id": [], "path": [], "x": [], "y": []})
+        paths = np.sort(part["path"].to_numpy().astype(str))
+        s, t = (np.searchsorted(paths, pairs[c].to_numpy().astype(str)) for c in ("source", "target"))
+        tied = np.zeros(len(paths), dtype=bool)
+        tied[s] = tied[t] = True
+        x, y, code = np.zeros(len(paths)), np.zeros(len(paths)), np.cumsum(tied) - 1
+        wide, bottom = NODE_WIDTH, 0.0
+        if tied.any():
+            layer, down = layered_coordinates(code[s], code[t], int(tied.sum()))
+            x[tied], y[tied] = MARGIN + layer * (NODE_WIDTH + LAYER_GAP), MARGIN + down
+            wide, bottom = x[tied].max() + NODE_WIDTH, y[tied].max() + NODE_HEIGHT + GRID_TOP
+        columns, i = max(1, int(wide // (NODE_WIDTH + GRID_GAP_X))), np.arange(int((~tied).sum()))
+        x[~tied], y[~tied] = i % columns * (NODE_WIDTH + GRID_GAP_X), bottom + i // columns * (NODE_HEIGHT + GRID_GAP_Y)
+        return pd.DataFrame({"analysis_id": part["analysis_id"].iloc[0], "path": paths, "x": x, "y": y})
+
+    return shown.groupBy("analysis_id").cogroup(_apart(drawn).groupBy("analysis_id")).applyInPandas(run, "analysis_id string, path string, x double, y double")
 
 
 def layers(edges: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -85,11 +86,17 @@ def affected_symbols(symbols: DataFrame, affected: DataFrame, callers: DataFrame
     return by_file.select(*columns).unionByName(by_call.select(*columns)).distinct()
 
 
-def impact(symbols: DataFrame, files: DataFrame, import_edges: DataFrame, call_edges: DataFrame, *, of: DataFrame | None = None, method: str | None = None) -> DataFrame:
+def _affected(inner: DataFrame, of: DataFrame, labels: DataFrame | None, method: str | None) -> DataFrame:
+    targets = of.select("analysis_id", F.col("path").alias("target")).distinct()
+    return graph.affected_files(inner, targets, method=method) if labels is None else graph.affected_by_labels(labels, targets)
+
+
+def impact(symbols: DataFrame, files: DataFrame, import_edges: DataFrame, call_edges: DataFrame, *, of: DataFrame | None = None, labels: DataFrame | None = None, method: str | None = None) -> DataFrame:
     """One row for each symbol of ``of`` (all, by default): numbers of direct callers, affected files, tests and symbols, fan-in, risks.
 
     Affected files depend on the symbol's file only, so they are searched once a file: for all files by sets of bits
-    in one task a repository, for given symbols by a search backwards from each (``method`` as in ``affected_files``).
+    (``affected_totals``), for given symbols by ``labels`` (``graph.reach_labels``) or, without those, by a search backwards from each
+    (``method`` as in ``affected_files``).
     """
     inner = graph.internal_edges(import_edges)
     callers = direct_callers(call_edges, symbols)
@@ -104,7 +111,7 @@ def impact(symbols: DataFrame, files: DataFrame, import_edges: DataFrame, call_e
     if of is None:
         of, by_file = symbols, graph.affected_totals(nodes, inner, ["affected_tests", "__reached"])
     else:
-        pairs = graph.affected_files(inner, of.select("analysis_id", F.col("path").alias("target")).distinct(), method=method)
+        pairs = _affected(inner, of, labels, method)
         by_file = pairs.join(nodes, ["analysis_id", "path"]).groupBy("analysis_id", F.col("target").alias("path")).agg(
             F.count("*").alias("affected_files"), F.sum("affected_tests").alias("affected_tests"), F.sum("__reached").alias("__reached")
         )
@@ -122,13 +129,13 @@ def impact(symbols: DataFrame, files: DataFrame, import_edges: DataFrame, call_e
     return joined.withColumn("risk_indicators", risks)
 
 
-def impact_lists(symbols: DataFrame, import_edges: DataFrame, call_edges: DataFrame, of: DataFrame, *, method: str | None = None) -> DataFrame:
+def impact_lists(symbols: DataFrame, import_edges: DataFrame, call_edges: DataFrame, of: DataFrame, *, labels: DataFrame | None = None, method: str | None = None) -> DataFrame:
     """What ``impact`` counts, in full, for each symbol of ``of``: (analysis_id, path, ord, direct_callers, affected_files,
     affected_symbols, affected_tests). All lists are sorted; a caller is a (path, symbol) for each call edge, a symbol a (path, ord, name, kind, parent)."""
     number = ["analysis_id", "path", "ord"]
     own = of.select(*number, "parent", "name")
     callers = direct_callers(call_edges, symbols).join(own.select(*number), number, "left_semi")
-    pairs = graph.affected_files(graph.internal_edges(import_edges), own.select("analysis_id", F.col("path").alias("target")).distinct(), method=method)
+    pairs = _affected(graph.internal_edges(import_edges), own, labels, method)
     listed = lambda c: F.sort_array(F.collect_list(c))
     by_file = pairs.groupBy("analysis_id", F.col("target").alias("path")).agg(listed("path").alias("affected_files"))
     by_file = by_file.withColumn("affected_tests", F.filter("affected_files", FF.is_test_file))
@@ -147,3 +154,22 @@ def search_symbols(symbols: DataFrame, query: str, kind: str | None = None) -> D
     found = symbols.where(F.col("name").ilike(f"%{query}%"))
     found = found.where(F.col("kind") == kind) if kind else found
     return found.withColumn("qualified_name", FF.qualified_name(F.col("parent"), F.col("name")))
+
+
+def name_grams(symbols: DataFrame) -> DataFrame:
+    """(analysis_id, gram, path, ord): for each run of three characters, case-blind, the symbols whose name holds it."""
+    name = F.lower("name")
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(name) - 2), lambda i: F.substring(name, i, F.lit(3))))
+    return symbols.where(F.length(name) >= 3).select("analysis_id", F.explode(grams).alias("gram"), "path", "ord")
+
+
+def search_indexed(symbols: DataFrame, grams: DataFrame, query: str, kind: str | None = None) -> DataFrame:
+    """What ``search_symbols`` finds, by ``name_grams``: symbols with every run of three that the query's parts between wildcards
+    hold are candidates, and only those are compared. A query without such a run is answered by a scan."""
+    parts = re.split(r"[%_\\]", query.lower())
+    wanted = sorted({p[i : i + 3] for p in parts for i in range(len(p) - 2)})
+    if not wanted:
+        return search_symbols(symbols, query, kind)
+    key = ["analysis_id", "path", "ord"]
+    hits = grams.where(F.col("gram").isin(wanted)).groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") == len(wanted))
+    return search_symbols(symbols.join(hits.select(*key), key, "left_semi"), query, kind)

@@ -36,12 +36,16 @@ class Analysis:
 
 
 def analyze(source: DataFrame, *, baseline: DataFrame | None = None, max_file_bytes: int = MAX_FILE_BYTES, keep=None) -> Analysis:
-    """An analysis of a source (analysis_id, path, content). With a ``baseline`` only changed files are extracted.
+    """An analysis of a source (analysis_id, path, content)."""
+    return analyze_described(X.described(source), baseline=baseline, max_file_bytes=max_file_bytes, keep=keep)
+
+
+def analyze_described(described: DataFrame, *, baseline: DataFrame | None = None, max_file_bytes: int = MAX_FILE_BYTES, keep=None) -> Analysis:
+    """An analysis of described files (``extract.described``). With a ``baseline`` only changed files are extracted.
 
     ``keep`` makes the extracted files a table read again (for example ``lambda df: df.checkpoint()``), since both
     resolvers read them; without it they are extracted once per use.
     """
-    described = X.described(source)
     reused = None
     if baseline is None:
         files = X.extracted(described, max_file_bytes=max_file_bytes)

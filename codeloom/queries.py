@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import files as FF
@@ -21,7 +21,7 @@ from codeloom.plans.api import Engine, latest_per_repository, recent_repositorie
 from codeloom.schemas import EXTRACTOR_VERSION
 from codeloom.sources.tree import read_table
 from codeloom.streaming import jobs as J
-from codeloom.tables import shared_dir, written
+from codeloom.tables import numbered, shared_dir, written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -264,7 +264,7 @@ def direct_callers(spark, d):
 
 def file_tree(spark, d):
     files = python_repository(spark, d)
-    return graph.file_tree(files).select("path", "parent", "name", "depth", "is_file")
+    return graph.file_tree(files).select("path", "parent", "name", "depth", "is_file", "place")
 
 
 def symbol_search(spark, d):
@@ -379,8 +379,110 @@ def manifest_languages(spark, d):
     return X.language_counts(files, manifests=True).select("analysis_id", F.explode("languages").alias("language", "files"))
 
 
+def import_cycles_joined(spark, d):
+    """The cycles by the plan for graphs beyond a task: cut, contracted and coloured by joins."""
+    return graph.cycle_members(_inner(spark, d)[1], method="distributed").select("cycle", "path")
+
+
+def affected_by_labels(spark, d):
+    """All pairs of a file and one that depends on it, by labels instead of searches."""
+    a, edges = _inner(spark, d)
+    return graph.affected_by_labels(graph.reach_labels(edges), a.files.select("analysis_id", F.col("path").alias("target"))).select("target", "path")
+
+
+def _stored(spark, d) -> tuple[Engine, str]:
+    """An analysis that was submitted, run and persisted."""
+    engine = Engine(spark, f"{shared_dir(spark)}/codeloom/store-{uuid.uuid4().hex}")
+    return engine, engine.run(engine.submit("https://github.com/o/n"), python_repository(spark, d))
+
+
+def stored_insights(spark, d):
+    """The four lists of a persisted analysis, a row an entry."""
+    engine, done = _stored(spark, d)
+    i = engine.analysis(done).insights
+    none = F.lit(None).cast("int")
+    rows = [
+        i.cycles.select(F.lit("cycle").alias("list"), F.explode("members").alias("path"), F.col("members")[0].alias("cycle"), none.alias("a"), none.alias("b")),
+        i.fan.select(F.lit("fan"), "path", F.lit(None).cast("string"), "fan_in", "fan_out"),
+        i.large.select(F.lit("large"), "path", F.lit(None).cast("string"), "line_count", none),
+        i.isolated.select(F.lit("isolated"), "path", F.lit(None).cast("string"), none, none),
+    ]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.union(r)
+    return out
+
+
+def stored_nesting(spark, d):
+    """Each file of a persisted analysis with its symbols in order."""
+    engine, done = _stored(spark, d)
+    names = F.transform("symbols", lambda x: F.concat_ws(".", x["parent"], x["name"]))
+    return engine.analysis(done).nested.select("path", "line_count", F.array_join(F.coalesce(names, F.array().cast("array<string>")), " ").alias("symbols"))
+
+
+def stored_baseline(spark, d):
+    """What a second analysis of a repository may reuse: the files of the newest completed one."""
+    engine, done = _stored(spark, d)
+    repository = engine.store.table("repositories").first()["id"]
+    return engine.store.baseline(repository).select("path", "language", "line_count", "parse_ok")
+
+
+def indexed_search(spark, d):
+    """Symbols found by runs of three characters that were written with the analysis."""
+    engine, done = _stored(spark, d)
+    found = engine.search_symbols(done, "k_1%", "class").unionByName(engine.search_symbols(done, "TEP")).unionByName(engine.search_symbols(done, "f1%23"))
+    return found.select("path", "name", "kind", "qualified_name")
+
+
+def ordered_imports(spark, d):
+    """Import edges with their place in the order in which they are listed."""
+    edges = python_analysis(spark, d).import_edges
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    out = numbered(edges, "analysis_id", "source_path", blank("target_path"), blank("external_module"))
+    return out.select("place", "source_path", "target_path", "external_module")
+
+
+def ordered_calls(spark, d):
+    """Call edges with their place in the order in which they are listed."""
+    edges = python_analysis(spark, d).call_edges
+    blank = lambda c: F.coalesce(c, F.lit(""))
+    out = numbered(edges, "analysis_id", "source_path", blank("source_symbol"), "callee_name", blank("target_path"), blank("target_symbol"))
+    return out.select("place", "source_path", "source_symbol", "callee_name", "target_path", "target_symbol")
+
+
+def ordered_fan(spark, d):
+    """Files with their place by how connected they are."""
+    a, edges = _inner(spark, d)
+    out = numbered(graph.fan_in_out(a.files, edges), "analysis_id", F.desc(F.col("fan_in") + F.col("fan_out")), "path")
+    return out.select("place", "path", "fan_in", "fan_out")
+
+
+def graph_layout(spark, d):
+    """Where the boxes of the most connected files stand: their columns, and the heights that two boxes of a column share."""
+    a, edges = _inner(spark, d)
+    boxes = graph.layout(a.files, edges, 100)
+    w = Window.partitionBy("x").orderBy("y")  # at most 100 boxes
+    overlap = F.coalesce(F.col("y") - F.lag("y").over(w) < graph.NODE_HEIGHT, F.lit(False))
+    return boxes.select("path", F.col("x").cast("int").alias("x"), overlap.alias("overlaps"))
+
+
+def debounced_search(spark, d):
+    """Each user's events as keys that are typed: what is asked once no other follows within an hour."""
+    typed = table(spark, d, "events").select(F.col("user_id").alias("client"), "ts", "event_id", F.col("event_type").alias("text"))
+    return J.debounced(typed, 3_600_000).select("client", "event_id", "ts", "text", "keys")
+
+
+def rate_limit_hot_client(spark, d):
+    """One client with every second request: its window counts spread over the tasks like any other's."""
+    client = F.when(F.col("event_id") % 2 == 0, F.lit("hot")).otherwise(F.col("user_id").cast("string"))
+    requests = table(spark, d, "events").select("event_id", client.alias("client_ip"), "ts")
+    return J.requests_in_window(requests, 60 * 24).select("event_id", "client_ip", "in_window")
+
+
 def queries() -> dict:
     plain = (
+        import_cycles_joined, affected_by_labels, stored_insights, stored_nesting, stored_baseline, indexed_search, ordered_imports, ordered_calls, ordered_fan, graph_layout, debounced_search,
+        rate_limit_hot_client,
         file_metrics, language_counts, file_languages, large_files, size_guard, url_validation, test_file_flag, py_symbols, py_import_edges, ts_import_edges, ts_call_edges, call_edges,
         analysis_statistics, fan_in_out, top_connected, visible_edges, import_cycles, affected_files, isolated_files, node_states, impact_summary, risk_flags, direct_callers, file_tree,
         symbol_search, latest_job, claimable_jobs, rate_limit_window, rate_limit_replay, relative_times, incremental_reuse, error_summaries,
@@ -488,8 +590,10 @@ def oracle_sql() -> dict[str, str]:
             UNION ALL SELECT path, name, parent, '{impact.RISKS[3]}' FROM imp WHERE direct_callers = 0 AND kind = 'function'""",
         "direct_callers": f"""WITH {_F1}, {_CALLS} SELECT target_path AS path, target_parent AS parent, target_symbol AS name, source_path AS caller_path, source_symbol AS caller_symbol, callee_name
             FROM calls WHERE target_path IS NOT NULL""",
-        "file_tree": f"""WITH {_F1} SELECT path, regexp_extract(path, '^(.*)/', 1) AS parent, regexp_extract(path, '[^/]*$') AS name, 2 AS depth, true AS is_file FROM p
-            UNION ALL SELECT DISTINCT 'pkg/n' || nation, 'pkg', 'n' || nation, 1, false FROM p UNION ALL SELECT 'pkg', '', 'pkg', 0, false""",
+        # names of letters and digits, _ and . only: for those the Unicode order has _ and . before digits and digits before letters
+        "file_tree": f"""WITH {_F1}, t AS (SELECT path, regexp_extract(path, '^(.*)/', 1) AS parent, regexp_extract(path, '[^/]*$') AS name, 2 AS depth, true AS is_file FROM p
+            UNION ALL SELECT DISTINCT 'pkg/n' || nation, 'pkg', 'n' || nation, 1, false FROM p UNION ALL SELECT 'pkg', '', 'pkg', 0, false)
+            SELECT *, (row_number() OVER (PARTITION BY parent ORDER BY is_file, translate(name, '_.', '!#'), name) - 1)::INT AS place FROM t""",
         "symbol_search": f"""WITH {_F1}, {_SYM} SELECT path, name, kind, concat_ws('.', parent, name) AS qualified_name FROM sym WHERE name ILIKE '%k_1%' AND kind = 'class'
             UNION ALL SELECT path, name, kind, concat_ws('.', parent, name) FROM sym WHERE name ILIKE '%STEP%'""",
         "latest_job": f"WITH {_JOBS} SELECT repository_id, job_id, status, ts AS created_at FROM jobs QUALIFY row_number() OVER (PARTITION BY repository_id ORDER BY ts DESC, job_id) = 1",
@@ -528,6 +632,40 @@ def oracle_sql() -> dict[str, str]:
             FROM calls WHERE target_path IS NOT NULL""",
         "incremental_call_edges": f"WITH {_F1}, {_CALLS} SELECT * FROM calls",
         "client_addresses": """SELECT page_id, CASE page_id % 4 WHEN 1 THEN '10.0.0.' || page_id WHEN 2 THEN '10.1.0.' || page_id ELSE 'peer' || page_id END AS client_ip FROM pages""",
+        "affected_by_labels": f"WITH RECURSIVE {_F1}, {_REACH} SELECT target, path FROM reach",
+        "import_cycles_joined": f"""WITH RECURSIVE {_F1}, reach AS (SELECT source AS a, target AS b FROM e UNION SELECT r.a, e.target FROM reach r JOIN e ON e.source = r.b)
+            SELECT min(x.b) AS cycle, x.a AS path FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a""",
+        "stored_insights": f"""WITH RECURSIVE {_F1}, {_SYM}, reach AS (SELECT source AS a, target AS b FROM e UNION SELECT r.a, e.target FROM reach r JOIN e ON e.source = r.b),
+            f AS (SELECT p.path, (SELECT count(*) FROM e WHERE target = p.path)::INT AS a, (SELECT count(*) FROM e WHERE source = p.path)::INT AS b FROM p)
+            SELECT 'cycle' AS list, x.a AS path, min(x.b) AS cycle, NULL::INT AS a, NULL::INT AS b FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a
+            UNION ALL SELECT 'fan', path, NULL, a, b FROM f UNION ALL SELECT 'isolated', path, NULL, NULL, NULL FROM f WHERE a = 0 AND b = 0
+            UNION ALL SELECT 'large', path, NULL, 2 * n + x + 2 + CASE WHEN k % 3 = 0 THEN 6 ELSE 0 END, NULL FROM d WHERE 2 * n + x + 2 + CASE WHEN k % 3 = 0 THEN 6 ELSE 0 END > 400""",
+        "stored_nesting": f"""WITH {_F1}, {_SYM} SELECT path, (2 * n + x + 2 + CASE WHEN k % 3 = 0 THEN 6 ELSE 0 END)::INT AS line_count,
+            'f' || k || CASE WHEN k % 3 = 0 THEN concat(' K', k, ' K', k, '.run K', k, '.step') ELSE '' END AS symbols FROM d""",
+        "stored_baseline": f"""WITH {_F1}, {_SYM} SELECT path, 'python' AS language, (2 * n + x + 2 + CASE WHEN k % 3 = 0 THEN 6 ELSE 0 END)::INT AS line_count, true AS parse_ok FROM d""",
+        "indexed_search": f"""WITH {_F1}, {_SYM}, s AS (SELECT path, name, kind, concat_ws('.', parent, name) AS qualified_name FROM sym)
+            SELECT * FROM s WHERE name ILIKE '%k_1%' AND kind = 'class' UNION ALL SELECT * FROM s WHERE name ILIKE '%TEP%' UNION ALL SELECT * FROM s WHERE name ILIKE '%f1%23%'""",
+        "ordered_imports": f"""WITH {_F1}, i AS (SELECT DISTINCT source AS source_path, target AS target_path, NULL AS external_module FROM e UNION ALL SELECT path, NULL, 'os' FROM p WHERE ext)
+            SELECT row_number() OVER (ORDER BY source_path, coalesce(target_path, ''), coalesce(external_module, '')) - 1 AS place, * FROM i""",
+        "ordered_calls": f"""WITH {_F1}, {_CALLS} SELECT row_number() OVER (ORDER BY source_path, coalesce(source_symbol, ''), callee_name, coalesce(target_path, ''), coalesce(target_symbol, '')) - 1 AS place,
+            source_path, source_symbol, callee_name, target_path, target_symbol FROM calls""",
+        "ordered_fan": f"""WITH {_F1}, f AS (SELECT p.path, (SELECT count(*) FROM e WHERE target = p.path)::INT AS fan_in, (SELECT count(*) FROM e WHERE source = p.path)::INT AS fan_out FROM p)
+            SELECT row_number() OVER (ORDER BY fan_in + fan_out DESC, path) - 1 AS place, * FROM f""",
+        "graph_layout": f"""WITH RECURSIVE {_F1}, {_TOP}, v AS (SELECT source, target FROM e WHERE source IN (SELECT path FROM top) AND target IN (SELECT path FROM top)),
+            reach AS (SELECT source AS a, target AS b FROM v UNION SELECT r.a, v.target FROM reach r JOIN v ON v.source = r.b),
+            comp AS (SELECT x.a AS path, min(x.b) AS c FROM reach x JOIN reach y ON x.a = y.b AND x.b = y.a GROUP BY x.a),
+            node AS (SELECT DISTINCT n.path, coalesce(c, n.path) AS c FROM (SELECT source AS path FROM v UNION SELECT target FROM v) n LEFT JOIN comp USING (path)),
+            ce AS (SELECT DISTINCT a.c AS a, b.c AS b FROM v JOIN node a ON a.path = source JOIN node b ON b.path = target WHERE a.c <> b.c),
+            lay AS (SELECT DISTINCT c, 0 AS l FROM node UNION SELECT ce.b, l + 1 FROM lay JOIN ce ON ce.a = lay.c),
+            tied AS (SELECT path, 20 + 300 * max(l) AS x FROM node JOIN lay USING (c) GROUP BY path),
+            free AS (SELECT path, row_number() OVER (ORDER BY path) - 1 AS i FROM top WHERE path NOT IN (SELECT path FROM node))
+            SELECT path, x::INT AS x, false AS overlaps FROM tied UNION ALL
+            SELECT path, (i % greatest(1, (SELECT coalesce(max(x), 0) + 190 FROM tied) // 214) * 214)::INT, false FROM free""",
+        "debounced_search": """WITH g AS (SELECT *, ts::TIMESTAMP - lag(ts::TIMESTAMP) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events),
+            b AS (SELECT *, count(*) FILTER (gap IS NULL OR gap > INTERVAL 1 HOUR) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM g)
+            SELECT user_id AS client, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS ts, arg_max(event_type, (ts, event_id)) AS text, count(*) AS keys FROM b GROUP BY user_id, burst""",
+        "rate_limit_hot_client": """WITH c AS (SELECT event_id, ts, CASE WHEN event_id % 2 = 0 THEN 'hot' ELSE user_id::VARCHAR END AS client_ip FROM events)
+            SELECT event_id, client_ip, count(*) OVER (PARTITION BY client_ip ORDER BY ts RANGE BETWEEN INTERVAL 1 DAY PRECEDING AND CURRENT ROW) AS in_window FROM c""",
         "stage_states": "SELECT event_id, CASE WHEN event_id % 6 = 2 THEN 'current' WHEN event_id % 6 IN (3, 4) THEN 'done' ELSE 'todo' END AS state FROM events",
         "claim_winners": """WITH RECURSIVE c AS (SELECT user_id, event_id, ts::TIMESTAMP AS ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events WHERE event_type IN ('view', 'click')),
             r AS (SELECT user_id, event_id, n, ts AS last, true AS won FROM c WHERE n = 1

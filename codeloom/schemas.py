@@ -3,7 +3,7 @@
 from pyspark.sql import types as T
 
 #: Rows extracted by an older version are not reused.
-EXTRACTOR_VERSION = 2
+EXTRACTOR_VERSION = 3
 
 SYMBOL = T.StructType(
     [

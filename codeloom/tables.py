@@ -6,7 +6,8 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +39,20 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def numbered(df: DataFrame, *order: str | Column, name: str = "place") -> DataFrame:
+    """``df`` with the 0-based place of each row in a total order: a range-partitioned sort, then one count a partition."""
+    spark = df.sparkSession
+    n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    placed = written(df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id()))
+    part = F.shiftright("__at", 33)
+    before, offsets = 0, []
+    for r in sorted(placed.groupBy(part.alias("__part")).agg(F.count("*").alias("n")).collect()):  # one row a partition
+        offsets.append((r["__part"], before))
+        before += r["n"]
+    known = F.broadcast(spark.createDataFrame(offsets, "__part long, __before long"))
+    return placed.withColumn("__part", part).join(known, "__part").withColumn(name, F.col("__before") + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__part", "__at", "__before")
+
+
 def created_first(spark: SparkSession, path: str) -> bool:
     """Whether this call made the empty file ``path``; of any number of calls at once, one does."""
     file = spark._jvm.org.apache.hadoop.fs.Path(path)

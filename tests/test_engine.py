@@ -235,3 +235,23 @@ def test_an_unreadable_file_has_null_content(spark, tmp_path):
     (tmp_path / "a.py").write_text("x = 1\n")
     files = {r["path"]: r for r in X.described(tree.read_tree(spark, str(tmp_path))).collect()}
     assert files["gone.py"]["content"] is None and files["gone.py"]["content_hash"] is None and files["a.py"]["line_count"] == 1
+
+
+def test_one_repository_however_many_add_it(spark, engine):
+    row = spark.createDataFrame([("r", "u", "o", "n", dt.datetime(2024, 1, d)) for d in (3, 2, 5)], "id string, url string, owner string, name string, created_at timestamp_ntz")
+    for k in range(3):  # what writers at once leave behind
+        engine.store.append("repositories", row.limit(k + 1))
+    got = engine.store.table("repositories").collect()
+    assert [(r["id"], r["url"], r["created_at"].day) for r in got] == [("r", "u", 2)]
+
+
+def test_indexed_search_equals_a_scan(spark):
+    from codeloom.operators import impact as I
+
+    names = ["load", "Loader", "reload_all", "ab", "a", "löad", "x%y", "l_o_a_d", "oad", None]
+    symbols = spark.createDataFrame([("r", f"f{k % 3}", k, n, "function" if k % 2 else "class", None) for k, n in enumerate(names)], "analysis_id string, path string, ord int, name string, kind string, parent string")
+    grams = I.name_grams(symbols)
+    for q in ("load", "LOAD", "oad", "lo%ad", "l_a", "lo_d", "re%all", "a", "", "%", "ab", "zzz", "x%y", "öad"):
+        for kind in (None, "class"):
+            want = sorted(map(str, I.search_symbols(symbols, q, kind).collect()))
+            assert sorted(map(str, I.search_indexed(symbols, grams, q, kind).collect())) == want, q

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from codeloom.operators import graph, impact
 
@@ -37,6 +38,43 @@ def test_a_long_chain_has_no_cycle(spark):
     assert graph.cycle_members(e).isEmpty()
 
 
+def shapes():
+    rng = random.Random(9)
+    ring = lambda names: list(zip(names, names[1:] + names[:1]))
+    chain = [(f"c{i:03}", f"c{i + 1:03}") for i in range(150)]
+    yield "ring", ring([f"r{i:02}" for i in range(37)])
+    yield "chain", chain
+    yield "ring of chains", ring([f"r{i}" for i in range(9)]) + [("r3", "x1"), ("x1", "x2"), ("x2", "x3"), ("x3", "r5"), ("r0", "t1"), ("t1", "t2"), ("t2", "t3")]
+    yield "two rings by a chain", ring(list("abcd")) + ring(list("wxyz")) + [("a", "m1"), ("m1", "m2"), ("m2", "w")]
+    yield "chain back to its start", [("h", "p1"), ("p1", "p2"), ("p2", "p3"), ("p3", "h"), ("h", "q1"), ("q1", "q2"), ("q2", "h"), ("z", "h"), ("s", "s"), ("h", "h")]
+    yield "caterpillar", chain + [(a, f"leaf{a}") for a, _ in chain] + [(f"root{a}", a) for a, _ in chain]
+    yield "random", [(f"n{rng.randrange(60)}", f"n{rng.randrange(60)}") for _ in range(75)]
+
+
+def test_joins_find_the_same_cycles_as_a_search(spark):
+    rows = [(name, a, b) for name, edges in shapes() for a, b in edges]  # each shape a repository
+    e = spark.createDataFrame(rows, "analysis_id string, source string, target string")
+    assert {tuple(r) for r in graph.cycle_members(e, method="distributed").collect()} == {tuple(r) for r in graph.cycle_members(e, method="grouped").collect()}
+
+
+def test_labels_tell_what_a_search_tells(spark):
+    rows = [(name, a, b) for name, edges in shapes() for a, b in edges]
+    e = spark.createDataFrame(rows, "analysis_id string, source string, target string")
+    labels = graph.reach_labels(e)
+    targets = e.selectExpr("analysis_id", "explode(array(source, target, 'unknown')) AS target").distinct()
+    assert {tuple(r) for r in graph.affected_by_labels(labels, targets).collect()} == {tuple(r) for r in graph.affected_files(e, targets).collect()}
+    chain = labels.where("analysis_id = 'chain' AND hub IS NOT NULL").count()
+    assert chain < 151 * 2 * 9  # a path of n files has n log n labels, not n ** 2
+
+
+def test_a_chain_takes_a_logarithmic_number_of_tables(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(graph, "written", lambda df, f=graph.written: made.append(1) or f(df))
+    _, e = tables(spark, [], [(f"n{i:04}", f"n{i + 1:04}") for i in range(4096)])
+    assert graph.cycle_members(e, method="distributed").isEmpty()
+    assert len(made) < 40
+
+
 @pytest.mark.parametrize("seed", range(3))
 def test_random_graphs_against_closure(spark, seed):
     rng = random.Random(seed)
@@ -113,3 +151,38 @@ def test_state_around_a_selected_table_and_top_fan(spark):
     by_table = graph.neighbour_state(n, e, n.where("path = 'b'"))
     assert sorted(map(tuple, by_table.collect())) == sorted(map(tuple, graph.neighbour_state(n, e, "b").collect()))
     assert [r["path"] for r in graph.ranked_fan(graph.fan_in_out(n, e), 2).collect()] == ["b", "a"]
+
+
+def test_places_in_a_directory_follow_the_language_not_the_bytes(spark):
+    n, _ = tables(spark, ["B.py", "a.py", "_x.py", "a_b.py", "ab.py", "Zed/q.py", "é.py", "e.py", "f.py", "apple/r.py"], [])
+    got = {r["path"]: r["place"] for r in graph.file_tree(n).where("parent = ''").collect()}
+    assert sorted(got, key=got.get) == ["apple", "Zed", "_x.py", "a_b.py", "a.py", "ab.py", "B.py", "e.py", "é.py", "f.py"]
+
+
+def crossings(pos, edges):
+    rows = [(pos[a], pos[b]) for a, b in edges]
+    return sum((a[0] == c[0] and b[0] == d[0]) and (a[1] - c[1]) * (b[1] - d[1]) < 0 for i, (a, b) in enumerate(rows) for c, d in rows[:i])
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_layout(spark, seed):
+    rng = random.Random(seed)
+    names = [f"f{i:02}" for i in range(40)]
+    edges = sorted({tuple(sorted(rng.sample(names[:34], 2))) for _ in range(50)}) + [("f03", "f01"), ("f01", "f03"), ("f02", "f02")]
+    n, e = tables(spark, names, edges)
+    pos = {r["path"]: (r["x"], r["y"]) for r in graph.layout(n, e).collect()}
+    assert set(pos) == set(names)
+    boxes = list(pos.values())
+    assert all(abs(a[0] - b[0]) >= graph.NODE_WIDTH or abs(a[1] - b[1]) >= graph.NODE_HEIGHT for i, a in enumerate(boxes) for b in boxes[:i])
+    reach = closure(edges)
+    for a, b in edges:  # left to right, but on cycles
+        assert pos[a][0] < pos[b][0] or (a in reach.get(b, set()) and pos[a][0] == pos[b][0])
+    layer = {}
+    for p in sorted(pos):
+        layer.setdefault(pos[p][0], []).append(p)
+    plain = {p: (x, k) for x, ps in layer.items() for k, p in enumerate(ps)}
+    assert crossings(pos, edges) <= crossings(plain, edges)
+    tied = {x for pair in edges for x in pair}
+    assert min(pos[p][1] for p in names if p not in tied) >= max(pos[p][1] for p in tied) + graph.NODE_HEIGHT
+    few = graph.layout(n, e, 10)
+    assert few.count() == 10
