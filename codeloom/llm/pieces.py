@@ -7,18 +7,25 @@ one the ranked merges lead to. That one too is the only path through the lattice
 two neighbours are *stable*: no merge across their border would have come before the merges that made them.
 So there the maximum is over the lengths of pieces that are stable beside the piece that the path had before them; there
 is exactly one such path for every prefix.
+
+Long words, such as texts without spaces, are cut where no piece holds both neighbours; no path crosses there. A length that few words
+share is not worth a step of all: for those the lookups are made for all places at once, and only the maxima go one by one.
+Hashes propose; what a path uses is compared with the word, letter by letter.
 """
 
 from __future__ import annotations
 
+import hashlib
+import shutil
 import struct
+import tempfile
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark import SparkFiles
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, StringType, StructField, StructType
 
@@ -30,6 +37,8 @@ UNIGRAM, BPE = 1, 2
 #: How far below the lowest piece a character without a piece scores.
 UNKNOWN_PENALTY = 10.0
 _BASE = 0xB5026F5AA96619E9
+#: Longer words are cut where no piece crosses; from this length on, fewer words of a length than FEW_ROWS go one by one.
+CUT_FROM, LONELY_FROM, FEW_ROWS = 24, 24, 12
 
 
 def _fields(raw: bytes, at: int, end: int) -> Iterator[tuple[int, object]]:
@@ -124,6 +133,13 @@ class Pieces:
         # a first look that turns most substrings away: the keys' leading 20 bits
         self.some = np.zeros(1 << 20, dtype=bool)
         self.some[self.key >> np.uint64(44)] = True
+        # neighbours that some piece holds, as sorted keys, and each piece's code points
+        self.beside = np.unique(np.array([ord(a) << 32 | ord(b) for p in self.id_of for a, b in zip(p, p[1:])] or [0], dtype=np.uint64))
+        self.single = np.unique(np.array([ord(p) for p in self.id_of if len(p) == 1] or [0], dtype=np.uint32))
+        points = [np.array([ord(c) for c in self.pieces[i][0]], dtype=np.uint32) for i in usable]
+        self.points = np.concatenate(points)
+        self.points_at = np.zeros(v + 1, dtype=np.int64)
+        self.points_at[usable] = np.cumsum([len(x) for x in points]) - [len(x) for x in points]
         # decoding tables
         raw = [bytes([int(p[1:-1], 16)]) if kind == BYTE else b"" if kind == CONTROL else " ⁇ ".encode() if kind == UNKNOWN else p.replace(SPACE, " ").encode() for p, _, kind in self.pieces]
         self.out = np.frombuffer(b"".join(raw), dtype=np.uint8)
@@ -295,21 +311,121 @@ class Pieces:
                 last[open_, i] = self.v
         return last[:, 1:]
 
+    def _lonely(self, chars: np.ndarray) -> np.ndarray:
+        """Back pointers of one word, like ``viterbi``: all lookups at once, then the maximum of each place in turn."""
+        n, (prefix, power) = len(chars), self._prefixes(chars[:, None].T)
+        ends, sizes, found = [], [], []
+        for length in self.lengths.tolist():
+            if length > n:
+                break
+            key = mix64(prefix[0, length:] - prefix[0, :-length] * power[length] + np.uint64(length * 0x9E3779B97F4A7C15 % 2**64))
+            hit = np.flatnonzero(self.some[key >> np.uint64(44)])
+            at = np.minimum(np.searchsorted(self.key, key[hit]), len(self.key) - 1)
+            hit, at = hit[self.key[at] == key[hit]], at[self.key[at] == key[hit]]
+            ends.append(hit + length)
+            sizes.append(np.full(len(hit), length))
+            found.append(self.key_id[at])
+        end, size, piece = (np.concatenate(x) if x else np.empty(0, dtype=np.int64) for x in (ends, sizes, found))
+        order = np.lexsort((-size, end))  # by place, the longest first
+        end, size, piece = end[order], size[order], piece[order]
+        first = np.searchsorted(end, np.arange(n + 2))
+        last = np.full(n + 1, self.v, dtype=np.int64)
+        firsts, starts, pieces = first.tolist(), (end - size).tolist(), piece.tolist()
+        if self.kind == UNIGRAM:
+            total, score, unknown = [np.float32(0)], self.score, self.score[self.v]
+            for i in range(1, n + 1):
+                best, got, alone = np.float32(-np.inf), self.v, True
+                for t in range(firsts[i], firsts[i + 1]):
+                    if (now := total[starts[t]] + score[pieces[t]]) > best:
+                        best, got = now, pieces[t]
+                    alone &= starts[t] != i - 1
+                if alone and total[i - 1] + unknown > best:
+                    best, got = total[i - 1] + unknown, self.v
+                total.append(best)
+                last[i] = got
+            return last[1:]
+        # whether each two pieces that meet are stable, for all at once
+        before = first[end - size]
+        many = first[end - size + 1] - before
+        right = np.repeat(np.arange(len(end)), many)
+        left = np.repeat(before - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+        good = self.stable(piece[left], piece[right]).tolist() if len(left) else []
+        pair_at, lefts = (np.cumsum(many) - many).tolist(), before.tolist()
+        chosen = [-1] * (n + 1)  # the match that ends here on the best path
+        for i in range(1, n + 1):
+            for t in range(firsts[i], firsts[i + 1]):
+                m = chosen[starts[t]]
+                if m < 0 or good[pair_at[t] + m - lefts[t]]:
+                    chosen[i] = t
+                    last[i] = pieces[t]
+                    break
+        return last[1:]
+
+    def _exact(self, word: str) -> bytes:
+        """The ids of a word without hashes: what the batched ways come to, one word at a time."""
+        if self.kind == BPE:
+            parts = self.merged(list(word))
+        else:
+            best: list[tuple[float, list[str]]] = [(np.float32(0), [])]
+            for i in range(1, len(word) + 1):
+                ways = [(best[i - k][0] + self.score[self.id_of[word[i - k : i]]], k) for k in range(min(i, self.longest), 0, -1) if word[i - k : i] in self.id_of]
+                if word[i - 1] not in self.id_of:
+                    ways.append((best[i - 1][0] + self.score[self.v], 1))
+                top, k = max(ways, key=lambda w: w[0])
+                best.append((top, [*best[i - k][1], word[i - k : i]]))
+            parts = best[-1][1]
+        return self._bytes([self.id_of.get(p, -1 - ord(p[0])) for p in parts])
+
+    def _cut(self, words: list[str]) -> tuple[list[str], list[list[int]]]:
+        """The different parts of all words, cut where no piece crosses, and which of them each word is."""
+        parts: dict[str, int] = {}
+        of = []
+        for w in words:
+            if len(w) <= CUT_FROM:
+                of.append([parts.setdefault(w, len(parts))])
+                continue
+            chars = np.frombuffer(w.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+            key = chars[:-1].astype(np.uint64) << np.uint64(32) | chars[1:].astype(np.uint64)
+            free = self.beside[np.minimum(np.searchsorted(self.beside, key), len(self.beside) - 1)] != key
+            if not self.byte:  # a run of unknown characters is one token
+                own = self.single[np.minimum(np.searchsorted(self.single, chars), len(self.single) - 1)] == chars
+                free &= own[:-1] & own[1:]
+            cuts = [0, *(np.flatnonzero(free) + 1).tolist(), len(w)]
+            of.append([parts.setdefault(w[a:b], len(parts)) for a, b in zip(cuts, cuts[1:])])
+        return list(parts), of
+
     def encode_words(self, words: list[str]) -> list[bytes]:
-        """Ids of each word, packed: words of equal length advance together."""
+        """Ids of each word, packed."""
+        parts, of = self._cut(words)
+        done = self._encode_parts(parts)
+        return [done[k[0]] if len(k) == 1 else b"".join([done[i] for i in k]) for k in of]
+
+    def _encode_parts(self, words: list[str]) -> list[bytes]:
+        """Words of equal length advance together."""
         out = [b""] * len(words)
         by_length: dict[int, list[int]] = {}
         for k, w in enumerate(words):
             by_length.setdefault(len(w), []).append(k)
         for n, own in by_length.items():
-            for lo in range(0, len(own), 1 + (1 << 20) // n):
-                part = own[lo : lo + 1 + (1 << 20) // n]
+            few = len(own) < FEW_ROWS and n >= LONELY_FROM
+            for lo in range(0, len(own), 1 if few else 1 + (1 << 20) // n):
+                part = own[lo : lo + (1 if few else 1 + (1 << 20) // n)]
                 chars = np.frombuffer("".join([words[k] for k in part]).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).reshape(len(part), n)
-                last = self.viterbi(chars)
+                last = self._lonely(chars[0])[None] if few else self.viterbi(chars)
                 # walk back from the end, all words at once
                 ids = np.zeros((len(part), n), dtype=np.int32)
                 used = np.zeros((len(part), n), dtype=bool)
                 at, rows = np.full(len(part), n), np.arange(len(part))
+                if few:
+                    i, back, steps = n, last[0].tolist(), []
+                    while i > 0:
+                        steps.append(i - 1)
+                        i -= 1 if back[i - 1] == self.v else int(self.size[back[i - 1]])
+                    steps = np.array(steps)
+                    used[0, steps] = True
+                    none = last[0, steps] == self.v
+                    ids[0, steps] = np.where(none, -1 - chars[0, steps].astype(np.int64), last[0, steps])
+                    rows = rows[:0]
                 while len(rows):
                     piece = last[rows, at[rows] - 1]
                     none = piece == self.v
@@ -317,12 +433,25 @@ class Pieces:
                     used[rows, at[rows] - 1] = True
                     at[rows] -= np.where(none, 1, self.size[piece])
                     rows = rows[at[rows] > 0]
+                wrong = self._differ(ids, used, chars)
                 raw, ends = ids[used].tobytes(), np.cumsum(used.sum(axis=1)) * 4
                 odd = (ids < 0).any(axis=1)
                 for k, a, b, o in zip(part, np.r_[0, ends[:-1]].tolist(), ends.tolist(), odd.tolist(), strict=True):
                     out[k] = self._bytes(np.frombuffer(raw[a:b], dtype=np.int32).tolist()) if o else raw[a:b]
+                for r in wrong:
+                    out[part[r]] = self._exact(words[part[r]])
         return out
 
+    def _differ(self, ids: np.ndarray, used: np.ndarray, chars: np.ndarray) -> list[int]:
+        """Rows in which a piece of the path is not what the word says there: two substrings had one hash."""
+        row, at = np.nonzero(used & (ids >= 0))
+        piece = ids[row, at]
+        size = self.size[piece]
+        inside = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size)
+        there = chars[np.repeat(row, size), np.repeat(at + 1 - size, size) + inside]
+        bad = there != self.points[np.repeat(self.points_at[piece], size) + inside]
+        return np.unique(np.repeat(row, size)[bad]).tolist()
+
     def _bytes(self, ids: list[int]) -> bytes:
         """The ids with those of UTF-8 bytes (or the unknown piece, once a run) for characters without a piece."""
         out: list[int] = []
@@ -335,11 +464,11 @@ class Pieces:
                 out.append(self.unknown)
         return np.array(out, dtype=np.int32).tobytes()
 
-    def encode(self, texts: list[str | None], seen: dict[int, bytes] | None = None, keep: int = 300_000) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str | None], seen: dict[int, tuple[bytes, bytes]] | None = None, keep: int = 300_000) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many belong to each.
 
         A word is white space and what follows up to the next white space; no piece goes across its start (else a text is one word), so each
-        different word is encoded once. ``seen`` keeps up to ``keep`` words between calls, by hash.
+        different word is encoded once. ``seen`` keeps up to ``keep`` words between calls, by hash, with what they are.
         """
         seen = {} if seen is None else seen
         raw = [(" " * self.dummy + t.replace(SPACE, " ")).encode("utf-8", "surrogatepass") if t else b"" for t in texts]
@@ -356,16 +485,22 @@ class Pieces:
         starts = np.flatnonzero(begins)
         ends = np.r_[starts[1:], len(data)]
         hashes, first, index = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        found = [seen.get(h) for h in hashes.tolist()]
+        if not _same_bytes(data, starts, ends, first[index]):  # two words with one hash: told apart by their bytes
+            number: dict[bytes, int] = {}
+            index = np.array([number.setdefault(whole[a:b], len(number)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
+            first = np.unique(index, return_index=True)[1]
+            hashes = np.arange(len(first), dtype=np.uint64)
+            seen = {}
+        spelled = [whole[a:b] for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
+        found = [f[1] if (f := seen.get(h)) is not None and f[0] == w else None for h, w in zip(hashes.tolist(), spelled, strict=True)]
         new = [k for k, f in enumerate(found) if f is None]
-        words = [whole[a:b].decode("utf-8", "surrogatepass").replace(" ", SPACE) for a, b in zip(starts[first[new]].tolist(), ends[first[new]].tolist(), strict=True)]
-        fresh = self.encode_words(words)
+        fresh = self.encode_words([spelled[k].decode("utf-8", "surrogatepass").replace(" ", SPACE) for k in new])
         for k, f in zip(new, fresh, strict=True):
             found[k] = f
         if len(seen) + len(new) > keep:
             seen.clear()
         if len(new) <= keep:
-            seen.update(zip(hashes[new].tolist(), fresh, strict=True))
+            seen.update((h, (spelled[k], f)) for k, h, f in zip(new, hashes[new].tolist(), fresh, strict=True) if len(spelled[k]) <= 256)
         count = np.fromiter((len(f) // 4 for f in found), dtype=np.int64, count=len(found))
         ids = _gather(np.frombuffer(b"".join(found), dtype=np.int32), np.cumsum(count) - count, count, index)
         done = np.r_[0, np.cumsum(count[index])]
@@ -395,9 +530,41 @@ def _gather(values: np.ndarray, at: np.ndarray, size: np.ndarray, index: np.ndar
     return values[start + np.arange(total)]
 
 
+def _same_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, like: np.ndarray) -> bool:
+    """Whether each word has the bytes of the word ``like`` points at; a million bytes at a time."""
+    size = ends - starts
+    if (size != size[like]).any():
+        return False
+    upto = np.cumsum(size)
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(upto, upto[at] - size[at] + (1 << 20))))
+        n = size[at:to]
+        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        if (data[np.repeat(starts[at:to], n) + inside] != data[np.repeat(starts[like[at:to]], n) + inside]).any():
+            return False
+        at = to
+    return True
+
+
 _LOADED: dict[str, Pieces] = {}
 
 
+def _sent(spark: SparkSession, model: str) -> str:
+    """The name under which the model file goes to every executor: models of one name in two folders stay apart."""
+    with open(model, "rb") as f:
+        name = f"{hashlib.sha256(f.read()).hexdigest()[:16]}.model"
+    if name not in _SENT.setdefault(spark.sparkContext.applicationId, set()):
+        copy = f"{tempfile.mkdtemp(prefix='codeloom-')}/{name}"
+        shutil.copyfile(model, copy)
+        spark.sparkContext.addFile(copy)
+        _SENT[spark.sparkContext.applicationId].add(name)
+    return name
+
+
+_SENT: dict[str, set[str]] = {}
+
+
 def _pieces(name: str) -> Pieces:
     """The model of this Python worker, read once."""
     if name not in _LOADED:
@@ -414,8 +581,7 @@ def encode_pieces(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_c
     other columns are not read. Texts are worked on about ``slice_chars`` characters at a time; one longer text is one slice.
     """
     spark = docs.sparkSession
-    spark.sparkContext.addFile(model)
-    name = model.rsplit("/", 1)[-1]
+    name = _sent(spark, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, seen = _pieces(name), {}
@@ -438,8 +604,7 @@ def encode_pieces(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_c
 def decode_pieces(encoded: DataFrame, model: str, *, id_col: str = "doc_id", tokens_col: str = "tokens") -> DataFrame:
     """(doc_id, text) of every row of ids: null for null. Ids outside the model are an error."""
     spark = encoded.sparkSession
-    spark.sparkContext.addFile(model)
-    name = model.rsplit("/", 1)[-1]
+    name = _sent(spark, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(name)

@@ -95,6 +95,76 @@ def test_unigram_equals_the_library(tmp_path, case):
         assert ours.decode(ids, counts) == texts
 
 
+def long_texts(seed):
+    rng = random.Random(seed)
+    han = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(400))
+    for letters, n in ((han, 20_000), ("etaoinshrdlu", 20_000), ("a", 5000), (["die", "ing", "tion", "漢", "字", "Q", "é", "🙂"], 3000), ("ab▁ ", 500), (han[:3] + " ", 900)):
+        yield "".join(rng.choice(letters) for _ in range(n))
+
+
+def test_texts_without_spaces_equal_the_library(model):
+    ours, library = model
+    for t in long_texts(1):
+        assert ours.encode([t])[0].tolist() == library.encode(t)
+    assert ours.encode([t[:k] for t in long_texts(2) for k in range(20, 60)])[0].tolist() == [i for t in long_texts(2) for k in range(20, 60) for i in library.encode(t[:k])]
+
+
+def test_a_million_characters_without_spaces_take_few_steps(model, monkeypatch):
+    ours, _ = model
+    steps = []
+    monkeypatch.setattr(pieces.Pieces, "_ending", lambda self, *a, f=pieces.Pieces._ending: steps.append(1) or f(self, *a))
+    monkeypatch.setattr(pieces.Pieces, "_lonely", lambda self, c, f=pieces.Pieces._lonely: steps.append(len(c)) or f(self, c))
+    rng = random.Random(5)
+    letters = [chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(3000)]
+    text = "".join(rng.choice(letters) for _ in range(350_000))
+    ids, _ = ours.encode([text])
+    assert sum(steps) < 50_000 and ours.decode(ids, np.array([len(ids)])) == [text]
+
+
+def test_long_unigram_words_equal_the_library(tmp_path):
+    rng = random.Random(6)
+    listed = {"".join(rng.choice("abcdef") for _ in range(rng.randrange(1, 5))) for _ in range(300)} | set("abcde▁")
+    path = model_file(tmp_path / "own.model", SPECIAL + [(p, -rng.uniform(1, 12), 1) for p in sorted(listed)], 1)
+    ours, library = pieces.Pieces(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    for _ in range(40):
+        t = "".join(rng.choice("abcdeé日") for _ in range(rng.randrange(25, 400)))
+        best = lambda path: round(sum(float(ours.score[i]) for i in path), 2)
+        got = ours.encode([t])[0].tolist()
+        assert best(got) == best(library.encode(t)) and library.decode(got) == library.decode(library.encode(t))
+        few, pieces.FEW_ROWS = pieces.FEW_ROWS, 0
+        try:
+            assert ours.encode([t])[0].tolist() == got  # step by step and one by one alike
+        finally:
+            pieces.FEW_ROWS = few
+
+
+def test_equal_hashes_do_not_decide(model, monkeypatch):
+    _, library = model
+    ours = pieces.Pieces(MODEL)
+    texts = ["the thing that was here", "other things there", "thethingthatwasheretherethenandeverywhereelse" * 3]
+    want = [i for t in texts for i in library.encode(t)]
+    monkeypatch.setattr(pieces, "word_hashes", lambda data, starts, ends: np.zeros(len(starts), dtype=np.uint64))
+    assert ours.encode(texts)[0].tolist() == want
+    spot = {i: k for k, i in enumerate(ours.key_id.tolist())}
+    a, b = (spot[ours.id_of[p]] for p in ("▁the", "▁was"))
+    ours.key_id[[a, b]] = ours.key_id[[b, a]]  # as if their hashes were each other's
+    assert ours.encode(texts)[0].tolist() == want
+    seen = {}
+    monkeypatch.undo()
+    clean = pieces.Pieces(MODEL)
+    clean.encode(["abc"], seen)
+    seen.update({h: (b" else", b"") for h in list(seen)})
+    assert clean.encode(["abc"], seen)[0].tolist() == library.encode("abc")
+
+
+def test_models_of_one_name_stay_apart(spark, tmp_path):
+    for k, letters in enumerate(("abc▁", "cba▁")):
+        (tmp_path / str(k)).mkdir()
+        model_file(tmp_path / str(k) / "m.model", SPECIAL + [(c, -1.0, 1) for c in letters], 1)
+    got = [pieces.encode_pieces(docs(spark, [(1, "abc")]), str(tmp_path / str(k) / "m.model")).first()["tokens"] for k in (0, 1)]
+    assert got == [[6, 3, 4, 5], [6, 5, 4, 3]]
+
+
 def test_models_that_ask_for_more_are_refused(tmp_path):
     letters = [(c, -1.0, 1) for c in "abc▁"]
     for listed, kind, trainer, normalizer in ((letters, 4, b"", b"\x20\x00"), (letters, 1, b"", b""), (letters, 1, b"", b"\x20\x00\x28\x00"), (letters, 1, b"", b"\x20\x00\x12\x01x"), ([*letters, ("user", 0.0, 4)], 1, b"", b"\x20\x00"), (letters, 1, b"\xc0\x01\x01", b"\x20\x00")):
