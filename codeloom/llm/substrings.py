@@ -211,6 +211,20 @@ def _all(group: pd.DataFrame, column: str, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(group[column]), dtype=dtype)
 
 
+def _among(h: np.ndarray, a: np.ndarray, told_h: np.ndarray, told_a: np.ndarray) -> np.ndarray:
+    """Which pairs (h, a) are among the told ones; both columns count."""
+    order = np.lexsort((told_a, told_h))
+    told_h, told_a = told_h[order], told_a[order]
+    out, at, end = np.zeros(len(h), dtype=bool), np.searchsorted(told_h, h), np.searchsorted(told_h, h, side="right")
+    open_ = np.flatnonzero(at < end)
+    while len(open_):  # a spelling has one anchor, unless hashes clash
+        hit = told_a[at[open_]] == a[open_]
+        out[open_[hit]] = True
+        at[open_] += 1
+        open_ = open_[~hit & (at[open_] < end[open_])]
+    return out
+
+
 def drop_repeats(
     docs: DataFrame, *, window: int = 20, pack_bytes: int = 5 << 20, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None
 ) -> DataFrame:
@@ -320,9 +334,7 @@ def drop_repeats(
         gone[order] = (ids[order] != ids[first]) | (place[order] != place[first])
         # earlier elsewhere
         if len(told) and len(which):
-            told_key = np.sort(mix64(_all(told, "anchors", np.uint32).astype(np.uint64)) ^ _all(told, "hashes", np.uint64))
-            own = mix64(a.astype(np.uint64)) ^ h
-            gone |= told_key[np.minimum(np.searchsorted(told_key, own), len(told_key) - 1)] == own
+            gone |= _among(h, a, _all(told, "hashes", np.uint64), _all(told, "anchors", np.uint32))
         drop = p.covered(which[gone])
         raw, total, removed, kept = p.data.tobytes(), [], [], []
         for f, t in zip(p.first.tolist(), p.last.tolist(), strict=True):

@@ -102,6 +102,15 @@ def long_texts(seed):
         yield "".join(rng.choice(letters) for _ in range(n))
 
 
+def test_told_windows_match_by_both_hashes():
+    rng = np.random.default_rng(1)
+    told_h, told_a = rng.integers(0, 6, 40).astype(np.uint64), rng.integers(0, 6, 40).astype(np.uint32)
+    h, a = rng.integers(0, 7, 300).astype(np.uint64), rng.integers(0, 7, 300).astype(np.uint32)
+    told = set(zip(told_h.tolist(), told_a.tolist()))
+    assert substrings._among(h, a, told_h, told_a).tolist() == [p in told for p in zip(h.tolist(), a.tolist())]
+    assert not substrings._among(h[:0], a[:0], told_h, told_a).size and not substrings._among(h, a, told_h[:0], told_a[:0]).any()
+
+
 def test_texts_without_spaces_equal_the_library(model):
     ours, library = model
     for t in long_texts(1):
