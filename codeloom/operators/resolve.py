@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import paths as P
 from codeloom.operators.extract import calls_of, imports_of, symbols_of
+from codeloom.schemas import EXTRACTOR_VERSION
 
 # Fixed values, in the order of preference.
 SUFFIXES = [".ts", ".tsx", ".js", ".jsx"]
@@ -35,30 +36,61 @@ def _script_candidates(directory: Column, module: Column) -> Column:
     return F.when(module.startswith("./") | module.startswith("../"), F.array(*[index(e) for e in ends])).otherwise(F.array().cast("array<string>"))
 
 
-def resolved_imports(files: DataFrame) -> DataFrame:
-    """One row an import with ``target_path``: the first candidate that is a file of the repository, else null.
+#: What decides where an import leads: rows that agree in these share their candidates.
+_KEY = ["analysis_id", "__script", "__dir", "module", "level"]
 
-    Equal (directory, module, level) pairs of a repository are resolved once. The candidates join the paths on
-    (analysis_id, path), the best per pair is kept and joined back, so nothing multiplies.
-    """
+
+def _keyed(files: DataFrame) -> DataFrame:
+    """Imports with the directory and the kind of script that their candidates depend on."""
     script = ~F.col("language").eqNullSafe("python")
     imports = imports_of(files).withColumn("__dir", P.dirname(F.col("path"))).withColumn("__script", script)
     # absolute modules do not depend on the directory
     own = F.when((F.col("level") == 0) & ~(F.col("__script") & F.col("module").startswith(".")), F.lit("")).otherwise(F.col("__dir"))
-    imports = imports.withColumn("__dir", own)
-    key = ["analysis_id", "__script", "__dir", "module", "level"]
-    asked = imports.select(*key).distinct()
-    candidates = F.when(F.col("__script"), _script_candidates(F.col("__dir"), F.col("module"))).otherwise(
+    return imports.withColumn("__dir", own)
+
+
+def _candidates(imports: DataFrame) -> DataFrame:
+    """The different keys of ``imports`` with each path that may answer them, and its rank."""
+    paths = F.when(F.col("__script"), _script_candidates(F.col("__dir"), F.col("module"))).otherwise(
         F.transform(_python_candidates(F.col("__dir"), F.col("module"), F.col("level")), P.normpath)
     )
+    return imports.select(*_KEY).distinct().select(*_KEY, F.posexplode(paths).alias("__pos", "__candidate"))
+
+
+def _resolved(imports: DataFrame, files: DataFrame) -> DataFrame:
     known = files.select("analysis_id", F.col("path").alias("__candidate")).distinct()
-    found = (
-        asked.select(*key, F.posexplode(candidates).alias("__pos", "__candidate"))
-        .join(known, ["analysis_id", "__candidate"])
-        .groupBy(*key)
-        .agg(F.min_by("__candidate", "__pos").alias("target_path"))
-    )
-    return imports.join(found, key, "left").drop("__dir", "__script")
+    found = _candidates(imports).join(known, ["analysis_id", "__candidate"]).groupBy(*_KEY).agg(F.min_by("__candidate", "__pos").alias("target_path"))
+    return imports.join(found, _KEY, "left").drop("__dir", "__script")
+
+
+def resolved_imports(files: DataFrame) -> DataFrame:
+    """One row an import with ``target_path``: the first candidate that is a file of the repository, else null.
+
+    Equal (directory, module, level) pairs of a repository are resolved once. The candidates join the paths on
+    (analysis_id, path), the best per pair is kept and joined back, so nothing multiplies.
+    """
+    return _resolved(_keyed(files), files)
+
+
+def resolved_again(files: DataFrame, before: DataFrame, targets: DataFrame) -> DataFrame:
+    """``resolved_imports(files)`` of one repository with ``re_resolved``, from what an analysis before found. ``before``: all of its
+    files (path, content_hash, extractor_version); ``targets``: (path, ord, target_path) of its imports.
+
+    An import of an unchanged file leads where it led, unless one of its candidates is a path that came or went since. So
+    the candidates meet only those paths, not all of them, and only imports of changed files and those that can see a path that
+    came or went are resolved anew.
+    """
+    same = before.where((F.col("extractor_version") == EXTRACTOR_VERSION) & F.col("content_hash").isNotNull()).select("path", "content_hash").distinct()
+    unchanged = files.select("path", "content_hash").join(same, ["path", "content_hash"], "left_semi").select("path")
+    now, old = files.select("path"), before.select("path")
+    moved = now.join(old, "path", "left_anti").unionByName(old.join(now, "path", "left_anti")).distinct().withColumnRenamed("path", "__candidate")
+    imports = _keyed(files)
+    kept = imports.join(unchanged, "path", "left_semi")
+    sees = _candidates(kept).join(moved, "__candidate", "left_semi").select(*_KEY).distinct()
+    anew = imports.join(unchanged, "path", "left_anti").unionByName(kept.join(sees, _KEY, "left_semi"))
+    rest = kept.join(sees, _KEY, "left_anti").join(targets.select("path", "ord", "target_path"), ["path", "ord"], "left").drop("__dir", "__script")
+    found = _resolved(anew, files)
+    return found.withColumn("re_resolved", F.lit(True)).unionByName(rest.select(*found.columns).withColumn("re_resolved", F.lit(False)))
 
 
 def import_edges(resolved: DataFrame) -> DataFrame:

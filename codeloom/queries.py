@@ -246,6 +246,14 @@ def incremental_call_edges(spark, d):
     return again.call_edges.select("source_path", "source_symbol", "target_path", "target_symbol", "callee_name", "target_parent")
 
 
+def incremental_imports(spark, d):
+    """The import edges of a second analysis that resolves anew only what files that changed, came or went can touch."""
+    first = python_analysis(spark, d).files
+    old = written(first.where(F.xxhash64("path") % 50 != 0).withColumn("content_hash", F.when(F.xxhash64("path") % 7 == 0, F.sha2("path", 256)).otherwise(F.col("content_hash"))))
+    again = resolve.resolved_again(first, old, written(resolve.resolved_imports(old)))
+    return resolve.import_edges(again).select("source_path", "target_path", "external_module")
+
+
 def impact_summary(spark, d):
     a = python_analysis(spark, d)
     columns = ("path", "name", "kind", "parent", "direct_callers", "affected_files", "affected_tests", "affected_symbols", "fan_in")
@@ -482,7 +490,7 @@ def rate_limit_hot_client(spark, d):
 def queries() -> dict:
     plain = (
         import_cycles_joined, affected_by_labels, stored_insights, stored_nesting, stored_baseline, indexed_search, ordered_imports, ordered_calls, ordered_fan, graph_layout, debounced_search,
-        rate_limit_hot_client,
+        rate_limit_hot_client, incremental_imports,
         file_metrics, language_counts, file_languages, large_files, size_guard, url_validation, test_file_flag, py_symbols, py_import_edges, ts_import_edges, ts_call_edges, call_edges,
         analysis_statistics, fan_in_out, top_connected, visible_edges, import_cycles, affected_files, isolated_files, node_states, impact_summary, risk_flags, direct_callers, file_tree,
         symbol_search, latest_job, claimable_jobs, rate_limit_window, rate_limit_replay, relative_times, incremental_reuse, error_summaries,
@@ -630,6 +638,7 @@ def oracle_sql() -> dict[str, str]:
               UNION SELECT path, 'affected_symbols', source_path || ':' || source_symbol FROM c)""",
         "stored_references": f"""WITH {_F1}, {_CALLS} SELECT target_path AS of_path, target_parent AS of_parent, target_symbol AS of_name, source_path AS caller_path, source_symbol AS caller, callee_name AS called_name
             FROM calls WHERE target_path IS NOT NULL""",
+        "incremental_imports": f"WITH {_F1} SELECT DISTINCT source AS source_path, target AS target_path, NULL AS external_module FROM e UNION ALL SELECT path, NULL, 'os' FROM p WHERE ext",
         "incremental_call_edges": f"WITH {_F1}, {_CALLS} SELECT * FROM calls",
         "client_addresses": """SELECT page_id, CASE page_id % 4 WHEN 1 THEN '10.0.0.' || page_id WHEN 2 THEN '10.1.0.' || page_id ELSE 'peer' || page_id END AS client_ip FROM pages""",
         "affected_by_labels": f"WITH RECURSIVE {_F1}, {_REACH} SELECT target, path FROM reach",

@@ -1,5 +1,9 @@
+import random
+
+from pyspark.sql import functions as F
+
 from codeloom.operators import resolve
-from codeloom.schemas import FILE, IMPORT, SYMBOL
+from codeloom.schemas import EXTRACTOR_VERSION, FILE, IMPORT, SYMBOL
 
 
 def imp(module, level=0, local=None, name=None, star=False):
@@ -58,3 +62,34 @@ def test_calls(spark):
         (None, "x", "c.py", "g", None), ("K", "own", "a.py", "own", None), ("K", "m", "a.py", "m", "K"), (None, "m", None, None, None), ("K", "own", None, None, None),
         (None, "v", None, None, None), (None, "lost", None, None, None), (None, "plain", None, None, None),
     }
+
+
+def test_only_what_can_lead_elsewhere_is_resolved_again(spark):
+    rng = random.Random(7)
+    modules = [f"m{i}" for i in range(30)]
+
+    def repository(keep):
+        rows = {}
+        for i, m in enumerate(modules):
+            if m in keep:
+                own = random.Random(i)
+                rows[f"{m}.py" if i % 2 else f"src/{m}/__init__.py"] = ("python", [imp(own.choice(modules)) for _ in range(4)], [], [])
+                rows[f"w/{m}.ts"] = ("typescript", [imp(f"./{own.choice(modules)}") for _ in range(3)], [], [])
+                if i % 3 == 0:
+                    rows[f"w/{m}.js"] = ("javascript", [], [], [])
+        return rows
+
+    first, second = set(modules) - {"m3", "m8"}, set(modules) - {"m5", "m12"}
+    old, new = files(spark, repository(first)), files(spark, repository(second))
+    old, new = (f.withColumns({"extractor_version": F.lit(EXTRACTOR_VERSION), "content_hash": F.sha2("path", 256)}) for f in (old, new))
+    new = new.withColumn("content_hash", F.when(F.col("path") == "w/m1.ts", "other").otherwise(F.col("content_hash")))
+    columns = ["path", "ord", "module", "target_path"]
+    got = resolve.resolved_again(new, old, resolve.resolved_imports(old)).cache()
+    want = resolve.resolved_imports(new)
+    assert sorted(map(str, got.select(*columns).collect())) == sorted(map(str, want.select(*columns).collect()))
+    again = {(r["path"], r["module"]) for r in got.where("re_resolved").collect()}
+    moved = {"m3", "m8", "m5", "m12"}
+    assert {m.lstrip("./") for p, m in again if p not in ("w/m1.ts",) and p.split("/")[-1].split(".")[0] not in moved and not p.endswith("__init__.py")} <= moved
+    assert 0 < len(again) < got.select("path", "module").distinct().count() / 2
+    stale = old.withColumn("extractor_version", F.lit(EXTRACTOR_VERSION - 1))
+    assert resolve.resolved_again(new, stale, resolve.resolved_imports(old)).where("NOT re_resolved").isEmpty()
