@@ -85,3 +85,20 @@ def test_summary_of_small_groups(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 2.0), ("a", 4.0), ("a", 10.0), ("b", 3.0), ("b", None), ("c", None)], "g string, v double")
     got = {r["group"]: (r["n"], r["mean"], r["median"], r["percentile"]) for r in stats.summary(df, "g", "v").collect()}
     assert got == {"a": (4, 4.25, 3.0, 10.0), "b": (1, 3.0, 3.0, 3.0)}
+
+
+def test_limits_of_a_stream_out_of_order(spark, tmp_path):
+    rng = random.Random(11)
+    rows = sorted((rng.randrange(4 * 3600), rng.choice(["a", "a", "b", None])) for _ in range(200))
+    rows = [(k, c, T0 + dt.timedelta(seconds=s)) for k, (s, c) in enumerate(rows)]
+    asked = spark.createDataFrame(rows, "request_id long, client_ip string, ts timestamp")
+    want = {(r["request_id"], r["accepted"]) for r in J.replay_limits(asked.withColumn("ts", F.col("ts").cast("timestamp_ntz"))).collect()}
+    shuffled = sorted(rows, key=lambda r: r[2] + dt.timedelta(seconds=rng.randrange(500)))  # late by up to 500 s
+    last = [(10_000, "z", T0 + dt.timedelta(days=1))]
+    for k, part in enumerate([shuffled[:70], shuffled[70:140], shuffled[140:], last]):
+        spark.createDataFrame(part, asked.schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(asked.schema).parquet(str(tmp_path / "in"))
+        query = J.stream_limits(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+        query.awaitTermination()
+    got = [(r["request_id"], r["accepted"]) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
+    assert len(got) == len(rows) and set(got) == want and any(not ok for _, ok in got)
