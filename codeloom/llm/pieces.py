@@ -376,29 +376,33 @@ class Pieces:
             parts = best[-1][1]
         return self._bytes([self.id_of.get(p, -1 - ord(p[0])) for p in parts])
 
-    def _cut(self, words: list[str]) -> tuple[list[str], list[list[int]]]:
-        """The different parts of all words, cut where no piece crosses, and which of them each word is."""
-        parts: dict[str, int] = {}
-        of = []
-        for w in words:
-            if len(w) <= CUT_FROM:
-                of.append([parts.setdefault(w, len(parts))])
-                continue
-            chars = np.frombuffer(w.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-            key = chars[:-1].astype(np.uint64) << np.uint64(32) | chars[1:].astype(np.uint64)
-            free = self.beside[np.minimum(np.searchsorted(self.beside, key), len(self.beside) - 1)] != key
-            if not self.byte:  # a run of unknown characters is one token
-                own = self.single[np.minimum(np.searchsorted(self.single, chars), len(self.single) - 1)] == chars
-                free &= own[:-1] & own[1:]
-            cuts = [0, *(np.flatnonzero(free) + 1).tolist(), len(w)]
-            of.append([parts.setdefault(w[a:b], len(parts)) for a, b in zip(cuts, cuts[1:])])
-        return list(parts), of
+    def _cut(self, word: str) -> list[str]:
+        """A long word's parts between the places that no piece crosses."""
+        chars = np.frombuffer(word.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        key = chars[:-1].astype(np.uint64) << np.uint64(32) | chars[1:].astype(np.uint64)
+        free = self.beside[np.minimum(np.searchsorted(self.beside, key), len(self.beside) - 1)] != key
+        if not self.byte:  # a run of unknown characters is one token
+            own = self.single[np.minimum(np.searchsorted(self.single, chars), len(self.single) - 1)] == chars
+            free &= own[:-1] & own[1:]
+        cuts = [0, *(np.flatnonzero(free) + 1).tolist(), len(word)]
+        return [word[a:b] for a, b in zip(cuts, cuts[1:])]
 
     def encode_words(self, words: list[str]) -> list[bytes]:
         """Ids of each word, packed."""
-        parts, of = self._cut(words)
-        done = self._encode_parts(parts)
-        return [done[k[0]] if len(k) == 1 else b"".join([done[i] for i in k]) for k in of]
+        size = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        long = np.flatnonzero(size > CUT_FROM).tolist()
+        if not long:
+            return self._encode_parts(words)
+        parts: dict[str, int] = {}
+        of = [[parts.setdefault(p, len(parts)) for p in self._cut(words[k])] for k in long]
+        short = np.flatnonzero(size <= CUT_FROM).tolist()
+        done = self._encode_parts([*(words[k] for k in short), *parts])
+        out = [b""] * len(words)
+        for k, ids in zip(short, done):
+            out[k] = ids
+        for k, numbers in zip(long, of, strict=True):
+            out[k] = b"".join([done[len(short) + i] for i in numbers])
+        return out
 
     def _encode_parts(self, words: list[str]) -> list[bytes]:
         """Words of equal length advance together."""
@@ -485,7 +489,7 @@ class Pieces:
         starts = np.flatnonzero(begins)
         ends = np.r_[starts[1:], len(data)]
         hashes, first, index = np.unique(word_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        if not _same_bytes(data, starts, ends, first[index]):  # two words with one hash: told apart by their bytes
+        if not _same_bytes(whole, starts, ends, first[index]):  # two words with one hash: told apart by their bytes
             number: dict[bytes, int] = {}
             index = np.array([number.setdefault(whole[a:b], len(number)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)])
             first = np.unique(index, return_index=True)[1]
@@ -530,21 +534,21 @@ def _gather(values: np.ndarray, at: np.ndarray, size: np.ndarray, index: np.ndar
     return values[start + np.arange(total)]
 
 
-def _same_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, like: np.ndarray) -> bool:
-    """Whether each word has the bytes of the word ``like`` points at; a million bytes at a time."""
+def _same_bytes(whole: bytes, starts: np.ndarray, ends: np.ndarray, like: np.ndarray) -> bool:
+    """Whether each word has the bytes of the word ``like`` points at: eight at a time, beyond 64 by the whole word."""
     size = ends - starts
     if (size != size[like]).any():
         return False
-    upto = np.cumsum(size)
-    at = 0
-    while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(upto, upto[at] - size[at] + (1 << 20))))
-        n = size[at:to]
-        inside = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-        if (data[np.repeat(starts[at:to], n) + inside] != data[np.repeat(starts[like[at:to]], n) + inside]).any():
+    eight = np.ndarray((len(whole),), dtype="<u8", buffer=whole + bytes(8), strides=(1,))  # the eight bytes from each place on
+    keep = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+    rows, other = np.flatnonzero(size <= 64), starts[like]
+    for k in range(0, 64, 8):
+        rows = rows[size[rows] > k]
+        if not len(rows):
+            break
+        if ((eight[starts[rows] + k] ^ eight[other[rows] + k]) & keep[np.minimum(size[rows] - k, 8)]).any():
             return False
-        at = to
-    return True
+    return all(whole[starts[i] : ends[i]] == whole[other[i] : other[i] + size[i]] for i in np.flatnonzero(size > 64).tolist())
 
 
 _LOADED: dict[str, Pieces] = {}
