@@ -19,7 +19,7 @@ from codeloom.operators import graph, impact, incremental, resolve
 from codeloom.plans.analysis import Analysis, analyze
 from codeloom.plans.api import Engine, latest_per_repository, recent_repositories
 from codeloom.schemas import EXTRACTOR_VERSION
-from codeloom.sources.tree import read_table
+from codeloom.sources.tree import read_table, repository_sizes
 from codeloom.streaming import jobs as J
 from codeloom.tables import numbered, shared_dir, written
 
@@ -120,8 +120,9 @@ def large_files(spark, d):
 
 
 def size_guard(spark, d):
-    sizes = table(spark, d, "documents").groupBy("source").agg(F.sum(F.octet_length("text")).alias("total_bytes"))
-    return sizes.select("source", "total_bytes", (F.col("total_bytes") > 128 * 1024).alias("too_large"))
+    """Each source of documents as a repository, held against a cap of an eighth of a megabyte."""
+    files = table(spark, d, "documents").select("source", F.col("source").alias("analysis_id"), F.encode("text", "UTF-8").alias("content"))
+    return repository_sizes(files, 1 / 8).select(F.col("analysis_id").alias("source"), "total_bytes", "too_large")
 
 
 def url_validation(spark, d):

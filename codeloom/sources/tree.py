@@ -76,10 +76,15 @@ def read_table(df: DataFrame, analysis_id: str = "local", partitions: int | None
     return df.select(F.col("analysis_id") if "analysis_id" in df.columns else F.lit(analysis_id).alias("analysis_id"), "path", content.alias("content"))
 
 
-def enforce_size_cap(source: DataFrame, max_mb: int = MAX_REPOSITORY_MB) -> None:
-    """An error if any repository of the source, ignored files included, exceeds the cap."""
-    over = source.groupBy("analysis_id").agg(F.sum(F.octet_length("content")).alias("n")).where(F.col("n") > max_mb * 1024 * 1024)
-    if not over.isEmpty():
+def repository_sizes(source: DataFrame, max_mb: float = MAX_REPOSITORY_MB) -> DataFrame:
+    """(analysis_id, total_bytes, too_large) of each repository of the source, ignored files included."""
+    sizes = source.groupBy("analysis_id").agg(F.sum(F.octet_length("content")).alias("total_bytes"))
+    return sizes.withColumn("too_large", F.col("total_bytes") > max_mb * 1024 * 1024)
+
+
+def enforce_size_cap(source: DataFrame, max_mb: float = MAX_REPOSITORY_MB) -> None:
+    """An error if any repository of the source exceeds the cap."""
+    if not repository_sizes(source, max_mb).where("too_large").isEmpty():
         raise RepositoryTooLarge(f"Repository exceeds the {max_mb}MB size cap")
 
 
