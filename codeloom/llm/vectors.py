@@ -105,7 +105,7 @@ def permutation_search(
     A vector only meets those of its length; lengths that the sample does not hold are scored whole.
     Vectors that are null, empty, zero or hold a null or non-finite component are neither queries nor candidates, nor are rows without
     an id; ids are integers. Rows that repeat an id are separate candidates, but none of them is one
-    for a query of that id. Fewer candidates than k_nearest: all. No usable rows: an empty result. Other columns are not read.
+    for a query of that id. A product that double precision cannot hold is not a number: such a score is null and comes last. Fewer candidates than k_nearest: all. No usable rows: an empty result. Other columns are not read.
     """
     rows = _usable_rows(df, id_col, vector_col)
     chosen = {n: spread_pivots(unit_vectors(v), pivots, 0.0) for n, v in _sample(rows, sample_rows).items()}  # far apart, so that a crowd of near copies does not fill the pivots

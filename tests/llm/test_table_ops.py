@@ -309,6 +309,13 @@ def table(spark, rows):
 ODD = [(9001, None), (9002, []), (9003, [0.0] * 16), (9004, [1.0] * 15 + [float("nan")]), (9005, [1.0] * 15 + [float("inf")]), (9006, [1.0] * 15 + [None]), (None, [1.0] * 16)]
 
 
+def test_scores_beyond_double_precision(spark):
+    big = 1e200
+    df = spark.createDataFrame([(0, [big, big]), (1, [big, -big]), (2, [1.0, 1.0]), (3, [big, big])], "vec_id long, embedding array<double>")
+    got = [(r["vec_id"], r["score"]) for r in vectors.permutation_search(df).where("query_id = 0").orderBy("rank").collect()]
+    assert got == [(3, float("inf")), (2, 2 * big), (1, None)]
+
+
 def test_search_recall_and_exact_scores(spark):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(3000, 16)).astype(np.float32)
