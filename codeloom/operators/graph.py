@@ -668,13 +668,17 @@ def layers(edges: DataFrame) -> DataFrame:
                 if not waits[w]:
                     todo.append(w)
         layer = layer[label]
-        place = np.zeros(len(names))
-        for depth in range(int(layer.max()) + 1 if len(names) else 0):
-            own = np.flatnonzero(layer == depth)
-            into = (layer[t] == depth) & (layer[s] < depth)
-            n, total = np.bincount(t[into], minlength=len(names)), np.bincount(t[into], place[s[into]], minlength=len(names))
-            mean = total[own] / np.maximum(1, n[own])
-            place[own[np.lexsort((own, mean))]] = np.arange(len(own))
+        place, within = np.zeros(len(names)), np.zeros(len(names), dtype=np.int64)
+        forward = layer[s] < layer[t]
+        s, t = s[forward], t[forward]
+        by_edge, by_node = np.argsort(layer[t], kind="stable"), np.argsort(layer, kind="stable")
+        depths = np.arange(int(layer.max()) + 2 if len(names) else 1)
+        edge_at, node_at = np.searchsorted(layer[t][by_edge], depths), np.searchsorted(layer[by_node], depths)
+        for depth in depths[:-1].tolist():  # each edge and file is looked at once
+            own, into = by_node[node_at[depth] : node_at[depth + 1]], by_edge[edge_at[depth] : edge_at[depth + 1]]
+            within[own] = np.arange(len(own))
+            n, total = (np.bincount(within[t[into]], w, minlength=len(own)) for w in (None, place[s[into]]))
+            place[own[np.lexsort((own, total / np.maximum(1, n)))]] = np.arange(len(own))
         return pd.DataFrame({"analysis_id": part["analysis_id"].iloc[0], "path": names, "layer": layer, "place": place.astype(np.int64)})
 
     return edges.distinct().groupBy("analysis_id").applyInPandas(run, "analysis_id string, path string, layer int, place int")
