@@ -468,7 +468,7 @@ class Pieces:
                 out.append(self.unknown)
         return np.array(out, dtype=np.int32).tobytes()
 
-    def encode(self, texts: list[str | None], seen: dict[int, tuple[bytes, bytes]] | None = None, keep: int = 300_000) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, texts: list[str | None], seen: dict[int, tuple[bytes, bytes]] | None = None, keep: int = 150_000) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and how many belong to each.
 
         A word is white space and what follows up to the next white space; no piece goes across its start (else a text is one word), so each
@@ -576,7 +576,7 @@ def _pieces(name: str) -> Pieces:
     return _LOADED[name]
 
 
-def encode_pieces(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text", slice_chars: int = 1 << 21) -> DataFrame:
+def encode_pieces(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_col: str = "text", slice_chars: int = 1 << 20) -> DataFrame:
     """(doc_id, n_tokens, tokens, round_trip) of every row: the ids of the model file ``model`` and whether decoding gives the text.
 
     The file goes to every executor with the job. The white space that separates words is U+2581 in pieces, so a text
