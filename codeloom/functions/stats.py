@@ -40,7 +40,8 @@ def values_at(df: DataFrame, places: DataFrame, *, bins: int = 1000, few: int |
         rest_ = rest.join(F.broadcast(open_), ["group", "place"])
         edges = written(rest_.groupBy("group", "place").agg(F.array_sort(F.array_distinct(F.percentile_approx("value", grid, 10 * bins))).alias("edges")))
         # part 2 i holds what lies between two edges, part 2 i + 1 what equals edge i
-        below = F.size(F.filter("edges", lambda e: e < F.col("value")))
+        steps = F.array(*[F.lit(1 << k) for k in reversed(range(bins.bit_length()))])  # how many edges are below, by halving
+        below = F.aggregate(steps, F.lit(0), lambda at, k: F.when(F.get("edges", at + k - 1) < F.col("value"), at + k).otherwise(at))
         parted = rest_.join(F.broadcast(edges), ["group", "place"]).withColumn("part", 2 * below + F.coalesce((F.get("edges", below) == F.col("value")).cast("int"), F.lit(0)))
         parted = written(parted.select("group", "place", "at", "value", "part"))
         counts = parted.groupBy("group", "place", "at", "part").agg(F.count("*").alias("c"))  # at most two rows a bin

@@ -35,6 +35,22 @@ def test_a_hot_client_is_spread(spark):
         J.requests_in_window(df, 10, buckets=7)
 
 
+def test_a_window_count_sums_no_row_again(spark):
+    """A frame from the current row to the end would be summed anew for each row, a bucket's square."""
+    df = spark.range(100).select(F.lit("hot").alias("client_ip"), (F.lit(T0).cast("timestamp_ntz") + F.make_dt_interval(secs=F.col("id"))).alias("ts"))
+    plan = J.requests_in_window(df, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "Window " in plan and "currentrow$(), unboundedfollowing$()" not in plan
+
+
+def test_values_are_placed_among_edges_by_halving(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(stats, "written", lambda df, f=stats.written: plans.append(df._jdf.queryExecution().executedPlan().toString()) or f(df))
+    df = spark.range(500).select(F.lit("g").alias("group"), F.col("id").cast("double").alias("value"))
+    got = stats.values_at(df, spark.createDataFrame([("g", p) for p in (0, 250, 499)], "group string, place long"), bins=32, few=10)
+    assert {(r["place"], r["value"]) for r in got.collect()} == {(0, 0.0), (250, 250.0), (499, 499.0)}
+    assert not any("filter(edges" in p for p in plans)
+
+
 def typed(spark, rows):
     return spark.createDataFrame([(c, T0 + dt.timedelta(milliseconds=m), k, f"t{k}") for k, (c, m) in enumerate(rows)], "client string, ts timestamp, event_id long, text string")
 
