@@ -67,6 +67,13 @@ def test_relative_time(spark):
     assert got == ["just now", "5m ago", "3h ago", "2d ago", "2024-01-21"]
 
 
+def test_relative_time_counts_from_the_nearest_second(spark):
+    now = dt.datetime(2024, 3, 1, 12, 0, 0, 700_000)
+    ago = [dt.timedelta(seconds=29, microseconds=700_000), dt.timedelta(seconds=89, microseconds=100_000), dt.timedelta(seconds=29), dt.timedelta(seconds=28, microseconds=600_000)]
+    got = column(spark, [now - a for a in ago], lambda c: FT.relative_time(c, F.lit(now).cast("timestamp_ntz")), "timestamp_ntz")
+    assert got == ["1m ago", "2m ago", "1m ago", "just now"]
+
+
 def test_white_space_of_any_kind_goes(spark):
     assert column(spark, ["\tfatal: x\r\nmore", " a "], FT.error_summary) == ["fatal: x", "a"]
     assert column(spark, ["\tCloning into 'x'\r\n\tfatal: no \t\r\n"], FT.clone_message) == ["fatal: no"]
