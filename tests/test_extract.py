@@ -116,3 +116,15 @@ def test_long_type_arguments_are_followed_to_their_end():
     long = ", ".join(f"T{i}" for i in range(200))
     _, _, calls = js(f"make<{long}>();\nfor (let i = 0; i < n; i++) go(i);\nif (a < b) run();\nconst f = <{'Very' * 100}Long, U>(x: U) => id(x);\n", ".tsx")
     assert [c[0] for c in calls] == ["make", "go", "run", "id"]
+
+
+def test_few_files_are_objects_at_once():
+    import pyarrow as pa
+
+    from codeloom.operators import extract as X
+
+    n = 1000
+    batch = pa.RecordBatch.from_pydict({"path": [f"f{k}.py" for k in range(n)], "language": ["python"] * n, "content": [f"def f{k}(): pass\n".encode() for k in range(n)], "__big": [False] * n})
+    out = list(X._run(iter([batch])))
+    assert max(b.num_rows for b in out) <= X.FILES_AT_ONCE < n
+    assert [s[0]["name"] for b in out for s in b.column("symbols").to_pylist()] == [f"f{k}" for k in range(n)]
