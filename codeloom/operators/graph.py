@@ -122,7 +122,7 @@ def components(source: np.ndarray, target: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
-def _fits(edges: DataFrame) -> bool:
+def fits_task(edges: DataFrame) -> bool:
     """Whether the edges of each repository fit a task."""
     return (edges.groupBy("analysis_id").count().agg(F.max("count")).first()[0] or 0) <= TASK_EDGES
 
@@ -131,10 +131,10 @@ def cycle_members(edges: DataFrame, *, method: str | None = None) -> DataFrame:
     """(analysis_id, cycle, path): files on import cycles; ``cycle`` is the smallest path of the component.
 
     A file that only imports itself is a cycle of one. ``grouped``: one task a repository; ``distributed``: repeated joins;
-    by default the first, if the edges of each repository fit a task.
+    by default the first, if the edges of each repository fit a task, else joins until what is left of them does.
     """
-    if method == "distributed" or (method is None and not _fits(edges)):
-        return _distributed_cycles(edges)
+    if method == "distributed" or (method is None and not fits_task(edges)):
+        return _distributed_cycles(edges, in_tasks=method is None)
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         names, codes = np.unique(np.concatenate([part["source"].to_numpy(), part["target"].to_numpy()]).astype(str), return_inverse=True)
@@ -147,6 +147,11 @@ def cycle_members(edges: DataFrame, *, method: str | None = None) -> DataFrame:
     return edges.distinct().groupBy("analysis_id").applyInPandas(run, "analysis_id string, cycle string, path string")
 
 
+def _meets(a: DataFrame, b: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """A join by shuffle only: a table that is joined in every round would pass the driver in every round if it were broadcast."""
+    return a.join(b.hint("merge"), on, how)
+
+
 def _doubled(chain: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Ends of chains by pointer doubling. chain: (analysis_id, node, left, right) of nodes with one edge in and one out.
 
@@ -164,16 +169,15 @@ def _doubled(chain: DataFrame) -> tuple[DataFrame, DataFrame]:
         behind = now.select("analysis_id", F.col("node").alias("left"), F.col("left").alias("__left"))
         low = F.least("low", F.coalesce("__low", "low"))
         nxt = written(
-            now.join(ahead, ["analysis_id", "right"], "left")
-            .join(behind, ["analysis_id", "left"], "left")
+            _meets(_meets(now, ahead, ["analysis_id", "right"], "left"), behind, ["analysis_id", "left"], "left")
             .select(*key, F.coalesce("__left", "left").alias("left"), F.coalesce("__right", "right").alias("right"), low.alias("low"), (low != F.col("low")).alias("changed"))
         )
         discard(now)
         now = nxt
-        open_ = now.join(inside.withColumnRenamed("node", "right"), ["analysis_id", "right"], "left_semi")
+        open_ = _meets(now, inside.withColumnRenamed("node", "right"), ["analysis_id", "right"], "left_semi")
         n, changed = open_.agg(F.count("*"), F.coalesce(F.max("changed"), F.lit(False))).first()
         if not n or (n == unfinished and not changed):
-            ends = now.join(inside.withColumnRenamed("node", "right"), ["analysis_id", "right"], "left_anti").select(*key, "left", "right")
+            ends = _meets(now, inside.withColumnRenamed("node", "right"), ["analysis_id", "right"], "left_anti").select(*key, "left", "right")
             return ends, open_.select(*key, "low")
         unfinished = n
 
@@ -196,7 +200,7 @@ def contracted(edges: DataFrame) -> tuple[DataFrame, list[tuple[str, DataFrame]]
         degree = written(ends.groupBy("analysis_id", F.col("e.node").alias("node")).agg(F.sum("e.i").alias("i"), F.sum("e.o").alias("o"), F.max("e.l").alias("left"), F.max("e.r").alias("right")))
         dead = degree.where("i = 0 OR o = 0").select(*key)
         narrow = degree.where("i = 1 AND o = 1")
-        chain = narrow.join(narrow.select("analysis_id", F.col("node").alias("right")), ["analysis_id", "right"], "left_semi").select(*key)
+        chain = _meets(narrow, narrow.select("analysis_id", F.col("node").alias("right")), ["analysis_id", "right"], "left_semi").select(*key)
         n, n_dead = degree.agg(F.count("*"), F.coalesce(F.sum(((F.col("i") == 0) | (F.col("o") == 0)).cast("int")), F.lit(0))).first()
         n_chain = chain.count()
         if not n_dead and not n_chain:
@@ -204,7 +208,7 @@ def contracted(edges: DataFrame) -> tuple[DataFrame, list[tuple[str, DataFrame]]
             return edges, went
         if n_dead and 8 * n_chain < n:  # chains wait until there are some
             n_chain = 0
-        without = lambda e, gone: e.join(gone.withColumnRenamed("node", "source"), ["analysis_id", "source"], "left_anti").join(gone.withColumnRenamed("node", "target"), ["analysis_id", "target"], "left_anti")
+        without = lambda e, gone: _meets(_meets(e, gone.withColumnRenamed("node", "source"), ["analysis_id", "source"], "left_anti"), gone.withColumnRenamed("node", "target"), ["analysis_id", "target"], "left_anti")
         if n_chain:
             between, rings = _doubled(narrow.select(*key, "left", "right"))
             between, rings = written(between), written(rings)
@@ -215,60 +219,67 @@ def contracted(edges: DataFrame) -> tuple[DataFrame, list[tuple[str, DataFrame]]
         discard(degree)
 
 
-def _coloured(open_: DataFrame) -> DataFrame:
-    """(analysis_id, node, label) of the nodes on cycles, by joins: colour forwards by the smallest name, collect backwards inside a colour, contract what is left."""
+def _coloured(open_: DataFrame, in_tasks: bool = False) -> DataFrame:
+    """(analysis_id, node, label) of the nodes on cycles, by joins: colour forwards by the smallest name, collect backwards inside a colour, contract what is left.
+
+    ``in_tasks``: a core that fits a task, once it is contracted, is searched in one.
+    """
     key = ["analysis_id", "node"]
     open_, went = contracted(open_)
     found = open_.select("analysis_id", F.col("source").alias("node"), F.col("source").alias("label")).limit(0)
-    if not open_.isEmpty():
+    if in_tasks and fits_task(open_):
+        found = written(cycle_members(open_, method="grouped").select("analysis_id", F.col("path").alias("node"), F.col("cycle").alias("label")))
+    elif not open_.isEmpty():
         nodes = open_.select("analysis_id", F.explode(F.array("source", "target")).alias("node")).distinct()
         colour = written(nodes.withColumn("colour", F.col("node")))
         while True:  # the smallest name that reaches each node
-            near = open_.join(colour.withColumnRenamed("node", "source"), ["analysis_id", "source"]).select("analysis_id", F.col("target").alias("node"), "colour")
+            near = _meets(open_, colour.withColumnRenamed("node", "source"), ["analysis_id", "source"]).select("analysis_id", F.col("target").alias("node"), "colour")
             nxt = written(colour.unionByName(near).groupBy(*key).agg(F.min("colour").alias("colour")))
-            if nxt.join(colour, [*key, "colour"], "left_anti").isEmpty():
+            if _meets(nxt, colour, [*key, "colour"], "left_anti").isEmpty():
                 break
             discard(colour)
             colour = nxt
         inside = written(
-            open_.join(colour.select("analysis_id", F.col("node").alias("source"), F.col("colour").alias("a")), ["analysis_id", "source"])
-            .join(colour.select("analysis_id", F.col("node").alias("target"), F.col("colour").alias("b")), ["analysis_id", "target"])
+            _meets(
+                _meets(open_, colour.select("analysis_id", F.col("node").alias("source"), F.col("colour").alias("a")), ["analysis_id", "source"]),
+                colour.select("analysis_id", F.col("node").alias("target"), F.col("colour").alias("b")), ["analysis_id", "target"],
+            )
             .where("a = b")
             .select("analysis_id", "source", "target", F.col("a").alias("colour"))
         )
         reached = written(colour.where("node = colour"))
         while True:  # backwards from each colour's root, inside the colour
-            more = inside.join(reached.select("analysis_id", F.col("node").alias("target"), "colour"), ["analysis_id", "target", "colour"]).select("analysis_id", F.col("source").alias("node"), "colour")
+            more = _meets(inside, reached.select("analysis_id", F.col("node").alias("target"), "colour"), ["analysis_id", "target", "colour"]).select("analysis_id", F.col("source").alias("node"), "colour")
             nxt = written(reached.unionByName(more).distinct())
             if nxt.count() == reached.count():
                 break
             discard(reached)
             reached = nxt
         alone = reached.groupBy("analysis_id", "colour").agg(F.count("*").alias("n")).where("n > 1")
-        found = reached.join(alone, ["analysis_id", "colour"]).select(*key, F.col("colour").alias("label"))
+        found = _meets(reached, alone, ["analysis_id", "colour"]).select(*key, F.col("colour").alias("label"))
         done = reached.select(*key)
-        rest = open_.join(done.withColumnRenamed("node", "source"), ["analysis_id", "source"], "left_anti").join(done.withColumnRenamed("node", "target"), ["analysis_id", "target"], "left_anti")
-        found = written(found.unionByName(_coloured(written(rest))))
+        rest = _meets(_meets(open_, done.withColumnRenamed("node", "source"), ["analysis_id", "source"], "left_anti"), done.withColumnRenamed("node", "target"), ["analysis_id", "target"], "left_anti")
+        found = written(found.unionByName(_coloured(written(rest), in_tasks)))
     for what, table in reversed(went):  # what a contraction took out follows its ends
         if what == "loop":
-            found = found.unionByName(table.join(found, key, "left_anti").withColumn("label", F.col("node")))
+            found = found.unionByName(_meets(table, found, key, "left_anti").withColumn("label", F.col("node")))
         elif what == "ring":
             found = written(found.unionByName(table.select(*key, F.col("low").alias("label"))))
         else:
             end = lambda side, name: found.select("analysis_id", F.col("node").alias(side), F.col("label").alias(name))  # noqa: B023, E731
-            on = table.join(end("left", "label"), ["analysis_id", "left"]).join(end("right", "__other"), ["analysis_id", "right"]).where("label = __other")
+            on = _meets(_meets(table, end("left", "label"), ["analysis_id", "left"]), end("right", "__other"), ["analysis_id", "right"]).where("label = __other")
             found = written(found.unionByName(on.select(*key, "label")))
     return found
 
 
-def _distributed_cycles(edges: DataFrame) -> DataFrame:
+def _distributed_cycles(edges: DataFrame, in_tasks: bool = False) -> DataFrame:
     """By joins only; a node that imports itself is a cycle of its own if it is on no other."""
     key = ["analysis_id", "path"]
     loops = edges.where("source = target").select("analysis_id", F.col("source").alias("path")).distinct()
-    found = _coloured(written(edges.where("source <> target").distinct())).withColumnRenamed("node", "path")
-    found = found.unionByName(loops.join(found, key, "left_anti").withColumn("label", F.col("path")))
+    found = _coloured(written(edges.where("source <> target").distinct()), in_tasks).withColumnRenamed("node", "path")
+    found = found.unionByName(_meets(loops, found, key, "left_anti").withColumn("label", F.col("path")))
     names = found.groupBy("analysis_id", "label").agg(F.min("path").alias("cycle"))
-    return found.join(names, ["analysis_id", "label"]).select("analysis_id", "cycle", "path")
+    return _meets(found, names, ["analysis_id", "label"]).select("analysis_id", "cycle", "path")
 
 
 def cycles(members: DataFrame) -> DataFrame:
@@ -297,7 +308,7 @@ def affected_files(edges: DataFrame, targets: DataFrame, *, method: str | None =
     ``targets``: (analysis_id, target). ``grouped``: a search backwards from each target, the targets of a repository dealt over
     tasks that each hold its edges; ``distributed``: a frontier that grows by joins; by default the first, if the edges of each repository fit a task.
     """
-    if method == "distributed" or (method is None and not _fits(edges)):
+    if method == "distributed" or (method is None and not fits_task(edges)):
         return _distributed_reach(edges, targets)
 
     def run(part: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:

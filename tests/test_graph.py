@@ -57,6 +57,22 @@ def test_joins_find_the_same_cycles_as_a_search(spark):
     assert {tuple(r) for r in graph.cycle_members(e, method="distributed").collect()} == {tuple(r) for r in graph.cycle_members(e, method="grouped").collect()}
 
 
+def test_rounds_of_joins_send_no_table_through_the_driver(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(graph, "written", lambda df, f=graph.written: plans.append(df._jdf.queryExecution().executedPlan().toString()) or f(df))
+    _, e = tables(spark, [], [(f"n{k % 7}", f"n{k * 3 % 11}") for k in range(60)] + [("x", "y"), ("y", "x")])
+    graph.cycle_members(e, method="distributed").collect()
+    assert len(plans) > 5 and not any("BroadcastHashJoin" in p for p in plans)
+
+
+def test_a_core_that_fits_a_task_is_searched_in_one(spark, monkeypatch):
+    rows = [(name, a, b) for name, edges in shapes() for a, b in edges]
+    e = spark.createDataFrame(rows, "analysis_id string, source string, target string")
+    want = {tuple(r) for r in graph.cycle_members(e).collect()}
+    monkeypatch.setattr(graph, "TASK_EDGES", 60)
+    assert not graph.fits_task(e) and {tuple(r) for r in graph.cycle_members(e).collect()} == want
+
+
 def test_labels_tell_what_a_search_tells(spark):
     rows = [(name, a, b) for name, edges in shapes() for a, b in edges]
     e = spark.createDataFrame(rows, "analysis_id string, source string, target string")
