@@ -255,3 +255,21 @@ def test_indexed_search_equals_a_scan(spark):
         for kind in (None, "class"):
             want = sorted(map(str, I.search_symbols(symbols, q, kind).collect()))
             assert sorted(map(str, I.search_indexed(symbols, grams, q, kind).collect())) == want, q
+
+
+def test_an_analysis_too_large_for_labels_is_searched(spark, engine, monkeypatch):
+    labelled = engine.run(engine.submit(URL), source(spark, FILES))
+    monkeypatch.setattr("codeloom.operators.graph.TASK_EDGES", 0)
+    large = engine.run(engine.submit("https://github.com/o/large"), source(spark, FILES))
+    assert not engine.analysis(labelled).reach.isEmpty() and engine.analysis(large).reach.isEmpty()
+    for ask in (engine.impact, engine.impact_lists):
+        told = []
+        for a in (labelled, large):
+            g = engine.analysis(a).symbols.where("name = 'g'").first()["id"]
+            told.append([r.asDict(True) for r in ask(a, g).drop("analysis_id").collect()])
+        assert told[0] == told[1] and len(told[0]) == 1
+
+
+def test_the_size_cap_of_a_run_can_be_set(spark, engine):
+    assert engine.run(engine.submit(URL), source(spark, FILES), max_repository_mb=1e-6) is None
+    assert engine.run(engine.submit(URL), source(spark, FILES), max_repository_mb=float("inf"))
