@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -202,3 +203,56 @@ def test_layout(spark, seed):
     assert min(pos[p][1] for p in names if p not in tied) >= max(pos[p][1] for p in tied) + graph.NODE_HEIGHT
     few = graph.layout(n, e, 10)
     assert few.count() == 10
+
+
+def hub_graph():
+    """Files around a cycle: before it, after it, beside it, and both."""
+    rng = random.Random(5)
+    ring = [f"h{i:02}" for i in range(30)]
+    edges = set(zip(ring, ring[1:] + ring[:1])) | {(f"b{rng.randrange(40)}", rng.choice(ring)) for _ in range(40)} | {(rng.choice(ring), f"z{rng.randrange(40)}") for _ in range(40)}
+    edges |= {(f"b{rng.randrange(40)}", f"b{rng.randrange(40)}") for _ in range(20)} | {(f"b{rng.randrange(40)}", f"s{rng.randrange(20)}") for _ in range(20)}
+    edges |= {(f"s{rng.randrange(20)}", f"z{rng.randrange(40)}") for _ in range(20)} | {(f"z{rng.randrange(40)}", f"z{rng.randrange(40)}") for _ in range(20)}
+    return sorted(edges), sorted({x for e in edges for x in e})
+
+
+@pytest.mark.parametrize("bits", [1 << 20, 200])
+def test_what_leads_to_the_hub_is_told_once_to_all_after_it(spark, monkeypatch, bits):
+    edges, names = hub_graph()
+    n, e = tables(spark, names, edges)
+    reach = closure(edges)
+    pairs = {(b, a) for a in names for b in reach.get(a, set()) if a != b}
+    monkeypatch.setattr(graph, "WAVE_BITS", bits)
+    monkeypatch.setattr(graph, "SLICE_TARGETS", 25)
+    monkeypatch.setattr(graph, "BLOCK", 8)
+    targets = n.withColumnRenamed("path", "target")
+    for got in (graph.affected_files(e, targets), graph.affected_by_labels(graph.reach_labels(e), targets)):
+        rows = [(r["target"], r["path"]) for r in got.collect()]
+        assert len(rows) == len(pairs) and set(rows) == pairs
+    few = targets.where("target IN ('h03', 'z1', 's2', 'b4')")
+    assert {(r["target"], r["path"]) for r in graph.affected_files(e, few).collect()} == {p for p in pairs if p[0] in ("h03", "z1", "s2", "b4")}
+    weight = n.selectExpr("*", "length(path) + ascii(path) AS w")
+    assert {r["path"]: (r["affected_files"], r["w"]) for r in graph.affected_totals(weight, e, ["w"]).collect()} == {
+        t: (sum(x == t for x, _ in pairs), sum(len(a) + ord(a[0]) for x, a in pairs if x == t)) for t in names
+    }
+    links = graph.condensed(e)[1]
+    assert 0 < links.where("NOT told").count() < links.count()
+
+
+def test_waves_hold_rows_only_for_what_they_lead_to():
+    # a chain of 6,000 beside 6,000 alone: the waves of those alone have no rows, the others stay below the bound
+    chain = np.arange(6000)
+    waves = list(graph._waves(np.zeros(12_000, dtype=np.int64), chain[:-1], chain[1:], 0, 12_000))
+    assert all(bits.size * 8 <= graph.WAVE_BITS + 8 * len(rows) for rows, _, bits in waves) and max(lo for _, lo, _ in waves) < 6000
+    assert sum(int(np.unpackbits(bits).sum()) for _, _, bits in waves) == 6000 * 5999 // 2
+
+
+def test_tasks_that_condense_and_layer_hold_numbers_only(spark, monkeypatch):
+    seen = []
+    edges, names = hub_graph()
+    _, e = tables(spark, names, edges)
+    monkeypatch.setattr(graph, "written", lambda df, f=graph.written: seen.append(f(df)) or seen[-1])
+    graph.layers(e).collect()
+    graph.condensed(e)
+    plain = [dict(t.dtypes) for t in seen if "source" in t.columns]
+    assert plain and all(t["source"] == t["target"] == "bigint" for t in plain)
+
