@@ -256,3 +256,20 @@ def test_tasks_that_condense_and_layer_hold_numbers_only(spark, monkeypatch):
     plain = [dict(t.dtypes) for t in seen if "source" in t.columns]
     assert plain and all(t["source"] == t["target"] == "bigint" for t in plain)
 
+
+def test_entries_are_the_lists_row_by_row(spark):
+    edges, names = hub_graph()
+    _, e = tables(spark, names, edges)
+    imports = e.selectExpr("analysis_id", "source AS source_path", "target AS target_path", "CAST(NULL AS STRING) AS external_module", "'imports' AS type")
+    symbols = spark.createDataFrame([("r", p, k, f"{p}_{k}", "function", None) for p in names for k in range(2)], "analysis_id string, path string, ord int, name string, kind string, parent string")
+    calls = [("r", a, f"{a}_0", b, f"{b}_1", f"{b}_1", None) for a, b in edges] + [("r", p, f"{p}_0", p, f"{p}_1", f"{p}_1", None) for p in names[::3]]
+    calls = spark.createDataFrame(calls, "analysis_id string, source_path string, source_symbol string, target_path string, target_symbol string, callee_name string, target_parent string")
+    of = symbols.where("path LIKE 'z1%' OR path LIKE 'h2%'")
+    lists = impact.impact_lists(symbols, imports, calls, of)
+    want = []
+    for r in lists.collect():
+        key = (r["path"], r["ord"])
+        want += [(*key, "direct_callers", c["path"], c["symbol"]) for c in r["direct_callers"]] + [(*key, name, p, None) for name in ("affected_files", "affected_tests") for p in r[name]]
+        want += [(*key, "affected_symbols", s["path"], s["name"]) for s in r["affected_symbols"]]
+    got = impact.impact_entries(symbols, imports, calls, of).select("path", "ord", "list", "by_path", "by_name").collect()
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
