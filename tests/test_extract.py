@@ -128,3 +128,12 @@ def test_few_files_are_objects_at_once():
     out = list(X._run(iter([batch])))
     assert max(b.num_rows for b in out) <= X.FILES_AT_ONCE < n
     assert [s[0]["name"] for b in out for s in b.column("symbols").to_pylist()] == [f"f{k}" for k in range(n)]
+
+
+def test_the_scanner_s_short_ways_agree_with_its_expressions():
+    from codeloom.operators import extract_js as J
+
+    longer = [p.replace("\\", "") for p in J._PUNCT.pattern.split("|[{}")[0].split("|")]
+    assert all(J._PUNCT.fullmatch(c) for c in J._SINGLE) and not any(p[0] in J._SINGLE for p in longer)
+    assert not J._SINGLE & set("()")  # those are counted
+    assert {chr(k) for k in range(0x110000) if J._BLANK.match(chr(k))} <= J._BEGIN_BLANK
