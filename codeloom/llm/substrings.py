@@ -226,14 +226,15 @@ def _among(h: np.ndarray, a: np.ndarray, told_h: np.ndarray, told_a: np.ndarray)
 
 
 def drop_repeats(
-    docs: DataFrame, *, window: int = 20, pack_bytes: int = 5 << 20, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None
+    docs: DataFrame, *, window: int = 20, pack_bytes: int = 5 << 20, bucket_bytes: int | None = None, id_col: str = "doc_id", text_col: str = "text", carry: list[str] | None = None
 ) -> DataFrame:
     """(doc_id, n_words, n_removed, kept_text, and the columns ``carry``) of every row.
 
     A word goes if a window of ``window`` words around it also starts earlier: in a smaller doc_id, or earlier in
     the same document. Words are ``[^\\x20\\x09-\\x0D]+``; kept_text is the kept words joined by one space.
 
-    Documents are dealt into packs by a hash of id and text. (1) Each pack renames its words by recompression and sends the
+    Documents are dealt into packs by a hash of id and text, a pack for each ``pack_bytes`` of text: a worker takes some 40 times that. There is a bucket
+    for each ``bucket_bytes`` of text, by default for each pack. (1) Each pack renames its words by recompression and sends the
     anchors of its windows, their highest symbols, each once, to buckets by name; (2) a bucket returns to each pack the symbols that
     other packs sent too; (3) each pack sends the windows on such symbols, each once, with their spelling in symbols and first
     place, to buckets by the latter; (4) a bucket returns to each pack the windows that start earlier elsewhere;
@@ -252,7 +253,7 @@ def drop_repeats(
     if clash := {"doc_id", "n_words", "n_removed", "kept_text", "__pack", "__text"} & set(carry):
         raise ValueError(f"columns in the way: {sorted(clash)}")
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    packs = max(1, -(-size // pack_bytes))
+    packs, buckets = max(1, -(-size // pack_bytes)), max(1, -(-size // (bucket_bytes or pack_bytes)))
     kinds = {c: docs.schema[c].dataType.simpleString() for c in carry}
     own_id = F.col(f"`{id_col}`").cast("long")
     pack = F.pmod(F.xxhash64(own_id, F.col(text_col), F.lit(4)), F.lit(packs)).alias("__pack")
@@ -262,7 +263,7 @@ def drop_repeats(
         return part["doc_id"].to_numpy(np.int64)
 
     def bucket_of(names: np.ndarray) -> np.ndarray:
-        return (mix64(names) % np.uint64(packs)).astype(np.int64)
+        return (mix64(names) % np.uint64(buckets)).astype(np.int64)
 
     def carried(part: pd.DataFrame, c: str) -> pd.Series:
         return part["__text" if c == text_col else c]

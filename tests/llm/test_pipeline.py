@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from codeloom.llm import mil
+from codeloom.llm import mil, substrings
 from codeloom.llm.queries import MIX_WEIGHTS
 
 from .test_text_ops import WORD, brute_near_duplicates, brute_repeats
@@ -69,3 +69,17 @@ def test_stages_keep_columns_of_any_name(spark):
             assert sorted(r["doc_id"] or 0 for r in out.collect()) == [0, 1, 3, 5, 6]
     tokens = corpus_pipeline.STAGES[-1][1](spark, docs, DIR)
     assert sorted(r["doc_id"] or 0 for r in tokens.collect()) == [0, 1, 2, 3, 4, 5, 5, 6]
+
+
+def test_workers_get_little_at_once(spark):
+    """A stage's tasks are sent few rows and small packs of text, and more packs than buckets change nothing."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(key, 10_000)
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    dict(corpus_pipeline.STAGES)["repeated_passages"](spark, docs, DIR)
+    assert int(spark.conf.get(key)) == corpus_pipeline.BATCH_ROWS < 10_000
+    sent = docs.select("doc_id").coalesce(1).mapInPandas(lambda batches: (b.assign(doc_id=len(b)) for b in batches), "doc_id long")
+    assert sent.agg(F.max("doc_id")).first()[0] <= corpus_pipeline.BATCH_ROWS
+    assert corpus_pipeline.PACK_BYTES < 5 << 20
+    whole, dealt = (sorted(substrings.drop_repeats(docs, pack_bytes=p, bucket_bytes=b).collect()) for p, b in ((5 << 20, None), (9000, 40_000)))
+    assert whole == dealt and any(r["n_removed"] for r in whole)
