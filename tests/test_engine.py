@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from codeloom import errors
+from codeloom import errors, queries
 from codeloom.operators.incremental import split_by_baseline
 from codeloom.operators import extract as X
 from codeloom.plans.analysis import analyze
@@ -103,6 +103,21 @@ def test_random_edits_batch_equals_incremental(spark):
         assert sorted(map(repr, a.collect())) == sorted(map(repr, b.select(*a.columns).collect()))
 
 
+def test_incremental_query_makes_its_source_once(spark, monkeypatch):
+    made, made_by = spark.sparkContext.accumulator(0), queries.python_repository
+
+    @F.udf("string")
+    def counted(path):
+        made.add(1)
+        return path
+
+    monkeypatch.setattr(queries, "python_repository", lambda *a: made_by(*a).withColumn("path", counted.asNondeterministic()("path")))
+    edges = queries.incremental_call_edges(spark, "/root/testdata/sf0.001")
+    monkeypatch.undo()
+    assert sorted(map(repr, edges.collect())) == sorted(map(repr, queries.call_edges(spark, "/root/testdata/sf0.001").collect()))
+    assert made.value == made_by(spark, "/root/testdata/sf0.001").count()
+
+
 def test_stale_extractor_and_size_cap(spark):
     described = X.described(source(spark, {"a.py": "x = 1\n", "b.py": "y = 2\n"}))
     old = X.extracted(described).withColumn("extractor_version", F.when(F.col("path") == "a.py", 1).otherwise(F.col("extractor_version")))
