@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.common import Union, small, written
+from codeloom.llm.common import Union, discard, partitions, written
 from codeloom.llm.components import connected_components
 
 
@@ -175,19 +177,17 @@ def cosine_components(
 ) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row, exact: links join rows of a cosine of ``cosine`` or more.
 
-    On unit vectors that is a distance of r = sqrt(2 - 2 cosine) or less. Each vector belongs to the cell of its nearest pivot and is
-    replicated to every other cell that can hold a vector within r of it: for its distances d to the own pivot c and e to
-    another pivot p, those with (e^2 - d^2) / (2 |c - p|) <= r (the triangle inequality gives e - d <= 2 r; this
-    bound on the distance to the border is at least as sharp) and e <= r + (the cell's radius). Cells join independently:
-    each of its own vectors meets all vectors in or replicated to the cell, so its links are complete there. Cells are cut
-    into chunks of about ``cell_rows`` rows, own by visiting, so that no group outgrows a task; chunks emit per vector one
-    count and one link to the smallest id of its set, never all pairs. Components follow from those links.
+    On unit vectors that is a distance of r = sqrt(2 - 2 cosine) or less. Vectors are sorted by their nearest pivot and their distance to it,
+    cut into blocks of up to ``cell_rows`` and written once, packed. A block knows between which distances of each pivot its vectors lie, and two
+    blocks that some pivot holds more than r apart never meet (the triangle inequality). All others do, each pair once, in a nested loop of Spark
+    over the written blocks: nothing is replicated or shuffled for it, so disk grows with the rows. A task emits per vector one count and one
+    link to the smallest id of its set for all the pairs of blocks that it was given, never all pairs. Components follow from those links.
 
-    A vector's length is part of its cell: each length found in a sample of ``sample_rows`` vectors has up to ``pivots`` pivots, any
-    other length is one cell. Equal rows (id and vector) are one entry with their number.
+    Each length found in a sample of ``sample_rows`` vectors has up to ``pivots`` pivots; blocks hold vectors of one length.
+    Equal rows (id and vector) are one entry with their number.
 
-    How much is replicated depends on the data: vectors in clusters stay in their cells; isolated directions of many
-    dimensions lie near every border, and then the join is a blocked comparison of all with all.
+    How many pairs of blocks are left depends on the data: on isolated directions of many dimensions no pivot tells blocks apart, and then
+    the join compares all with all.
 
     Vectors that are null, empty, zero or hold a null or non-finite component link with nothing; so do rows without an id (component
     null) and vectors of different length among each other. Rows that repeat an id are vectors of their own but one node: kept is
@@ -195,9 +195,7 @@ def cosine_components(
     will do. An empty table gives an empty result. Other columns are not read.
     """
     all_rows = df.select(F.col(id_col).alias("vec_id"), F.xxhash64(F.col(vector_col).cast("array<double>")).alias("h"))
-    usable_ = _usable_rows(df, id_col, vector_col)
-    entries = usable_.groupBy("id", F.xxhash64("v").alias("h")).agg(F.count("*").alias("m"), F.first("v").alias("v"))
-    counts, links = _range_join(written(entries), cosine, float(np.sqrt(2 - 2 * cosine)), pivots, sample_rows, cell_rows)
+    counts, links = _range_join(df.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")), cosine, pivots, sample_rows, cell_rows)
     comp = connected_components(links)
     base = all_rows.withColumn("id", F.col("vec_id").cast("long"))
     out = base.join(counts, ["id", "h"], "left").join(comp.withColumnRenamed("node", "id"), "id", "left")
@@ -205,74 +203,129 @@ def cosine_components(
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))
 
 
-def _range_join(rows: DataFrame, cosine: float, radius: float, pivots: int, sample_rows: int, cell_rows: int) -> tuple[DataFrame, DataFrame]:
-    """(id, h, n_links) of each vector with links and the links (a, b). rows: id, h, m (equal rows), v."""
-    centres = {n: spread_pivots(unit_vectors(v), pivots, radius) for n, v in _sample(rows, sample_rows).items()}
-    between = {n: np.linalg.norm(c[:, None] - c[None], axis=2) for n, c in centres.items()}
-    slack = 1e-6  # for rounding: replicates a little more than needed
+#: The most that the vectors of a block may take as doubles, however long they are.
+BLOCK_BYTES = 16 << 20
 
-    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+def _to_pivots(v: np.ndarray, pivots: np.ndarray | None) -> np.ndarray:
+    """Distances of each vector's direction to each pivot; no column without pivots."""
+    return np.empty((len(v), 0)) if pivots is None else np.sqrt(np.maximum(0, 2 - 2 * (unit_vectors(v.astype(np.float64)) @ pivots.T)))
+
+
+def _packed_blocks(df: DataFrame, centres: dict[int, np.ndarray], block_rows: int) -> DataFrame:
+    """Usable rows (id, v) in blocks of up to ``block_rows`` equally long vectors, written: dim, block, the least and greatest distance to each
+    pivot, and packed id, h (hash of the vector), m (equal rows) and v, which keeps the type of its components."""
+    usable_ = _usable_rows(df, "id", "v").withColumn("h", F.xxhash64("v"))
+    single = df.schema["v"].dataType.elementType.typeName() == "float"
+    kind = np.float32 if single else np.float64
+    if single:
+        usable_ = usable_.withColumn("v", F.col("v").cast("array<float>"))  # as it was, half the bytes of doubles
+    blocks = -(-usable_.count() // block_rows)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for n, own in by_length(b["v"]):
-                part = b.iloc[own]
-                u = unit_vectors(np.stack(part["v"].to_numpy()))
-                d = np.sqrt(np.maximum(0, 2 - 2 * (u @ centres[n].T))) if n in centres else np.zeros((len(u), 1))
-                yield pd.DataFrame({"id": part["id"], "h": part["h"], "m": part["m"], "dim": n, "cell": d.argmin(axis=1), "near": d.min(axis=1), "d": [x.tobytes() for x in d], "u": [x.tobytes() for x in u]})
-
-    placed = written(rows.mapInPandas(assign, "id long, h long, m long, dim int, cell int, near double, d binary, u binary"))
-    reach = {n: np.full(len(c), -9.0) for n, c in centres.items()}
-    for r in placed.where(F.col("dim").isin(list(centres))).groupBy("dim", "cell").agg(F.max("near").alias("far")).collect():  # one row a pivot
-        reach[r["dim"]][r["cell"]] = r["far"]
+                part, v = b.iloc[own], np.stack(b["v"].iloc[own].to_numpy()).astype(kind)
+                d = _to_pivots(v, centres.get(n))
+                yield pd.DataFrame({"id": part["id"], "h": part["h"], "dim": n, "cell": d.argmin(axis=1) if d.size else 0, "near": d.min(axis=1) if d.size else 0.0, "v": [x.tobytes() for x in v]})
+
+    def packed(rows: pd.DataFrame, nth: int) -> pd.DataFrame:
+        n = int(rows["dim"].iloc[0])
+        v = b"".join(rows["v"])
+        d = _to_pivots(np.frombuffer(v, dtype=kind).reshape(-1, n), centres.get(n))
+        return pd.DataFrame({
+            "dim": [n], "nth": [nth], "lo": [d.min(axis=0)], "hi": [d.max(axis=0)], "v": [v], **{c: [rows[c].to_numpy(dtype=np.int64).tobytes()] for c in ("id", "h", "m")},
+        })
+
+    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, nth, key = None, 0, ["dim", "id", "h"]
+        for b in chain(batches, [None]):
+            if b is not None:
+                b = b[[*key, "v"]].assign(m=1)
+                held = b if held is None else pd.concat([held, b])
+                new = (held[key] != held[key].shift()).any(axis=1).to_numpy()  # equal rows follow each other
+                first = np.flatnonzero(new)
+                held = held.iloc[first].assign(m=np.add.reduceat(held["m"].to_numpy(), first))
+            while held is not None and len(held) > (block_rows if b is not None else 0):
+                other = np.flatnonzero((held["dim"] != held["dim"].iloc[0]).to_numpy()[:block_rows])
+                size = min(int(other[0]) if len(other) else block_rows, len(held), max(1, BLOCK_BYTES // (8 * int(held["dim"].iloc[0]))))
+                yield packed(held.iloc[:size], nth)
+                held, nth = held.iloc[size:], nth + 1
+
+    order = ["dim", "cell", "near", "id", "h"]
+    spark = df.sparkSession
+    placed = usable_.select("id", "h", "v").mapInPandas(place, "id long, h long, dim int, cell int, near double, v binary")
+    dealt = placed.repartitionByRange(max(1, min(blocks, max(partitions(spark), blocks // 32))), *order).sortWithinPartitions(*order)
+    out = dealt.mapInPandas(pack, "dim int, nth long, lo array<double>, hi array<double>, v binary, id binary, h binary, m binary")
+    return written(out.withColumn("block", F.shiftleft(F.spark_partition_id().cast("long"), 32) + F.col("nth")).drop("nth"))
+
+
+def _range_join(df: DataFrame, cosine: float, pivots: int, sample_rows: int, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """(id, h, n_links) of each vector with links and the links (a, b). df: id, v."""
+    radius = float(np.sqrt(2 - 2 * cosine)) + 1e-6  # a little more for rounding
+    centres = {n: spread_pivots(unit_vectors(v), pivots, radius) for n, v in _sample(_usable_rows(df, "id", "v"), sample_rows).items()}
+    blocks = _packed_blocks(df, centres, block_rows)
+    kind = np.float32 if df.schema["v"].dataType.elementType.typeName() == "float" else np.float64
+    names = ("block", "id", "h", "m", "v")
+    own = blocks.select("dim", "lo", "hi", *names)
+    other = blocks.select(*[F.col(c).alias(f"{c}_") for c in own.columns])
+    apart = lambda lo, hi: F.exists(F.zip_with(lo, hi, lambda x, y: x - y > radius), lambda x: x)
+    may = (F.col("dim") == F.col("dim_")) & (F.col("block") <= F.col("block_")) & ~apart("lo", "hi_") & ~apart("lo_", "hi")
+    pairs = own.hint("shuffle_replicate_nl").join(other, may).select("dim", *names, *[f"{c}_" for c in names])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, columns, sets, n, units = {}, {c: np.empty(0, dtype=np.int64) for c in ("id", "h", "m")}, Union(0), np.empty(0, dtype=np.int64), {}
+
+        def unpacked(b: pa.RecordBatch, k: int, end: str) -> tuple[int, np.ndarray, np.ndarray]:
+            """Where a block's rows are among all that the task saw, and its unit vectors in double and in single precision."""
+            nonlocal n
+            block, dim = b.column(f"block{end}")[k].as_py(), b.column("dim")[k].as_py()
+            raw = lambda c, kind: np.frombuffer(b.column(f"{c}{end}")[k].as_buffer(), dtype=kind)
+            if block not in at:
+                at[block] = len(n)
+                for c, old in columns.items():
+                    columns[c] = np.r_[old, raw(c, np.int64)]
+                n = np.r_[n, np.zeros(len(columns["id"]) - len(n), dtype=np.int64)]
+                sets.up = np.r_[sets.up, np.arange(len(sets.up), len(n))]
+            if units.get(end, (None,))[0] != block:  # the outer block of the loop stays for many pairs
+                u = unit_vectors(raw("v", kind).reshape(-1, dim).astype(np.float64))
+                units[end] = (block, u, u.astype(np.float32))
+            return at[block], *units[end][1:]
 
-    def visits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for n in b["dim"].unique().tolist():
-                part = b[b["dim"] == n]
-                own = part["cell"].to_numpy()
-                if n in centres:
-                    d = np.stack([np.frombuffer(x) for x in part["d"]])
-                    d_own = d[np.arange(len(d)), own][:, None]
-                    gap = np.where(between[n][own] > 0, (d * d - d_own * d_own) / (2 * np.maximum(between[n][own], 1e-12)), np.inf)
-                    go = (gap <= radius + slack) & (d <= radius + reach[n] + slack)
-                    go[np.arange(len(d)), own] = True
-                else:
-                    go = np.ones((len(part), 1), dtype=bool)
-                i, cell = np.nonzero(go)
-                yield pd.DataFrame({**{c: part[c].to_numpy()[i] for c in ("id", "h", "m", "u")}, "dim": n, "cell": cell, "own": cell == own[i]})
-
-    went = written(placed.mapInPandas(visits, "id long, h long, m long, u binary, dim int, cell int, own boolean"))
-    cuts = lambda n, most: F.greatest(F.lit(1), F.ceil(n / most)).cast("int")
-    chunks = written(went.groupBy("dim", "cell").agg(cuts(F.sum(F.col("own").cast("int")), cell_rows).alias("own_chunks"), cuts(F.count("*"), 4 * cell_rows).alias("visit_chunks")))
-    dealt = went.join(small(chunks), ["dim", "cell"])
-    part = lambda n, seed: F.pmod(F.xxhash64("id", "h", F.lit(seed)), F.col(n)).cast("int")
-    columns = ("id", "h", "m", "u", "dim", "cell")
-    hosts = dealt.where("own").select(*columns, part("own_chunks", 1).alias("i"), F.explode(F.sequence(F.lit(0), F.col("visit_chunks") - 1)).alias("j"))
-    visit = dealt.select(*(F.col(c).alias(c) for c in columns), F.explode(F.sequence(F.lit(0), F.col("own_chunks") - 1)).alias("i"), part("visit_chunks", 2).alias("j"))
-
-    def join(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"id": [], "h": [], "n": [], "low": []})
-        x, y = (np.stack([np.frombuffer(u) for u in p["u"]]) for p in (left, right))
-        ids, h, m = np.r_[left["id"].to_numpy(), right["id"].to_numpy()], np.r_[left["h"].to_numpy(), right["h"].to_numpy()], right["m"].to_numpy()
-        n, sets, x32, y32 = np.zeros(len(x)), Union(len(ids)), x.astype(np.float32), y.astype(np.float32)
-        for at in range(0, len(x), 512):
-            a, b = np.nonzero(x32[at : at + 512] @ y32.T >= cosine - 1e-5)  # rounding of single precision is far below this
-            a += at
-            for s in range(0, len(a), 1 << 17):
-                i, j = a[s : s + (1 << 17)], b[s : s + (1 << 17)]
-                same = (ids[i] == ids[len(x) + j]) & (h[i] == h[len(x) + j])
-                ok = ((x[i] * y[j]).sum(axis=1) >= cosine) | same
-                n += np.bincount(i[ok], m[j[ok]] - same[ok], minlength=len(x))  # all rows but the own one
-                sets.link(i[ok], len(x) + j[ok])
-        root = sets.roots()
-        low = np.full(len(ids), np.iinfo(np.int64).max)
-        np.minimum.at(low, root, ids)
+            for k in range(b.num_rows):
+                (p, x, x32), (q, y, y32) = unpacked(b, k, ""), unpacked(b, k, "_")
+                m, slack = columns["m"], 1e-5 + 1e-7 * x.shape[1]  # single precision errs by less
+                if p == q:
+                    n[p : p + len(x)] += m[p : p + len(x)] - 1  # equal rows but the own one
+                for lo in range(0, len(x), 512):
+                    s = x32[lo : lo + 512] @ y32.T
+                    i, j = np.divmod(np.flatnonzero(s >= cosine - slack), s.shape[1])
+                    if not len(i):
+                        continue
+                    sure = s[i, j] >= cosine + slack
+                    i += lo
+                    for c in range(0, len(i), 1 << 17):
+                        open_ = c + np.flatnonzero(~sure[c : c + (1 << 17)])
+                        sure[open_] = (x[i[open_]] * y[j[open_]]).sum(axis=1) >= cosine
+                    if p == q:
+                        sure &= i != j
+                    i, j = p + i[sure], q + j[sure]
+                    n[p : p + len(x)] += np.bincount(i - p, m[j], minlength=len(x)).astype(np.int64)
+                    if p != q:
+                        n[q : q + len(y)] += np.bincount(j - q, m[i], minlength=len(y)).astype(np.int64)
+                    sets.link(i, j)
+        if not len(n):
+            return
+        root, low = sets.roots(), np.full(len(n), np.iinfo(np.int64).max)
+        np.minimum.at(low, root, columns["id"])
         low = low[root]
-        # hosts: their count and link; visitors: a link if they are in a set
-        some = np.r_[n > 0, low[len(x) :] != ids[len(x) :]]
-        return pd.DataFrame({"id": ids[some], "h": h[some], "n": np.r_[n, np.zeros(len(y))][some].astype(np.int64), "low": low[some]})
+        some = np.flatnonzero((n > 0) | (low != columns["id"]))
+        for lo in range(0, len(some), 1 << 16):
+            o = some[lo : lo + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(c[o]) for c in (columns["id"], columns["h"], n, low)], names=["id", "h", "n", "low"])
 
-    keys = ("dim", "cell", "i", "j")
-    met = written(hosts.groupBy(*keys).cogroup(visit.groupBy(*keys)).applyInPandas(join, "id long, h long, n long, low long"))
+    met = written(pairs.mapInArrow(join, "id long, h long, n long, low long"))
+    discard(blocks)
     counts = met.groupBy("id", "h").agg(F.sum("n").alias("n_links")).where("n_links > 0")
     return counts, met.where("low < id").select(F.col("id").alias("a"), F.col("low").alias("b")).distinct()

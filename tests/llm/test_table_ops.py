@@ -3,12 +3,14 @@
 import random
 from collections import Counter
 from itertools import combinations
+from pathlib import Path
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from codeloom.llm import common, mixing, sharding, urls, vectors
+from codeloom.llm.common import written
 from codeloom.llm.components import connected_components
 from codeloom.llm.queries import URL_RULES
 
@@ -407,3 +409,21 @@ def test_cosine_joins_vectors_of_any_length(spark):
     rows = [(n * 2 + k, [1.0] * (n + 1)) for n in range(300) for k in (0, 1)]
     got = vectors.cosine_components(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), sample_rows=100).collect()
     assert len(got) == 600 and all(r["n_links"] == 1 and r["component_id"] == r["vec_id"] // 2 * 2 for r in got)
+
+
+def test_cosine_join_writes_no_vector_more_than_once(spark, monkeypatch):
+    """Isolated directions lie near the border of every pivot's cell: were they replicated to all cells, disk would be many times the input."""
+    rng, sizes = np.random.default_rng(3), []
+
+    def measured(df):
+        out = written(df)
+        sizes.append(sum(f.stat().st_size for f in Path(out.written_to.removeprefix("file:")).rglob("*.parquet")))
+        return out
+
+    monkeypatch.setattr(vectors, "written", measured)
+    x = rng.normal(size=(2000, 64)).astype(np.float32)
+    x[1000:1010] = x[:10] + 0.01
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.cosine_components(df, cell_rows=300).collect()}
+    assert all(got[i] == got[1000 + i] == (1, i) for i in range(10)) and sum(n for n, _ in got.values()) == 20
+    assert sum(sizes) < 2 * x.nbytes
