@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from codeloom.operators import graph, impact
+from codeloom.tables import written
 
 
 def tables(spark, nodes, edges):
@@ -273,3 +274,55 @@ def test_entries_are_the_lists_row_by_row(spark):
         want += [(*key, "affected_symbols", s["path"], s["name"]) for s in r["affected_symbols"]]
     got = impact.impact_entries(symbols, imports, calls, of).select("path", "ord", "list", "by_path", "by_name").collect()
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
+def test_entries_of_whole_sides_meet_as_lists(spark):
+    rows = wheel()
+    _, e = tables(spark, [], rows)
+    imports = e.selectExpr("analysis_id", "source AS source_path", "target AS target_path", "CAST(NULL AS STRING) AS external_module", "'imports' AS type")
+    symbols = spark.createDataFrame([("r", p, 0, p, "function", None) for p in sorted({x for r in rows for x in r})], "analysis_id string, path string, ord int, name string, kind string, parent string")
+    calls = spark.createDataFrame([], "analysis_id string, source_path string, source_symbol string, target_path string, target_symbol string, callee_name string, target_parent string")
+    got = impact.impact_entries(symbols, imports, calls, symbols)
+    assert "CartesianProduct" in got._jdf.queryExecution().toString()  # not a shuffle of all pairs
+    assert got.count() == 2 * sum(len(bs - {a}) for a, bs in closure(rows).items())
+
+
+def wheel():
+    """A ring of 40 files between 60 that lead to it and 60 that come after it, and some pairs beside it; 218 edges."""
+    rows = [(f"r{i:02}", f"r{(i + 1) % 40:02}") for i in range(40)] + [(f"s{i:02}", f"r{i % 40:02}") for i in range(60)] + [(f"r{i % 40:02}", f"t{i:02}") for i in range(60)]
+    return [*rows, *[(f"s{i:02}", f"x{i:02}") for i in range(0, 60, 2)], *[(f"y{i}", f"t{i:02}") for i in range(10, 38)]]
+
+
+def test_a_graph_beyond_a_task_is_told_by_its_hub_and_no_pair_is_written(spark, monkeypatch):
+    rows, sizes = wheel(), []
+    n, e = tables(spark, sorted({x for r in rows for x in r}), rows)
+    pairs = {(b, a) for a, bs in closure(rows).items() for b in bs if a != b}
+
+    def counted(df):
+        out = written(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "TASK_EDGES", 60)
+    monkeypatch.setattr(graph, "written", counted)
+    got = graph.affected_files(e, n.withColumnRenamed("path", "target"))
+    assert "CartesianProduct" in got._jdf.queryExecution().toString()
+    assert {(r["target"], r["path"]) for r in got.collect()} == pairs and got.count() == len(pairs) > 9000
+    assert max(sizes) <= len(rows)  # the largest table has the edges
+
+
+def test_labels_of_a_graph_beyond_a_task_take_no_more_than_that_into_one(spark, monkeypatch):
+    rows, tasks, coded = wheel(), [], graph.coded
+    n, e = tables(spark, sorted({x for r in rows for x in r}), rows)
+    pairs = {(b, a) for a, bs in closure(rows).items() for b in bs if a != b}
+
+    def counted(df):
+        out = coded(df)
+        tasks.append(out[1].count())
+        return out
+
+    monkeypatch.setattr(graph, "TASK_EDGES", 60)
+    monkeypatch.setattr(graph, "coded", counted)
+    labels = graph.reach_labels(e)
+    assert {(r["target"], r["path"]) for r in graph.affected_by_labels(labels, n.withColumnRenamed("path", "target")).collect()} == pairs
+    assert tasks[-1] <= 60 < tasks[0]
