@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from codeloom.operators import extract_js, extract_py
@@ -137,3 +139,29 @@ def test_the_scanner_s_short_ways_agree_with_its_expressions():
     assert all(J._PUNCT.match(c + x + y).end() == 1 for c in J._SINGLE for x in follow for y in follow)
     assert not J._SINGLE & set("()")  # those are counted
     assert {chr(k) for k in range(0x110000) if J._BLANK.match(chr(k))} <= J._BEGIN_BLANK
+
+
+def test_the_scanner_s_plain_loop_gives_what_the_general_one_gives():
+    """Tokens that one match tells are those that the general loop finds, wherever it stops and goes on."""
+
+    class General(extract_js.Scanner):
+        def plain(self):
+            pass
+
+    pieces = ["name", "$x", "é", "aé", "a\\u0041", "if", "while", "(", ")", "{", "}", "[", "]", ";", ",", ":", "~", "@", "'s'", '"t"', "'a\\'b'", "'a\\\nb'", "1.5e3", "#p", "/re/g", "/", "=>", "?.", "...", ">>=", "\n", "\r\n", "  ", "\t", " ", "﻿", "// c\n", "/* c\n */", "`a${b}c`", "`${'}'}`", ".", "<", "return"]
+    rng, scanned = random.Random(5), 0
+
+    def told(kind, text):
+        try:
+            s = kind(text, jsx=False)
+            s.run()
+            return [(t.kind, t.text, t.line, t.end_line) for t in s.out], s.line, s.heads
+        except extract_js.Broken:
+            return None
+
+    for _ in range(3000):
+        text = "".join(rng.choice(pieces) + rng.choice(["", " ", "\n"]) for _ in range(rng.randint(1, 25)))
+        want = told(General, text)
+        assert told(extract_js.Scanner, text) == want
+        scanned += want is not None
+    assert scanned > 500
