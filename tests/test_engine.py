@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from codeloom import errors, queries
 from codeloom.operators.incremental import split_by_baseline
 from codeloom.operators import extract as X
+from codeloom.plans import api
 from codeloom.plans.analysis import analyze
 from codeloom.plans.api import Engine
 from codeloom.sources import tree
@@ -288,3 +289,12 @@ def test_an_analysis_too_large_for_labels_is_searched(spark, engine, monkeypatch
 def test_the_size_cap_of_a_run_can_be_set(spark, engine):
     assert engine.run(engine.submit(URL), source(spark, FILES), max_repository_mb=1e-6) is None
     assert engine.run(engine.submit(URL), source(spark, FILES), max_repository_mb=float("inf"))
+
+
+def test_an_analysis_resolves_once_and_reads_no_sizes_without_a_cap(spark, engine, monkeypatch):
+    kept, once = [], api.written
+    monkeypatch.setattr("codeloom.plans.api.tree.enforce_size_cap", lambda *_: pytest.fail("contents were read for a cap of infinity"))
+    monkeypatch.setattr("codeloom.plans.api.written", lambda df: kept.append(df.columns) or once(df))
+    done = engine.run(engine.submit(URL), source(spark, FILES), max_repository_mb=float("inf"))
+    resolved = [c for c in kept if "target_path" in c and "local_name" in c]
+    assert len(resolved) == 1 and engine.analysis(done).import_edges.count() > 0

@@ -326,3 +326,12 @@ def test_labels_of_a_graph_beyond_a_task_take_no_more_than_that_into_one(spark,
     labels = graph.reach_labels(e)
     assert {(r["target"], r["path"]) for r in graph.affected_by_labels(labels, n.withColumnRenamed("path", "target")).collect()} == pairs
     assert tasks[-1] <= 60 < tasks[0]
+
+
+def test_a_graph_is_contracted_no_further_than_a_task_needs(spark, monkeypatch):
+    rows = wheel()
+    _, e = tables(spark, [], rows)
+    monkeypatch.setattr(graph, "TASK_EDGES", 60)
+    core, went = graph.contracted(e, True)
+    assert core.count() == 40 and went == []  # the ring was not taken apart
+    assert {tuple(r) for r in graph.cycle_members(e).collect()} == {("r", "r00", f"r{i:02}") for i in range(40)}
